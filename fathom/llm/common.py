@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that Python workers get at a time: bounds a batch of very long texts.
-BATCH_ROWS = 256
+#: What a Python worker gets at a time: bytes bound a batch of very long texts.
+BATCH_ROWS, BATCH_BYTES = 20_000, 4 << 20
 #: Bytes that count as white space between words.
 SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,6 +28,7 @@ def prepare(spark: SparkSession) -> None:
     unset (tests, one machine) a temporary folder is taken.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(spark))
