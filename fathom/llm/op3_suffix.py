@@ -16,8 +16,9 @@ text on average).
    a hash, so that one hot passage spreads over many buckets.
 4. Each bucket sorts its windows by multikey quicksort on 8-byte tokens; windows
    still together after 200 bytes are equal.
-5. Groups that reach a bucket's edge, and so may go on in the next bucket, are
-   compared across the boundaries by window digests, which are pre-aggregated.
+5. Anchors that reach over several buckets are compared across the boundaries:
+   first by a digest of what CELL neighbouring windows have in common, and only
+   where that occurs in more than one bucket, window by window.
 6. Spans return to their documents, where the bytes are cut.
 
 Defined cases: null and empty texts, and texts under 200 bytes, lose nothing;
@@ -260,21 +261,31 @@ def multikey_quicksort(words: np.ndarray, starts: np.ndarray, group: np.ndarray)
     """Sorts suffixes by group and then token by token (8 bytes), up to LENGTH bytes.
 
     Each round partitions the suffixes that still share their group and all
-    tokens so far by the next token; suffixes alone in their part are done and
-    drop out. Returns those that are left at the end, as indexes and part numbers.
+    tokens so far by the next token. A part whose next tokens are all equal stays
+    as it is; suffixes alone in their part are done and drop out. Returns those
+    that are left at the end, as indexes and part numbers, part by part.
     """
     index = np.arange(len(starts))
     part = np.unique(group, return_inverse=True)[1] if len(group) else group
-    index, part = _together(index, part)
-    tokens = [*range(0, LENGTH - 8, 8), LENGTH - 8]
-    for depth in tokens:
+    order = np.argsort(part, kind="stable")
+    index, part = _together(index[order], part[order])
+    for depth in (*range(0, LENGTH - 8, 8), LENGTH - 8):
         if len(index) == 0:
             break
         token = words[starts[index] + depth]
-        order = np.lexsort((token, part))
-        index, part, token = index[order], part[order], token[order]
-        new = np.append(True, (part[1:] != part[:-1]) | (token[1:] != token[:-1]))
-        index, part = _together(index, np.cumsum(new) - 1)
+        differ = (part[1:] == part[:-1]) & (token[1:] != token[:-1])
+        if not differ.any():
+            continue
+        mixed = np.zeros(part.max() + 1, bool)
+        mixed[part[1:][differ]] = True
+        sort = mixed[part]
+        i, k, t = index[sort], part[sort], token[sort]
+        order = np.lexsort((t, k))
+        i, k, t = i[order], k[order], t[order]
+        split = np.cumsum((k[1:] != k[:-1]) | (t[1:] != t[:-1]))
+        i, k = _together(i, np.append(0, split))
+        index, part = np.concatenate((index[~sort], i)), np.concatenate((part[~sort], k + len(mixed)))
+        part = np.cumsum(np.append(False, part[1:] != part[:-1])) if len(part) else part
     return index, part
 
 
@@ -283,11 +294,15 @@ def _together(index: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return index[keep], part[keep]
 
 
-FOUND = "kind int, did long, th long, start long, n int, h1 long, h2 long"
+#: Neighbouring windows that cross boundaries together.
+CELL = 16
+FOUND = "kind int, bucket int, did long, th long, start long, n int, h1 long, h2 long, windows binary"
+#: A window in a cell: its start from the segment's, whether it wants an answer, its digest.
+_WINDOW = np.dtype([("t", "<i2"), ("want", "<i2"), ("h1", "<i8"), ("h2", "<i8")])
 
 
 def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over segments' bytes sorted by anchor. kind 1: n bytes from start are repeated; kind 4: digests of anchors dealt over buckets."""
+    """Over segments' bytes sorted by anchor. kind 1: n bytes from start are repeated; kind 4: cells of anchors dealt over buckets."""
 
     def solve(part: pa.Table) -> Iterator[pa.RecordBatch]:
         data, offsets = binary(part, "content")
@@ -309,20 +324,26 @@ def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.flatnonzero(np.append(True, (np.diff(at) > 1) | (row[at[1:]] != row[at[:-1]])))
             size = np.diff(np.append(first, len(at)))
             a = at[first]
-            yield _found(1, did[row[a]], th[row[a]], start[row[a]] + t[a], size + LENGTH - 1, None, None)
+            yield _found(1, did[row[a]], th[row[a]], start[row[a]] + t[a], size + LENGTH - 1)
         if wide.any():
             once = np.ones(len(row), bool)
             once[index] = False
             if len(index):
                 once[index[np.unique(same, return_index=True)[1]]] = True
             at = np.flatnonzero(once & wide[row])
+            cell = (distance[row[at]] - t[at]) // CELL
+            first = np.flatnonzero(np.append(True, (row[at[1:]] != row[at[:-1]]) | (cell[1:] != cell[:-1]))) if len(at) else at
+            last = np.append(first[1:], len(at)) if len(at) else at
             raw = data.tobytes()
-            digest = xxhash.xxh3_128_intdigest
-            both = [digest(raw[s : s + LENGTH]) for s in starts[at].tolist()]
-            h1 = np.array([x >> 64 for x in both], np.uint64).view(np.int64)
-            h2 = np.array([x & 0xFFFFFFFFFFFFFFFF for x in both], np.uint64).view(np.int64)
-            solo = ~hit[at] & ~dup[row[at]]
-            yield _found(4, did[row[at]], th[row[at]], start[row[at]] + t[at], np.where(solo, LENGTH, 0), h1, h2)
+            each = np.zeros(len(at), _WINDOW)
+            each["t"], each["want"] = t[at], ~hit[at] & ~dup[row[at]]
+            each["h1"], each["h2"] = _digests(raw, starts[at], starts[at] + LENGTH)
+            one = row[at[first]]
+            begin = offsets[:-1][one] + distance[one] - cell[first] * CELL
+            h1, h2 = _digests(raw, begin, begin - (CELL - 1) + LENGTH)
+            windows = [each[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist())]
+            if windows:
+                yield _found(4, did[one], th[one], start[one], np.zeros(len(one)), h1, h2, part.column("bucket").to_numpy()[one], windows)
 
     held: list[pa.Table] = []
     for part in in_groups(batches, 1 << 20):
@@ -339,9 +360,35 @@ def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from solve(pa.concat_tables(held).combine_chunks())
 
 
-def _found(kind: int, did, th, start, n, h1, h2) -> pa.RecordBatch:
+def _digests(raw: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    digest = xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join([digest(raw[s:e]) for s, e in zip(begin.tolist(), end.tolist())]), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def _found(kind: int, did, th, start, n, h1=None, h2=None, bucket=None, windows=None) -> pa.RecordBatch:
     z = np.zeros(len(did), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(did), kind, np.int32)), pa.array(did), pa.array(th), pa.array(start), pa.array(np.asarray(n).astype(np.int32)), pa.array(z if h1 is None else h1), pa.array(z if h2 is None else h2)], ["kind", "did", "th", "start", "n", "h1", "h2"])
+    columns = [np.full(len(did), kind, np.int32), (z if bucket is None else bucket).astype(np.int32), did, th, start, np.asarray(n).astype(np.int32), z if h1 is None else h1, z if h2 is None else h2]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([None] * len(did) if windows is None else windows, pa.binary())], ["kind", "bucket", "did", "th", "start", "n", "h1", "h2", "windows"])
+
+
+def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        windows = batch.column("windows").to_pylist()
+        each = np.frombuffer(b"".join(windows), _WINDOW)
+        row = np.repeat(np.arange(len(windows)), [len(w) // _WINDOW.itemsize for w in windows])
+        did, th, start = (batch.column(c).to_numpy()[row] for c in ("did", "th", "start"))
+        yield _found(5, did, th, start + each["t"], np.where(each["want"] > 0, LENGTH, 0), each["h1"].copy(), each["h2"].copy())
+
+
+def across(cells: DataFrame) -> DataFrame:
+    """did, th, start and n of windows that wanted an answer and occur in another bucket."""
+    cores = cut(cells.groupBy("h1", "h2").agg(F.min("bucket").alias("x"), F.max("bucket").alias("y")).where("x < y").select("h1", "h2"))
+    single = cut(map_arrow(cells.join(cores, ["h1", "h2"]).select("did", "th", "start", "windows"), _single_windows, FOUND))
+    shared = cut(single.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1", "h2"))
+    return single.where("n > 0").join(shared, ["h1", "h2"]).select("did", "th", "start", "n")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -421,9 +468,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found, _ = stored(map_arrow(content.repartition(count, "bucket").sortWithinPartitions("key"), _sort_bucket, FOUND))
     spans = known.where("kind = 1").select("did", th.alias("th"), F.shiftright("place", START).alias("start"), (F.col("place").bitwiseAND(F.lit(255)) + LENGTH - 1).cast("int").alias("n"))
     spans = spans.union(found.where("kind = 1").select("did", "th", "start", "n"))
-    digests = found.where("kind = 4")
-    shared = cut(digests.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1", "h2"))
-    return spans.union(digests.where("n > 0").join(shared, ["h1", "h2"]).select("did", "th", "start", "n"))
+    return spans.union(across(found.where("kind = 4")))
 
 
 def merged(spans: list[int], size: int) -> list[tuple[int, int]]:
