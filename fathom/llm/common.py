@@ -89,6 +89,16 @@ def in_groups(batches: Iterable[pa.RecordBatch], nbytes: int) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
+#: Bits of a text's hash that tell rows of one id apart.
+TEXT_BITS = 18
+
+
+def identity(docs: DataFrame) -> DataFrame:
+    """Adds _did and _th: which row a text is, by its id and 18 bits of its hash (by the hash alone where the id is null)."""
+    h = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.withColumn("_th", h.bitwiseAND(F.lit((1 << TEXT_BITS) - 1))).withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), h))
+
+
 def utf8(value: str | None) -> bytes:
     """The text's UTF-8 bytes; null is empty."""
     return b"" if value is None else value.encode("utf-8", "surrogatepass")

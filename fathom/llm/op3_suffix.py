@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.common import cut, dropped, in_groups, map_arrow, stored, table
+from fathom.llm.common import TEXT_BITS, cut, dropped, identity, in_groups, map_arrow, stored, table
 
 LENGTH, GRAM = 200, 32
 WINDOW = LENGTH - GRAM + 1
@@ -130,18 +130,11 @@ def binary(batch: pa.RecordBatch | pa.Table, name: str) -> tuple[np.ndarray, np.
 # A place is one long: start in the text, 18 bits of the text's hash, the
 # anchor's distance from the start, and the number of windows.
 START, TEXT, AT, N = 34, 16, 8, 0
-TEXT_BITS = 18
 #: An anchor with this share of all segments is hot, and is dealt out by segment.
 HOT_SHARE, HOT_LEAST = 10_000, 5_000
 SALTS = 256
 
 
-def identity(docs: DataFrame) -> DataFrame:
-    """Adds _did and _th: which row a text is, by its id and 18 bits of its hash (by the hash alone where the id is null)."""
-    h = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.withColumn("_th", h.bitwiseAND(F.lit((1 << TEXT_BITS) - 1))).withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), h))
-
-
 SEGMENT = "kind int, key long, whole long, did long, place long, dup int"
 
 

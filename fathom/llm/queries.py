@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("op1_toxicity", "op10_ppm", "op2_simhash", "op3_suffix", "op4_warc", "op5_pieces", "op7_mixing", "op8_rules", "op9_wrappers")
+_MODULES = ("op1_toxicity", "op10_ppm", "op2_simhash", "op3_suffix", "op4_warc", "op5_pieces", "op6_media", "op7_mixing", "op8_rules", "op9_wrappers")
 
 
 def queries() -> dict:
