@@ -26,6 +26,7 @@ rows get the same samples.
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm.common import map_arrow, table
+from fathom.llm.common import map_arrow, table, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
@@ -44,7 +45,9 @@ SHARPNESS, SHIFT = 1.0, 2.7
 SEED = 0x5EED
 UNIT = re.compile(r"[^\S ]| *[^\s]+| +")
 #: Lattice nodes that a worker keeps.
-MAX_NODES = 2_500_000
+MAX_NODES = 3_500_000
+#: Units and rows that are worked on at a time; their arrays fit a processor's cache.
+AT_ONCE, ROWS = 8_192, 1024
 
 
 class Vocabulary:
@@ -82,31 +85,41 @@ class Vocabulary:
         byte = [m.is_byte(i) for i in range(n)]
         return cls([m.id_to_piece(i) for i in range(n)], byte, [not (byte[i] or m.is_control(i) or m.is_unknown(i) or m.is_unused(i)) for i in range(n)], [m.get_score(i) for i in range(n)])
 
+    def spell(self, ids: list[int]) -> bytes:
+        """The UTF-8 bytes of a segmentation, without the space that encoding put in front."""
+        return b"".join(map(self.spelled.__getitem__, ids))[1:]
+
     def decode(self, ids: list[int]) -> str:
-        """The text of a segmentation, without the space that encoding put in front."""
-        return b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace")[1:]
+        return self.spell(ids).decode("utf-8", "replace")
 
 
 def byte_count(chars: np.ndarray) -> np.ndarray:
     return 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)
 
 
-def lattices(units: list[str], v: Vocabulary) -> tuple[np.ndarray, ...]:
-    """The units' lattices, over their characters as nodes: edges (node, length, piece or -1 - character, probability) in node order."""
+def simple(unit: str) -> bool:
+    """Whether the mass of all its segmentations is a normal float: at most 48 bytes."""
+    return len(unit) <= 24 and (unit.isascii() or max(unit) < "\u0800")
+
+
+def lattices(units: list[str], v: Vocabulary, linear: bool) -> tuple[np.ndarray, ...]:
+    """The units' lattices, over their characters as nodes: edges (node, length, piece or -1 - character, probability) in node order.
+
+    ``linear``: masses are summed as they are, for simple() units; else as logarithms.
+    """
     size = np.fromiter(map(len, units), np.int64, len(units))
-    chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+    chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     n = len(chars)
     rest = np.repeat(np.cumsum(size), size) - np.arange(n)  # characters to the unit's end
     nodes, lengths, pieces, logs = [], [], [], []
     alive, at_node = np.arange(n), np.zeros(n, np.int64)
     single = np.zeros(n, bool)
-    wide = chars.astype(np.int64)
     for length, (steps, child) in enumerate(v.tables, 1):
         more = rest[alive] >= length
         alive = alive[more]
         if len(alive) == 0:
             break
-        step = at_node[more] << 21 | wide[alive + length - 1]
+        step = at_node[more] << 21 | chars[alive + length - 1]
         at = np.minimum(np.searchsorted(steps, step), len(steps) - 1)
         same = steps[at] == step
         alive, at_node = alive[same], child[at[same]]
@@ -117,23 +130,37 @@ def lattices(units: list[str], v: Vocabulary) -> tuple[np.ndarray, ...]:
         if length == 1:
             single[nodes[0]] = True
     spell = np.flatnonzero(~single)
-    nodes.append(spell), lengths.append(np.ones(len(spell), np.int64)), pieces.append(-1 - chars[spell].astype(np.int64)), logs.append(math.log(v.byte_weight) * byte_count(chars[spell]))
+    nodes.append(spell), lengths.append(np.ones(len(spell), np.int64)), pieces.append(-1 - chars[spell]), logs.append(math.log(v.byte_weight) * byte_count(chars[spell]))
     node, length, piece, log = (np.concatenate(x) for x in (nodes, lengths, pieces, logs))
-    order = np.lexsort((length, node))
+    # by node, long pieces first, as they are the likelier; sorting numbers that hold their index is the fastest
+    order = np.sort(node << 37 | (31 - length) << 32 | np.arange(len(node))) & 0xFFFFFFFF
     node, length, piece, log = node[order], length[order], piece[order], log[order]
-    # log mass of what follows a node, from the units' ends backwards
-    mass = np.zeros(n + 1)
+    # the mass of what follows a node, from the units' ends backwards
     last = length == rest[node]
-    back = np.argsort(rest[node], kind="stable")
-    edge_at = np.searchsorted(rest[node][back], np.arange(1, (rest.max() if n else 0) + 2))
-    for r in range(len(edge_at) - 1):
-        own = back[edge_at[r] : edge_at[r + 1]]
-        if len(own):
-            value = log[own] + np.where(last[own], 0.0, mass[node[own] + length[own]])
-            begin = np.flatnonzero(np.append(True, node[own][1:] != node[own][:-1]))
+    after = node + np.where(last, 0, length)
+    back = np.sort(rest[node] << 32 | np.arange(len(node)))
+    edge_at = np.searchsorted(back >> 32, np.arange(1, (rest.max() if n else 0) + 2)).tolist()
+    back &= 0xFFFFFFFF
+    mass = np.zeros(n)
+    if linear:
+        weight, end = np.exp(log), 1.0
+    else:
+        weight, end = log, 0.0
+    behind, by, to, ends = node[back], weight[back], after[back], last[back]
+    begins = np.append(True, behind[1:] != behind[:-1])
+    for a, b in zip(edge_at, edge_at[1:]):
+        if a == b:
+            continue
+        begin = np.flatnonzero(begins[a:b])
+        follow = np.where(ends[a:b], end, mass[to[a:b]])
+        if linear:
+            mass[behind[a:b][begin]] = np.add.reduceat(by[a:b] * follow, begin)
+        else:
+            value = by[a:b] + follow
             top = np.maximum.reduceat(value, begin)
-            mass[node[own][begin]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, np.diff(np.append(begin, len(own))))), begin))
-    p = np.exp(np.minimum(log + np.where(last, 0.0, mass[np.minimum(node + length, n)]) - mass[node], 0.0))
+            mass[behind[a:b][begin]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, np.diff(np.append(begin, b - a)))), begin))
+    follow = np.where(last, end, mass[after])
+    p = weight * follow / mass[node] if linear else np.exp(np.minimum(log + follow - mass[node], 0.0))
     return size, node, length, piece, p, last
 
 
@@ -166,11 +193,14 @@ class Lattices:
             self.clear()
             missing = set(units)
         if missing:
-            self._add(list(missing))
+            plain = [u for u in missing if simple(u)]
+            for own, linear in ((plain, True), ([u for u in missing if not simple(u)] if len(plain) < len(missing) else [], False)):
+                for i in range(0, len(own), AT_ONCE):
+                    self._add(own[i : i + AT_ONCE], linear)
         return np.fromiter(map(self.root.__getitem__, units), np.int64, len(units))
 
-    def _add(self, units: list[str]) -> None:
-        size, node, length, piece, p, last = lattices(units, self.v)
+    def _add(self, units: list[str], linear: bool) -> None:
+        size, node, length, piece, p, last = lattices(units, self.v, linear)
         self.root.update(zip(units, (self.n_nodes + np.cumsum(size) - size).tolist()))
         start = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
         count = np.diff(np.append(start, len(node)))
@@ -182,7 +212,8 @@ class Lattices:
         self._room(len(start), len(node))
         a, b = self.n_edges, self.n_edges + len(node)
         with np.errstate(divide="ignore"):
-            self.cum[a:b], self.log[a:b], self.piece[a:b], self.next[a:b] = cum, np.log(p), piece, np.where(last, -1, self.n_nodes + node + length)
+            self.log[a:b] = np.log(p)
+        self.cum[a:b], self.piece[a:b], self.next[a:b] = cum, piece, np.where(last, -1, self.n_nodes + node + length)
         self.first[self.n_nodes : self.n_nodes + len(start)] = a + start
         self.n_nodes += len(start)
         self.n_edges = b
@@ -270,20 +301,41 @@ class Sample:
         self.taken: dict[int, list[int]] = {}
 
 
-def _samples(paths: list[np.ndarray], units: list[np.ndarray], fixed: list[int], values: list[float], keys: list[int], tables: Lattices) -> list[Sample]:
-    """Each path with a value for the rest of every node on it, bounded by the path's own; none for the first ``fixed`` nodes."""
+#: Places at the front of a path that are valued first, and what a Gumbel value of 53 random bits stays below.
+FRONT, LARGEST = 64, 40.0
+
+
+def _samples(paths: list[np.ndarray], units: list[np.ndarray], fixed: list[int], values: list[float], keys: list[int], k: int, tables: Lattices) -> list[Sample]:
+    """Each path with a value for the rest of every node on it, bounded by the path's own; none for the first ``fixed`` nodes.
+
+    Only the k + 1 largest values matter. Where a node's mass is too small to reach
+    those at the path's front, its value isn't worked out.
+    """
     size = np.fromiter(map(len, paths), np.int64, len(paths))
     log = tables.log[np.concatenate(paths)]
     end = np.cumsum(size)
     begin = end - size
-    ahead = np.concatenate([np.cumsum(log[b:e]) for b, e in zip(begin.tolist(), end.tolist())])
-    place = np.arange(len(log)) - np.repeat(begin, size)
+    spans = list(zip(begin.tolist(), end.tolist()))
+    ahead = np.concatenate([np.cumsum(log[b:e]) for b, e in spans])
+    row = np.repeat(np.arange(len(paths)), size)
+    place = np.arange(len(log)) - begin[row]
     branch = np.full(len(log), -np.inf)
-    at = np.flatnonzero((log < 0) & (place >= np.repeat(np.array(fixed), size)))
-    row = np.repeat(np.arange(len(paths)), size)[at]
-    location = ahead[at] - log[at] + np.log(-np.expm1(log[at]))
-    branch[at] = below(np.array(values)[row], location, uniform(mix(place[at].astype(np.uint64) ^ np.array(keys, np.uint64)[row]), 1))
-    return [Sample(p, u, log[b:e], ahead[b:e], branch[b:e], v, k) for p, u, b, e, v, k in zip(paths, units, begin.tolist(), end.tolist(), values, keys)]
+    bound, key, first = np.array(values), np.array(keys, np.uint64), np.array(fixed)
+
+    def fill(at: np.ndarray) -> None:
+        location = ahead[at] - log[at] + np.log(-np.expm1(log[at]))
+        branch[at] = below(bound[row[at]], location, uniform(mix(place[at].astype(np.uint64) ^ key[row[at]]), 1))
+
+    open_ = (log < 0) & (place >= first[row])
+    front = place < first[row] + FRONT
+    fill(np.flatnonzero(open_ & front))
+    least = np.full(len(paths), -np.inf)
+    for i, (b, e) in enumerate(spans):
+        own = branch[b + fixed[i] : min(b + fixed[i] + FRONT, e)]
+        if len(own) > k:
+            least[i] = np.partition(own, len(own) - k - 1)[len(own) - k - 1]
+    fill(np.flatnonzero(open_ & ~front & (ahead - log > least[row] - LARGEST)))
+    return [Sample(p, u, log[b:e], ahead[b:e], branch[b:e], v, key_) for p, u, (b, e), v, key_ in zip(paths, units, spans, values, keys)]
 
 
 def search(texts: list[str], keys: list[int], k: int, tables: Lattices) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -314,7 +366,7 @@ def search(texts: list[str], keys: list[int], k: int, tables: Lattices) -> list[
             s, e = bounds[n], bounds[n + 1]
             paths.append(np.concatenate((before, edges[s:e])) if len(before) else edges[s:e])
             units_of.append(np.concatenate((before_unit, unit_of[s:e])) if len(before) else unit_of[s:e])
-        for i, sample in zip(rows, _samples(paths, units_of, [todo[i][4] for i in rows], [todo[i][3] for i in rows], row_keys, tables)):
+        for i, sample in zip(rows, _samples(paths, units_of, [todo[i][4] for i in rows], [todo[i][3] for i in rows], row_keys, k, tables)):
             found[i].append(sample)
         todo = {} if rank + 1 == k else {i: x for i in rows if (x := _next(found[i], tables)) is not None}
     out = []
@@ -379,6 +431,8 @@ def piece_ids(edges: np.ndarray, tables: Lattices) -> np.ndarray:
     return out
 
 
+#: Per worker process and vocabulary: lattices are the same for every task.
+_worker: dict[str, Lattices] = {}
 ENCODED = "rank int, n_pieces long, log_prob double, perturbed double, inclusion double, ids array<int>"
 
 
@@ -387,23 +441,28 @@ def encode(docs: DataFrame, key: str = "doc_id", k: int = SAMPLES, model: str =
     held = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))  # one vocabulary: its size doesn't follow the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here makes cycles, and collecting walks all cached units
         v = held.value
-        tables = Lattices(v)
+        tables = _worker.get(model)
+        if tables is None:
+            tables = _worker[model] = Lattices(v)
         for batch in batches:
-            for s in range(0, batch.num_rows, 1024):
-                part = batch.slice(s, 1024)
+            for s in range(0, batch.num_rows, ROWS):
+                part = batch.slice(s, ROWS)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 ids = part.column("key").to_pylist()
                 keys = [mix1((i & _ALL) ^ SEED) if i is not None else xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), SEED) for i, t in zip(ids, texts)]
                 rows = []
                 for i, t, samples in zip(ids, texts, search(texts, keys, k, tables)):
+                    raw = utf8(t) if digest else b""
                     for rank, (edges, log, value, inclusion) in enumerate(samples, 1):
                         got = piece_ids(edges, tables)
-                        tail = (format(xxhash.xxh64_intdigest(got.tobytes()), "016x"), v.decode(got.tolist()) == t) if digest else (got,)
+                        tail = (format(xxhash.xxh64_intdigest(got.tobytes()), "016x"), v.spell(got.tolist()) == raw) if digest else (got,)
                         rows.append((i, rank, len(got), log, value, inclusion, *tail))
                 if rows:
                     types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), *((pa.string(), pa.bool_()) if digest else (pa.list_(pa.int32()),))]
                     yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows), types)], names)
+        gc.enable()
 
     names = [key, "rank", "n_pieces", "log_prob", "perturbed", "inclusion", *(("ids_digest", "round_trip") if digest else ("ids",))]
     schema = f"`{key}` long, " + (ENCODED.replace("ids array<int>", "ids_digest string, round_trip boolean") if digest else ENCODED)
