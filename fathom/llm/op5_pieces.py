@@ -1,10 +1,10 @@
 """SentencePiece encoding and decoding, with Gumbel top-k sampled segmentations.
 
 The lattice of a text has an edge for each vocabulary piece that its characters
-spell, and byte pieces for characters outside the vocabulary. White space ends a
-unit, and no piece reaches over a unit's end, so the lattice of a text is the
-chain of its units' lattices; a unit's lattice, with the share of its mass behind
-each edge, is built once per worker.
+spell, and byte pieces for characters outside the vocabulary. A unit is a run of
+letters, digits or symbols, and no piece reaches over a unit's end, so the lattice of
+a text is the chain of its units' lattices; a unit's lattice, with the share of its
+mass behind each edge, is built once per worker.
 
 Segmentations are drawn without replacement by search over the lattice's paths.
 The root gets a Gumbel value; the largest value of a subtree passes to the edge
@@ -43,7 +43,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SHARPNESS, SHIFT = 1.0, 2.7
 SEED = 0x5EED
-UNIT = re.compile(r"[^\S ]| *[^\s]+| +")
+#: A run of letters, of digits or of symbols with the spaces before it. No piece mixes
+#: these (Vocabulary checks that), so the lattice of a text is the chain of its units'.
+UNIT = r" *[^\W\d_{other}]+| *(?:[^\w\s]|[_\r{other}])+|[^\S \r]| *\d+| +"
 #: Lattice nodes that a worker keeps.
 MAX_NODES = 3_500_000
 #: Units and rows that are worked on at a time; their arrays fit a processor's cache.
@@ -57,9 +59,14 @@ class Vocabulary:
         normal = [i for i in range(len(pieces)) if is_normal[i]]
         ranked = sorted(normal, key=lambda i: (-scores[i], i))
         self.weight, self.prefixes = {}, set()
+        # fractions and raised digits in pieces count as symbols
+        other = {c for i in ranked for c in pieces[i] if c.isalnum() and not (c.isalpha() or c.isdecimal())}
+        self.unit = re.compile(UNIT.format(other="".join(sorted(other))))
         total = sum((r + SHIFT) ** -SHARPNESS for r in range(len(ranked)))
         for r, i in enumerate(ranked):
             spelled = pieces[i].replace("▁", " ")
+            if len(self.unit.findall(spelled)) != 1:
+                raise ValueError(f"piece {spelled!r} reaches over the end of a unit")
             self.weight[spelled] = (i, (r + SHIFT) ** -SHARPNESS / total)
             self.prefixes.update(spelled[:n] for n in range(1, len(spelled) + 1))
         self.byte_id = {int(pieces[i][3:5], 16): i for i in range(len(pieces)) if is_byte[i]}
@@ -340,7 +347,7 @@ def _samples(paths: list[np.ndarray], units: list[np.ndarray], fixed: list[int],
 
 def search(texts: list[str], keys: list[int], k: int, tables: Lattices) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """Per text up to k of (edges, log-probability, perturbed value, inclusion score), best first."""
-    units = [UNIT.findall(" " + t) if t else [] for t in texts]
+    units = [tables.v.unit.findall(" " + t) if t else [] for t in texts]
     size = np.fromiter(map(len, units), np.int64, len(units))
     roots = tables.roots([u for x in units for u in x])
     begin = np.cumsum(size) - size
