@@ -1,7 +1,7 @@
 """Keyword search: BM25 over phrases, and the staged search from exact to fuzzy.
 
-A query's few phrases are counted within each row's token array, so a search is a
-scan with a top-k and moves no postings. The corpus statistics are one row.
+A query's few phrases are counted within each row's text, so a search is a scan with
+a top-k and moves no postings. The corpus statistics are one row.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.functions.text import MARKED, PLAIN, tokens
+from fathom.functions.text import MARKED, PLAIN, folded, tokens
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -29,13 +29,13 @@ def terms_of(query: str) -> list[str]:
     return re.findall(r"[a-zA-Z0-9_.]+", query.strip())
 
 
-def occurrences(terms: Column, phrase: list[str]) -> Column:
-    """How often the phrase's tokens stand one after another."""
-    if len(phrase) == 1:
-        return F.size(F.filter(terms, lambda t: t == F.lit(phrase[0])))
-    n, wanted = len(phrase), F.array(*[F.lit(p) for p in phrase])
-    places = F.when(F.size(terms) >= n, F.sequence(F.lit(1), F.size(terms) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(places, lambda i: F.slice(terms, i, n) == wanted))
+_WORD = r"[\p{L}\p{N}]"
+
+
+def occurrences(text: Column, phrase: list[str]) -> Column:
+    """How often the phrase's tokens stand one after another in a folded text, overlaps included."""
+    gap = rf"{_WORD[:1]}^{_WORD[1:]}+"
+    return F.regexp_count(text, F.lit(rf"(?<!{_WORD})(?={gap.join(phrase)}(?!{_WORD}))"))
 
 
 def _sum(columns: list[Column]) -> Column:
@@ -44,10 +44,9 @@ def _sum(columns: list[Column]) -> Column:
 
 def counted(rows: DataFrame, phrases: list[list[str]], fields: tuple[str, ...]) -> DataFrame:
     """Adds tf0.. (per phrase, within fields) and dl, the row's tokens."""
-    lists = {f: f"_t_{f}" for f in fields}
-    out = rows.select("*", *[tokens(F.col(f)).alias(t) for f, t in lists.items()])
-    found = [_sum([occurrences(F.col(t), p) for t in lists.values()]).alias(f"tf{i}") for i, p in enumerate(phrases)]
-    return out.select("*", *found, _sum([F.size(t) for t in lists.values()]).alias("dl")).drop(*lists.values())
+    texts = [folded(F.coalesce(F.col(f), F.lit(""))) for f in fields]
+    found = [_sum([occurrences(t, p) for t in texts]).alias(f"tf{i}") for i, p in enumerate(phrases)]
+    return rows.select("*", *found, _sum([F.regexp_count(t, F.lit(rf"{_WORD}+")) for t in texts]).alias("dl"))
 
 
 def statistics(found: DataFrame, n_phrases: int) -> tuple[int, float, list[int]]:

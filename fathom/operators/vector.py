@@ -41,7 +41,7 @@ def cosine_distance(a: Column, query: list[float]) -> Column:
 
 def top_k(vectors: DataFrame, query: list[float], k: int, column: str = "embedding") -> DataFrame:
     """id, distance, rank of the k nearest; the scan keeps k rows per task."""
-    near = vectors.where(F.size(column) == len(query)).select("id", F.round(cosine_distance(F.col(column), query), 6).alias("distance"))
+    near = vectors.where(F.size(column) == len(query)).select("id", (F.round(cosine_distance(F.col(column), query), 6) + F.lit(0.0)).alias("distance"))
     best = near.orderBy("distance", "id").limit(k)
     return best.select("id", "distance", F.row_number().over(Window.orderBy("distance", "id")).cast("long").alias("rank"))
 

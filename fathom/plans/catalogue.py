@@ -1,9 +1,583 @@
-"""The queries over the given tables, each with its SQL."""
+"""The queries over the given tables, each with its SQL.
 
+The tables stand in for the engine's own: ``documents`` are snippets (name: first
+word; type: language; file: source), ``embeddings`` their vectors, ``pages`` files
+with links, supplier and part pairs of ``lineitem`` edges, and region, nation,
+customer, orders the tree of files, classes, methods and chunks.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from fathom.functions import text as T
+from fathom.operators import fusion, graph, hierarchy, lexical, store, vector
+from fathom.plans.index import prepared
+
+QUERY, TERMS, PHRASE = "the tion thing", ["the", "tion", "thing"], ["of", "the"]
+K = 100
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def keep(f):
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def snippets(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as snippets."""
+    rows = read(spark, d, "documents")
+    name = F.regexp_extract("text", r"[A-Za-z]+", 0)
+    return rows.select(F.col("doc_id").alias("id"), name.alias("name"), F.col("lang").alias("type"), F.col("text").alias("content"), F.lit(None).cast("string").alias("summary"), F.col("source").alias("file_path"))
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def query_vector(spark: SparkSession, d: str) -> list[float]:
+    return list(read(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0])
+
+
+# ---- SQL parts ----
+
+S = "s AS (SELECT doc_id AS id, regexp_extract(text, '[A-Za-z]+') AS name, lang AS type, text AS content, source AS file_path FROM documents)"
+TOK = S + r""", lists AS (SELECT id, regexp_extract_all(strip_accents(lower(content)), '[\p{L}\p{N}]+') AS t FROM s),
+tok AS (SELECT id, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS pos FROM lists),
+len AS (SELECT id, len(t) AS dl FROM lists), stat AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len)"""
+#: f: one row per phrase number p and id with tf > 0.
+SCORE = """df AS (SELECT p, count(*) AS df FROM f GROUP BY p),
+idf AS (SELECT p, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM df, stat),
+sc AS (SELECT id, count(*) AS hits, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM f JOIN idf USING (p) JOIN len USING (id), stat GROUP BY id)"""
+
+
+def term_tf(terms: list[str]) -> str:
+    return "f AS (SELECT q.p, id, count(*) AS tf FROM tok JOIN (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(terms)) + ") q(p, term) USING (term) GROUP BY q.p, id)"
+
+
+PHRASE_TF = "f AS (SELECT 0 AS p, a.id, count(*) AS tf FROM tok a JOIN tok b ON a.id = b.id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY a.id)"
+NEAR = "q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), near AS (SELECT vec_id AS id, round(1 - list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))), 6) + 0.0 AS distance FROM embeddings, q), vlist AS (SELECT id, distance, row_number() OVER (ORDER BY distance, id) AS rank FROM near ORDER BY distance, id LIMIT 100)"
+KEYWORDS = TOK + ", " + term_tf(TERMS) + ", " + SCORE + ", klist AS (SELECT id, row_number() OVER (ORDER BY bm25 DESC, id) AS rank FROM (SELECT id, round(bm25, 6) AS bm25 FROM sc) ORDER BY bm25 DESC, id LIMIT 100)"
+FUSED = "fu AS (SELECT id, round(coalesce(1.0::DOUBLE / (60 + min(v)), 0) + coalesce(1.0::DOUBLE / (60 + min(w)), 0), 9) AS rrf_score, min(v) AS v, min(w) AS w FROM (SELECT id, rank AS v, NULL AS w FROM vlist UNION ALL SELECT id, NULL, rank FROM klist) GROUP BY id), fused AS (SELECT id, rrf_score, row_number() OVER (ORDER BY rrf_score DESC, v IS NULL, coalesce(v, w), id) AS rank FROM fu)"
+
+
+# ---- text functions ----
+
+
+@query(f"WITH {TOK} SELECT term, count(*) AS n, count(DISTINCT id) AS docs FROM tok GROUP BY term")
+def tokenize_terms(spark, d):
+    rows = snippets(spark, d).select("id", F.explode(T.tokens(F.col("content"))).alias("term"))
+    return rows.groupBy("term", "id").agg(F.count(F.lit(1)).alias("c")).groupBy("term").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("docs"))
+
+
+@query("SELECT conv_id, turn, array_to_string(regexp_extract_all(trim(text), '[a-zA-Z0-9_.]+'), ' ') AS terms FROM conversations")
+def query_terms(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.query_terms(F.col("text")), " ").alias("terms"))
+
+
+@query("SELECT doc_id, sha256(source || ':' || n_chars || ':None:' || text) AS id, sha256('file:' || source) AS file_id, sha256(text) AS content_hash FROM documents")
+def snippet_id(spark, d):
+    rows = read(spark, d, "documents")
+    return rows.select("doc_id", T.snippet_id(F.col("source"), F.col("n_chars"), F.lit(None).cast("int"), F.col("text")).alias("id"), T.file_id(F.col("source")).alias("file_id"), T.sha256(F.col("text")).alias("content_hash"))
+
+
+@query(r"SELECT page_id, regexp_extract(regexp_replace(url, '/+$', ''), '[^/]*$') || '_' || substr(md5(regexp_replace(url, '/+$', '')), 1, 8) AS project_id FROM pages")
+def project_id(spark, d):
+    return read(spark, d, "pages").select("page_id", T.project_id(F.col("url")).alias("project_id"))
+
+
+@query(r"SELECT page_id, CASE WHEN regexp_matches(p, '\.[^./]+$') THEN lower(regexp_extract(p, '\.([^./]+)$', 1)) END AS extension, regexp_matches(lower(p), '\.(py|c|h)$') AS parsed FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS p FROM pages)")
+def ext_dispatch(spark, d):
+    path = F.regexp_replace("url", "[?#].*$", "")
+    return read(spark, d, "pages").select("page_id", T.extension(path).alias("extension"), T.language(path).isNotNull().alias("parsed"))
+
+
+@query(r"SELECT page_id, url FROM pages WHERE NOT list_has_any(string_split(regexp_replace(url, '[?#].*$', ''), '/'), ['de', 'es']) AND NOT regexp_matches(regexp_replace(url, '[?#].*$', ''), '\.(html|pdf)$')")
+def ignore_filter(spark, d):
+    path = F.regexp_replace("url", "[?#].*$", "")
+    kept = ~F.arrays_overlap(F.split(path, "/"), F.array(F.lit("de"), F.lit("es"))) & ~path.rlike(r"\.(html|pdf)$")
+    return read(spark, d, "pages").where(kept).select("page_id", "url")
+
+
+@query("""SELECT doc_id, 'File: ' || source || chr(10) || CASE WHEN lang <> '' THEN 'Name: ' || lang || chr(10) ELSE '' END || 'Type: function' || chr(10)
+ || CASE WHEN n_chars % 2 = 0 THEN 'Summary: ' || substr(text, 1, 20) || chr(10) ELSE '' END || CASE WHEN n_chars % 2 = 0 THEN chr(10) ELSE '' END || 'Code:' || chr(10) || text AS document FROM documents""")
+def embeddable_text(spark, d):
+    summary = F.when(F.col("n_chars") % 2 == 0, F.substring("text", 1, 20))
+    doc = T.embeddable_text(F.col("source"), F.col("lang"), F.lit("function"), F.lit(None).cast("string"), summary, F.lit(""), F.col("text"))
+    return read(spark, d, "documents").select("doc_id", doc.alias("document"))
+
+
+@query("""WITH r AS (SELECT event_id, '```json' || chr(10) || '{"a": ' || props || ', "b": {"summary": "' || event_type || '"}, "c": "' || user_id || '"}' || chr(10) || '```' AS reply FROM events),
+j AS (SELECT event_id, regexp_extract(reply, '(?s)(\\{.*\\})', 1)::JSON AS j FROM r)
+SELECT event_id, j->>'$.b.summary' AS b, j->>'$.c' AS c, (j->'$.a'->>'$.k')::BIGINT AS k FROM j""".replace("\\\\", "\\"))
+def json_reply_parse(spark, d):
+    reply = F.concat(F.lit('```json\n{"a": '), "props", F.lit(', "b": {"summary": "'), "event_type", F.lit('"}, "c": "'), F.col("user_id").cast("string"), F.lit('"}\n```'))
+    rows = read(spark, d, "events").select("event_id", T.reply_map(reply).alias("m"))
+    return rows.select("event_id", F.col("m")["b"].alias("b"), F.col("m")["c"].alias("c"), F.get_json_object(F.col("m")["a"], "$.k").cast("long").alias("k"))
+
+
+@query(r"SELECT doc_id, length(text)::BIGINT AS chars, (length(text) - length(replace(text, chr(10), '')))::BIGINT AS newlines, substr(sha256(text), 1, 8) || '...' AS short FROM documents")
+def text_measures(spark, d):
+    t = F.col("text")
+    return read(spark, d, "documents").select("doc_id", F.length(t).cast("long").alias("chars"), T.newline_count(t).cast("long").alias("newlines"), T.short_id(T.sha256(t)).alias("short"))
+
+
+# ---- keyword search ----
+
+
+@query(f"WITH {TOK}, {term_tf(TERMS)}, {SCORE} SELECT id, round(bm25, 6) AS bm25 FROM sc ORDER BY round(bm25, 6) DESC, id LIMIT 100")
+def bm25_topk(spark, d):
+    rows = lexical.bm25(snippets(spark, d), [[t] for t in TERMS]).where(lexical.matches(3, False))
+    return rows.select("id", F.round("bm25", 6).alias("bm25")).orderBy(F.desc("bm25"), "id").limit(K)
+
+
+@query(f"WITH {TOK}, {PHRASE_TF}, {SCORE} SELECT id, round(bm25, 6) AS bm25 FROM sc")
+def lexical_phrase(spark, d):
+    return lexical.bm25(snippets(spark, d), [PHRASE]).where("tf0 > 0").select("id", F.round("bm25", 6).alias("bm25"))
+
+
+@query(f"WITH {TOK}, {term_tf(TERMS)}, {SCORE} SELECT id, round(bm25, 6) AS bm25 FROM sc WHERE hits = 3")
+def lexical_and(spark, d):
+    return lexical.bm25(snippets(spark, d), [[t] for t in TERMS]).where(lexical.matches(3, True)).select("id", F.round("bm25", 6).alias("bm25"))
+
+
+@query(f"WITH {TOK}, {term_tf(TERMS)}, {SCORE} SELECT id, round(bm25, 6) AS bm25 FROM sc")
+def lexical_or(spark, d):
+    return lexical.bm25(snippets(spark, d), [[t] for t in TERMS]).where(lexical.matches(3, False)).select("id", F.round("bm25", 6).alias("bm25"))
+
+
+@query(f"WITH {S} SELECT id FROM s WHERE name ILIKE '%tion. a%' OR content ILIKE '%tion. a%'")
+def lexical_like_fallback(spark, d):
+    return lexical.like(snippets(spark, d), "tion. a", ("name", "content", "summary")).select("id")
+
+
+@query(f"WITH {S} SELECT id, name FROM s WHERE name IN ('The', 'And', 'Der')")
+def name_exact(spark, d):
+    terms = spark.createDataFrame([("The",), ("And",), ("Der",)], "name string")
+    return snippets(spark, d).join(F.broadcast(terms), "name").select("id", "name")
+
+
+@query(f"WITH {S} SELECT id, name FROM s WHERE name ILIKE '%tio%'")
+def name_like(spark, d):
+    return lexical.like(snippets(spark, d), "tio", ("name",)).select("id", "name")
+
+
+@query(f"""WITH {TOK}, ex AS (SELECT id FROM s WHERE name = 'The' ORDER BY id LIMIT 100000), {PHRASE_TF.replace("a.term = 'of'", "a.term = 'the'").replace("b.term = 'the'", "b.term = 'and'")},
+al AS (SELECT id FROM tok WHERE term IN ('the', 'and') GROUP BY id HAVING count(DISTINCT term) = 2), an AS (SELECT DISTINCT id FROM tok WHERE term IN ('the', 'and'))
+SELECT id, min(stage)::BIGINT AS stage FROM (SELECT id, 0 AS stage FROM ex UNION ALL SELECT id, 2 FROM f UNION ALL SELECT id, 3 FROM al UNION ALL SELECT id, 4 FROM an) GROUP BY id""")
+def staged_search(spark, d):
+    """Names, phrase, all, any: which stage found each row."""
+    return lexical.staged_search(snippets(spark, d), "The and", 100_000).select("id", F.col("stage").cast("long").alias("stage"))
+
+
+@query(f"""WITH {TOK}, q AS (SELECT item_id AS query_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+')) AS term FROM benchmark),
+tf AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT query_id, term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM q JOIN df USING (term), stat),
+sc AS (SELECT query_id, id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS bm25 FROM w JOIN tf USING (term) JOIN len USING (id), stat GROUP BY query_id, id)
+SELECT query_id, id, bm25, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, id) AS rank FROM sc QUALIFY rank <= 10""")
+def search_many(spark, d):
+    wanted = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return lexical.search_many(snippets(spark, d), wanted, 10).select("query_id", "id", F.round("bm25", 6).alias("bm25"), "rank")
+
+
+# ---- vectors ----
+
+
+@query(f"WITH {NEAR} SELECT id, distance, rank FROM vlist")
+def vector_topk(spark, d):
+    return vector.top_k(vectors(spark, d), query_vector(spark, d), K)
+
+
+@query("SELECT vec_id AS id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first FROM embeddings")
+def vector_norm(spark, d):
+    return vectors(spark, d).select("id", F.round(vector.norm(F.col("embedding")), 6).alias("norm"), F.round(vector.normalised(F.col("embedding"))[0], 6).alias("first"))
+
+
+@query(None)
+def ann_lsh(spark, d):
+    return vector.approximate_top_k(vectors(spark, d), query_vector(spark, d), 10)
+
+
+@query("SELECT vec_id, coalesce(source, '') AS file_path, coalesce(n_chars, -1)::BIGINT AS start_line FROM embeddings LEFT JOIN documents ON vec_id = doc_id AND n_chars % 3 = 0")
+def vector_metadata_defaults(spark, d):
+    docs = read(spark, d, "documents").where("n_chars % 3 = 0")
+    both = read(spark, d, "embeddings").join(docs, F.col("vec_id") == F.col("doc_id"), "left")
+    return both.select("vec_id", F.coalesce("source", F.lit("")).alias("file_path"), F.coalesce("n_chars", F.lit(-1)).alias("start_line"))
+
+
+# ---- fusion and hits ----
+
+
+def keyword_list(spark, d) -> DataFrame:
+    best = bm25_topk(spark, d)
+    return best.select("id", F.row_number().over(Window.orderBy(F.desc("bm25"), "id")).cast("long").alias("rank"))
+
+
+@query(f"WITH {KEYWORDS}, {NEAR}, {FUSED} SELECT id, rrf_score, rank FROM fused WHERE rank <= 100")
+def rrf_fusion(spark, d):
+    return fusion.rrf(vector_topk(spark, d), keyword_list(spark, d), K).select("id", "rrf_score", "rank")
+
+
+@query(f"WITH {KEYWORDS}, {NEAR}, {FUSED}, hits AS (SELECT s.id, name, type, file_path, rrf_score, rank FROM fused JOIN s USING (id) WHERE rank <= 100) SELECT id, name, type, file_path, rrf_score, rank FROM hits ORDER BY rank LIMIT 10")
+def hybrid_search(spark, d):
+    fused = rrf_fusion(spark, d)
+    return fusion.hydrate(fused, snippets(spark, d)).select("id", "name", "type", "file_path", "rrf_score", "rank").orderBy("rank").limit(10)
+
+
+@query(f"""WITH {KEYWORDS}, sco AS (SELECT k.id, k.rank, round(len(list_intersect(list_distinct(t), ['the', 'tion', 'thing'])) / 3.0::DOUBLE, 6) AS rerank_score FROM klist k JOIN lists USING (id))
+SELECT id, rerank_score, rank FROM sco ORDER BY rerank_score DESC, rank LIMIT 10""")
+def rerank_overlap(spark, d):
+    rows = fusion.hydrate(keyword_list(spark, d), snippets(spark, d)).withColumn("document", F.col("content"))
+    return fusion.rerank(rows, QUERY, 10).select("id", "rerank_score", "rank")
+
+
+@query(f"WITH {KEYWORDS} SELECT id, rank, 0.0001::DOUBLE / rank AS rerank_score FROM klist WHERE rank <= 5")
+def rerank_fallback(spark, d):
+    return fusion.fallback_scores(keyword_list(spark, d), 5).select("id", "rank", "rerank_score")
+
+
+@query("SELECT o_orderkey AS id, o_custkey AS parent_id, c_name AS parent_name, c_mktsegment AS parent_type FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 2 = 0")
+def hydrate_parent(spark, d):
+    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("parent_id"))
+    parents = read(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("type"))
+    return fusion.with_parent(rows, parents).select("id", "parent_id", F.col("parent.name").alias("parent_name"), F.col("parent.type").alias("parent_type"))
+
+
+@query("""SELECT doc_id AS id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN 'v' || doc_id END, ''), nullif(CASE WHEN doc_id % 2 = 0 THEN 'k' || doc_id END, ''), substr(text, 1, 10)) AS document FROM documents""")
+def document_coalesce(spark, d):
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    key = F.col("id").cast("string")
+    v = rows.where("id % 3 < 2").select("id", F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("v"), key)).alias("document"))
+    w = rows.where("id % 2 = 0").select("id", F.concat(F.lit("k"), key).alias("document"))
+    return fusion.best_document(rows, v, w, F.substring("text", 1, 10)).select("id", "document")
+
+
+# ---- graph ----
+
+E_SQL = "e AS (SELECT DISTINCT 's' || l_suppkey AS source_id, 'p' || l_partkey AS target_id, CASE WHEN l_returnflag = 'R' THEN 'calls' ELSE 'modifies' END AS type FROM lineitem)"
+N_SQL = "n AS (SELECT 's' || s_suppkey AS id, s_name AS name, 'class' AS type, 'f' || s_nationkey AS file_path FROM supplier UNION ALL SELECT 'p' || p_partkey, p_name, 'function', p_brand FROM part WHERE p_partkey % 5 <> 0)"
+
+
+def edges(spark, d) -> DataFrame:
+    r = read(spark, d, "lineitem")
+    return r.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target_id"), F.when(F.col("l_returnflag") == "R", "calls").otherwise("modifies").alias("type"))
+
+
+def nodes(spark, d) -> DataFrame:
+    s = read(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"), F.lit("class").alias("type"), F.concat(F.lit("f"), F.col("s_nationkey").cast("string")).alias("file_path"))
+    p = read(spark, d, "part").where("p_partkey % 5 <> 0").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), F.lit("function").alias("type"), F.col("p_brand").alias("file_path"))
+    return s.unionByName(p)
+
+
+@query(f"WITH {E_SQL}, {N_SQL} SELECT DISTINCT target_id AS id, target_id AS name, 'placeholder' AS type FROM e WHERE target_id NOT IN (SELECT id FROM n)")
+def placeholders(spark, d):
+    return graph.placeholders(edges(spark, d), nodes(spark, d)).select("id", "name", "type")
+
+
+@query(f"WITH {E_SQL}, {N_SQL} SELECT source_id, target_id, type FROM e WHERE source_id IN (SELECT id FROM n) AND target_id IN (SELECT id FROM n)")
+def edges_endpoints(spark, d):
+    return graph.with_endpoints(edges(spark, d), nodes(spark, d)).select("source_id", "target_id", "type")
+
+
+@query(f"WITH {E_SQL}, {N_SQL}, d AS (SELECT source_id, e.type || ' ' || name AS r FROM e JOIN n ON n.id = target_id) SELECT source_id, string_agg(r, ', ' ORDER BY r) AS relations FROM d GROUP BY source_id")
+def relations_one_hop(spark, d):
+    found = graph.neighbours(edges(spark, d).distinct(), nodes(spark, d))
+    listed = F.array_sort(F.transform("relations", lambda r: F.concat_ws(" ", r["type"], r["target"])))
+    return found.select("source_id", F.array_join(listed, ", ").alias("relations"))
+
+
+@query("SELECT DISTINCT page_id, regexp_replace(link, '^/', '') AS target FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages)")
+def edges_from_links(spark, d):
+    links = read(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link"))
+    return links.select("page_id", F.regexp_replace("link", "^/", "").alias("target")).distinct()
+
+
+SYM = "sym AS (SELECT name, arg_min(id, (file_path, start_byte, id)) AS id FROM (SELECT doc_id AS id, regexp_extract(text, '[A-Za-z]+') AS name, source AS file_path, n_chars AS start_byte FROM documents WHERE lang IN ('en', 'de')) GROUP BY name)"
+
+
+def symbols(spark, d) -> DataFrame:
+    rows = snippets(spark, d).join(read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("start_byte")), "id")
+    return graph.symbol_table(rows, ("en", "de"))
+
+
+@query(f"WITH {SYM} SELECT name, id FROM sym")
+def symbol_table_first(spark, d):
+    return symbols(spark, d)
+
+
+@query(f"WITH {SYM}, t AS (SELECT conv_id, turn, regexp_extract(text, '[A-Za-z]+') AS target FROM conversations) SELECT conv_id, turn, target, coalesce(sym.id::VARCHAR, target) AS target_id, sym.id IS NOT NULL AS resolved FROM t LEFT JOIN sym ON name = target")
+def symbol_resolve(spark, d):
+    rows = read(spark, d, "conversations").select("conv_id", "turn", F.regexp_extract("text", "[A-Za-z]+", 0).alias("target"))
+    return graph.resolve(rows, symbols(spark, d).withColumn("id", F.col("id").cast("string"))).select("conv_id", "turn", "target", "target_id", "resolved")
+
+
+SPANS = "sp AS (SELECT event_id AS id, user_id AS f, date_diff('second', TIMESTAMP '2024-01-01', ts)::BIGINT AS a, date_diff('second', TIMESTAMP '2024-01-01', ts)::BIGINT + (value * 2000)::BIGINT AS b FROM events)"
+
+
+def spans(spark, d) -> DataFrame:
+    begin = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp"))
+    return read(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("file_path"), begin.alias("start"), (begin + F.round(F.col("value") * 2000, 0).cast("long")).alias("end"))
+
+
+SPANS = SPANS.replace("(value * 2000)::BIGINT", "round(value * 2000, 0)::BIGINT")
+
+
+@query(f"WITH {SPANS}, c AS (SELECT n.id, n.f, n.a, n.b, o.id AS oid, o.a AS oa, o.b AS ob FROM sp n LEFT JOIN sp o ON o.f = n.f AND o.a <= n.a AND n.b <= o.b AND (o.a <> n.a OR o.b <> n.b)) SELECT id AS node_id, coalesce(arg_max(oid, (oa - ob, oa, oid)), -1) AS container_id FROM c GROUP BY id")
+def innermost_container(spark, d):
+    s = spans(spark, d)
+    return graph.innermost(s.select("file_path", F.col("id").alias("node_id"), "start", "end"), s, strict=True).select("node_id", F.coalesce("container_id", F.lit(-1)).alias("container_id"))
+
+
+@query(f"WITH {SPANS}, w AS (SELECT *, max(b) OVER (PARTITION BY f ORDER BY a, b DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM sp) SELECT id, f AS file_path, a AS start, b AS \"end\" FROM w WHERE r IS NULL OR r < b")
+def nested_suppress(spark, d):
+    return graph.without_nested(spans(spark, d)).select("id", "file_path", "start", "end")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, coalesce(max(o_orderkey), -1) AS span_id FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey % 5 AS f FROM lineitem) LEFT JOIN orders ON o_custkey % 5 = f AND o_custkey = l_partkey AND o_orderkey % 7 = l_linenumber GROUP BY ALL")
+def exact_range_match(spark, d):
+    n = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_suppkey") % 5).alias("file_path"), F.col("l_partkey").alias("start"), F.col("l_linenumber").cast("long").alias("end")).distinct()
+    s = read(spark, d, "orders").select((F.col("o_custkey") % 5).alias("file_path"), F.col("o_custkey").alias("start"), (F.col("o_orderkey") % 7).alias("end"), F.col("o_orderkey").alias("id"))
+    return graph.exact_range(n, s).groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.coalesce(F.max("span_id"), F.lit(-1)).alias("span_id"))
+
+
+@query(f"WITH {E_SQL}, {N_SQL}, gone AS (SELECT id FROM n WHERE file_path IN ('f1', 'f2', 'Brand#11')), k AS (SELECT * FROM n WHERE id NOT IN (SELECT id FROM gone)), l AS (SELECT * FROM e WHERE source_id NOT IN (SELECT id FROM gone) AND target_id NOT IN (SELECT id FROM gone)) SELECT (SELECT count(*) FROM k) AS nodes, (SELECT count(*) FROM l) AS edges, (SELECT count(DISTINCT source_id) FROM l) AS sources")
+def detach_delete(spark, d):
+    paths = spark.createDataFrame([("f1",), ("f2",), ("Brand#11",)], "file_path string")
+    kept, left = graph.detach_delete(nodes(spark, d), edges(spark, d).distinct(), paths)
+    counts = kept.agg(F.count(F.lit(1)).alias("nodes"))
+    return counts.join(left.agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("source_id").alias("sources")), how="cross")
+
+
+@query(f"WITH {E_SQL}, {N_SQL}, p AS (SELECT DISTINCT target_id FROM e WHERE target_id NOT IN (SELECT id FROM n)) SELECT (SELECT count(*) FROM n) + (SELECT count(*) FROM p) AS total, (SELECT count(*) FROM n) AS local, (SELECT count(*) FROM p) AS placeholders")
+def node_verify(spark, d):
+    n = nodes(spark, d)
+    return graph.totals(n.unionByName(graph.placeholders(edges(spark, d), n)))
+
+
+# ---- hierarchy: regions, nations, customers, orders ----
+
+TREE = "tree AS (SELECT 'r' || r_regionkey AS id, NULL AS parent_id, r_name AS name, 'file' AS type, r_name AS file_path FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name, 'class', r_name FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name, 'method', c_mktsegment FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, o_orderpriority, 'chunk', o_orderstatus FROM orders)"
+
+
+def tree(spark, d) -> DataFrame:
+    k = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    region = read(spark, d, "region")
+    r = region.select(k("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_name").alias("name"), F.lit("file").alias("type"), F.col("r_name").alias("file_path"))
+    n = read(spark, d, "nation").join(region, F.col("r_regionkey") == F.col("n_regionkey")).select(k("n", "n_nationkey"), k("r", "n_regionkey"), "n_name", F.lit("class"), "r_name")
+    c = read(spark, d, "customer").select(k("c", "c_custkey"), k("n", "c_nationkey"), "c_name", F.lit("method"), "c_mktsegment")
+    o = read(spark, d, "orders").select(k("o", "o_orderkey"), k("c", "o_custkey"), "o_orderpriority", F.lit("chunk"), "o_orderstatus")
+    return r.union(n).union(c).union(o)
+
+
+@query(f"WITH {TREE}, b AS (SELECT id, CASE WHEN id LIKE 'c%' AND length(id) % 2 = 0 THEN 'x' || id ELSE parent_id END AS parent_id, type, file_path, name FROM tree) SELECT b.id, CASE WHEN b.type = 'file' THEN NULL WHEN p.id IS NULL THEN sha256('file:' || b.file_path) ELSE b.parent_id END AS parent_id, p.name AS parent_signature FROM b LEFT JOIN b p ON p.id = b.parent_id")
+def orphan_link(spark, d):
+    broken = F.when(F.col("id").startswith("c") & (F.length("id") % 2 == 0), F.concat(F.lit("x"), "id")).otherwise(F.col("parent_id"))
+    rows = tree(spark, d).withColumn("parent_id", broken).withColumn("signature", F.col("name")).withColumn("parent_signature", F.lit(None).cast("string"))
+    return hierarchy.link_orphans(rows).select("id", "parent_id", "parent_signature")
+
+
+@query(f"WITH {TREE}, s AS (SELECT *, CASE WHEN type = 'chunk' THEN NULL ELSE 'about ' || name END AS summary FROM tree) SELECT c.id, p.summary AS parent_summary FROM s c LEFT JOIN s p ON p.id = c.parent_id")
+def context_propagate(spark, d):
+    rows = tree(spark, d).withColumn("summary", F.when(F.col("type") != "chunk", F.concat(F.lit("about "), "name"))).withColumn("parent_summary", F.lit(None).cast("string"))
+    return hierarchy.propagate_context(rows).select("id", "parent_summary")
+
+
+@query(f"WITH {TREE} SELECT parent_id, string_agg(name || ': about ' || name, chr(10) ORDER BY name, id) AS lines FROM tree WHERE parent_id IS NOT NULL AND type <> 'chunk' GROUP BY parent_id")
+def children_context(spark, d):
+    rows = tree(spark, d).withColumn("summary", F.when(F.col("type") != "chunk", F.concat(F.lit("about "), "name")))
+    return hierarchy.children_lines(rows).select("parent_id", F.array_join("lines", "\n").alias("lines"))
+
+
+@query(f"WITH {TREE} SELECT parent_id, count(*) AS n_children FROM tree WHERE parent_id IS NOT NULL GROUP BY parent_id")
+def in_degree(spark, d):
+    return hierarchy.in_degree(tree(spark, d))
+
+
+@query(f"WITH RECURSIVE {TREE}, h AS (SELECT id, parent_id, 0 AS h FROM tree WHERE id NOT IN (SELECT parent_id FROM tree WHERE parent_id IS NOT NULL) UNION SELECT t.id, t.parent_id, h.h + 1 FROM h JOIN tree t ON t.id = h.parent_id) SELECT id, max(h)::BIGINT AS height FROM h GROUP BY id")
+def topo_levels(spark, d):
+    prepared(spark)
+    return hierarchy.heights(tree(spark, d)).select("id", F.col("height").cast("long").alias("height"))
+
+
+@query(f"WITH RECURSIVE {TREE}, u AS (SELECT id, parent_id FROM tree WHERE id LIKE 'o%77' UNION SELECT t.id, t.parent_id FROM u JOIN tree t ON t.id = u.parent_id) SELECT DISTINCT id FROM u")
+def dirty_propagation(spark, d):
+    prepared(spark)
+    rows = tree(spark, d)
+    return hierarchy.dirty_closure(rows, rows.where(F.col("id").like("o%77")).select("id"))
+
+
+# ---- store ----
+
+OLD = "old AS (SELECT doc_id, 'doc' || doc_id AS file_path, sha256(CASE WHEN doc_id % 10 = 0 THEN 'x' || text ELSE text END) AS content_hash FROM documents WHERE doc_id % 13 <> 0 UNION ALL SELECT -doc_id - 1, 'gone' || doc_id, sha256(text) FROM documents WHERE doc_id % 17 = 0)"
+NEW = "new AS (SELECT doc_id, 'doc' || doc_id AS file_path, sha256(text) AS content_hash FROM documents)"
+
+
+def versions(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The manifest before and the files now."""
+    docs = read(spark, d, "documents")
+    named = lambda p: F.concat(F.lit(p), F.col("doc_id").cast("string")).alias("file_path")
+    old = docs.where("doc_id % 13 <> 0").select("doc_id", named("doc"), T.sha256(F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("x"), "text")).otherwise(F.col("text"))).alias("content_hash"))
+    gone = docs.where("doc_id % 17 = 0").select((-F.col("doc_id") - 1).alias("doc_id"), named("gone"), T.sha256(F.col("text")).alias("content_hash"))
+    return old.union(gone), docs.select("doc_id", named("doc"), T.sha256(F.col("text")).alias("content_hash"))
+
+
+@query(f"WITH {OLD}, {NEW} SELECT coalesce(n.file_path, o.file_path) AS file_path, CASE WHEN n.file_path IS NULL THEN 'deleted' WHEN o.file_path IS NULL THEN 'new' WHEN n.content_hash = o.content_hash THEN 'unchanged' ELSE 'changed' END AS status FROM new n FULL JOIN old o ON n.file_path = o.file_path")
+def hash_diff(spark, d):
+    old, new = versions(spark, d)
+    return store.diff(new, old)
+
+
+@query(f"WITH {OLD}, {NEW} SELECT file_path FROM old EXCEPT SELECT file_path FROM new")
+def stale_files(spark, d):
+    old, new = versions(spark, d)
+    return store.stale_paths(old, new)
+
+
+@query(f"WITH {OLD}, {NEW}, c AS (SELECT * FROM new WHERE doc_id % 10 = 0 OR doc_id % 13 = 0) SELECT doc_id, file_path, content_hash FROM c UNION ALL SELECT * FROM old WHERE file_path NOT IN (SELECT file_path FROM c)")
+def upsert_snapshot(spark, d):
+    old, new = versions(spark, d)
+    return store.upsert(old, new.where("doc_id % 10 = 0 OR doc_id % 13 = 0"), "file_path")
+
+
+@query("SELECT doc_id, source FROM documents WHERE source NOT IN (SELECT DISTINCT source FROM documents WHERE n_chars > 20000)")
+def delete_by_file(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", F.col("source").alias("file_path"), "n_chars")
+    return store.delete_by_file(rows, rows.where("n_chars > 20000").select("file_path")).select("doc_id", F.col("file_path").alias("source"))
+
+
+@query("SELECT DISTINCT source AS file_path FROM documents")
+def distinct_paths(spark, d):
+    return read(spark, d, "documents").select(F.col("source").alias("file_path")).distinct()
+
+
+@query("SELECT count(*) AS snippets, count(DISTINCT source) AS files, count(*) > 0 AS indexed FROM documents")
+def status(spark, d):
+    return read(spark, d, "documents").agg(F.count(F.lit(1)).alias("snippets"), F.count_distinct("source").alias("files"), (F.count(F.lit(1)) > 0).alias("indexed"))
+
+
+@query("SELECT d.doc_id, source, n_chars, toxic FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 0")
+def bulk_lookup(spark, d):
+    ids = read(spark, d, "labels").where("quality = 0").select("doc_id", "toxic")
+    return read(spark, d, "documents").select("doc_id", "source", "n_chars").join(ids, "doc_id")
+
+
+# ---- assembled texts ----
+
+
+@query(f"""WITH {KEYWORDS}, b AS (SELECT rank, '--- Snippet ' || rank || ' [' || name || CASE WHEN n_chars % 2 = 0 THEN ' [in ' || source || ' (file)]' ELSE '' END || ' at ' || source || ':' || n_chars + 1 || '] ---' || CASE WHEN n_chars % 3 = 0 THEN chr(10) || 'Summary: ' || lang ELSE '' END || chr(10) || 'Relationships: calls ' || lang || chr(10) || 'Code:' || chr(10) || text || chr(10) AS b FROM klist JOIN s USING (id) JOIN documents ON doc_id = id WHERE rank <= 5)
+SELECT string_agg(b, chr(10) ORDER BY rank) AS context FROM b""")
+def context_string(spark, d):
+    from fathom.plans.search import answer_context
+
+    docs = read(spark, d, "documents").withColumn("name", F.regexp_extract("text", "[A-Za-z]+", 0))
+    rows = docs.join(keyword_list(spark, d).where("rank <= 5"), F.col("doc_id") == F.col("id"))
+    summary = F.when(F.col("n_chars") % 3 == 0, F.col("lang"))
+    hit = F.struct("name", F.col("source").alias("file_path"), F.col("n_chars").alias("start_line"), F.col("text").alias("content"), summary.alias("summary"))
+    parent = F.when(F.col("n_chars") % 2 == 0, F.struct(F.col("source").alias("name"), F.lit("file").alias("type")))
+    return answer_context(rows.select("rank", hit.alias("snippet"), parent.alias("parent"), F.array(F.struct(F.lit("calls").alias("type"), F.col("lang").alias("target"))).alias("relations")))
+
+
+@query("""WITH x AS (SELECT conv_id, turn, text, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM conversations), y AS (SELECT *, lag(e, 1, 0) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM x)
+SELECT conv_id, string_agg('[' || b || '-' || e || ']' || trim(text) || chr(10) || '    ... # implementation hidden ...' || chr(10), '' ORDER BY turn) AS skeleton FROM y GROUP BY conv_id""")
+def file_skeleton(spark, d):
+    """Pieces in order with the end of the one before, as a file's skeleton is put together."""
+    from fathom.parsing.outline import HIDDEN
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = read(spark, d, "conversations").withColumn("e", F.sum(F.length("text")).over(w))
+    rows = rows.withColumn("b", F.lag("e", 1, 0).over(w))
+    piece = F.concat(F.lit("["), F.col("b").cast("string"), F.lit("-"), F.col("e").cast("string"), F.lit("]"), F.btrim("text", F.lit(" ")), F.lit(f"\n    {HIDDEN}\n"))
+    listed = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", piece.alias("p")))).alias("l"))
+    return listed.select("conv_id", F.array_join(F.transform("l", lambda x: x["p"]), "").alias("skeleton"))
+
+
+# ---- streams ----
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
+def stream_incremental(spark, d):
+    """Events upserted by user through a stream: what the table holds at its end."""
+    import uuid
+
+    from fathom.operators.store import Store
+    from fathom.streaming.ingest import keep_current, landing
+
+    prepared(spark)
+    base = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    read(spark, d, "events").select("event_id", "user_id", "event_type").repartitionByRange(4, "event_id").write.parquet(f"{base}/landing")
+    schema = "event_id long, user_id long, event_type string"
+    st = Store(spark, f"{base}/store")
+    keep_current(landing(spark, f"{base}/landing", schema, 1).where("event_id IS NOT NULL"), st, "events", schema, "user_id", "event_id", f"{base}/checkpoint").awaitTermination()
+    return st.read("events", schema).select("user_id", "event_type", "event_id")
+
+
+# ---- code corpora (no table holds code) ----
+
+
+def _code(spark, which: str) -> DataFrame:
+    files = spark.createDataFrame([(n, "python" if n.endswith(".py") else "c", t) for n, t in CODE.items()], "file_path string, language string, content string")
+    return files.where(F.col("language") == which)
+
+
+CODE = {
+    "pkg/shapes.py": 'import os\nfrom a.b import c\n\nLIMIT = 3\n\nclass Base:\n    pass\n\nclass Child(Base):\n    """Doc."""\n    def run(self, n):\n        self.n = n\n        return helper(n)\n\n# leading note\n@deco\ndef helper(x) -> int:\n    return Base()\n',
+    "pkg/__init__.py": "".join(["def long(a):\n", *(f"    b{i} = a * {i}\n" for i in range(120)), "    return b1\n"]),
+    "pkg/node.h": '#include <stdio.h>\n#include "list.h"\n\n/* a node */\ntypedef struct Node {\n    int value;\n    struct Node *next;\n} Node;\n\nenum Color { RED, GREEN };\n\nvoid push(Node *n, int v) {\n    n->value = v;\n    emit(v);\n}\n',
+}
+
+
+@query(None)
+def parse_python(spark, d):
+    from fathom.sources.codebase import parse
+
+    return parse(_code(spark, "python"))[0].select("id", "name", "type", "file_path", "start_byte", "end_byte", "is_skeleton", "chunk_index")
+
+
+@query(None)
+def parse_c(spark, d):
+    from fathom.sources.codebase import parse
+
+    return parse(_code(spark, "c"))[0].select("id", "name", "type", "file_path", "start_byte", "end_byte", "is_skeleton", "docstring")
+
+
+@query(None)
+def chunk_functions(spark, d):
+    return parse_python(spark, d).where("chunk_index IS NOT NULL")
+
+
+def _edges(spark, which: str) -> DataFrame:
+    from fathom.sources.codebase import parse
+
+    rows, captures = parse(_code(spark, which))
+    return graph.edges_from_captures(captures, rows)
+
+
+@query(None)
+def edges_python(spark, d):
+    return _edges(spark, "python")
+
+
+@query(None)
+def edges_c(spark, d):
+    return _edges(spark, "c")

@@ -16,12 +16,10 @@ def landing(spark: SparkSession, folder: str, schema: str = FILES, files_per_bat
 
 
 def keep_current(stream: DataFrame, st: Store, table: str, schema: str, key: str, order: str, checkpoint: str) -> StreamingQuery:
-    """Upserts each batch into a stored table by key; of a batch's rows of one key the last by ``order`` counts."""
+    """Upserts each batch into a stored table by key; the last row by ``order`` counts, in whatever batch it comes."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        new = latest(batch, [key], [F.col(order)])
-        old = st.read(table, schema)
-        st.commit({table: upsert(old, new, key)})
+        st.commit({table: latest(st.read(table, schema).unionByName(batch), [key], [F.col(order)])})
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
