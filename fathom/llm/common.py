@@ -94,9 +94,9 @@ TEXT_BITS = 18
 
 
 def identity(docs: DataFrame) -> DataFrame:
-    """Adds _did and _th: which row a text is, by its id and 18 bits of its hash (by the hash alone where the id is null)."""
+    """Adds _fathom_did and _fathom_th: which row a text is, by its id and 18 bits of its hash (by the hash alone where the id is null)."""
     h = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.withColumn("_th", h.bitwiseAND(F.lit((1 << TEXT_BITS) - 1))).withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), h))
+    return docs.withColumn("_fathom_th", h.bitwiseAND(F.lit((1 << TEXT_BITS) - 1))).withColumn("_fathom_did", F.coalesce(F.col("doc_id").cast("long"), h))
 
 
 def utf8(value: str | None) -> bytes:

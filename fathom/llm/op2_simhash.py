@@ -72,15 +72,15 @@ def majority(h: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id, which row it is (_did, _th), and the fingerprint's 64 bits as a long."""
+    """doc_id, which row it is (_fathom_did, _fathom_th), and the fingerprint's 64 bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([majority(hashes(t, shingle)) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found.view(np.int64))], ["doc_id", "_did", "_th", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found.view(np.int64))], ["doc_id", "_fathom_did", "_fathom_th", "fp"])
 
-    rows = identity(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "_did", "_th", "text")
-    return map_arrow(rows, run, "doc_id long, _did long, _th long, fp long")
+    rows = identity(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "_fathom_did", "_fathom_th", "text")
+    return map_arrow(rows, run, "doc_id long, _fathom_did long, _fathom_th long, fp long")
 
 
 def masks(radius: int, family: int = 0) -> list[int]:
@@ -168,7 +168,7 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
-    """Each row's doc_id, _did, _th and fp; root, the component's least fingerprint; component_id, the least doc_id of all that are linked."""
+    """Each row's doc_id, _fathom_did, _fathom_th and fp; root, the component's least fingerprint; component_id, the least doc_id of all that are linked."""
     prints = cut(fingerprints(docs, shingle))
     firsts = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     groups = cut(connected_components(links(firsts, radius)))
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
     least = cut(members.groupBy("root").agg(F.min("first").alias("component_id")))
     linked = members.join(least, "root").select(F.col("node").alias("fp"), "root", "component_id")
     label = cut(firsts.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id")))
-    return prints.join(label, "fp").select("doc_id", "_did", "_th", "fp", "root", "component_id")
+    return prints.join(label, "fp").select("doc_id", "_fathom_did", "_fathom_th", "fp", "root", "component_id")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +186,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: that with the least id; without any id, that with the least hash."""
-    order = F.struct(F.col("doc_id").isNull(), "_did", "_th")
-    keep = near_duplicates(docs).groupBy("root").agg(F.min(order).alias("k")).select(F.col("k._did").alias("_kd"), F.col("k._th").alias("_kt"))
+    order = F.struct(F.col("doc_id").isNull(), "_fathom_did", "_fathom_th")
+    keep = near_duplicates(docs).groupBy("root").agg(F.min(order).alias("k")).select(F.col("k._fathom_did").alias("_kd"), F.col("k._fathom_th").alias("_kt"))
     rows = identity(docs)
-    return rows.join(cut(keep), (rows._did == F.col("_kd")) & (rows._th == F.col("_kt")), "left_semi").dropDuplicates(["_did", "_th"]).select(*docs.columns)
+    return rows.join(cut(keep), (rows._fathom_did == F.col("_kd")) & (rows._fathom_th == F.col("_kt")), "left_semi").dropDuplicates(["_fathom_did", "_fathom_th"]).select(*docs.columns)

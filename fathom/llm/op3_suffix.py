@@ -144,7 +144,7 @@ def _segments(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in in_groups(batches, 4 << 20):
             data, offsets = binary(part, "text")
-            did, th = part.column("_did").to_numpy(), part.column("_th").to_numpy()
+            did, th = part.column("_fathom_did").to_numpy(), part.column("_fathom_th").to_numpy()
             found = list(segments(data, offsets))
             if not found:
                 continue
@@ -168,7 +168,7 @@ def _segments(docs: DataFrame) -> DataFrame:
                 z = np.zeros(often.sum(), np.int64)
                 yield _rows(2, keys[often], z, counts[often], z, z.astype(np.int32))
 
-    return map_arrow(identity(docs.select("doc_id", "text")).select("_did", "_th", "text"), run, SEGMENT)
+    return map_arrow(identity(docs.select("doc_id", "text")).select("_fathom_did", "_fathom_th", "text"), run, SEGMENT)
 
 
 def _rows(kind: int, key, whole, did, place, dup) -> pa.RecordBatch:
@@ -385,16 +385,16 @@ def across(cells: DataFrame) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """The rows with _did and _th, and the text's bytes compressed in _z instead of the text."""
+    """The rows with _fathom_did and _fathom_th, and the text's bytes compressed in _fathom_z instead of the text."""
     rows = identity(docs)
     names = [c for c in rows.columns if c != "text"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"] + ["_z binary"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"] + ["_fathom_z binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([press.compress(t or b"") for t in texts], pa.binary())], [*names, "_z"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([press.compress(t or b"") for t in texts], pa.binary())], [*names, "_fathom_z"])
 
     return map_arrow(rows, run, schema)
 
@@ -404,7 +404,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpress = zstandard.ZstdDecompressor()
     for batch in batches:
         rows: list[tuple] = []
-        for did, z, wanted in zip(batch.column("_did").to_pylist(), batch.column("_z").to_pylist(), batch.column("wanted").to_pylist()):
+        for did, z, wanted in zip(batch.column("_fathom_did").to_pylist(), batch.column("_fathom_z").to_pylist(), batch.column("wanted").to_pylist()):
             data = unpress.decompress(z)
             for w in wanted:
                 start, n = w["place"] >> START, w["place"] & 255
@@ -455,8 +455,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     looked, count = buckets(known.where("kind = 3").select(*_COLUMNS))
     th = F.shiftright("place", TEXT).bitwiseAND(F.lit((1 << TEXT_BITS) - 1))
     wanted = looked.groupBy("did", th.alias("th")).agg(F.collect_list(F.struct("bucket", "key", "place", "dup", "wide")).alias("wanted"))
-    texts = packed(docs.select("doc_id", "text")).select("_did", "_th", "_z")
-    bytes_of = texts.join(wanted, (texts._did == wanted.did) & (texts._th == wanted.th)).select("_did", "_z", "wanted")
+    texts = packed(docs.select("doc_id", "text")).select("_fathom_did", "_fathom_th", "_fathom_z")
+    bytes_of = texts.join(wanted, (texts._fathom_did == wanted.did) & (texts._fathom_th == wanted.th)).select("_fathom_did", "_fathom_z", "wanted")
     content = map_arrow(bytes_of, _fetch, "bucket int, key long, did long, place long, dup int, wide int, content binary")
     found, _ = stored(map_arrow(content.repartition(count, "bucket").sortWithinPartitions("key"), _sort_bucket, FOUND))
     spans = known.where("kind = 1").select("did", th.alias("th"), F.shiftright("place", START).alias("start"), (F.col("place").bitwiseAND(F.lit(255)) + LENGTH - 1).cast("int").alias("n"))
@@ -477,11 +477,11 @@ def merged(spans: list[int], size: int) -> list[tuple[int, int]]:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """The rows without their text, with its bytes in _z and the spans to remove in _spans (null: none)."""
+    """The rows without their text, with its bytes in _fathom_z and the spans to remove in _fathom_spans (null: none)."""
     spans = repeated_spans(docs)
-    by_text = spans.groupBy("did", "th").agg(F.collect_set(F.shiftleft("start", 16).bitwiseOR(F.col("n").cast("long"))).alias("_spans"))
-    rows = packed(docs)
-    return rows.join(by_text, (rows._did == by_text.did) & (rows._th == by_text.th), "left").drop("did", "th", "_did", "_th")
+    by_text = spans.groupBy("did", "th").agg(F.collect_set(F.shiftleft("start", 16).bitwiseOR(F.col("n").cast("long"))).alias("_fathom_spans"))
+    by_text = by_text.withColumnsRenamed({"did": "_fathom_d", "th": "_fathom_t"})
+    return packed(docs).join(by_text, (F.col("_fathom_did") == F.col("_fathom_d")) & (F.col("_fathom_th") == F.col("_fathom_t")), "left").drop("_fathom_d", "_fathom_t", "_fathom_did", "_fathom_th")
 
 
 def _kept(z: bytes, spans: list[int] | None, unpress) -> tuple[bytes, list[tuple[int, int]], int]:
@@ -500,7 +500,7 @@ def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
         for batch in batches:
-            got = [_kept(z, s, unpress) for z, s in zip(batch.column("_z").to_pylist(), batch.column("_spans").to_pylist())]
+            got = [_kept(z, s, unpress) for z, s in zip(batch.column("_fathom_z").to_pylist(), batch.column("_fathom_spans").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array([n for _, _, n in got], pa.int64()), pa.array([n - len(k) for k, _, n in got], pa.int64()), pa.array([len(c) for _, c, _ in got], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k, _, _ in got], pa.string())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
@@ -519,7 +519,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
         for batch in batches:
-            texts = [_kept(z, s, unpress)[0].decode("utf-8", "ignore") for z, s in zip(batch.column("_z").to_pylist(), batch.column("_spans").to_pylist())]
+            texts = [_kept(z, s, unpress)[0].decode("utf-8", "ignore") for z, s in zip(batch.column("_fathom_z").to_pylist(), batch.column("_fathom_spans").to_pylist())]
             made = {"text": pa.array(texts, pa.string())}
             if chars:
                 made["n_chars"] = pa.array([len(t) for t in texts], pa.int32() if chars == "int" else pa.int64())

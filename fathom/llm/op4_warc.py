@@ -275,7 +275,8 @@ def read(archives: DataFrame, folder: str, with_payload: bool = True) -> DataFra
                     yield _rows(rows, schema)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    return map_arrow(archives.repartition(F.col("path")), run, schema)
+    # a task per archive: the rows are few and small, so adaptive execution would join them
+    return map_arrow(archives.repartition(max(1, min(archives.count(), 10_000)), "path"), run, schema)
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

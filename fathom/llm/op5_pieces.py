@@ -47,9 +47,9 @@ SEED = 0x5EED
 #: these (Vocabulary checks that), so the lattice of a text is the chain of its units'.
 UNIT = r" *[^\W\d_{other}]+| *(?:[^\w\s]|[_\r{other}])+|[^\S \r]| *\d+| +"
 #: Lattice nodes that a worker keeps.
-MAX_NODES = 3_500_000
+MAX_NODES = 1_200_000
 #: Units and rows that are worked on at a time; their arrays fit a processor's cache.
-AT_ONCE, ROWS = 8_192, 1024
+AT_ONCE, ROWS = 8_192, 512
 
 
 class Vocabulary:

@@ -79,12 +79,12 @@ def copies(docs: DataFrame, narrow: DataFrame | None = None) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.partitionBy("_mix_key").orderBy("_mix_step", "_mix_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = cut(counts)
     plan = counts.withColumn("before", before).join(targets(counts), "_mix_key")
-    plan = cut(plan.select(*at, "before", F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"), offset(F.col("_mix_key")).alias("u")))
+    plan = cut(plan.select(*at, F.col("before").alias("_mix_before"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"), offset(F.col("_mix_key")).alias("_mix_u")))
     number = F.row_number().over(Window.partitionBy(*at).orderBy("_mix_hash", "_mix_size"))
     out = rows.withColumn("_mix_rank", number).join(plan, at)
     each = F.when(F.col("_mix_source_size") > 0, F.col("_mix_target") / F.col("_mix_source_size")).otherwise(0.0)
-    rank = F.col("before") + F.col("_mix_rank")
-    crossed = F.floor(rank * each + F.col("u")) - F.floor((rank - 1) * each + F.col("u"))
+    rank = F.col("_mix_before") + F.col("_mix_rank")
+    crossed = F.floor(rank * each + F.col("_mix_u")) - F.floor((rank - 1) * each + F.col("_mix_u"))
     return out.withColumn("_mix_copies", F.least(crossed, F.lit(MOST)).cast("long"))
 
 
