@@ -52,7 +52,9 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 #: An element that ends what CLOSES would look for further out.
 SCOPES = frozenset("ul ol dl table tbody thead tfoot body article main section div".split())
 OUT = frozenset("nav header footer aside form dialog menu button input fieldset head".split())
-OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments reply replies respond disqus share sharing social related recommended recommendations newsletter subscribe subscription popup modal overlay pagination pager widget toolbar login signup search skip copyright disclaimer complementary contentinfo".split())
+OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments reply replies respond disqus share sharing social related recommended recommendations newsletter subscribe subscription popup modal overlay pagination pager widget toolbar login signup search skip copyright disclaimer complementary contentinfo discussion responses teaser teasers toc crumbs topbar topnav subnav sidenav submenu rail paywall signin announcement".split())
+#: Words with these beginnings count as well (commentlist, advertblock).
+OUT_STEMS = ("comment", "advert", "cookie", "sponsor", "newsletter", "subscri", "sidebar", "breadcrumb")
 MAIN = frozenset(("article", "main"))
 HEADING = re.compile(r"h[1-6](?:[.#].*)?\Z")
 
@@ -229,10 +231,10 @@ def out_of_article(path: str) -> bool:
         if "(hidden)" in words or "hidden" in words and tag not in MAIN:
             return True
         head = tag == "header" or "header" in words
-        bad = tag in OUT or bool(words & OUT_WORDS)
+        bad = tag in OUT or bool(words & OUT_WORDS) or any(w.startswith(OUT_STEMS) and w != "commentary" for w in words)
         if tag in MAIN or "main" in words or "articlebody" in words:
             inside = True
-            if tag in MAIN and not words & {"comment", "comments", "ad", "advert", "related"}:
+            if tag in MAIN and not words & (OUT_WORDS - {"main", "content"}) and not any(w.startswith(OUT_STEMS) for w in words - {"commentary"}):
                 continue
         if bad and not (head and inside and heading and not words & (OUT_WORDS - {"header"})):
             if tag in ("html", "body"):
