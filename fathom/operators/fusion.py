@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions.text import tokens
 
-RRF_K = 60
+RRF_K = 60  # fixed value
 
 
 def candidate_depth(n_results: int) -> int:

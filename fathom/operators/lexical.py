@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions.text import MARKED, PLAIN, folded, tokens
 
+# Saturation, length weight, and the least inverse document frequency.
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass, field
 
-#: Stands where a body was left out.
+# The mark where a body was left out, and the sizes of chunks.
 HIDDEN = "... # implementation hidden ..."
 CHUNK_SIZE, CHUNK_LEAST = 1000, 200
 

@@ -16,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from fathom.schema import FILES, SNIPPETS
 
+# What a scan leaves out, and the languages by extension.
 IGNORED_DIRS = (".git", "__pycache__", "node_modules", ".venv", "venv")
 IGNORED_EXTENSIONS = (".pyc", ".pyo", ".so", ".dll", ".exe", ".bin")
 LANGUAGES = {"py": "python", "c": "c", "h": "c"}
