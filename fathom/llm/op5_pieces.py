@@ -47,9 +47,9 @@ SEED = 0x5EED
 #: these (Vocabulary checks that), so the lattice of a text is the chain of its units'.
 UNIT = r" *[^\W\d_{other}]+| *(?:[^\w\s]|[_\r{other}])+|[^\S \r]| *\d+| +"
 #: Lattice nodes that a worker keeps.
-MAX_NODES = 1_200_000
+MAX_NODES = 2_500_000
 #: Units and rows that are worked on at a time; their arrays fit a processor's cache.
-AT_ONCE, ROWS = 8_192, 512
+AT_ONCE, ROWS = 8_192, 1024
 
 
 class Vocabulary:
@@ -176,23 +176,24 @@ class Lattices:
 
     def __init__(self, v: Vocabulary):
         self.v = v
+        self.first = np.empty(MAX_NODES + (1 << 18), np.int64)
+        edges = 3 * len(self.first)
+        self.cum, self.log = np.empty(edges), np.empty(edges)
+        self.piece, self.next = np.empty(edges, np.int32), np.empty(edges, np.int32)
         self.clear()
 
     def clear(self) -> None:
         self.root: dict[str, int] = {}
         self.n_nodes = self.n_edges = 0
-        self.first = np.zeros(1 << 12, np.int64)
-        self.cum, self.log = np.zeros(1 << 13), np.zeros(1 << 13)
-        self.piece, self.next = np.zeros(1 << 13, np.int32), np.zeros(1 << 13, np.int32)
 
     def _room(self, nodes: int, edges: int) -> None:
-        """Arrays grow by doubling."""
-        while self.n_nodes + nodes + 1 > len(self.first):
-            self.first = np.concatenate((self.first, np.zeros_like(self.first)))
-        while self.n_edges + edges > len(self.cum):
+        """Arrays that have become too small grow; pages are only taken as they are written."""
+        if self.n_nodes + nodes + 1 > len(self.first):
+            self.first = np.concatenate((self.first, np.empty(nodes + len(self.first) // 2, np.int64)))
+        if self.n_edges + edges > len(self.cum):
             for name in ("cum", "log", "piece", "next"):
                 old = getattr(self, name)
-                setattr(self, name, np.concatenate((old, np.zeros_like(old))))
+                setattr(self, name, np.concatenate((old, np.empty(edges + len(old) // 2, old.dtype))))
 
     def roots(self, units: list[str]) -> np.ndarray:
         missing = set(units).difference(self.root)
