@@ -167,7 +167,7 @@ def test_pipeline(spark):
     from fathom.llm import op2_simhash, op3_suffix, op7_mixing, op8_rules
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rules = op8_rules.stage(spark, docs, SF).localCheckpoint() if False else op8_rules.stage(spark, docs, SF)
+    rules = op8_rules.stage(spark, docs, SF)
     assert rules.columns == docs.columns
     kept = {r.doc_id for r in op8_rules.op8_rules(spark, SF).where("kept").collect()}
     assert {r.doc_id for r in rules.collect()} == kept
