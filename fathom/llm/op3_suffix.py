@@ -242,7 +242,7 @@ def _forced(out, rows: dict, forced_key: int | None) -> Iterator[pa.RecordBatch]
 
 # ---- 3 to 5: the suffixes ----
 
-#: Segments of one anchor in one bucket; with more, the anchor is dealt over several.
+#: Segments of one anchor in one bucket at most; with more, the anchor is dealt over several.
 GROUP = 2_000
 SAMPLE = 4_096
 #: Splitters at most; with more buckets each range is dealt over several.
@@ -423,11 +423,13 @@ def buckets(looked: DataFrame) -> tuple[DataFrame, int]:
     sample = sorted(r["key"] for r in looked.where(F.pmod(F.xxhash64("did", "place"), F.lit(step)) == 0).select("key").limit(4 * SAMPLE).collect())
     ranges = min(count, RANGES)
     splitters = sample[:: max(1, len(sample) // ranges)][1:ranges]
-    large = cut(looked.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > GROUP))
+    group = min(GROUP, max(256, 4 * n // count))
+    large = cut(looked.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > group))
     dealt = looked.join(large, "key", "left")
     per = -(-count // ranges)
+    count = ranges * per
     ranged = _bisect(F.col("key"), splitters) * per + F.pmod(F.xxhash64("key"), F.lit(per))
-    spread = F.pmod(F.xxhash64("key") + F.pmod(F.xxhash64("did", "place"), F.ceil(F.col("size") / GROUP)), F.lit(count))
+    spread = F.pmod(F.xxhash64("key") + F.pmod(F.xxhash64("did", "place"), F.ceil(F.col("size") / group)), F.lit(count))
     return dealt.withColumn("bucket", F.when(F.col("size").isNull(), ranged).otherwise(spread).cast("int")).withColumn("wide", F.col("size").isNotNull().cast("int")).drop("size"), count
 
 
@@ -458,7 +460,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     texts = packed(docs.select("doc_id", "text")).select("_fathom_did", "_fathom_th", "_fathom_z")
     bytes_of = texts.join(wanted, (texts._fathom_did == wanted.did) & (texts._fathom_th == wanted.th)).select("_fathom_did", "_fathom_z", "wanted")
     content = map_arrow(bytes_of, _fetch, "bucket int, key long, did long, place long, dup int, wide int, content binary")
-    found, _ = stored(map_arrow(content.repartition(count, "bucket").sortWithinPartitions("key"), _sort_bucket, FOUND))
+    found, _ = stored(map_arrow(content.repartitionById(count, F.col("bucket")).sortWithinPartitions("key"), _sort_bucket, FOUND))
     spans = known.where("kind = 1").select("did", th.alias("th"), F.shiftright("place", START).alias("start"), (F.col("place").bitwiseAND(F.lit(255)) + LENGTH - 1).cast("int").alias("n"))
     spans = spans.union(found.where("kind = 1").select("did", "th", "start", "n"))
     return spans.union(across(found.where("kind = 4")))
