@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -53,12 +54,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """As cut(), but as a compressed table, for many or wide rows; also gives its path, for dropped()."""
+def stored(df: DataFrame, *by: str) -> tuple[DataFrame, str]:
+    """As cut(), but as a compressed table, for many or wide rows, in folders by some columns; also gives its path, for dropped()."""
     spark = df.sparkSession
     prepare(spark)
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -99,6 +100,15 @@ def identity(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_fathom_th", h.bitwiseAND(F.lit((1 << TEXT_BITS) - 1))).withColumn("_fathom_did", F.coalesce(F.col("doc_id").cast("long"), h))
 
 
+def release() -> None:
+    """Gives memory that earlier tasks of this worker freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def utf8(value: str | None) -> bytes:
     """The text's UTF-8 bytes; null is empty."""
     return b"" if value is None else value.encode("utf-8", "surrogatepass")

@@ -37,7 +37,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm.common import map_arrow, table, utf8
+from fathom.llm.common import map_arrow, release, table, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
@@ -47,9 +47,9 @@ SEED = 0x5EED
 #: these (Vocabulary checks that), so the lattice of a text is the chain of its units'.
 UNIT = r" *[^\W\d_{other}]+| *(?:[^\w\s]|[_\r{other}])+|[^\S \r]| *\d+| +"
 #: Lattice nodes that a worker keeps.
-MAX_NODES = 2_500_000
+MAX_NODES = 2_000_000
 #: Units and rows that are worked on at a time; their arrays fit a processor's cache.
-AT_ONCE, ROWS = 8_192, 1024
+AT_ONCE, ROWS = 8_192, 512
 
 
 class Vocabulary:
@@ -450,6 +450,7 @@ def encode(docs: DataFrame, key: str = "doc_id", k: int = SAMPLES, model: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # nothing here makes cycles, and collecting walks all cached units
+        release()
         v = held.value
         tables = _worker.get(model)
         if tables is None:
