@@ -247,7 +247,7 @@ GROUP = 2_000
 SAMPLE = 4_096
 #: Splitters at most; with more buckets each range is dealt over several.
 RANGES = 512
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 
 
 def multikey_quicksort(words: np.ndarray, starts: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
