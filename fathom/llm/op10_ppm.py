@@ -8,15 +8,17 @@ are excluded in the shorter one, and after the empty context the symbols never
 seen are equally likely. A text is lower-cased (A-Z), preceded by start marks and
 followed by one end symbol; its score is the sum of log10 probabilities.
 
-Counting covers all training texts: chunks of text give sorted gram counts, which
-are dealt by the gram's last three bytes and summed. A node stays if it has the
-share ``KEEP`` of all symbols, so the trie that is broadcast has 1 / KEEP nodes per
-order at most, at any size of corpus; what falls out counts as escape weight.
+Counting covers all training texts, and every node stays, so the trie grows with the
+corpus. Chunks of text give their sorted distinct grams with training counts, which
+are dealt by the context's last three bytes. An owner sums them to its part of the
+trie, which has all longer contexts with these ends, and sends each chunk what the logs
+of its grams are made of. Only orders 0 to 2 are broadcast: 2**24 nodes at most.
 
 The base score needs each word's count in the training texts. A word goes once
 per chunk to the task that owns its hash, and the counts come back to the chunk,
 so neither frequent nor rare words gather documents anywhere. A chunk's texts are
-stored compressed; both scores are then read off the chunk in one go.
+stored compressed; both scores are then read off the chunk in one go, from the
+words' counts and the grams' logs.
 
 Sizes: chunks have CHUNK_BYTES, and words and grams are dealt over half as many
 owners as there are chunks; with very large corpora, raise CHUNK_BYTES.
@@ -42,7 +44,7 @@ from pyspark.sql import functions as F
 from fathom.llm.common import cut, dropped, in_groups, map_arrow, release, stored, table
 
 ORDER = 6
-KEEP = 2.5e-7
+SHORT = 2
 CHUNK_BYTES = 8 << 20
 HELD_MOD, HELD_REST = 7, 2
 #: Bytes that no UTF-8 text has.
@@ -72,6 +74,12 @@ def unsqueeze_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unsqueeze(data), dtype=np.uint64)
 
 
+def turned(grams_: np.ndarray) -> np.ndarray:
+    """The context's bytes in the other order, the last one first; turned twice, a gram is itself."""
+    b = np.ascontiguousarray(grams_).view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(b[:, [0, *range(ORDER, 0, -1), ORDER + 1]]).view(np.uint64).reshape(-1)
+
+
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % HELD_MOD == HELD_REST
 
@@ -117,12 +125,22 @@ def low(order: int) -> np.uint64:
 
 
 def owner_of(grams_: np.ndarray, owners: int) -> np.ndarray:
-    """By the last three bytes, so that an owner has the whole of each longer gram with that end."""
-    return (((grams_ & low(2)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % owners
+    """By the context's last three bytes, so that an owner has the whole of each longer context with that end."""
+    return ((((grams_ >> np.uint64(8)) & low(SHORT)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % owners
+
+
+def by_owner(grams_: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grams turned and sorted by owner and then themselves, which makes them compact; their owners; and the places they had."""
+    back = turned(grams_)
+    order = np.argsort(back)
+    owner = owner_of(grams_[order], owners)
+    dealt = np.argsort(owner, kind="stable")
+    order = order[dealt]
+    return back[order], owner[dealt], order
 
 
 def chunks(docs: DataFrame, owners: int) -> DataFrame:
-    """kind 0: the chunk; 1: its words for an owner, with training counts; 2: its training grams for an owner."""
+    """kind 0: the chunk; 1: its words for an owner, with training counts; 2: its grams for an owner, with training counts; 3: its training grams of order SHORT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -141,15 +159,19 @@ def chunks(docs: DataFrame, owners: int) -> DataFrame:
                 s, e = edges[q], edges[q + 1]
                 rows.append((1, name, q, squeeze_sorted(hashes[s:e]), squeeze(count[s:e]), None, None, int(e - s)))
             yield _chunk_rows(rows)
-            key, _ = grams([t for t, x in zip(texts, train) if x])
+            key, starts = grams(texts)
+            key <<= np.uint64(1)  # the lowest bit tells the training texts' symbols
+            key |= np.repeat(train, np.diff(np.append(starts, len(key)))).astype(np.uint64)
             key.sort()
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-            size = np.diff(np.append(first, len(key))).astype(np.uint32)
-            key = key[first]
-            owner = owner_of(key, owners)
-            order = np.argsort(owner, kind="stable")
-            key, size, edges = key[order], size[order], np.searchsorted(owner[order], np.arange(owners + 1))
-            yield _chunk_rows([(2, name, q, squeeze_sorted(key[edges[q] : edges[q + 1]]), squeeze(size[edges[q] : edges[q + 1]]), None, None, int(size[edges[q] : edges[q + 1]].sum())) for q in np.flatnonzero(np.diff(edges)).tolist()])
+            trained = (key & np.uint64(1)).astype(np.uint32)
+            key >>= np.uint64(1)
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            key, size = key[first], np.add.reduceat(trained, first, dtype=np.uint32)
+            short, count = _sum((key & low(SHORT))[size > 0], size[size > 0].astype(np.int64))
+            yield _chunk_rows([(3, name, 0, squeeze_sorted(short), squeeze(count), None, None, 0)])
+            key, owner, order = by_owner(key, owners)
+            size, edges = size[order], np.searchsorted(owner, np.arange(owners + 1))
+            yield _chunk_rows([(2, name, q, squeeze(key[edges[q] : edges[q + 1]]), squeeze(size[edges[q] : edges[q + 1]]), None, None, int(size[edges[q] : edges[q + 1]].sum())) for q in np.flatnonzero(np.diff(edges)).tolist()])
 
     return map_arrow(docs.select("doc_id", "text"), run, CHUNK)
 
@@ -210,45 +232,74 @@ def word_counts(made: DataFrame, owners: int) -> DataFrame:
 # ---- the trie ----
 
 
-def trie_nodes(made: DataFrame, owners: int, least: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(order, grams, counts) of all nodes that stay; orders 0 and 1 are summed on the driver from at most 2**16 pairs."""
+def short_nodes(made: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(order, grams, counts) of orders 0 to SHORT, summed within tasks and then on the driver, from at most 2**24 counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = np.zeros(1 << 16, np.int64)
-        for _, rows in _by_owner(batches):
-            key = np.concatenate([unsqueeze_sorted(a) for _, a, _ in rows])
-            count = np.concatenate([unsqueeze(b) for _, _, b in rows]).astype(np.int64)
-            out = []
-            for order in range(ORDER, 1, -1):
-                key, count = _sum(key & low(order), count)
-                keep = count >= least
-                out.append((order, squeeze_sorted(key[keep]), squeeze(count[keep])))
-            np.add.at(pairs, (key & low(1)).astype(np.int64), count)
-            yield _nodes(out)
-        if pairs.any():
-            at = np.flatnonzero(pairs)
-            yield _nodes([(1, squeeze_sorted(at.astype(np.uint64)), squeeze(pairs[at]))])
-
-    dealt = made.where("kind = 2").select("owner", "chunk", "a", "b").repartition(owners, "owner").sortWithinPartitions("owner")
-    found = cut(map_arrow(dealt, run, "level int, a binary, b binary"))
-    pairs = np.zeros(1 << 16, np.int64)
+        key, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                key, count = _sum(np.concatenate((key, unsqueeze_sorted(a))), np.concatenate((count, unsqueeze(b))))
+        if len(key):
+            yield pa.RecordBatch.from_arrays([pa.array([squeeze_sorted(key)], pa.binary()), pa.array([squeeze(count)], pa.binary())], ["a", "b"])
+
+    total = np.zeros(1 << (8 * (SHORT + 1)), np.int64)
+    for row in cut(map_arrow(made.where("kind = 3").select("a", "b"), run, "a binary, b binary")).toLocalIterator():
+        total[unsqueeze_sorted(row["a"]).astype(np.int64)] += unsqueeze(row["b"])
     out = []
-    for row in found.toLocalIterator():
-        key, count = unsqueeze_sorted(row["a"]), unsqueeze(row["b"])
-        if row["level"] == 1:
-            pairs[key.astype(np.int64)] += count
-        else:
-            out.append((row["level"], key, count))
-    at = np.flatnonzero(pairs >= least)
-    out.append((1, at.astype(np.uint64), pairs[at]))
-    single = pairs.reshape(256, 256).sum(0)
-    at = np.flatnonzero(single >= least)
-    out.append((0, at.astype(np.uint64), single[at]))
+    for order in range(SHORT, -1, -1):
+        at = np.flatnonzero(total)
+        out.append((order, at.astype(np.uint64), total[at]))
+        total = total.reshape(256, -1).sum(0)  # without the first byte
     return out
 
 
-def _nodes(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["level", "a", "b"])
+def gram_logs(made: DataFrame, owners: int, short: list[tuple[int, np.ndarray, np.ndarray]]) -> DataFrame:
+    """chunk, owner and what the logs of the chunk's grams there are made of (see unsqueeze_logs), in their order."""
+    held = made.sparkSession.sparkContext.broadcast(short)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for owner, rows in _by_owner(batches):
+            keys = [turned(unsqueeze(a)) for _, a, _ in rows]
+            ends = np.cumsum([len(k) for k in keys])
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            del keys
+            count = np.bincount(at, np.concatenate([unsqueeze(b) for _, _, b in rows])).astype(np.int64)
+            at = at.astype(np.int32)
+            nodes, own, size = list(held.value), key[count > 0], count[count > 0]
+            for order in range(ORDER, SHORT, -1):
+                own, size = _sum(own & low(order), size)
+                nodes.append((order, own, size))
+            trie = Trie(nodes)
+            den = np.zeros(len(key), np.int64)
+            den[count > 0] = trie.top[ORDER][find(trie.contexts[ORDER], key[count > 0] >> np.uint64(8))]
+            logs = np.zeros(len(key))
+            logs[count == 0] = trie.logs(key[count == 0])
+            del trie, nodes
+            for i in range(0, len(rows), 64):
+                names = [r[0] for r in rows[i : i + 64]]
+                places = [at[s:e] for s, e in zip([ends[i - 1] if i else 0, *ends[i : i + 63]], ends[i : i + 64])]
+                parts = [squeeze_logs(count[x], den[x], logs[x]) for x in places]
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([owner] * len(names), pa.int32()), pa.array(parts, pa.list_(pa.binary()))], ["chunk", "owner", "logs"])
+
+    dealt = made.where("kind = 2").select("owner", "chunk", "a", "b").repartition(owners, "owner").sortWithinPartitions("owner")
+    return map_arrow(dealt, run, "chunk string, owner int, logs array<binary>")
+
+
+def squeeze_logs(count: np.ndarray, den: np.ndarray, logs: np.ndarray) -> list[bytes]:
+    known = count > 0
+    return [squeeze(count), squeeze(den[known]), squeeze(logs[~known])]
+
+
+def unsqueeze_logs(parts: list[bytes]) -> np.ndarray:
+    """A trained gram is in its longest context, so its count and denominator are enough, and neighbours share the latter; others have their log."""
+    count, den, rest = map(unsqueeze, parts)
+    known = count > 0
+    logs = np.empty(len(count))
+    logs[known] = np.log10(count[known] / den)
+    logs[~known] = rest
+    return logs
 
 
 def _sum(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,33 +320,28 @@ def find(sorted_: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 class Trie:
     """Counts by order, with each context's denominators and escapes worked out."""
 
-    def __init__(self, nodes: list[tuple[int, np.ndarray, np.ndarray]], total: int, order: int = ORDER):
+    def __init__(self, nodes: list[tuple[int, np.ndarray, np.ndarray]], order: int = ORDER):
         self.order = order
         self.keys, self.counts, self.contexts, self.top, self.escape, self.den, self.excluded = [], [], [], [], [], [None], [None]
-        q, n, kept = [], [], []
+        q, n = [], []
         for o in range(order + 1):
-            own = [x for x in nodes if x[0] == o]
-            key, count = _sum(np.concatenate([x[1] for x in own]) if own else np.zeros(0, np.uint64), np.concatenate([x[2] for x in own]).astype(np.int64) if own else np.zeros(0, np.int64))
+            key, count = next((k, c) for level, k, c in nodes if level == o)
             context = key >> np.uint64(8)
             first = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(key) else np.zeros(0, np.int64)
             self.keys.append(key), self.counts.append(count), self.contexts.append(context[first])
             q.append(np.diff(np.append(first, len(key))).astype(float))
-            kept.append(np.add.reduceat(count, first).astype(float) if len(first) else np.zeros(0))
-            if o == 0:
-                n.append(np.maximum(kept[0], float(total)))
-            else:  # a context is seen as often as its last byte in its own context
-                at = find(self.keys[o - 1], self.contexts[o])
-                n.append(np.maximum(kept[o], np.where(at >= 0, self.counts[o - 1][at] if len(self.counts[o - 1]) else 0, 0)))
+            n.append(np.add.reduceat(count, first).astype(float) if len(first) else np.zeros(0))
+            if o:
                 below = find(self.contexts[o - 1], self.contexts[o] & low(o - 2) if o > 1 else np.zeros(len(first), np.uint64))
                 same = find(self.keys[o - 1], key & low(o - 1))
-                x = np.add.reduceat(np.where(same >= 0, self.counts[o - 1][same], 0), first).astype(float) if len(first) else np.zeros(0)
-                rest_q, rest_n = q[o - 1][below] - q[o], n[o - 1][below] - x
-                den = rest_n + rest_q
-                weight = rest_q + rest_n - (kept[o - 1][below] - x)
-                self.den.append(np.where(den > 0, den, 1.0))
-                self.excluded.append(np.where((den > 0) & (weight > 0), np.log10(np.where(weight > 0, weight, 1.0) / np.where(den > 0, den, 1.0)), 0.0))
+                x = np.add.reduceat(self.counts[o - 1][same], first).astype(float) if len(first) else np.zeros(0)
+                rest_q = q[o - 1][below] - q[o]
+                den = rest_q + n[o - 1][below] - x
+                some = den > 0
+                self.den.append(np.where(some, den, 1.0))
+                self.excluded.append(np.log10(np.where(some, rest_q, 1.0) / np.where(some, den, 1.0)))
             self.top.append(n[o] + q[o])
-            self.escape.append(np.log10((q[o] + n[o] - kept[o]) / (n[o] + q[o])))
+            self.escape.append(np.log10(q[o] / (n[o] + q[o])))
         self.never = -np.log10(max(ALPHABET - (q[0][0] if len(q[0]) else 0), 1))
 
     def logs(self, wanted: np.ndarray) -> np.ndarray:
@@ -323,18 +369,22 @@ class Trie:
         out[left] = spent[left] + self.never
         return out
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        key, starts = grams(texts)
-        order = np.argsort(key)
-        key = key[order]
-        new = np.append(True, key[1:] != key[:-1])
-        logs = self.logs(key[new])
-        del key
-        at = np.cumsum(new, dtype=np.int32)
-        at -= 1
-        each = np.empty(len(order))
-        each[order] = logs[at]
-        return np.add.reduceat(each, starts)
+
+def sum_logs(texts: list[bytes], parts: list[tuple[int, list[bytes]]], owners: int) -> np.ndarray:
+    """Each text's score, from the logs of the chunk's distinct grams by owner."""
+    key, starts = grams(texts)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.append(True, key[1:] != key[:-1])
+    key = key[new]
+    logs = np.empty(len(key))
+    logs[by_owner(key, owners)[2]] = np.concatenate([unsqueeze_logs(data) for _, data in sorted(parts)])
+    del key
+    at = np.cumsum(new, dtype=np.int32)
+    at -= 1
+    each = np.empty(len(order))
+    each[order] = logs[at]
+    return np.add.reduceat(each, starts)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -344,18 +394,16 @@ def score(docs: DataFrame) -> DataFrame:
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (2 * CHUNK_BYTES)))
     made, path = stored(chunks(docs, owners), "kind")
     sums = {r["kind"]: r["n"] for r in made.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    n, symbols = sums.get(0, 0), sums.get(2, 0)
+    n = sums.get(0, 0)
     counted = cut(word_counts(made, owners))
     distinct = counted.agg(F.sum("distinct")).first()[0] or 0
-    nodes = trie_nodes(made, owners, max(1, int(np.ceil(KEEP * symbols))))
-    trie = Trie(nodes, symbols)
-    for kind in (1, 2):  # summed by now
-        dropped(spark, f"{path}/kind={kind}")
-    held = spark.sparkContext.broadcast(trie)
+    dropped(spark, f"{path}/kind=1")  # summed by now
+    logs = gram_logs(made, owners, short_nodes(made))
     ends = made.where("kind = 0").select(F.explode("ids").alias("doc_id"))
     n_train = ends.where(~F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_MOD == HELD_REST, F.lit(False))).count()
     vocabulary = distinct + (1 if n_train else 0)
-    per_chunk = counted.groupBy("chunk").agg(F.collect_list(F.struct("owner", "counts")).alias("parts")).withColumnRenamed("chunk", "_chunk")
+    parts_ = counted.select("chunk", "owner", "counts", F.lit(None).cast("array<binary>").alias("logs")).union(logs.select("chunk", "owner", F.lit(None).cast("binary"), "logs"))
+    per_chunk = parts_.groupBy("chunk").agg(F.collect_list(F.struct("owner", "counts", "logs")).alias("parts")).withColumnRenamed("chunk", "_chunk")
     rows = made.where("kind = 0").select("chunk", "ids", "texts").join(per_chunk, F.col("chunk") == F.col("_chunk"), "left").select("ids", "texts", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,14 +412,15 @@ def score(docs: DataFrame) -> DataFrame:
             for ids, packed, parts in zip(batch.column("ids").to_pylist(), batch.column("texts").to_pylist(), batch.column("parts").to_pylist()):
                 texts = unpack(packed)
                 _, at, sizes = split_words(texts)
-                counts = np.concatenate([unsqueeze(p["counts"]) for p in sorted(parts, key=lambda p: p["owner"])]) if parts else np.zeros(0, np.uint64)
+                words = sorted((p["owner"], p["counts"]) for p in parts if p["counts"] is not None)
+                counts = np.concatenate([unsqueeze(x) for _, x in words]) if words else np.zeros(0, np.uint64)
                 c = counts[at].astype(float)
                 over = n + vocabulary + 1.0
                 text = np.repeat(np.arange(len(texts)), sizes)
                 base = np.bincount(text, np.log10((c + 1) / over), len(texts)) + np.log10((n_train + 1) / over)
                 known = np.bincount(text, c > 0, len(texts)) + (n_train > 0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array(sizes + 1), pa.array(known.astype(np.int64)), pa.array(np.full(len(ids), n, np.int64)), pa.array(base), pa.array(held.value.score(texts))],
+                    [pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array(sizes + 1), pa.array(known.astype(np.int64)), pa.array(np.full(len(ids), n, np.int64)), pa.array(base), pa.array(sum_logs(texts, [(p["owner"], p["logs"]) for p in parts if p["logs"] is not None], owners))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 

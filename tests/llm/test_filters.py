@@ -168,6 +168,17 @@ def test_ppm_brute(spark, odd):
     assert sorted(want) == sorted((str(x.doc_id), x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6), round(x.score, 6)) for x in got)
 
 
+def test_ppm_keeps_rare_contexts(spark):
+    rare = "".join(map(chr, range(48, 58))) + "".join(map(chr, range(97, 123)))
+    known = next(i for i in range(100) if not op10_ppm.held_out(i))
+    asked = next(i for i in range(100) if op10_ppm.held_out(i))
+    many = spark.range(1000, 4000).selectExpr("id AS doc_id", "repeat('. ', 1000) AS text")
+    docs = many.union(spark.createDataFrame([(known, rare), (asked, rare)], "doc_id long, text string"))
+    got = {r.doc_id: r.score for r in op10_ppm.score(docs).where("doc_id < 1000").collect()}
+    # in over five million symbols each context of the rare text but the start was seen once: one half for each symbol
+    assert got[known] == got[asked] and abs(got[asked] + len(rare) * math.log10(2)) < 5
+
+
 def test_ppm_odd(spark, odd, empty):
     assert op10_ppm.score(odd).count() == odd.count() and op10_ppm.score(empty).count() == 0
     held_only = spark.createDataFrame([(i, "abc") for i in range(60) if op10_ppm.held_out(i)], "doc_id long, text string")
