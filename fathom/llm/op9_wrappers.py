@@ -12,10 +12,10 @@ what moves is wrappers; those of a large host meet in two steps.
 
 The wrapper then says which slots are the article. Slots within menus, headers,
 footers, sidebars, notices, adverts, forms, scripts or comments are out, by
-element or by the words of class, id and role. Where the wrapper has an article
-or main element, slots outside are out. Where it has none, constants of several
-differing pages and lists of links are out. A page's text is read through its
-alignment with the wrapper.
+element or by the words of class, id and role. In a page with an article or main
+element, slots outside are out. In a page with none, whatever other pages of its
+host have, constants of several differing pages and lists of links are out. A
+page's text is read through its alignment with the wrapper.
 
 Defined cases: null or empty html, and pages without an article, give the empty
 text; null urls are one host; a page alone on its host is its own wrapper; broken
@@ -29,6 +29,7 @@ import json
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -247,13 +248,16 @@ def in_main(path: str) -> bool:
     return any(tag in MAIN or words & {"main", "articlebody"} for tag, words in words_of_path(path) if tag not in ("html", "body"))
 
 
+@lru_cache(1 << 14)
+def place(path: str) -> int:
+    """0: boilerplate by its path; 1: free of it; 2: and within an article or main element."""
+    return 0 if out_of_article(path) else 2 if in_main(path) else 1
+
+
 def verdicts(wrapper: list[list]) -> list[bool]:
-    """Which items are the article."""
-    free = [not out_of_article(x[KEY]) for x in wrapper]
-    main = [f and in_main(x[KEY]) for f, x in zip(free, wrapper)]
-    if any(main):
-        return main
-    differs = any(x[CONST] is None and not x[REP] for f, x in zip(free, wrapper) if f and x[PAGES] > 1) or any(x[CONST] is None for f, x in zip(free, wrapper) if f)
+    """Which items are the article in pages without an article or main element."""
+    free = [place(x[KEY]) == 1 for x in wrapper]
+    differs = any(x[CONST] is None for f, x in zip(free, wrapper) if f)
     return [f and not (x[CONST] is not None and x[PAGES] >= MIN_PAGES and differs) and not (2 * x[LINKED] > x[CHARS]) for f, x in zip(free, wrapper)]
 
 
@@ -303,10 +307,11 @@ def infer(pages: DataFrame) -> DataFrame:
 def read_page(page: str | None, wrapper: list[list], keep: list[bool]) -> str:
     slots = parse(page or "")
     items, of = fold(slots)
-    kept: set[int] = set()
-    for i, j in align(wrapper, items):
-        if j is not None and (keep[i] if i is not None else any(keep) and in_main(items[j][KEY]) and not out_of_article(items[j][KEY])):
-            kept.add(j)
+    kept = {j for j, x in enumerate(items) if place(x[KEY]) == 2}
+    if not kept:
+        for i, j in align(wrapper, items):
+            if j is not None and (keep[i] if i is not None else place(items[j][KEY]) and not (2 * items[j][LINKED] > items[j][CHARS])):
+                kept.add(j)
     return "\n".join(text for (_, text, _), item in zip(slots, of) if item in kept)
 
 

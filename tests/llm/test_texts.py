@@ -150,6 +150,14 @@ def test_boilerplate_goes(spark, given):
     assert op9_wrappers.op9_wrappers(spark, "").count() == 0
 
 
+def test_host_of_mixed_templates(spark, given):
+    article = [(k, "http://m/a", f"<body><nav>n</nav><article><h1>A{k}</h1><p>text {k}</p></article><div>All rights</div></body>") for k in range(5)]
+    plain = [(k, "http://m/p", f'<body><div class="x"><h2>T{k}</h2><p>plain {k}</p></div><ul><li><a href="/">Home</a></li></ul><div>All rights</div></body>') for k in range(5, 10)]
+    given(op9_wrappers, pages=spark.createDataFrame(article + plain, "page_id long, url string, html string"))
+    got = {r.page_id: r.text for r in op9_wrappers.op9_wrappers(spark, "").collect()}
+    assert got == {k: f"A{k}\ntext {k}" if k < 5 else f"T{k}\nplain {k}" for k in range(10)}
+
+
 def test_wrapper_without_article():
     page = lambda k: f'<div><ul><li><a href="/">Home</a></li></ul><h2>T{k}</h2><p>text number {k} is here</p><p>second {k}</p></div><div class="x">All rights</div>'
     wrapper = None
