@@ -34,6 +34,7 @@ from urllib.parse import urlsplit
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,14 +141,16 @@ def _signature(tag: str, attrs: str) -> str:
 
 
 # ---- wrappers ----
-# An item: [key, constant or None, repeated, optional, pages, characters, linked characters, distinct texts seen (1 or 2)]
-KEY, CONST, REP, OPT, PAGES, CHARS, LINKED, ITEMS = range(8)
+# An item: [key, constant or None, repeated, optional, differing pages, characters, linked characters]
+# Pages are told by a hash of their slots, so copies count once; the MIN_PAGES least are kept, as more make no difference.
+KEY, CONST, REP, OPT, PAGES, CHARS, LINKED = range(7)
 
 
 def fold(slots: list[tuple[str, str, int]]) -> tuple[list[list], list[int]]:
     """A page's slots as items, with runs and tandem groups folded; and each slot's item."""
     items: list[list] = []
     of: list[int] = []
+    page = [xxhash.xxh64_intdigest("\0".join(x for slot in slots for x in slot[:2]).encode("utf-8", "surrogatepass"))]
     for path, text, linked in slots:
         if items and items[-1][KEY] == path:
             last = items[-1]
@@ -155,7 +158,7 @@ def fold(slots: list[tuple[str, str, int]]) -> tuple[list[list], list[int]]:
             last[CHARS] += len(text)
             last[LINKED] += linked
         else:
-            items.append([path, text, False, False, 1, len(text), linked, 1])
+            items.append([path, text, False, False, page, len(text), linked])
         of.append(len(items) - 1)
     for width in (2, 3, 4):
         items, moved = _tandem(items, width)
@@ -177,7 +180,7 @@ def _tandem(items: list[list], width: int) -> tuple[list[list], list[int]]:
             base = len(out)
             for k in range(width):
                 members = items[i + k : j : width]
-                one = [group[k], None, True, False, 1, sum(x[CHARS] for x in members), sum(x[LINKED] for x in members), 1]
+                one = [group[k], None, True, False, members[0][PAGES], sum(x[CHARS] for x in members), sum(x[LINKED] for x in members)]
                 out.append(one)
             moved += [base + k % width for k in range(j - i)]
             i = j
@@ -210,7 +213,7 @@ def merge(a: list[list], b: list[list]) -> list[list]:
             one[OPT] = True
         else:
             x, y = a[i], b[j]
-            one = [x[KEY], x[CONST] if x[CONST] == y[CONST] else None, x[REP] or y[REP], x[OPT] or y[OPT], x[PAGES] + y[PAGES], x[CHARS] + y[CHARS], x[LINKED] + y[LINKED], 1]
+            one = [x[KEY], x[CONST] if x[CONST] == y[CONST] else None, x[REP] or y[REP], x[OPT] or y[OPT], x[PAGES] if x[PAGES] == y[PAGES] else sorted({*x[PAGES], *y[PAGES]})[:MIN_PAGES], x[CHARS] + y[CHARS], x[LINKED] + y[LINKED]]
         out.append(one)
     return out
 
@@ -258,7 +261,7 @@ def verdicts(wrapper: list[list]) -> list[bool]:
     """Which items are the article in pages without an article or main element."""
     free = [place(x[KEY]) == 1 for x in wrapper]
     differs = any(x[CONST] is None for f, x in zip(free, wrapper) if f)
-    return [f and not (x[CONST] is not None and x[PAGES] >= MIN_PAGES and differs) and not (2 * x[LINKED] > x[CHARS]) for f, x in zip(free, wrapper)]
+    return [f and not (x[CONST] is not None and len(x[PAGES]) >= MIN_PAGES and differs) and not (2 * x[LINKED] > x[CHARS]) for f, x in zip(free, wrapper)]
 
 
 def host_of(url: str | None) -> str:

@@ -158,6 +158,15 @@ def test_host_of_mixed_templates(spark, given):
     assert got == {k: f"A{k}\ntext {k}" if k < 5 else f"T{k}\nplain {k}" for k in range(10)}
 
 
+def test_copies_are_one_page(spark, given):
+    page = "<div><h2>T</h2><p>a</p><p>b</p></div>"
+    other = [(k, "http://b/", f"<div><h3>D{k}</h3><p>a{k}</p></div>") for k in range(4, 8)]
+    rows = [(k, "http://a/", page) for k in range(4)] + [(k, "http://b/", page) for k in range(10, 14)] + other
+    given(op9_wrappers, pages=spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    got = {r.page_id: r.text for r in op9_wrappers.op9_wrappers(spark, "").collect()}
+    assert got == {k: "T\na\nb" if k < 4 or k > 9 else f"D{k}\na{k}" for k in got} and len(got) == 12
+
+
 def test_wrapper_without_article():
     page = lambda k: f'<div><ul><li><a href="/">Home</a></li></ul><h2>T{k}</h2><p>text number {k} is here</p><p>second {k}</p></div><div class="x">All rights</div>'
     wrapper = None
