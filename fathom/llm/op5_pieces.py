@@ -445,7 +445,7 @@ ENCODED = "rank int, n_pieces long, log_prob double, perturbed double, inclusion
 
 
 def encode(docs: DataFrame, key: str = "doc_id", k: int = SAMPLES, model: str = MODEL, digest: bool = False) -> DataFrame:
-    """Up to k sampled segmentations per row: key, rank, their scores and ids, or with ``digest`` the ids' digest and whether they decode to the text."""
+    """Up to k sampled segmentations per row: key, rank, their scores and ids; with ``digest`` also the ids' digest and whether they decode to the text."""
     held = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))  # one vocabulary: its size doesn't follow the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -466,15 +466,15 @@ def encode(docs: DataFrame, key: str = "doc_id", k: int = SAMPLES, model: str =
                     raw = utf8(t) if digest else b""
                     for rank, (edges, log, value, inclusion) in enumerate(samples, 1):
                         got = piece_ids(edges, tables)
-                        tail = (format(xxhash.xxh64_intdigest(got.tobytes()), "016x"), v.spell(got.tolist()) == raw) if digest else (got,)
-                        rows.append((i, rank, len(got), log, value, inclusion, *tail))
+                        tail = (format(xxhash.xxh64_intdigest(got.tobytes()), "016x"), v.spell(got.tolist()) == raw) if digest else ()
+                        rows.append((i, rank, len(got), log, value, inclusion, got, *tail))
                 if rows:
-                    types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), *((pa.string(), pa.bool_()) if digest else (pa.list_(pa.int32()),))]
+                    types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int32()), *((pa.string(), pa.bool_()) if digest else ())]
                     yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows), types)], names)
         gc.enable()
 
-    names = [key, "rank", "n_pieces", "log_prob", "perturbed", "inclusion", *(("ids_digest", "round_trip") if digest else ("ids",))]
-    schema = f"`{key}` long, " + (ENCODED.replace("ids array<int>", "ids_digest string, round_trip boolean") if digest else ENCODED)
+    names = [key, "rank", "n_pieces", "log_prob", "perturbed", "inclusion", "ids", *(("ids_digest", "round_trip") if digest else ())]
+    schema = f"`{key}` long, " + ENCODED + (", ids_digest string, round_trip boolean" if digest else "")
     return map_arrow(docs.selectExpr(f"cast(`{key}` AS long) AS key", "text"), run, schema)
 
 

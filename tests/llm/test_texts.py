@@ -126,6 +126,16 @@ def test_pieces_odd(spark, odd, empty):
     assert op5_pieces.encode(empty).count() == 0
 
 
+def test_pieces_query_and_stage_give_ids(spark, given):
+    texts = ["Some words é", "", None, "a  b"]
+    given(op5_pieces, documents=(df := spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    plain = {(r.doc_id, r.rank): r.ids for r in op5_pieces.encode(df).collect()}
+    for out in (op5_pieces.op5_pieces(spark, ""), op5_pieces.stage(spark, df, "")):
+        rows = op5_pieces.decode(out).collect()
+        assert {(r.doc_id, r.rank): r.ids for r in rows} == plain
+        assert all(r.decoded == (texts[r.doc_id] or "") and r.round_trip and len(r.ids_digest) == 16 for r in rows)
+
+
 def test_main_text(spark):
     got = {r.page_id: r for r in op9_wrappers.op9_wrappers(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
