@@ -6,16 +6,21 @@ lexicon is a fixed list of common insults, and words and word beginnings that
 mark toxic rows among the labelled ones (log-odds with a likelihood-ratio test).
 
 Labels are only read from the training rows (crc32 of the id, modulo 4, not 2).
-The fit uses a bounded sample of them: about ``MAX_LABELLED`` rows by a hash of
-the id. A lexicon learned from a row would flatter that row, so training features
+The fit uses a bounded sample of them: about ``MAX_LABELLED`` ids by a hash of
+the id, one row each; it is the only bound. Every key of the sampled rows is counted
+and tested, so the lexicon and the driver's share are bounded by the sample as well.
+The documents are read twice: for the sample, and for the scores. A lexicon learned from a row would flatter that row, so training features
 are made with the lexicon of the other half, and the calibration is fitted on
 predictions of trees that didn't see the row. Scoring reads every row once and
 moves nothing.
 
 Defined cases: null and empty texts get the score of a text without words; rows
 without a label train nothing; repeated labels of an id count once, as toxic if
-one says so; without labels of both kinds all scores are the share of toxic
-labels (0 without any); repeated rows are scored each; extra columns are ignored.
+one says so; of several texts of a labelled id, the one with the least hash trains;
+a very long text is one row of a batch, and its features are arrays of its words;
+without labels of both kinds all scores are the share of toxic
+labels (0 without any); repeated rows are scored each; extra columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.common import crc_mod, map_arrow, table
+from fathom.llm.common import crc_mod, dropped, map_arrow, stored, table
 
 MAX_LABELLED = 100_000
-MAX_LEXICON, MAX_CANDIDATES = 5_000, 50_000
 MIN_SUPPORT, MIN_G, MIN_LOG_ODDS = 3, 15.0, 2.0
 THRESHOLD = 0.3
 
@@ -127,42 +131,55 @@ def seeds() -> dict[str, float]:
     return {"=" + w: 6.0 for w in INSULTS}
 
 
-def learn_lexicon(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Keys that mark toxic rows, by log-odds, where the likelihood ratio says so."""
-    found = {}
-    if n_toxic and n_clean:
-        share = n_toxic / (n_toxic + n_clean)
-        for k, a in toxic.items():
-            b = clean.get(k, 0)
-            odds = math.log((a + 0.5) / (n_toxic + 1)) - math.log((b + 0.5) / (n_clean + 1))
-            g = 2 * (a * math.log(a / ((a + b) * share)) + (b * math.log(b / ((a + b) * (1 - share))) if b else 0))
-            if a >= MIN_SUPPORT and odds >= MIN_LOG_ODDS and g >= MIN_G:
-                found[k] = (g, odds)
-    best = sorted(found, key=lambda k: (-found[k][0], k))[:MAX_LEXICON]
-    return seeds() | {k: found[k][1] for k in best}
+def _mark(a: Column, b: Column, n_toxic: int, n_clean: int) -> Column:
+    """The log-odds of a key that a toxic and b clean rows hold, where it marks toxic rows by support and likelihood ratio; else null."""
+    if not n_toxic or not n_clean:
+        return F.lit(None).cast("double")
+    share = n_toxic / (n_toxic + n_clean)
+    odds = F.log((a + 0.5) / (n_toxic + 1)) - F.log((b + 0.5) / (n_clean + 1))
+    g = 2 * (a * F.log(a / ((a + b) * share)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0.0))
+    return F.when((a >= MIN_SUPPORT) & (odds >= MIN_LOG_ODDS) & (g >= MIN_G), odds)
 
 
-def _counts(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
-    """key, fold, n: the rows of each fold that hold the key, summed within a task first."""
+#: Key counts that a task holds before it hands them on.
+HELD_KEYS = 500_000
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    """key, toxic, fold, n: the rows of each kind that hold the key, summed within a task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: tuple[Counter, Counter] = (Counter(), Counter())
+        count: dict[tuple[int, int], Counter] = {(t, f): Counter() for t in (0, 1) for f in (0, 1)}
 
         def out():
-            for fold, c in enumerate(count):
+            for (toxic, fold), c in count.items():
                 if c:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c)), pa.array([fold] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], ["key", "fold", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c)), pa.array([toxic] * len(c), pa.int32()), pa.array([fold] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], ["key", "toxic", "fold", "n"])
                     c.clear()
 
         for batch in batches:
-            for text, fold in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist()):
-                held = {k for t in set((text or "").split()) for w in forms(t) if w for k in keys(w)}
-                count[fold].update(held if wanted is None else held & wanted)
-            if len(count[0]) + len(count[1]) > 500_000:
-                yield from out()
+            for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold"))):
+                count[toxic, fold].update({k for t in set((text or "").split()) for w in forms(t) if w for k in keys(w)})
+                if sum(map(len, count.values())) > HELD_KEYS:
+                    yield from out()
         yield from out()
 
-    return map_arrow(rows.select("text", "fold"), run, "key string, fold int, n long").groupBy("key", "fold").agg(F.sum("n").alias("n"))
+    return map_arrow(rows.select("text", "toxic", "fold"), run, "key string, toxic int, fold int, n long")
+
+
+def learn_lexicons(rows: DataFrame, size: dict[tuple[int, int], int]) -> list[dict[str, float]]:
+    """The lexicon of all sampled rows, and those of fold 0 and of fold 1 alone.
+
+    Every key of every sampled row is counted and tested where the counts are; the driver gets the keys that passed.
+    """
+    each = [F.sum(F.when((F.col("toxic") == t) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(f"n{t}{f}") for t in (0, 1) for f in (0, 1)]
+    counts = _counts(rows).groupBy("key").agg(*each).where(F.col("n10") + F.col("n11") >= MIN_SUPPORT)
+    marks = []
+    for folds in ((0, 1), (0,), (1,)):
+        n = [sum((F.col(f"n{t}{f}") for f in folds), F.lit(0)) for t in (0, 1)]
+        marks.append(_mark(n[1], n[0], *(sum(size.get((t, f), 0) for f in folds) for t in (1, 0))))
+    found = counts.select("key", *[m.alias(f"w{i}") for i, m in enumerate(marks)]).where("w0 IS NOT NULL OR w1 IS NOT NULL OR w2 IS NOT NULL").collect()
+    return [seeds() | {r["key"]: r[f"w{i}"] for r in found if r[f"w{i}"] is not None} for i in range(3)]
 
 
 # ---- the trees ----
@@ -257,29 +274,25 @@ class Model:
         return np.full(len(x), self.share) if self.trees is None else np.clip(self.calibration(self.trees.raw(x)), 0.0, 1.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learns from a bounded sample of the labelled training rows."""
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(crc_mod("doc_id", 4) != 2).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text, toxic (0 or 1) and fold of about MAX_LABELLED training rows, one per labelled id (of several texts that with the least hash)."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(crc_mod("doc_id", 4) != 2).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     n = known.count()
     steps = 1 << 20
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < math.ceil(steps * min(1.0, MAX_LABELLED / max(n, 1))))
     fold = F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 4) % 2
     sample = sample.select(F.col("doc_id").alias("_id"), "toxic", fold.cast("int").alias("fold"))
-    # the sample has a proven bound: about MAX_LABELLED rows of three numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("text", "toxic", "fold")
-    size = {(r["toxic"] > 0, r["fold"]): r["count"] for r in rows.groupBy("toxic", "fold").count().collect()}
-    marks = _counts(rows.where("toxic > 0"), None).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.expr("if(fold = 0, n, 0)")).alias("n0")).where(F.col("n") >= MIN_SUPPORT)
-    marks = marks.orderBy(F.desc("n"), "key").limit(MAX_CANDIDATES).collect()
-    toxic = {r["key"]: (r["n0"], r["n"] - r["n0"]) for r in marks}
-    clean: dict[str, list[int]] = {}
-    for r in _counts(rows.where("toxic <= 0"), set(toxic)).collect():
-        clean.setdefault(r["key"], [0, 0])[r["fold"]] = r["n"]
-
-    def lexicon(folds: tuple[int, ...]) -> dict[str, float]:
-        a = {k: s for k, v in toxic.items() if (s := sum(v[f] for f in folds))}
-        return learn_lexicon(a, {k: sum(v[f] for f in folds) for k, v in clean.items()}, sum(size.get((True, f), 0) for f in folds), sum(size.get((False, f), 0) for f in folds))
-
-    whole, other = lexicon((0, 1)), {0: lexicon((1,)), 1: lexicon((0,))}
+    # the broadcast has a proven bound: about MAX_LABELLED rows of three numbers
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    return rows.groupBy("_id", "toxic", "fold").agg(F.min_by("text", F.xxhash64(F.coalesce("text", F.lit("")))).alias("text")).select("text", "toxic", "fold")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Learns from a bounded sample of the labelled training rows, which is written once and read from there."""
+    rows, path = stored(sampled(docs, labels))
+    size = {(r["toxic"], r["fold"]): r["count"] for r in rows.groupBy("toxic", "fold").count().collect()}
+    whole, *by_fold = learn_lexicons(rows, size)
+    other = {0: by_fold[1], 1: by_fold[0]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = {f: Codes(x) for f, x in other.items()}
@@ -289,7 +302,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("fold"), pa.array([v.tolist() for v in x], pa.list_(pa.float64()))], ["toxic", "fold", "x"])
 
     got = map_arrow(rows, run, "toxic int, fold int, x array<double>").toArrow()
-    y = (got.column("toxic").to_numpy() > 0).astype(float)
+    dropped(docs.sparkSession, path)
+    y = got.column("toxic").to_numpy().astype(float)
     folds = got.column("fold").to_numpy()
     if len(y) == 0 or y.min() == y.max():
         return Model(whole, None, None, float(y.mean()) if len(y) else 0.0)

@@ -108,6 +108,108 @@ def test_toxicity_odd(spark, odd, empty, given):
     assert op1_toxicity.op1_toxicity(spark, "").count() == 0
 
 
+def plain_features(text, lexicon):
+    """The features of a text once more, token by token."""
+    tokens = text.split()
+    n = len(tokens)
+
+    def weigh(word):
+        return int(16 * max([lexicon.get("=" + word, 0.0)] + [lexicon.get("^" + word[:k], 0.0) for k in (4, 5, 6) if len(word) >= k]))
+
+    hits, yous, caps, odd, odd_hits, weak, all_weights = {}, [], 0, 0, 0, 0, [0]
+    for i, t in enumerate(tokens):
+        word = t.strip(op1_toxicity.EDGES).lower()
+        w = weigh(word) if word else 0
+        hidden = 0
+        if word and not re.fullmatch(r"[^\W\d_]+", word):
+            plain = word.translate(op1_toxicity.LEET)
+            if plain != word and re.fullmatch(r"[^\W\d_]+", plain) and any(c.isalpha() for c in word):
+                hidden = weigh(plain)
+                strange = hidden >= 48 or hidden > w
+                w = max(w, hidden)
+                odd += strange
+                odd_hits += strange and w >= 48
+        caps += len(word) > 1 and t.isupper()
+        if word in op1_toxicity.SECOND_PERSON:
+            yous.append(i)
+        if w >= 48:
+            hits[i] = w
+        elif w:
+            weak += 1
+        all_weights.append(w)
+    k, total = len(hits), sum(hits.values()) / 16
+    gaps = [min(abs(i - j) for j in yous) for i in hits] if yous else []
+    rate = lambda marks: 100 * sum(text.count(c) for c in marks) / max(len(text), 1)
+    return [
+        math.log1p(n), 100 * k / n, 100 * total / n, max(all_weights) / 16, math.log1p(k), total / k if k else 0, 100 * weak / n, 100 * len(yous) / n, 1 / (1 + min(gaps)) if gaps else 0,
+        sum(g <= 5 for g in gaps) / k if gaps else 0, caps / n, rate("!"), rate("?"), rate(".,;:"), 100 * odd / n, odd_hits,
+    ]
+
+
+def test_toxicity_features_are_those_of_a_plain_reading():
+    lexicon = op1_toxicity.seeds() | {"^blah": 2.5, "=grumpf": 4.0}
+    rng = random.Random(3)
+    words = "you You YOUR idiot 1d1ot! m0ron, blahhh grumpf GRUMPF fine a.b 5cum house, word! ? (tu) x2 ... stupid. $hit it's".split()
+    codes = op1_toxicity.Codes(lexicon)
+    for _ in range(200):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(1, 40)))
+        assert np.allclose(op1_toxicity.features(text, codes), plain_features(text, lexicon)), text
+
+
+def test_toxicity_first_split_is_the_best_of_all():
+    rng = np.random.RandomState(1)
+    x = rng.randint(0, 12, (300, 3)).astype(float)
+    y = (x[:, 2] + rng.normal(0, 2, 300) > 7).astype(float)
+    model = op1_toxicity.Trees(n_trees=1, depth=1, bins=200).fit(x, y)
+    p = y.mean()
+    g, h = y - p, np.full(300, p * (1 - p))
+
+    def gain(mask):
+        return sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (mask, ~mask))
+
+    best = max(((gain(x[:, j] > v), j, v) for j in range(3) for v in np.unique(x[:, j])[:-1]), key=lambda t: t[0])
+    (j, v), values = model.trees[0][0][0], model.trees[0][1]
+    right = x[:, int(j)] > v
+    assert abs(gain(right) - best[0]) < 1e-9
+    assert np.allclose(values, [0.15 * g[m].sum() / (h[m].sum() + 1) for m in (~right, right)])
+
+
+def test_toxicity_isotonic_is_the_least_squares_fit():
+    rng = np.random.RandomState(2)
+    for n in (1, 2, 7, 40):
+        raw, y = np.sort(rng.normal(size=n)), (rng.rand(n) < 0.5).astype(float)
+        # min-max formula of the isotonic regression
+        brute = [max(min(y[a : b + 1].mean() for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        iso = op1_toxicity.Isotonic().fit(raw, y)
+        steps = np.array(sorted(set(np.round(brute, 12))))
+        assert np.allclose(iso.y, steps)
+
+
+def test_toxicity_counts_every_key(spark):
+    """All keys are counted and tested, however many; the lexicon is that of a plain count."""
+    rng = random.Random(5)
+    vocabulary = [f"w{''.join(rng.choice('abcdefgh') for _ in range(7))}" for _ in range(300)]
+    rows = []
+    for i in range(400):
+        toxic = int(i % 3 == 0)
+        words = rng.sample(vocabulary[:60] if toxic else vocabulary[40:], 20)
+        rows.append((" ".join(words), toxic, i % 2))
+    size = collections.Counter((t, f) for _, t, f in rows)
+    got = op1_toxicity.learn_lexicons(spark.createDataFrame(rows, "text string, toxic int, fold int"), size)
+    for lexicon, folds in zip(got, ((0, 1), (0,), (1,))):
+        n = {t: sum(size[t, f] for f in folds) for t in (0, 1)}
+        share, want = n[1] / (n[0] + n[1]), op1_toxicity.seeds()
+        held = {t: collections.Counter(k for text, u, f in rows if u == t and f in folds for k in {k for w in text.split() for k in op1_toxicity.keys(w)}) for t in (0, 1)}
+        total = collections.Counter(k for text, u, f in rows if u for k in {k for w in text.split() for k in op1_toxicity.keys(w)})
+        for k, a in held[1].items():
+            b = held[0][k]
+            odds = math.log((a + 0.5) / (n[1] + 1)) - math.log((b + 0.5) / (n[0] + 1))
+            g = 2 * (a * math.log(a / ((a + b) * share)) + (b * math.log(b / ((a + b) * (1 - share))) if b else 0))
+            if total[k] >= op1_toxicity.MIN_SUPPORT and a >= op1_toxicity.MIN_SUPPORT and odds >= op1_toxicity.MIN_LOG_ODDS and g >= op1_toxicity.MIN_G:
+                want[k] = odds
+        assert lexicon.keys() == want.keys() and all(abs(lexicon[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_toxicity_parts():
     codes = op1_toxicity.Codes(op1_toxicity.seeds())
     x = dict(zip(op1_toxicity.FEATURES, op1_toxicity.features("You are an 1d1ot, IDIOT!", codes)))
