@@ -2,16 +2,19 @@
 
 Corners are found at several scales (structure tensor under growing blur); each
 gets an orientation from its intensity centroid and a 256-bit descriptor of
-brightness tests on a pattern turned to that orientation. Descriptors are filed in
-hash tables under disjoint 32-bit parts; tables are joined on equal parts and each
-meeting is verified by its Hamming distance, all in the JVM. The meetings of two
-images vote: every one proposes a similarity transform from its positions,
-orientations and scales, and the proposal with most agreeing meetings is the
-consensus. Crops, turns, brightness, contrast and noise leave enough of them.
-
-Exact copies are one class, whose smallest id is described; so a large group of
-copies costs one image, and no pairs of copies are made. Results are pairs of a
-query and a class, with the membership of every row.
+brightness tests on a pattern turned to that orientation and grown with the scale.
+Descriptors are filed in hash tables under all their eight 32-bit parts; a query looks
+its parts up as they are and with any one bit turned over, so that two corners meet if
+some part differs in one bit at most, and each meeting is verified by its Hamming
+distance, all in the JVM. The meetings of two images vote: every one proposes a
+similarity transform from its positions, orientations and scales, and the proposal
+with most agreeing meetings is the consensus. Crops, turns, brightness, contrast, noise
+and sizes that differ by the ratio of two scales leave enough of them.
+
+Exact copies are one class, told by the SHA-1 of the image and named by that and the
+smallest id in it; one image of it is described, so a large group of copies costs one
+image, and no pairs of copies are made. Results are pairs of a query and a class, with
+the membership of every row.
 
 Images are PGM or PPM (binary) or PNG (8 bits, no interlace) in a binary column.
 The tables given here hold no images, so the query renders each row of
@@ -20,8 +23,10 @@ images. Queries are edited copies (cropped, turned, recoloured, noisy) of every
 whose id is divisible by 100.
 
 Defined cases: null, broken or tiny images have no descriptors and match nothing;
-null ids belong to the class of their image and aren't queries; repeated rows give
-equal rows; an empty table gives no row.
+null ids belong to the class of their image and aren't queries; a class of null ids
+alone has a null class_id and is indexed like any other; rows of one id with different
+images belong to the classes of their images, and each image is a query of its own;
+repeated rows give equal rows; extra columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -36,15 +41,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.common import cut, map_arrow, table
+from fathom.llm.common import cut, map_arrow, stored, table
 
 SIDE, CROP = 96, 72
-CORNERS = 32
-SIGMAS = (1.2, 1.9, 3.0)
-MARGIN, RADIUS = 13, 8
-BITS, PARTS = 256, 4
-MAX_DISTANCE = 56
-MIN_INLIERS, TOLERANCE, MAX_TURN = 5, 3.0, 0.5
+CORNERS = 48
+SIGMAS = (1.2, 1.5, 1.9, 2.4, 3.0)
+#: A descriptor's reach at scale 1, in units of BASE; MARGIN is that of the largest scale.
+MARGIN, RADIUS, BASE = 13, 8, 1.9
+BITS, PARTS = 256, 8
+MAX_DISTANCE = 48
+MIN_INLIERS, TOLERANCE, MAX_TURN = 6, 3.0, 0.5
 EVERY = 100
 NAMES = ("x", "y", "angle", "scale", "d0", "d1", "d2", "d3")
 
@@ -153,8 +159,18 @@ def blur(stack: np.ndarray, sigma: float) -> np.ndarray:
     return stack
 
 
-_PATTERN = np.random.RandomState(20240607).normal(0, 4.2, (BITS, 4)).clip(-9, 9)
-_DISC = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RADIUS, RADIUS + 1) if x * x + y * y <= RADIUS * RADIUS])
+def _pattern() -> np.ndarray:
+    """Two points per test, within RADIUS."""
+    points = np.random.RandomState(20240607).normal(0, 3.8, (BITS, 2, 2))
+    return (points * np.minimum(1, RADIUS / np.maximum(np.hypot(points[..., :1], points[..., 1:]), 1e-9))).reshape(BITS, 4)
+
+
+def _disc(radius: int) -> np.ndarray:
+    return np.array([(y, x) for y in range(-radius, radius + 1) for x in range(-radius, radius + 1) if x * x + y * y <= radius * radius])
+
+
+_PATTERN = _pattern()
+_DISCS = [_disc(min(round(RADIUS * s / BASE), MARGIN - 1)) for s in SIGMAS]
 
 
 def describe_stack(stack: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -190,11 +206,12 @@ def describe_stack(stack: np.ndarray) -> tuple[np.ndarray, ...]:
         at = np.flatnonzero(level == k)
         if len(at) == 0:
             continue
-        flat, base = smooth[k].reshape(n, -1), y[at] * w + x[at]
-        patch = flat[image[at][:, None], base[:, None] + (_DISC[:, 0] * w + _DISC[:, 1])[None]]
+        flat, base, disc = smooth[k].reshape(n, -1), y[at] * w + x[at], _DISCS[k]
+        patch = flat[image[at][:, None], base[:, None] + (disc[:, 0] * w + disc[:, 1])[None]]
         patch = patch - patch.mean(1, keepdims=True)
-        angle[at] = np.arctan2(patch @ _DISC[:, 0].astype(np.float32), patch @ _DISC[:, 1].astype(np.float32))
-        cos, sin = np.cos(angle[at])[:, None], np.sin(angle[at])[:, None]
+        angle[at] = np.arctan2(patch @ disc[:, 0].astype(np.float32), patch @ disc[:, 1].astype(np.float32))
+        grown = SIGMAS[k] / BASE
+        cos, sin = grown * np.cos(angle[at])[:, None], grown * np.sin(angle[at])[:, None]
         value = []
         for p in (0, 2):
             px, py = _PATTERN[:, p][None], _PATTERN[:, p + 1][None]
@@ -253,13 +270,15 @@ MATCH = "query_id long, match_id long, n_matches int, n_inliers int, turn double
 def match(queries: DataFrame, index: DataFrame) -> DataFrame:
     """Described queries against a described index: pairs with a geometric consensus."""
 
-    def filed(rows: DataFrame, side: str) -> DataFrame:
-        # half of each 64-bit word: PARTS disjoint tables of 32 bits
-        parts = F.array(*[F.xxhash64(F.lit(k), F.shiftrightunsigned(F.col(f"d{k}"), 32)) for k in range(PARTS)])
-        return rows.select(F.struct("id", *NAMES).alias(side), F.explode(parts).alias("part"))
+    def filed(rows: DataFrame, side: str, turned: bool) -> DataFrame:
+        # the table's number above the 32 bits of the part; a query also looks up every value one bit away
+        low = (F.col(f"d{k // 2}") if k % 2 else F.shiftrightunsigned(F.col(f"d{k // 2}"), 32) for k in range(PARTS))
+        parts = F.array(*[F.lit(k << 32).bitwiseOR(v.bitwiseAND(F.lit(0xFFFFFFFF))) for k, v in enumerate(low)])
+        out = rows.select(F.struct("id", *NAMES).alias(side), F.explode(parts).alias("part"))
+        return out.select(side, F.explode(F.array(F.col("part"), *[F.col("part").bitwiseXOR(F.lit(1 << i)) for i in range(32)])).alias("part")) if turned else out
 
     distance = sum(F.bit_count(F.col(f"q.d{k}").bitwiseXOR(F.col(f"m.d{k}"))) for k in range(4))
-    met = filed(queries, "q").join(filed(index, "m"), "part").where(distance <= MAX_DISTANCE)
+    met = filed(queries, "q", True).join(filed(index, "m", False), "part").where(distance <= MAX_DISTANCE)
     # a meeting of the same two corners in several tables counts once; two images have CORNERS**2 at most
     pairs = met.groupBy(F.col("q.id").alias("query_id"), F.col("m.id").alias("match_id")).agg(F.collect_set(F.struct(*[F.col(f"{s}.{c}").cast("double").alias(f"{s}{c}") for s in "qm" for c in NAMES[:4]])).alias("met"))
 
@@ -280,8 +299,9 @@ def match(queries: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def classes(hashed: DataFrame) -> DataFrame:
-    """(id, sha) -> sha and the smallest id of its class."""
-    return hashed.groupBy("sha").agg(F.min("id").alias("class_id"))
+    """(id, sha, embedding) -> sha, the smallest id of its class, one embedding of it, and a number as key."""
+    groups = hashed.groupBy("sha").agg(F.min("id").alias("class_id"), F.first("embedding").alias("embedding"))
+    return cut(groups.withColumn("key", F.monotonically_increasing_id()))
 
 
 # ---- images of the given tables ----
@@ -302,41 +322,53 @@ def _edited(image: np.ndarray, i: int) -> np.ndarray:
     return part * 0.8 + 12 + r.uniform(-3, 3, part.shape)
 
 
-def render(vectors: DataFrame, edited: bool = False, digest: bool = False) -> DataFrame:
-    """(vec_id, embedding) -> id and image, or with ``digest`` the image's SHA-1."""
+def render(vectors: DataFrame, edited: bool = False) -> DataFrame:
+    """(id, seed, embedding) -> id and image; edited copies are edited by their seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = _fields()
         for batch in batches:
-            ids, vectors_ = batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist()
-            out = []
-            for i, v in zip(ids, vectors_):
-                if v is None or len(v) != 64 or any(x is None for x in v):
-                    out.append(None)
-                    continue
-                v = np.array(v, np.float32)
-                norm = float(np.linalg.norm(v))
-                image = 128 + 40 * ((v / norm if norm > 0 and np.isfinite(norm) else np.zeros(64, np.float32)) @ fields).reshape(SIDE, SIDE)
-                out.append(write_pgm(_edited(np.clip(np.rint(image), 0, 255), i) if edited else image))
-            last = pa.array([hashlib.sha1(x or b"").digest() for x in out], pa.binary()) if digest else pa.array(out, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").cast(pa.int64()), last], ["id", "sha" if digest else "image"])
+            out = [_drawn(v, fields, i if edited else None) for i, v in zip(batch.column("seed").to_pylist(), batch.column("embedding").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "image"])
+
+    return map_arrow(vectors.select("id", "seed", "embedding"), run, "id long, image binary")
+
+
+def _drawn(vector: list[float] | None, fields: np.ndarray, edit: int | None = None) -> bytes | None:
+    if vector is None or len(vector) != 64 or any(x is None for x in vector):
+        return None
+    v = np.array(vector, np.float32)
+    norm = float(np.linalg.norm(v))
+    image = 128 + 40 * ((v / norm if norm > 0 and np.isfinite(norm) else np.zeros(64, np.float32)) @ fields).reshape(SIDE, SIDE)
+    return write_pgm(image if edit is None else _edited(np.clip(np.rint(image), 0, 255), edit))
+
+
+def hashed(vectors: DataFrame) -> DataFrame:
+    """(vec_id, embedding) -> id, the SHA-1 of the image, and the embedding."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = _fields()
+        for batch in batches:
+            sha = [hashlib.sha1(_drawn(v, fields) or b"").hexdigest() for v in batch.column("embedding").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").cast(pa.int64()), pa.array(sha, pa.string()), batch.column("embedding")], ["id", "sha", "embedding"])
 
-    return map_arrow(vectors.select("vec_id", "embedding"), run, f"id long, {'sha' if digest else 'image'} binary")
+    return map_arrow(vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")), run, "id long, sha string, embedding array<float>")
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """kind member: each row and its class; kind match: each query and a class that its edited image was found in."""
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    hashed = cut(render(vectors, digest=True))
-    groups = cut(classes(hashed))
-    member = hashed.join(groups, "sha").select("id", "class_id")
-    heads = vectors.join(groups.select("class_id"), F.col("vec_id") == F.col("class_id"), "left_semi").dropDuplicates(["vec_id"])
-    index = describe(render(heads))
-    wanted = vectors.where(F.col("vec_id") % EVERY == 0)
-    found = match(describe(render(wanted, edited=True)), index)
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("n_matches", "int"), ("n_inliers", "int"), ("turn", "double"), ("scale", "double"), ("dx", "double"), ("dy", "double"))]
-    members = member.select(F.lit("member").alias("kind"), "id", "class_id", *nothing)
-    return members.union(found.select(F.lit("match").alias("kind"), F.col("query_id").alias("id"), F.col("match_id").alias("class_id"), "n_matches", "n_inliers", "turn", "scale", "dx", "dy"))
+    """kind member: each row, its image's SHA-1 and its class; kind match: each query and a class that its edited image was found in."""
+    rows, _ = stored(hashed(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+    groups = classes(rows)
+    named = groups.select(F.col("sha").alias("class_sha"), "class_id", "key")
+    members = rows.select("id", "sha").join(named, F.col("sha") == F.col("class_sha")).select(F.lit("member").alias("kind"), "id", "sha", "class_id", "class_sha")
+    index = describe(render(groups.select(F.col("key").alias("id"), F.col("key").alias("seed"), "embedding")))
+    asked = rows.where(F.col("id") % EVERY == 0).select("id", "sha").distinct().join(groups.select("sha", "embedding"), "sha")
+    asked = cut(asked.withColumn("ask", F.monotonically_increasing_id()))
+    queries = describe(render(asked.select(F.col("ask").alias("id"), F.col("id").alias("seed"), "embedding"), edited=True))
+    figures = ("n_matches", "n_inliers", "turn", "scale", "dx", "dy")
+    found = match(queries, index).join(asked.select("ask", "id", "sha"), F.col("query_id") == F.col("ask")).join(named, F.col("match_id") == F.col("key"))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in zip(figures, ("int", "int", "double", "double", "double", "double"))]
+    return members.select("*", *nothing).union(found.select(F.lit("match"), "id", "sha", "class_id", "class_sha", *figures))
 
 
 ORACLE_SQL = None
