@@ -20,7 +20,9 @@ third of all rows costs no more than a skewed join that Spark splits.
 
 Defined cases: null html is an empty payload; a null id ranks below all ids and
 is written as ``null``; rows that repeat the largest id are all responses; a
-null url is written as ``urn:unknown``; an empty table gives no archive.
+null url is written as ``urn:unknown``; a very long payload is one record, held
+whole by its task; extra columns are ignored; an empty table gives no archive. The
+archives stay in the shared folder, as the result is read from them.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.llm.common import cut, map_arrow, prepare, shared_dir, table, utf8
@@ -50,6 +52,8 @@ MANDATORY = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 ARCHIVE_BYTES = 64 << 20
 #: The dictionary is trained on so many bytes of an archive's first records.
 DICT_SAMPLE_BYTES, DICT_BYTES = 2 << 20, 64 << 10
+#: Tasks that read archives at a time.
+READERS = 10_000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -146,8 +150,8 @@ class ArchiveWriter:
         self.out.write(self.compressor.compress(record))
 
 
-def read_archive(source, chunk: int = 1 << 20) -> Iterator[bytes]:
-    """The records of an archive, one frame at a time; holds a frame and a chunk."""
+def read_archive(source, chunk: int = 1 << 20, step: int = 16 << 10) -> Iterator[bytes]:
+    """The records of an archive, one frame at a time; holds a frame and a chunk, of which a frame's end copies a step at most."""
     head = _exactly(source, 8)
     magic, size = struct.unpack("<II", head)
     if magic != SKIPPABLE_MAGIC:
@@ -157,18 +161,20 @@ def read_archive(source, chunk: int = 1 << 20) -> Iterator[bytes]:
     if frame:
         dictionary = zstandard.ZstdDecompressor().decompress(frame) if frame[:4] == zstandard.FRAME_HEADER else frame
     decompressor = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-    rest = source.read(chunk)
-    while rest:
+    held, at = memoryview(source.read(chunk)), 0
+    while len(held):
         frame_reader, record = decompressor.decompressobj(), io.BytesIO()
-        while True:
-            record.write(frame_reader.decompress(rest))
-            if frame_reader.eof:
-                rest = frame_reader.unused_data or source.read(chunk)
-                break
-            rest = source.read(chunk)
-            if not rest:
-                raise WarcError("the last frame is cut off")
+        while not frame_reader.eof:
+            if at >= len(held):
+                held, at = memoryview(source.read(chunk)), 0
+                if not len(held):
+                    raise WarcError("the last frame is cut off")
+            piece = held[at : at + step]
+            record.write(frame_reader.decompress(piece))
+            at += len(piece) - len(frame_reader.unused_data if frame_reader.eof else b"")
         yield record.getvalue()
+        if at >= len(held):
+            held, at = memoryview(source.read(chunk)), 0
 
 
 def _exactly(source, n: int) -> bytes:
@@ -275,8 +281,10 @@ def read(archives: DataFrame, folder: str, with_payload: bool = True) -> DataFra
                     yield _rows(rows, schema)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    # a task per archive: the rows are few and small, so adaptive execution would join them
-    return map_arrow(archives.repartition(max(1, min(archives.count(), 10_000)), "path"), run, schema)
+    # a task per archive, up to READERS tasks: the rows are few and small, so adaptive execution would join them
+    n = max(1, min(archives.count(), READERS))
+    number = F.row_number().over(Window.orderBy("path"))  # one row per archive of 64 MB
+    return map_arrow(archives.withColumn("_to", F.pmod(number, F.lit(n)).cast("int")).repartitionById(n, F.col("_to")).select("path", "n_records"), run, schema)
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -295,4 +303,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(archives, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
-ORACLE_SQL = None
+#: Base 32 takes 8 characters for 10 hexadecimal digits.
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, coalesce(url, 'urn:unknown') AS url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+r AS (SELECT h, strlen(html) AS n, max(page_id) AS response FROM p GROUP BY 1, 2),
+j AS (SELECT p.*, response, response IS NOT NULL AND page_id IS DISTINCT FROM response AS again FROM p JOIN r ON p.h = r.h AND strlen(html) = n)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+ array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (10 * (k // 8) + 1)::INT, 10))::BIGINT >> (35 - 5 * (k % 8))) & 31) + 1)::INT, 1)), '') AS payload_digest,
+ CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN response END AS refers_to, url FROM j
+"""

@@ -9,6 +9,7 @@ import itertools
 import math
 import re
 
+import duckdb
 import numpy as np
 import pytest
 import sentencepiece
@@ -41,6 +42,15 @@ def test_warc_round_trip(spark, given):
         assert collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == collections.Counter(want)
 
 
+def test_warc_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW pages AS SELECT * FROM read_parquet('/root/testdata/sf0.01/pages.parquet')")
+    a, b = op4_warc.op4_warc(spark, "/root/testdata/sf0.01").toPandas(), con.execute(op4_warc.ORACLE_SQL).fetchdf()
+    columns = sorted(a.columns)
+    a, b = (x[columns].astype({"refers_to": "Int64"}).astype(str).sort_values(columns).reset_index(drop=True) for x in (a, b))
+    assert a.equals(b)
+
+
 def test_warc_payloads_and_breaches(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     folder = f"{op4_warc.shared_dir(spark)}/warc-test-{np.random.randint(1 << 30)}"
