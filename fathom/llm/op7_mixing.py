@@ -8,12 +8,15 @@ words taken stay near the target.
 
 The prefix sum is distributed: rows are counted by (source, size step, slot of
 the hash), the counts are summed in order, and rows are numbered within a slot
-only. A source that holds a third of all rows is split over its steps and slots
-(at most 512 x 16 of them).
+only. A slot takes as many digits of the hash as it needs to hold about ``SLOT_ROWS``
+rows of the largest step of any source, so a source that holds a third of all rows, or
+rows of one size, are split however many there are.
 
 Defined cases: a null text has size 0; a source whose words number 0 takes none;
-null sources are one source, the last; null ids take part; repeated rows are
-drawn each; an empty table gives no row. Reruns agree: offsets and order are
+null sources are one source, the last; null ids take part, told apart by their
+text; repeated rows are drawn each, in one slot; very long texts count as a whole;
+extra columns stay in the stage, but for names with ``_mix_`` in front, which the
+operator uses; an empty table gives no row. Reruns agree: offsets and order are
 hashes of the seed, the source and the id.
 """
 
@@ -27,18 +30,19 @@ from fathom.llm.common import cut, table
 WEIGHTS = (1, 2, 3)
 #: Targets stop at this multiple of what a source has.
 MOST = 3
+#: Rows of one source and size step that are numbered in one slot, about.
+SLOT_ROWS = 20_000
 SEED = "mix-1"
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """Adds the words of the text, the source as a key without nulls, the size step, the hash and its slot."""
+    """Adds the words of the text, the source as a key without nulls, the size step and the hash of the id (without one, of the text)."""
     size = F.coalesce(F.expr(r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')"), F.lit(0)).cast("long")
     return (
         docs.withColumn("_mix_size", size)
         .withColumn("_mix_key", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("v"), "source")))
         .withColumn("_mix_step", F.expr("shiftleft(shiftright(_mix_size, greatest(length(bin(_mix_size)) - 6, 0)), greatest(length(bin(_mix_size)) - 6, 0))"))
-        .withColumn("_mix_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-        .withColumn("_mix_slot", F.substring("_mix_hash", 1, 1))
+        .withColumn("_mix_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))).cast("binary")))
     )
 
 
@@ -68,14 +72,23 @@ def offset(key):
     return F.conv(F.substring(F.md5(F.concat(F.lit(SEED), key).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def digits(most: int) -> int:
+    """Hexadecimal digits that split so many rows into slots of about SLOT_ROWS."""
+    return next(d for d in range(1, 17) if most <= SLOT_ROWS * 16**d)
+
+
 def copies(docs: DataFrame, narrow: DataFrame | None = None) -> DataFrame:
     """The rows with size, source_size, target and the number of copies, as ``_mix_`` columns.
 
     ``narrow``: the same rows, if they were sized before, for the counts.
     """
     rows = docs if "_mix_size" in docs.columns else sized(docs)
+    narrow = rows if narrow is None else narrow
+    most = narrow.groupBy("_mix_key", "_mix_step").count().agg(F.max("count")).first()[0] or 0
+    slot = F.substring("_mix_hash", 1, digits(most))
+    rows, narrow = rows.withColumn("_mix_slot", slot), narrow.withColumn("_mix_slot", slot)
     at = ["_mix_key", "_mix_step", "_mix_slot"]
-    counts = (rows if narrow is None else narrow).groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.sum("_mix_size").alias("words"))
+    counts = narrow.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.sum("_mix_size").alias("words"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("_mix_key").orderBy("_mix_step", "_mix_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = cut(counts)
     plan = counts.withColumn("before", before).join(targets(counts), "_mix_key")
@@ -102,7 +115,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = rf"""
-WITH d AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, CASE WHEN source IS NULL THEN 'n' ELSE 'v' || source END AS k, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+WITH d AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, CASE WHEN source IS NULL THEN 'n' ELSE 'v' || source END AS k, md5(coalesce(doc_id::VARCHAR, 't' || md5(coalesce(text, '')))) AS h FROM documents),
 b AS (SELECT *, greatest(length(bin(size)) - 6, 0) AS s FROM d),
 s AS (SELECT k, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY k[1] DESC, k) - 1) % 3 + 1 AS w FROM d GROUP BY k),
 r AS (SELECT *, (3 * source_size)::DOUBLE / w AS r FROM s),

@@ -6,8 +6,9 @@ mask) that is applied to the stored bits, so that a new policy or an ablation
 reads the ledger and never the texts again.
 
 Defined cases: a null text has no words and fails ``min_words``; empty texts
-likewise; repeated rows each get their row; extra columns are ignored; an empty
-table gives an empty ledger.
+likewise; repeated rows each get their row; very long texts are measured as a
+whole, a row at a time; extra columns are ignored by the ledger and stay as they
+are in the stage; an empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from fathom.llm.common import SPACE, map_arrow, table, words_of
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_bar_words", "longest_word")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_bar_words")
 LEDGER = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 
@@ -62,12 +63,10 @@ def measure(text: str | None) -> tuple[int, ...]:
     n = len(words)
     lines = [x for x in text.split("\n") if x.strip(SPACE)]
     upper = bars = 0
-    longest = 0
     if n:
-        longest = max(map(len, words))
         upper = sum(1 for w in words if len(w) > 1 and w.isupper())
         bars = words.count("|")
-    return (n, sum(map(len, words)), len(SYMBOLS.findall(text)), len(lines) - len(set(lines)), _repeats(words), len(lines), upper, bars, longest)
+    return (n, sum(map(len, words)), len(SYMBOLS.findall(text)), len(lines) - len(set(lines)), _repeats(words), len(lines), upper, bars)
 
 
 def _repeats(words: list[str]) -> int:
@@ -87,24 +86,27 @@ def _repeats(words: list[str]) -> int:
     return covered
 
 
-def measurements(docs: DataFrame) -> DataFrame:
-    """doc_id and the measurements of each row; words and lines are of the whole text."""
+def measurements(docs: DataFrame, carried: bool = False) -> DataFrame:
+    """doc_id and the measurements of each row; words and lines are of the whole text. ``carried``: and the row itself, as _fathom_row."""
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [measure(t) for t in batch.column("text").to_pylist()]
+            row = batch.column("_fathom_row")
+            rows = [measure(t) for t in row.field(names.index("text") if carried else 1).to_pylist()]
             columns = list(zip(*rows)) if rows else [[] for _ in MEASURES]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", *MEASURES])
+            yield pa.RecordBatch.from_arrays([row.field(names.index("doc_id") if carried else 0).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in columns), *([row] if carried else [])], ["doc_id", *MEASURES, *(["_fathom_row"] if carried else [])])
 
-    return map_arrow(docs.select("doc_id", "text"), run, LEDGER)
+    rows = docs.select(F.struct(*names if carried else ("doc_id", "text")).alias("_fathom_row"))
+    return map_arrow(rows, run, LEDGER + (f", _fathom_row {rows.schema[0].dataType.simpleString()}" if carried else ""))
 
 
-def ledger(docs: DataFrame) -> DataFrame:
+def ledger(docs: DataFrame, carried: bool = False) -> DataFrame:
     """Measurements and ``failures``, whose bit i is set where rule i fails."""
     bits: Column = F.lit(0).cast("long")
     for i, rule in enumerate(RULES):
         bits = bits.bitwiseOR(F.when(F.expr(rule_conditions()[rule]), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-    return measurements(docs).withColumn("failures", bits)
+    return measurements(docs, carried).withColumn("failures", bits)
 
 
 def apply_policy(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
@@ -130,27 +132,17 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per rule of the current policy: documents it fails, and those that only it rejects."""
+    return ablations(ledger(table(spark, sf_dir, "documents")))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the current policy keeps, with their own columns.
 
-    The verdict is taken where the text is read: no join, no shuffle.
+    Each ledger entry carries its row, so the policy reads the failure bits without a join or a shuffle.
     """
-    names = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [measure(t) for t in batch.column("text").to_pylist()]
-            extra = [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(MEASURES))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*names, *(f"_m_{m}" for m in MEASURES)])
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"_m_{m} long" for m in MEASURES])
-    failed = F.lit(False)
-    for rule in POLICIES[CURRENT]:
-        condition = rule_conditions()[rule]
-        for m in sorted(MEASURES, key=len, reverse=True):
-            condition = re.sub(rf"(?<!_)\b{m}\b", f"_m_{m}", condition)
-        failed = failed | F.expr(condition)
-    return map_arrow(docs, run, schema).where(~failed).select(*names)
+    return apply_policy(ledger(docs, carried=True)).where("kept").select(*[F.col("_fathom_row")[c].alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = r"""
@@ -169,3 +161,5 @@ f AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
  + CASE WHEN 10 * n_bar_words > 2 * n_words AND n_words >= 10 THEN 32 ELSE 0 END + CASE WHEN n_words > 0 AND (word_chars > 25 * n_words OR word_chars < 2 * n_words) THEN 64 ELSE 0 END)::BIGINT AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, failures = 0 AS kept, failures FROM f
 """
+
+ABLATIONS_SQL = f"WITH ledger AS ({ORACLE_SQL}), rules AS (SELECT unnest({list(POLICIES[CURRENT])}) AS rule, unnest({[1 << RULES.index(r) for r in POLICIES[CURRENT]]}) AS bit) SELECT rule, count_if(failures & bit <> 0)::BIGINT AS n_failed, count_if(failures & {mask(CURRENT)} = bit)::BIGINT AS n_only FROM rules, ledger GROUP BY rule"

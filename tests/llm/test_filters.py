@@ -66,6 +66,21 @@ def test_mixing_sql(spark):
     assert same(op7_mixing.op7_mixing(spark, SF), op7_mixing.ORACLE_SQL)
 
 
+def test_ablations_sql(spark):
+    assert same(op8_rules.rule_ablations(spark, SF), op8_rules.ABLATIONS_SQL)
+
+
+def test_mixing_slots(spark, monkeypatch):
+    """Rows of one size, and rows without an id, are spread; the draws don't depend on the slots."""
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, null, id) AS doc_id", "concat('a b c', id) AS text", "'s' AS source").union(spark.range(500).selectExpr("id", "'a b c d e f'", "'t'"))
+    want = sorted(map(str, op7_mixing.copies(op7_mixing.sized(df)).select("text", "_mix_copies").collect()))
+    monkeypatch.setattr(op7_mixing, "SLOT_ROWS", 2)
+    got = op7_mixing.copies(op7_mixing.sized(df))
+    assert sorted(map(str, got.select("text", "_mix_copies").collect())) == want
+    assert got.groupBy("_mix_key", "_mix_step", "_mix_slot").count().agg({"count": "max"}).first()[0] < 12
+    assert op7_mixing.digits(0) == 1 and op7_mixing.digits(10**7) == 6
+
+
 def test_mixing_odd(spark, odd, empty, given):
     given(op7_mixing, documents=odd)
     got = op7_mixing.op7_mixing(spark, "").collect()
