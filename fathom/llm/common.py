@@ -90,14 +90,10 @@ def in_groups(batches: Iterable[pa.RecordBatch], nbytes: int) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-#: Bits of a text's hash that tell rows of one id apart.
-TEXT_BITS = 18
-
-
 def identity(docs: DataFrame) -> DataFrame:
-    """Adds _fathom_did and _fathom_th: which row a text is, by its id and 18 bits of its hash (by the hash alone where the id is null)."""
+    """Adds _fathom_did and _fathom_th: which row a text is, by its id and the 64 bits of its hash (by the hash alone where the id is null)."""
     h = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.withColumn("_fathom_th", h.bitwiseAND(F.lit((1 << TEXT_BITS) - 1))).withColumn("_fathom_did", F.coalesce(F.col("doc_id").cast("long"), h))
+    return docs.withColumn("_fathom_th", h).withColumn("_fathom_did", F.coalesce(F.col("doc_id").cast("long"), h))
 
 
 def release() -> None:

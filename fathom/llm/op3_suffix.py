@@ -7,13 +7,16 @@ places, so only suffixes at the same anchor text can be equal. Consecutive
 windows with one anchor form a segment (at most 368 bytes, one per 85 bytes of
 text on average).
 
-1. One pass over the texts gives each segment as four numbers.
-2. Anchors that occur once drop out. Segments that are equal as a whole are
-   repeated as a whole. What is left are segments that share an anchor and differ
-   somewhere: the ends of shared passages, and edited copies.
-3. Those few fetch their bytes. They are range-partitioned by the bytes of their
-   anchored suffix, with splitters that Spark samples, and ties dealt further by
-   a hash, so that one hot passage spreads over many buckets.
+1. One pass over the texts gives each anchored suffix as a few numbers: its rank (its
+   six leading bytes, then 16 bits of the anchor's hash), the hashes of anchor and
+   segment, and its place.
+2. Suffixes are range-partitioned by rank, with splitters that Spark samples, and sorted
+   by rank, anchor and segment. Neighbours of equal rank and equal 64-bit hashes of
+   anchor and segment are repeated as a whole; anchors that occur once drop out. What is
+   left are segments that share an anchor and differ somewhere: the ends of shared
+   passages, and edited copies. A hot anchor is dealt out by its segments' hash.
+3. Those fetch their bytes, and go to buckets that are ranges of ranks between sampled
+   splitters; an anchor that is too large for a bucket is dealt over several.
 4. Each bucket sorts its windows by multikey quicksort on 8-byte tokens; windows
    still together after 200 bytes are equal.
 5. Anchors that reach over several buckets are compared across the boundaries:
@@ -21,10 +24,12 @@ text on average).
    where that occurs in more than one bucket, window by window.
 6. Spans return to their documents, where the bytes are cut.
 
-Defined cases: null and empty texts, and texts under 200 bytes, lose nothing;
-windows never cross documents; repeated rows are copies of each other; null ids
-are told apart by their text; an empty table gives no row; other columns stay
-as they are in the stage and are ignored by the query.
+Defined cases: null and empty texts, and texts under 200 bytes, lose nothing; very
+long texts are hashed in blocks, and a place is a long, so that only a task's memory
+bounds a text; windows never cross documents; repeated rows are copies of each other;
+null ids are told apart by their text; an empty table gives no row; extra columns,
+whatever their names (but for ``_fathom_`` in front), stay as they are in the stage
+and are ignored by the query.
 """
 
 from __future__ import annotations
@@ -39,10 +44,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.common import TEXT_BITS, cut, dropped, identity, in_groups, map_arrow, stored, table
+from fathom.llm.common import cut, dropped, identity, in_groups, map_arrow, stored, table
 
 LENGTH, GRAM = 200, 32
 WINDOW = LENGTH - GRAM + 1
+#: Leading bytes of an anchored suffix in its rank.
+LEAD = 6
 #: Window starts hashed at a time; a segment ends at a block's end at the latest.
 BLOCK = 1 << 19
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -90,7 +97,7 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, start in the row, windows, the anchor's distance, anchor hash, segment hash) over concatenated texts."""
+    """(row, start in the row, windows, the anchor's distance, rank, anchor hash, segment hash) over concatenated texts."""
     raw = data.tobytes()
     starts, ends = offsets[:-1], offsets[1:]
     total = len(data)
@@ -111,7 +118,16 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         digest = xxhash.xxh64_intdigest
         whole = np.fromiter((digest(raw[a:b]) for a, b in zip((first + s).tolist(), (last + s + LENGTH - 1).tolist())), np.uint64, len(first))
         row = rows[first]
-        yield row, first + s - starts[row], last - first, at[first] - first, h[at[first]], whole
+        anchor = at[first]
+        yield row, first + s - starts[row], last - first, anchor - first, ranks(data, anchor + s, h[anchor]), h[anchor], whole
+
+
+def ranks(data: np.ndarray, anchor: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The anchored suffix's six leading bytes, and as ties 16 bits of its anchor's hash, as a number in signed order."""
+    lead = np.zeros(len(anchor), np.uint64)
+    for i in range(LEAD):
+        lead = (lead << np.uint64(8)) | data[anchor + i]
+    return (((lead << np.uint64(16)) | (h & np.uint64(0xFFFF))) ^ np.uint64(1 << 63)).view(np.int64)
 
 
 def binary(batch: pa.RecordBatch | pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -127,15 +143,14 @@ def binary(batch: pa.RecordBatch | pa.Table, name: str) -> tuple[np.ndarray, np.
 
 # ---- 1: segments ----
 
-# A place is one long: start in the text, 18 bits of the text's hash, the
-# anchor's distance from the start, and the number of windows.
-START, TEXT, AT, N = 34, 16, 8, 0
+# A place is its start in the text, a long, and its shape: the anchor's distance from the start, and the number of windows.
+AT = 8
 #: An anchor with this share of all segments is hot, and is dealt out by segment.
 HOT_SHARE, HOT_LEAST = 10_000, 5_000
 SALTS = 256
 
 
-SEGMENT = "kind int, key long, whole long, did long, place long, dup int"
+SEGMENT = "kind int, rank long, key long, whole long, did long, th long, start long, shape int, dup int"
 
 
 def _segments(docs: DataFrame) -> DataFrame:
@@ -148,49 +163,58 @@ def _segments(docs: DataFrame) -> DataFrame:
             found = list(segments(data, offsets))
             if not found:
                 continue
-            row, start, n, distance, key, whole = (np.concatenate(x) for x in zip(*found))
-            place = (start << START) | (th[row] << TEXT) | (distance << AT) | n
-            key, whole, did = key.view(np.int64), whole.view(np.int64), did[row]
-            order = np.lexsort((whole, key))
-            k, w = key[order], whole[order]
-            new = np.append(True, (k[1:] != k[:-1]) | (w[1:] != w[:-1]))
+            row, start, n, distance, rank, key, whole = (np.concatenate(x) for x in zip(*found))
+            shape = ((distance << AT) | n).astype(np.int32)
+            key, whole, did, th = key.view(np.int64), whole.view(np.int64), did[row], th[row]
+            order = np.lexsort((whole, key, rank))
+            r, k, w = rank[order], key[order], whole[order]
+            new = np.append(True, (r[1:] != r[:-1]) | (k[1:] != k[:-1]) | (w[1:] != w[:-1]))
             first = np.flatnonzero(new)
             size = np.diff(np.append(first, len(k)))
             again = np.repeat(size > 1, size)
             one = order[first]
-            yield _rows(0, key[one], whole[one], did[one], place[one], (size > 1).astype(np.int32))
+            yield _rows(0, rank[one], key[one], whole[one], did[one], th[one], start[one], shape[one], (size > 1).astype(np.int32))
             if again.any():
                 spans = order[again]
-                yield _rows(1, np.zeros(len(spans), np.int64), np.zeros(len(spans), np.int64), did[spans], place[spans], np.zeros(len(spans), np.int32))
+                z = np.zeros(len(spans), np.int64)
+                yield _rows(1, z, z, z, did[spans], th[spans], start[spans], shape[spans], z.astype(np.int32))
             keys, counts = np.unique(key[one], return_counts=True)
             often = counts >= max(3, len(one) / HOT_SHARE)
             if often.any():
                 z = np.zeros(often.sum(), np.int64)
-                yield _rows(2, keys[often], z, counts[often], z, z.astype(np.int32))
+                yield _rows(2, z, keys[often], z, counts[often], z, z, z.astype(np.int32), z.astype(np.int32))
 
     return map_arrow(identity(docs.select("doc_id", "text")).select("_fathom_did", "_fathom_th", "text"), run, SEGMENT)
 
 
-def _rows(kind: int, key, whole, did, place, dup) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(whole), pa.array(did), pa.array(place), pa.array(dup)], ["kind", "key", "whole", "did", "place", "dup"])
+_COLUMNS = ("rank", "key", "whole", "did", "th", "start", "shape", "dup")
+
+
+def _rows(kind: int, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *map(pa.array, columns)], ["kind", *_COLUMNS])
+
+
+def _repeated(rows: dict) -> pa.RecordBatch:
+    """Spans that are repeated as a whole."""
+    z = np.zeros(len(rows["did"]), np.int64)
+    return _rows(1, z, z, z, rows["did"], rows["th"], rows["start"], rows["shape"], z.astype(np.int32))
 
 
 # ---- 2: segments that are repeated as a whole, and those to be looked at ----
 
 #: Segments of one anchor that are held at a time.
 HELD = 200_000
-_COLUMNS = ("key", "whole", "did", "place", "dup")
 
 
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over segments sorted by anchor and whole. kind 1: repeated as a whole; kind 3: to be looked at (dup: only as a witness)."""
+    """Over segments sorted by rank, anchor and whole. kind 1: repeated as a whole; kind 3: to be looked at (dup: only as a witness)."""
 
     def out(rows: dict, forced: bool) -> list[pa.RecordBatch]:
         key, whole = rows["key"], rows["whole"]
         n = len(key)
         if n == 0:
             return []
-        new_key = np.append(True, key[1:] != key[:-1])
+        new_key = _changes(rows)
         new = new_key | np.append(True, whole[1:] != whole[:-1])
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, n))
@@ -200,11 +224,10 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = []
         covered = np.repeat(many, size) & (rows["dup"] == 0)
         if covered.any():
-            z = np.zeros(covered.sum(), np.int64)
-            got.append(_rows(1, z, z, rows["did"][covered], rows["place"][covered], z.astype(np.int32)))
+            got.append(_repeated({c: rows[c][covered] for c in _COLUMNS}))
         if look.any():
             at = first[look]
-            got.append(_rows(3, key[at], whole[at], rows["did"][at], rows["place"][at], many[look].astype(np.int32)))
+            got.append(_rows(3, *(rows[c][at] for c in _COLUMNS[:-1]), many[look].astype(np.int32)))
         return got
 
     held, forced_key = None, None
@@ -212,8 +235,7 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = {c: part.column(c).to_numpy() for c in (*_COLUMNS, "hot")}
         if held is not None:
             rows = {c: np.concatenate((held[c], rows[c])) for c in rows}
-        key = rows["key"]
-        last = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
+        last = int(np.flatnonzero(_changes(rows))[-1])
         yield from _forced(out, {c: v[:last] for c, v in rows.items()}, forced_key)
         held = {c: v[last:] for c, v in rows.items()}
         if len(held["key"]) > HELD:  # a large anchor: looked at in any case, run by run
@@ -223,14 +245,19 @@ def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from out({c: v[:cut_at] for c, v in held.items()}, True)
             held = {c: v[cut_at:] for c, v in held.items()}
             if len(held["key"]) > HELD:  # and so is its last run: one row stays for it
-                z = np.flatnonzero(held["dup"] == 0)
-                yield _rows(1, np.zeros(len(z), np.int64), np.zeros(len(z), np.int64), held["did"][z], held["place"][z], np.zeros(len(z), np.int32))
+                yield _repeated({c: v[held["dup"] == 0] for c, v in held.items()})
                 held = {c: v[:1].copy() for c, v in held.items()}
                 held["dup"][:] = 1
     if held is not None:
         yield from _forced(out, held, forced_key)
 
 
+def _changes(rows: dict) -> np.ndarray:
+    """Where another anchor begins."""
+    rank, key = rows["rank"], rows["key"]
+    return np.append(True, (rank[1:] != rank[:-1]) | (key[1:] != key[:-1]))
+
+
 def _forced(out, rows: dict, forced_key: int | None) -> Iterator[pa.RecordBatch]:
     """Hot anchors are spread over tasks, so each task takes them as shared."""
     force = (rows["hot"] > 0) | (rows["key"] == forced_key) if forced_key is not None else rows["hot"] > 0
@@ -295,22 +322,21 @@ _WINDOW = np.dtype([("t", "<i2"), ("want", "<i2"), ("h1", "<i8"), ("h2", "<i8")]
 
 
 def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over segments' bytes sorted by anchor. kind 1: n bytes from start are repeated; kind 4: cells of anchors dealt over buckets."""
+    """Over segments' bytes sorted by rank and anchor. kind 1: n bytes from start are repeated; kind 4: cells of anchors dealt over buckets."""
 
     def solve(part: pa.Table) -> Iterator[pa.RecordBatch]:
         data, offsets = binary(part, "content")
-        place, did, key = (part.column(c).to_numpy() for c in ("place", "did", "key"))
+        start, th, did, shape = (part.column(c).to_numpy() for c in ("start", "th", "did", "shape"))
         dup, wide = part.column("dup").to_numpy() > 0, part.column("wide").to_numpy() > 0
-        n, distance = place & 255, (place >> AT) & 255
+        n, distance = (shape & 255).astype(np.int64), (shape >> AT).astype(np.int64)
         row = np.repeat(np.arange(len(n)), n)
         t = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         starts = offsets[:-1][row] + t
-        anchor = np.unique(key, return_inverse=True)[1]
+        anchor = np.cumsum(_changes({c: part.column(c).to_numpy() for c in ("rank", "key")}))
         group = anchor[row] * 256 + distance[row] - t
         index, same = multikey_quicksort(words64(data), starts, group)
         hit = np.zeros(len(row), bool)
         hit[index] = True
-        th, start = (place >> TEXT) & ((1 << TEXT_BITS) - 1), place >> START
         want = hit & ~dup[row]
         at = np.flatnonzero(want)
         if len(at):
@@ -344,8 +370,7 @@ def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if sum(x.nbytes for x in held) < BUCKET_BYTES:
             continue
         whole = pa.concat_tables(held).combine_chunks()
-        key = whole.column("key").to_numpy()
-        last = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
+        last = int(np.flatnonzero(_changes({c: whole.column(c).to_numpy() for c in ("rank", "key")}))[-1])
         if last:
             yield from solve(whole.slice(0, last))
             held = [whole.slice(last)]
@@ -399,37 +424,40 @@ def packed(docs: DataFrame) -> DataFrame:
     return map_arrow(rows, run, schema)
 
 
+SQL_TYPES = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary"}
+CONTENT = {"bucket": pa.int32(), "rank": pa.int64(), "key": pa.int64(), "did": pa.int64(), "th": pa.int64(), "start": pa.int64(), "shape": pa.int32(), "dup": pa.int32(), "wide": pa.int32(), "content": pa.binary()}
+
+
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted segments of each text."""
     unpress = zstandard.ZstdDecompressor()
     for batch in batches:
         rows: list[tuple] = []
-        for did, z, wanted in zip(batch.column("_fathom_did").to_pylist(), batch.column("_fathom_z").to_pylist(), batch.column("wanted").to_pylist()):
+        for did, th, z, wanted in zip(*(batch.column(c).to_pylist() for c in ("_fathom_did", "_fathom_th", "_fathom_z", "wanted"))):
             data = unpress.decompress(z)
             for w in wanted:
-                start, n = w["place"] >> START, w["place"] & 255
-                rows.append((w["bucket"], w["key"], did, w["place"], w["dup"], w["wide"], data[start : start + n + LENGTH - 1]))
+                start = w["start"]
+                rows.append((w["bucket"], w["rank"], w["key"], did, th, start, w["shape"], w["dup"], w["wide"], data[start : start + (w["shape"] & 255) + LENGTH - 1]))
         if rows:
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["bucket", "key", "did", "place", "dup", "wide", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), CONTENT.values())], list(CONTENT))
 
 
 def buckets(looked: DataFrame) -> tuple[DataFrame, int]:
-    """Adds the bucket: ranges of anchors between sampled splitters; large anchors over several buckets (wide)."""
+    """Adds the bucket: ranges of ranks between sampled splitters; large anchors over several buckets (wide)."""
     spark = looked.sparkSession
     n = looked.count()
     count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 40_000))
     step = max(1, n // SAMPLE)
-    sample = sorted(r["key"] for r in looked.where(F.pmod(F.xxhash64("did", "place"), F.lit(step)) == 0).select("key").limit(4 * SAMPLE).collect())
+    sample = sorted(r["rank"] for r in looked.where(F.pmod(F.xxhash64("did", "th", "start"), F.lit(step)) == 0).select("rank").limit(4 * SAMPLE).collect())
     ranges = min(count, RANGES)
     splitters = sample[:: max(1, len(sample) // ranges)][1:ranges]
     group = min(GROUP, max(256, 4 * n // count))
-    large = cut(looked.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > group))
-    dealt = looked.join(large, "key", "left")
+    large = cut(looked.groupBy("rank", "key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > group))
+    dealt = looked.join(large, ["rank", "key"], "left")
     per = -(-count // ranges)
     count = ranges * per
-    ranged = _bisect(F.col("key"), splitters) * per + F.pmod(F.xxhash64("key"), F.lit(per))
-    spread = F.pmod(F.xxhash64("key") + F.pmod(F.xxhash64("did", "place"), F.ceil(F.col("size") / group)), F.lit(count))
+    ranged = _bisect(F.col("rank"), splitters) * per + F.pmod(F.xxhash64("key"), F.lit(per))
+    spread = F.pmod(F.xxhash64("key") + F.pmod(F.xxhash64("did", "th", "start"), F.ceil(F.col("size") / group)), F.lit(count))
     return dealt.withColumn("bucket", F.when(F.col("size").isNull(), ranged).otherwise(spread).cast("int")).withColumn("wide", F.col("size").isNotNull().cast("int")).drop("size"), count
 
 
@@ -443,34 +471,36 @@ def _bisect(column, splitters: list[int], low: int = 0, high: int | None = None)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """did, th, start and n of bytes that are in a repeated string of LENGTH; spans overlap."""
+    """did, th, and the spans (start, n) of a text's bytes that are in a repeated string of LENGTH; spans overlap."""
     spark = docs.sparkSession
     made, path = stored(_segments(docs))
     total = made.where("kind = 0").count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 400_000))
     # anchors with a ten-thousandth of all segments: at most as many rows as that says
     hot = made.where("kind = 2").groupBy("key").agg(F.sum("did").alias("c")).where(F.col("c") >= max(HOT_LEAST, total // HOT_SHARE)).select("key", F.lit(1).alias("hot"))
     rows = made.where("kind = 0").join(F.broadcast(hot), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
     salt = F.when(F.col("hot") > 0, F.pmod("whole", F.lit(SALTS))).otherwise(F.lit(0))
-    dealt = rows.select(*_COLUMNS, "hot", salt.alias("salt")).repartition("key", "salt").sortWithinPartitions("key", "whole").select(*_COLUMNS, "hot")
-    known, _ = stored(map_arrow(dealt, _classify, SEGMENT).union(made.where("kind = 1")))
+    dealt = rows.select(*_COLUMNS, "hot", salt.alias("salt")).repartitionByRange(parts, "rank", "key", "salt").sortWithinPartitions("rank", "key", "whole").select(*_COLUMNS, "hot")
+    known, known_at = stored(map_arrow(dealt, _classify, SEGMENT).union(made.where("kind = 1")))
     dropped(spark, path)
     looked, count = buckets(known.where("kind = 3").select(*_COLUMNS))
-    th = F.shiftright("place", TEXT).bitwiseAND(F.lit((1 << TEXT_BITS) - 1))
-    wanted = looked.groupBy("did", th.alias("th")).agg(F.collect_list(F.struct("bucket", "key", "place", "dup", "wide")).alias("wanted"))
+    wanted = looked.groupBy("did", "th").agg(F.collect_list(F.struct("bucket", "rank", "key", "start", "shape", "dup", "wide")).alias("wanted"))
     texts = packed(docs.select("doc_id", "text")).select("_fathom_did", "_fathom_th", "_fathom_z")
-    bytes_of = texts.join(wanted, (texts._fathom_did == wanted.did) & (texts._fathom_th == wanted.th)).select("_fathom_did", "_fathom_z", "wanted")
-    content = map_arrow(bytes_of, _fetch, "bucket int, key long, did long, place long, dup int, wide int, content binary")
-    found, _ = stored(map_arrow(content.repartitionById(count, F.col("bucket")).sortWithinPartitions("key"), _sort_bucket, FOUND))
-    spans = known.where("kind = 1").select("did", th.alias("th"), F.shiftright("place", START).alias("start"), (F.col("place").bitwiseAND(F.lit(255)) + LENGTH - 1).cast("int").alias("n"))
-    spans = spans.union(found.where("kind = 1").select("did", "th", "start", "n"))
-    return spans.union(across(found.where("kind = 4")))
-
-
-def merged(spans: list[int], size: int) -> list[tuple[int, int]]:
-    """Sorted, joined [start, end) of spans given as start << 16 | length."""
+    bytes_of = texts.join(wanted, (texts._fathom_did == wanted.did) & (texts._fathom_th == wanted.th)).select("_fathom_did", "_fathom_th", "_fathom_z", "wanted")
+    content = map_arrow(bytes_of, _fetch, ", ".join(f"{c} {SQL_TYPES[t]}" for c, t in CONTENT.items()))
+    found, found_at = stored(map_arrow(content.repartitionById(count, F.col("bucket")).sortWithinPartitions("rank", "key"), _sort_bucket, FOUND))
+    spans = known.where("kind = 1").select("did", "th", "start", (F.col("shape").bitwiseAND(F.lit(255)) + LENGTH - 1).cast("int").alias("n"))
+    spans = spans.union(found.where("kind = 1").select("did", "th", "start", "n")).union(across(found.where("kind = 4")))
+    by_text, _ = stored(spans.groupBy("did", "th").agg(F.collect_set(F.struct("start", "n")).alias("spans")))
+    dropped(spark, known_at)
+    dropped(spark, found_at)
+    return by_text
+
+
+def merged(spans: list[dict], size: int) -> list[tuple[int, int]]:
+    """Sorted, joined [start, end) of spans of start and n."""
     out: list[list[int]] = []
-    for s in sorted(spans):
-        a, b = s >> 16, min((s >> 16) + (s & 0xFFFF), size)
+    for a, b in sorted((s["start"], min(s["start"] + s["n"], size)) for s in spans):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -480,13 +510,11 @@ def merged(spans: list[int], size: int) -> list[tuple[int, int]]:
 
 def with_spans(docs: DataFrame) -> DataFrame:
     """The rows without their text, with its bytes in _fathom_z and the spans to remove in _fathom_spans (null: none)."""
-    spans = repeated_spans(docs)
-    by_text = spans.groupBy("did", "th").agg(F.collect_set(F.shiftleft("start", 16).bitwiseOR(F.col("n").cast("long"))).alias("_fathom_spans"))
-    by_text = by_text.withColumnsRenamed({"did": "_fathom_d", "th": "_fathom_t"})
+    by_text = repeated_spans(docs).withColumnsRenamed({"did": "_fathom_d", "th": "_fathom_t", "spans": "_fathom_spans"})
     return packed(docs).join(by_text, (F.col("_fathom_did") == F.col("_fathom_d")) & (F.col("_fathom_th") == F.col("_fathom_t")), "left").drop("_fathom_d", "_fathom_t", "_fathom_did", "_fathom_th")
 
 
-def _kept(z: bytes, spans: list[int] | None, unpress) -> tuple[bytes, list[tuple[int, int]], int]:
+def _kept(z: bytes, spans: list[dict] | None, unpress) -> tuple[bytes, list[tuple[int, int]], int]:
     data = unpress.decompress(z)
     cuts = merged(spans, len(data)) if spans else []
     at, parts = 0, []

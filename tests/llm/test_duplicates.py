@@ -138,6 +138,19 @@ def test_suffix_brute(spark, odd, empty, given, monkeypatch, small):
         cloudpickle.unregister_pickle_by_value(op3_suffix)
 
 
+def test_suffix_places_have_no_bound():
+    far = 1 << 40
+    row = op3_suffix._rows(0, *[np.array([x]) for x in (5, 6, 7, 8, 9, far, (168 << op3_suffix.AT) | 169, 0)])
+    assert row.column("start")[0].as_py() == far and (row.column("shape")[0].as_py() >> op3_suffix.AT, row.column("shape")[0].as_py() & 255) == (168, 169)
+    assert op3_suffix.merged([{"start": far, "n": 200}, {"start": far + 150, "n": 200}, {"start": 3, "n": 200}], far + 300) == [(3, 203), (far, far + 300)]
+
+
+def test_suffix_ranks_are_in_byte_order():
+    texts = [bytes(np.random.RandomState(i).randint(0, 256, 300, dtype=np.uint8)) for i in range(50)]
+    got = sorted((op3_suffix.ranks(np.frombuffer(t, np.uint8), np.array([10]), np.array([0], np.uint64))[0], t[10:16]) for t in texts)
+    assert [lead for _, lead in got] == sorted(t[10:16] for t in texts)
+
+
 def test_suffix_stage(spark, odd, empty):
     out = op3_suffix.stage(spark, odd, "")
     assert out.columns == odd.columns and out.count() == odd.count() and all(r.n_chars == len(r.text) and r.did == "clash" for r in out.collect())
