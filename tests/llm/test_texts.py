@@ -194,11 +194,76 @@ def test_wrapper_without_article():
         items = op9_wrappers.fold(op9_wrappers.parse(page(k)))[0]
         wrapper = items if wrapper is None else op9_wrappers.merge(wrapper, items)
     assert "'All rights'" in op9_wrappers.regex(wrapper) and "(p:#text)+" in op9_wrappers.regex(wrapper)
-    assert op9_wrappers.read_page(page(1), wrapper, op9_wrappers.verdicts(wrapper)) == "T1\ntext number 1 is here\nsecond 1"
+    assert op9_wrappers.Reader(wrapper)(page(1)) == "T1\ntext number 1 is here\nsecond 1"
     both = op9_wrappers.merge(wrapper, op9_wrappers.fold(op9_wrappers.parse("<div><h2>X</h2><blockquote>q</blockquote></div>"))[0])
     assert "(blockquote:'q')?" in op9_wrappers.regex(both)
 
 
+def alone(page):
+    return op9_wrappers.Reader(op9_wrappers.fold(op9_wrappers.parse(page))[0])(page)
+
+
+def test_hidden_inline_elements_cost_no_text():
+    assert alone("<p>Hello <span hidden>x</span> world</p>") == "Hello world"
+    assert alone("<p>a <i style='display: none'>x <i>y</i> z</i> b</p><p>c</p>") == "a b\nc"
+    assert alone("<p>a <span hidden>x</p><p>b</p>") == "a\nb"
+    assert alone('<p>a <img aria-hidden="true"> b <span hidden/> c</p>') == "a b c"
+
+
+def test_slots_are_judged_one_by_one():
+    assert alone('<p>A plain paragraph.</p><p><a href="x">a text in a link</a> and</p>') == "A plain paragraph.\na text in a link and"
+    assert alone('<p>Plain.</p><p><a href="x">a long text in a link</a> and</p>') == "Plain."
+    page = '<article><h2 class="social">Social</h2><section class="share-price"><p>It fell.</p></section><p id="alert">An alert.</p><div class="commentary">View</div><div class="ad-box">Buy</div><ul class="share-buttons"><li>Share</li></ul><section class="comments"><p>c</p></section></article>'
+    assert alone(page) == "Social\nIt fell.\nAn alert.\nView"
+
+
+def test_wrapper_decides_on_every_page(spark, given):
+    """Constants within the article go, and so does what is outside, by what the host's other pages show."""
+    rows = [(k, "http://a/", f"<body><article><h1>A{k}</h1><p>text {k} {'word ' * k}</p><div>Get our app</div></article><p>Teaser {k}</p></body>") for k in range(8)]
+    given(op9_wrappers, pages=spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {r.page_id: r.text for r in op9_wrappers.op9_wrappers(spark, "").collect()}
+    assert got == {k: f"A{k}\n" + f"text {k} {'word ' * k}".strip() for k in range(8)}
+    assert alone(rows[3][2]) != got[3]  # the page alone doesn't show it
+
+
+def test_wrapper_is_the_same_for_any_partitioning(spark):
+    import random
+
+    r = random.Random(4)
+    block = lambda k: r.choice(["<p>t{}</p>", "<div class='x'><h3>h{}</h3><p>a{}</p></div>", "<ul><li>i{}</li><li>j</li></ul>", "<div>Same</div>", "<blockquote>q{}</blockquote>"]).replace("{}", str(k))
+    rows = [(k, f"http://{'ab'[k % 2]}/", "".join(block(k * 9 + i) for i in range(r.randint(1, 9)))) for k in range(120)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one, other = (op9_wrappers.extract(x, op9_wrappers.infer(x)).collect() for x in (df.coalesce(1), df.repartition(7)))
+    assert sorted(map(str, one)) == sorted(map(str, other)) and any(x.text for x in one)
+
+
+def test_broken_pages_take_time_by_their_length():
+    import time
+
+    for piece in ("<a ", '<a b="', "<div>x", "<div></p>", "<p>x", "<b hidden>", "<!--", "</", "<li><ul>", "<script", "=' <x ", "&#", "<div class='a b'>", "<a b='c>", "<td>x</div>"):
+        page = "<p>start</p>" + piece * (2_000_000 // len(piece))
+        begin = time.time()
+        slots = op9_wrappers.parse(page)
+        took = time.time() - begin
+        assert slots[0][1] == "start" and took < 8, (piece, took)  # seconds; quadratic time would be hours
+    items = [[f"p{k % 997}" if k % 3 else "p", None, False, False, [k], 1, 1, 0] for k in range(30_000)]
+    begin = time.time()
+    op9_wrappers.merge(items, items[::-1])
+    assert time.time() - begin < 8
+
+
+def test_alignment_keeps_order_and_pairs_equal_tokens():
+    import random
+
+    r = random.Random(6)
+    for _ in range(300):
+        a, b = ([[r.choice("abcdefg" if r.random() < 0.8 else "xyzuvw")] for _ in range(r.randint(0, 90))] for _ in "ab")
+        pairs = op9_wrappers.align(a, b)
+        left, right = [i for i, _ in pairs if i is not None], [j for _, j in pairs if j is not None]
+        assert left == list(range(len(a))) and right == list(range(len(b)))
+        assert all(a[i] == b[j] for i, j in pairs if i is not None and j is not None)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from fathom.llm import op2_simhash, op3_suffix, op7_mixing, op8_rules
