@@ -9,10 +9,13 @@ seen are equally likely. A text is lower-cased (A-Z), preceded by start marks an
 followed by one end symbol; its score is the sum of log10 probabilities.
 
 Counting covers all training texts, and every node stays, so the trie grows with the
-corpus. Chunks of text give their sorted distinct grams with training counts, which
-are dealt by the context's last three bytes. An owner sums them to its part of the
-trie, which has all longer contexts with these ends, and sends each chunk what the logs
-of its grams are made of. Only orders 0 to 2 are broadcast: 2**24 nodes at most.
+corpus. Chunks of text give their sorted distinct grams with training counts, in the
+order of the context read backwards. Splitters, sampled from that order, cut it into
+ranges of about equal load, one per owner, so contexts that share an ending of any
+length can be dealt over several owners. An owner sums its range to a part of the trie,
+and sends each chunk what the logs of its grams are made of. What a part can't count by
+itself is broadcast: orders 0 to 2 (2**24 nodes at most), and the contexts of orders 3
+to 5 that a splitter lies in (three contexts, 768 nodes, per splitter at most).
 
 The base score needs each word's count in the training texts. A word goes once
 per chunk to the task that owns its hash, and the counts come back to the chunk,
@@ -20,12 +23,14 @@ so neither frequent nor rare words gather documents anywhere. A chunk's texts ar
 stored compressed; both scores are then read off the chunk in one go, from the
 words' counts and the grams' logs.
 
-Sizes: chunks have CHUNK_BYTES, and words and grams are dealt over half as many
-owners as there are chunks; with very large corpora, raise CHUNK_BYTES.
+Sizes: chunks have CHUNK_BYTES, and owners are half as many as chunks, so that the
+load of a task stays the same; each chunk has a block per owner, as in any shuffle, and
+the blocks grow with the square of the chunks. With very large corpora, raise CHUNK_BYTES.
 
 Defined cases: null texts are empty, and score their end symbol; null ids are
-training rows; repeated rows are scored each; without any training row the trie
-is empty (all symbols equally likely) and N is 0; an empty table gives no row.
+training rows; repeated rows are scored each; a very long text is a chunk of its own,
+held as a whole by its task; extra columns are ignored; without any training row the
+trie is empty (all symbols equally likely) and N is 0; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -124,23 +129,45 @@ def low(order: int) -> np.uint64:
     return np.uint64((1 << (8 * (order + 1))) - 1)
 
 
-def owner_of(grams_: np.ndarray, owners: int) -> np.ndarray:
-    """By the context's last three bytes, so that an owner has the whole of each longer context with that end."""
-    return ((((grams_ >> np.uint64(8)) & low(SHORT)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % owners
-
-
-def by_owner(grams_: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Grams turned and sorted by owner and then themselves, which makes them compact; their owners; and the places they had."""
+def backwards(grams_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Grams in the order of their contexts read backwards, which makes owners ranges and grams compact; and the places they had."""
     back = turned(grams_)
     order = np.argsort(back)
-    owner = owner_of(grams_[order], owners)
-    dealt = np.argsort(owner, kind="stable")
-    order = order[dealt]
-    return back[order], owner[dealt], order
+    return back[order], order
+
+
+#: A sample of so many bytes of text per owner, of which every STEPth distinct gram is a candidate splitter.
+SAMPLE_BYTES, STEP = 64 << 10, 256
+LEAST_SAMPLE = 32 << 20
 
 
-def chunks(docs: DataFrame, owners: int) -> DataFrame:
-    """kind 0: the chunk; 1: its words for an owner, with training counts; 2: its grams for an owner, with training counts; 3: its training grams of order SHORT."""
+def splitters(docs: DataFrame, owners: int, size: int) -> np.ndarray:
+    """Turned grams, without their symbol, that cut all grams into ranges of about equal load; they only say who counts what."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in in_groups(batches, CHUNK_BYTES):
+            key, _ = grams([(t or b"").lower() for t in part.column("text").cast(pa.binary()).to_pylist()])
+            back = np.unique(turned(key))
+            yield pa.RecordBatch.from_arrays([pa.array(back[STEP // 2 :: STEP].view(np.int64))], ["at"])
+
+    share = min(1.0, max(LEAST_SAMPLE, owners * SAMPLE_BYTES) / max(size, 1))
+    texts = docs.select("text") if share == 1 else docs.select("text").sample(share, 7)
+    # about SAMPLE_BYTES / STEP numbers per owner
+    found = np.sort(np.array([r["at"] for r in map_arrow(texts, run, "at long").collect()], np.int64)).view(np.uint64)
+    if len(found) == 0:
+        return found
+    at = np.arange(1, owners) * len(found) // owners
+    return np.unique(found[at] & ~np.uint64(0xFF))
+
+
+def straddling(split: np.ndarray, order: int) -> np.ndarray:
+    """The contexts of an order that a splitter may lie in, sorted."""
+    return np.unique((turned(split) >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1))
+
+
+def chunks(docs: DataFrame, owners: int, split: np.ndarray) -> DataFrame:
+    """kind 0: the chunk; 1: its words for an owner, with training counts; 2: its grams for an owner, with training counts; 3: its training grams of order SHORT, and those of straddling contexts, by order."""
+    shared = {o: straddling(split, o) for o in range(SHORT + 1, ORDER)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -167,10 +194,18 @@ def chunks(docs: DataFrame, owners: int) -> DataFrame:
             key >>= np.uint64(1)
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             key, size = key[first], np.add.reduceat(trained, first, dtype=np.uint32)
-            short, count = _sum((key & low(SHORT))[size > 0], size[size > 0].astype(np.int64))
-            yield _chunk_rows([(3, name, 0, squeeze_sorted(short), squeeze(count), None, None, 0)])
-            key, owner, order = by_owner(key, owners)
-            size, edges = size[order], np.searchsorted(owner, np.arange(owners + 1))
+            trained = size > 0
+            known, times = key[trained], size[trained].astype(np.int64)
+            rows = []
+            for o in range(SHORT, ORDER):
+                gram = known & low(o)
+                at = slice(None) if o == SHORT else find(shared[o], gram >> np.uint64(8)) >= 0
+                gram, count = _sum(gram[at], times[at])
+                if len(gram):
+                    rows.append((3, name, o, squeeze_sorted(gram), squeeze(count), None, None, 0))
+            yield _chunk_rows(rows)
+            key, order = backwards(key)
+            size, edges = size[order], np.concatenate(([0], np.searchsorted(key, split), [len(key)]))
             yield _chunk_rows([(2, name, q, squeeze(key[edges[q] : edges[q + 1]]), squeeze(size[edges[q] : edges[q + 1]]), None, None, int(size[edges[q] : edges[q + 1]].sum())) for q in np.flatnonzero(np.diff(edges)).tolist()])
 
     return map_arrow(docs.select("doc_id", "text"), run, CHUNK)
@@ -225,7 +260,7 @@ def word_counts(made: DataFrame, owners: int) -> DataFrame:
                 counts = [squeeze(total[at[e - len(h) : e]]) for h, e in zip(hashes[i : i + 64], ends[i : i + 64])]
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([owner] * len(names), pa.int32()), pa.array(counts, pa.binary()), pa.array([int((total > 0).sum()) if i + j == 0 else 0 for j in range(len(names))], pa.int64())], ["chunk", "owner", "counts", "distinct"])
 
-    dealt = made.where("kind = 1").select("owner", "chunk", "a", "b").repartition(owners, "owner").sortWithinPartitions("owner")
+    dealt = made.where("kind = 1").select("owner", "chunk", "a", "b").repartitionById(owners, F.col("owner")).sortWithinPartitions("owner")
     return map_arrow(dealt, run, "chunk string, owner int, counts binary, distinct long")
 
 
@@ -233,20 +268,26 @@ def word_counts(made: DataFrame, owners: int) -> DataFrame:
 
 
 def short_nodes(made: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(order, grams, counts) of orders 0 to SHORT, summed within tasks and then on the driver, from at most 2**24 counts."""
+    """(order, grams, counts) of orders 0 to SHORT, and of the straddling contexts of longer ones, summed within tasks and then on the driver (see above for their number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        total: dict[int, tuple] = {}
         for batch in batches:
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                key, count = _sum(np.concatenate((key, unsqueeze_sorted(a))), np.concatenate((count, unsqueeze(b))))
-        if len(key):
-            yield pa.RecordBatch.from_arrays([pa.array([squeeze_sorted(key)], pa.binary()), pa.array([squeeze(count)], pa.binary())], ["a", "b"])
+            for order, a, b in zip(*(batch.column(c).to_pylist() for c in ("owner", "a", "b"))):
+                key, count = total.get(order, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+                total[order] = _sum(np.concatenate((key, unsqueeze_sorted(a))), np.concatenate((count, unsqueeze(b))))
+        for order, (key, count) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([order], pa.int32()), pa.array([squeeze_sorted(key)], pa.binary()), pa.array([squeeze(count)], pa.binary())], ["owner", "a", "b"])
 
     total = np.zeros(1 << (8 * (SHORT + 1)), np.int64)
-    for row in cut(map_arrow(made.where("kind = 3").select("a", "b"), run, "a binary, b binary")).toLocalIterator():
-        total[unsqueeze_sorted(row["a"]).astype(np.int64)] += unsqueeze(row["b"])
-    out = []
+    longer = {o: (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for o in range(SHORT + 1, ORDER)}
+    for row in cut(map_arrow(made.where("kind = 3").select("owner", "a", "b"), run, "owner int, a binary, b binary")).toLocalIterator():
+        key, count = unsqueeze_sorted(row["a"]), unsqueeze(row["b"])
+        if row["owner"] == SHORT:
+            total[key.astype(np.int64)] += count
+        else:
+            longer[row["owner"]] = _sum(np.concatenate((longer[row["owner"]][0], key)), np.concatenate((longer[row["owner"]][1], count)))
+    out = [(o, *nodes) for o, nodes in longer.items()]
     for order in range(SHORT, -1, -1):
         at = np.flatnonzero(total)
         out.append((order, at.astype(np.uint64), total[at]))
@@ -254,9 +295,9 @@ def short_nodes(made: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
     return out
 
 
-def gram_logs(made: DataFrame, owners: int, short: list[tuple[int, np.ndarray, np.ndarray]]) -> DataFrame:
+def gram_logs(made: DataFrame, split: np.ndarray, short: list[tuple[int, np.ndarray, np.ndarray]]) -> DataFrame:
     """chunk, owner and what the logs of the chunk's grams there are made of (see unsqueeze_logs), in their order."""
-    held = made.sparkSession.sparkContext.broadcast(short)
+    held = made.sparkSession.sparkContext.broadcast((short, {o: straddling(split, o) for o in range(SHORT + 1, ORDER)}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -267,10 +308,11 @@ def gram_logs(made: DataFrame, owners: int, short: list[tuple[int, np.ndarray, n
             del keys
             count = np.bincount(at, np.concatenate([unsqueeze(b) for _, _, b in rows])).astype(np.int64)
             at = at.astype(np.int32)
-            nodes, own, size = list(held.value), key[count > 0], count[count > 0]
+            short_, shared = held.value
+            nodes, own, size = [x for x in short_ if x[0] <= SHORT], key[count > 0], count[count > 0]
             for order in range(ORDER, SHORT, -1):
                 own, size = _sum(own & low(order), size)
-                nodes.append((order, own, size))
+                nodes.append((order, own, size) if order == ORDER else _with_shared(own, size, shared[order], next(x for x in short_ if x[0] == order)))
             trie = Trie(nodes)
             den = np.zeros(len(key), np.int64)
             den[count > 0] = trie.top[ORDER][find(trie.contexts[ORDER], key[count > 0] >> np.uint64(8))]
@@ -283,10 +325,19 @@ def gram_logs(made: DataFrame, owners: int, short: list[tuple[int, np.ndarray, n
                 parts = [squeeze_logs(count[x], den[x], logs[x]) for x in places]
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([owner] * len(names), pa.int32()), pa.array(parts, pa.list_(pa.binary()))], ["chunk", "owner", "logs"])
 
-    dealt = made.where("kind = 2").select("owner", "chunk", "a", "b").repartition(owners, "owner").sortWithinPartitions("owner")
+    dealt = made.where("kind = 2").select("owner", "chunk", "a", "b").repartitionById(len(split) + 1, F.col("owner")).sortWithinPartitions("owner")
     return map_arrow(dealt, run, "chunk string, owner int, logs array<binary>")
 
 
+def _with_shared(own: np.ndarray, size: np.ndarray, shared: np.ndarray, node: tuple) -> tuple[int, np.ndarray, np.ndarray]:
+    """An order's nodes: the owner's own, but for straddling contexts the sums over all owners."""
+    order, key, count = node
+    mine = find(shared, own >> np.uint64(8)) < 0
+    key, count = np.concatenate((own[mine], key)), np.concatenate((size[mine], count))
+    at = np.argsort(key)
+    return order, key[at], count[at]
+
+
 def squeeze_logs(count: np.ndarray, den: np.ndarray, logs: np.ndarray) -> list[bytes]:
     known = count > 0
     return [squeeze(count), squeeze(den[known]), squeeze(logs[~known])]
@@ -370,7 +421,7 @@ class Trie:
         return out
 
 
-def sum_logs(texts: list[bytes], parts: list[tuple[int, list[bytes]]], owners: int) -> np.ndarray:
+def sum_logs(texts: list[bytes], parts: list[tuple[int, list[bytes]]]) -> np.ndarray:
     """Each text's score, from the logs of the chunk's distinct grams by owner."""
     key, starts = grams(texts)
     order = np.argsort(key)
@@ -378,7 +429,7 @@ def sum_logs(texts: list[bytes], parts: list[tuple[int, list[bytes]]], owners: i
     new = np.append(True, key[1:] != key[:-1])
     key = key[new]
     logs = np.empty(len(key))
-    logs[by_owner(key, owners)[2]] = np.concatenate([unsqueeze_logs(data) for _, data in sorted(parts)])
+    logs[backwards(key)[1]] = np.concatenate([unsqueeze_logs(data) for _, data in sorted(parts)])
     del key
     at = np.cumsum(new, dtype=np.int32)
     at -= 1
@@ -388,17 +439,18 @@ def sum_logs(texts: list[bytes], parts: list[tuple[int, list[bytes]]], owners: i
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, and the model's code length per byte (the end counts as one)."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (2 * CHUNK_BYTES)))
-    made, path = stored(chunks(docs, owners), "kind")
+    split = splitters(docs, owners, size)
+    made, path = stored(chunks(docs, owners, split), "kind")
     sums = {r["kind"]: r["n"] for r in made.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     n = sums.get(0, 0)
     counted = cut(word_counts(made, owners))
     distinct = counted.agg(F.sum("distinct")).first()[0] or 0
     dropped(spark, f"{path}/kind=1")  # summed by now
-    logs = gram_logs(made, owners, short_nodes(made))
+    logs = gram_logs(made, split, short_nodes(made))
     ends = made.where("kind = 0").select(F.explode("ids").alias("doc_id"))
     n_train = ends.where(~F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_MOD == HELD_REST, F.lit(False))).count()
     vocabulary = distinct + (1 if n_train else 0)
@@ -419,12 +471,14 @@ def score(docs: DataFrame) -> DataFrame:
                 text = np.repeat(np.arange(len(texts)), sizes)
                 base = np.bincount(text, np.log10((c + 1) / over), len(texts)) + np.log10((n_train + 1) / over)
                 known = np.bincount(text, c > 0, len(texts)) + (n_train > 0)
+                logs = sum_logs(texts, [(p["owner"], p["logs"]) for p in parts if p["logs"] is not None])
+                bits = -logs * np.log2(10) / (np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array(sizes + 1), pa.array(known.astype(np.int64)), pa.array(np.full(len(ids), n, np.int64)), pa.array(base), pa.array(sum_logs(texts, [(p["owner"], p["logs"]) for p in parts if p["logs"] is not None], owners))],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                    [pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array(sizes + 1), pa.array(known.astype(np.int64)), pa.array(np.full(len(ids), n, np.int64)), pa.array(base), pa.array(logs), pa.array(bits)],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_symbol"],
                 )
 
-    return map_arrow(rows, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return map_arrow(rows, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_symbol double")
 
 
 def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

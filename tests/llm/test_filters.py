@@ -285,6 +285,28 @@ def test_ppm_brute(spark, odd):
     assert sorted(want) == sorted((str(x.doc_id), x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6), round(x.score, 6)) for x in got)
 
 
+def test_ppm_owners_share_contexts(spark, monkeypatch):
+    """Splitters in the midst of contexts change nothing: what straddles them is summed over all owners."""
+    from pyspark import cloudpickle
+
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(["the", "then", "these", "a", "an", "and", "é", "thé"]) for _ in range(r.randint(0, 60)))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {x.doc_id: x.score for x in op10_ppm.score(df).collect()}
+    cloudpickle.register_pickle_by_value(op10_ppm)
+    monkeypatch.setattr(op10_ppm, "STEP", 2)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        split = op10_ppm.splitters(df, 40, 10_000)
+        assert len(split) > 20 and all(len(op10_ppm.straddling(split, o)) > 5 for o in (3, 4, 5))
+        got = {x.doc_id: x.score for x in op10_ppm.score(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        cloudpickle.unregister_pickle_by_value(op10_ppm)
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
 def test_ppm_keeps_rare_contexts(spark):
     rare = "".join(map(chr, range(48, 58))) + "".join(map(chr, range(97, 123)))
     known = next(i for i in range(100) if not op10_ppm.held_out(i))
