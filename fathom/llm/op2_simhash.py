@@ -9,14 +9,29 @@ orthogonal to all of them, and the pair meets in that table. Nothing is missed
 within the radius, and every meeting is verified by its distance.
 
 A bucket with more than ``BUCKET`` fingerprints isn't compared in one task: its
-rows go to a next level, masked again by another family over the same bits; each
-level halves the free bits, so that a bucket of the last level has a few
-hundred fingerprints at most. Buckets give a spanning forest of their links, not
-all pairs; components are joined over all tables.
+rows go to a next level, masked again by another family over the same bits, up to
+``LEVELS`` of them. Each level about halves the bits in which a bucket's fingerprints
+can differ: over any masks of the five families 11 of 64 at most stay free, so a bucket
+of the last level has 2,048 distinct fingerprints at most, and is compared as it is. Buckets
+give a spanning forest of their links, not all pairs; components are joined over all
+tables.
+
+``similar`` is the operator for similarities that no small radius reaches, and what the
+pipeline's stage takes: five-word shingles and a Jaccard similarity of 0.8 or more. Its
+fingerprints have 256 bits, and its structured masks are families of disjoint masks of
+k bits, so that in each family every pair within 256 / k - 1 bits meets; there are as
+many families as let a pair at the similarity meet with probability ``RECALL`` or more,
+and k grows with the logarithm of the rows, as do the buckets' number. Meetings within
+``NEAR`` bits are links to be checked; a check reads both sets of shingles, of which
+only those in question move. What the checks left apart is compared once more within
+``FAR`` bits, each with all it meets, so that no link within a bucket is lost.
 
 Defined cases: a null or empty text has fingerprint zero, and is linked like any
 other; fewer words than a shingle are one shingle; null ids get the component of
-their fingerprint; repeated rows stay; an empty table gives an empty result.
+their fingerprint; repeated rows stay (the stage keeps one of them); a very long text
+is hashed as a whole, a row at a time; extra columns, whatever their names (but for
+``_fathom_`` in front), stay as they are in the stage and are ignored by the query; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,13 +44,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.common import cut, identity, in_groups, map_arrow, table, utf8
+from fathom.llm.common import cut, identity, in_groups, map_arrow, stored, table, utf8
 from fathom.llm.components import connected_components
 
 SEED, BITS = 42, 64
 #: Fingerprints that one task compares with each other.
 BUCKET = 1024
-LEVELS = 4
+LEVELS = 5
 
 _SPREAD = np.zeros((256, 8), np.uint8)
 for _i in range(8):
@@ -95,19 +110,25 @@ def masks(radius: int, family: int = 0) -> list[int]:
 
 
 def _forest(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within one bucket, in blocks of comparisons."""
-    n = len(fp)
-    label = np.arange(n)
-    near = [np.flatnonzero(np.bitwise_count(fp ^ x) <= radius) for x in fp]
-    changed = True
-    while changed:
-        changed = False
-        for group in near:
-            least = label[group].min()
-            if (label[group] != least).any():
-                label[group] = least
-                changed = True
-    return [(int(fp[i]), int(fp[j])) for i, j in enumerate(label) if i != j]
+    """A spanning forest of the links within one bucket; each fingerprint looks once at those not reached yet."""
+    return [(int(fp[i]), int(fp[j])) for i, j in _links(fp[:, None], radius)]
+
+
+def _links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """The same over rows of words, as indexes."""
+    out: list[tuple[int, int]] = []
+    left = np.arange(len(fp))
+    while len(left) > 1:
+        todo, left = [int(left[0])], left[1:]
+        while todo and len(left):
+            i = todo.pop()
+            near = np.bitwise_count(fp[left] ^ fp[i]).sum(1, dtype=np.int64) <= radius
+            if near.any():
+                hit = left[near].tolist()
+                left = left[~near]
+                out += [(i, j) for j in hit]
+                todo += hit
+    return out
 
 
 def _compare(radius: int, last: bool):
@@ -184,9 +205,192 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# ---- by similarity ----
+
+WORDS = 4
+NEAR, FAR = 40, 56
+RECALL = 0.95
+SIMILARITY, SHINGLE = 0.8, 5
+#: Bits of the fixed filter that says which texts a check may want.
+FILTER_BITS = 27
+_PRINTS = ", ".join(f"w{i} long" for i in range(WORDS))
+
+
+def wide_print(h: np.ndarray) -> tuple[int, list[int]]:
+    """A hash of the set of shingles, and the set's fingerprint of 64 * WORDS bits."""
+    u = np.unique(h)
+    out = [majority(u)]
+    for i in range(1, WORDS):
+        v = (u ^ np.uint64(0x9E3779B97F4A7C15 * i & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+        v ^= v >> np.uint64(32)
+        v *= np.uint64(0x94D049BB133111EB)
+        out.append(majority(v ^ (v >> np.uint64(29))))
+    return xxhash.xxh3_64_intdigest(u.tobytes()), out
+
+
+def wide_prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """_fathom_no (without an id), _fathom_did, _fathom_th, the set's hash as node, and the fingerprint's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_print(hashes(t, shingle)) for t in batch.column("text").to_pylist()]
+            values = np.array([(n, *w) for n, w in found], np.uint64).reshape(-1, 1 + WORDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(values[:, i].copy()) for i in range(1 + WORDS))], ["_fathom_no", "_fathom_did", "_fathom_th", "node", *(f"w{i}" for i in range(WORDS))])
+
+    rows = identity(docs.select("doc_id", "text")).select(F.col("doc_id").isNull().alias("_fathom_no"), "_fathom_did", "_fathom_th", "text")
+    return map_arrow(rows, run, f"_fathom_no boolean, _fathom_did long, _fathom_th long, node long, {_PRINTS}")
+
+
+def agreement(similarity: float) -> float:
+    """The chance that a bit of two sets of this Jaccard similarity agrees."""
+    return 1 - float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def families(n: int, similarity: float) -> list[list[int]]:
+    """Masks as words (signed), family by family: each family's are disjoint, of k bits."""
+    k = min(24, max(12, int(n).bit_length() - 2))
+    per = BITS * WORDS // k
+    tables = int(np.ceil(np.log(1 - RECALL) / np.log(1 - agreement(similarity) ** k)))
+    out = []
+    for family in range(-(-tables // per)):
+        bits = np.random.RandomState(family).permutation(BITS * WORDS)
+        for i in range(per):
+            mask = [0] * WORDS
+            for b in bits[i * k : (i + 1) * k].tolist():
+                mask[b // BITS] |= 1 << (b % BITS)
+            out.append([m - (1 << 64) if m >> 63 else m for m in mask])
+    return out
+
+
+def _meet(radius: int, apart: bool):
+    """Over rows sorted by bucket: pairs within the radius, as a spanning forest, or with ``apart`` all between different components."""
+    columns = ["node", "root", *(f"w{i}" for i in range(WORDS))]
+
+    def solve(rows: np.ndarray) -> np.ndarray:
+        node, root, fp = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
+        if not apart:
+            return np.array([(node[i], node[j]) for i, j in _links(fp, radius)], np.int64).reshape(-1, 2)
+        roots, at, size = np.unique(root, return_inverse=True, return_counts=True)
+        if len(roots) < 2:
+            return np.zeros((0, 2), np.int64)
+        # those of the largest component wait for the others to look at them
+        found = []
+        for i in np.flatnonzero(at != size.argmax()).tolist():
+            near = (np.bitwise_count(fp ^ fp[i]).sum(1, dtype=np.int64) <= radius) & (root != root[i])
+            found += [(min(node[i], x), max(node[i], x)) for x in node[near].tolist()]
+        return np.array(sorted(set(found)), np.int64).reshape(-1, 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 2 + WORDS), np.int64)
+        key = None
+        for part in in_groups(batches, 4 << 20):
+            keys = part.column("bucket").to_numpy()
+            rows = np.stack([part.column(c).to_numpy() for c in columns], axis=1)
+            bounds = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
+            sizes = np.diff(bounds)
+            found = []
+            # a bucket of one row matters only where it may go on in another batch
+            for i in sorted({0, len(sizes) - 1, *np.flatnonzero(sizes > 1).tolist()}):
+                s, e = int(bounds[i]), int(bounds[i + 1])
+                if keys[s] != key:
+                    if len(held) > 1:
+                        found.append(solve(held))
+                    key, held = keys[s], held[:0]
+                held = np.concatenate((held, rows[s:e]))
+            yield from _pairs(found)
+        if len(held) > 1:
+            yield from _pairs([solve(held)])
+
+    return run
+
+
+def _pairs(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    both = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    if len(both):
+        yield pa.RecordBatch.from_arrays([pa.array(both.min(1)), pa.array(both.max(1))], ["a", "b"])
+
+
+def meetings(nodes: DataFrame, tables: list[list[int]], radius: int, apart: bool) -> DataFrame:
+    """Distinct pairs (a, b) of nodes, with their root, that meet in a table within the radius."""
+    words = [F.col(f"w{i}") for i in range(WORDS)]
+    each = F.array(*[F.xxhash64(F.lit(t), *[w.bitwiseAND(F.lit(m).cast("long")) for w, m in zip(words, mask) if m]) for t, mask in enumerate(tables)])
+    rows = nodes.select("node", "root", *words, F.explode(each).alias("bucket"))
+    return map_arrow(rows.repartition("bucket").sortWithinPartitions("bucket", "node"), _meet(radius, apart), "a long, b long").distinct()
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted arrays without repeats."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    union = len(a) + len(b) - both
+    return both / union if union else 1.0
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """One bit per hash of (did, th), in FILTER_BITS of them whatever the number of keys; with very many, it only lets more through."""
+    at = F.xxhash64("_fathom_did", "_fathom_th").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    rows = keys.select((at + 1).alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits")).collect()
+    out = np.zeros((1 << FILTER_BITS) // 8 + 8192, np.uint8)
+    for r in rows:
+        out[(r["n"] - 1) * 4096 : r["n"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def checked(pairs: DataFrame, docs: DataFrame, heads: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs of nodes whose sets of shingles have the similarity. ``heads``: one row (_fathom_did, _fathom_th) of each node."""
+    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = cut(heads.join(involved, "node"))
+    bits = _filter(wanted)
+    held = docs.sparkSession.sparkContext.broadcast(bits.tobytes())  # 16 MB at any size
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(held.value, np.uint8)
+        for batch in batches:
+            at = batch.column("at").to_numpy()
+            hit = (known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            if hit.any():
+                some = batch.filter(pa.array(hit))
+                made = [np.unique(hashes(t, shingle)).tobytes() for t in some.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column("_fathom_did"), some.column("_fathom_th"), pa.array(made, pa.binary())], ["did", "th", "shingles"])
+
+    at = F.xxhash64("_fathom_did", "_fathom_th").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    rows = map_arrow(identity(docs.select("doc_id", "text")).select("_fathom_did", "_fathom_th", "text", at.alias("at")), sets, "did long, th long, shingles binary")
+    of, _ = stored(rows.join(wanted, (F.col("did") == F.col("_fathom_did")) & (F.col("th") == F.col("_fathom_th"))).select("node", "shingles").dropDuplicates(["node"]))
+    left, right = (of.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sa, sb = batch.column("sa").to_pylist(), batch.column("sb").to_pylist()
+            ok = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in zip(sa, sb)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+
+    return cut(map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), run, "a long, b long, ok boolean"))
+
+
+def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Each row's _fathom_no, _fathom_did, _fathom_th and node, and the root of the component of nodes linked by their similarity."""
+    prints, _ = stored(wide_prints(docs, shingle))
+    words = [F.first(f"w{i}").alias(f"w{i}") for i in range(WORDS)]
+    nodes = cut(prints.groupBy("node").agg(F.min(F.struct("_fathom_did", "_fathom_th")).alias("h"), *words))
+    heads = nodes.select("node", "h._fathom_did", "h._fathom_th")
+    tables = families(nodes.count(), similarity)
+    first = cut(meetings(nodes.withColumn("root", F.col("node")), tables, NEAR, False))
+    seen = checked(first, docs, heads, shingle, similarity)
+    label = _rooted(nodes, seen)
+    rest = cut(meetings(label, tables, FAR, True).join(seen.select("a", "b"), ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        seen = seen.union(checked(rest, docs, heads, shingle, similarity))
+        label = _rooted(nodes, seen)
+    return prints.select("_fathom_no", "_fathom_did", "_fathom_th", "node").join(label.select("node", "root"), "node")
+
+
+def _rooted(nodes: DataFrame, seen: DataFrame) -> DataFrame:
+    groups = connected_components(seen.where("ok").select("a", "b")).withColumnRenamed("node", "_n").withColumnRenamed("root", "_r")
+    return cut(nodes.join(groups, F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("_r", "node")).drop("_n", "_r"))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with the least id; without any id, that with the least hash."""
-    order = F.struct(F.col("doc_id").isNull(), "_fathom_did", "_fathom_th")
-    keep = near_duplicates(docs).groupBy("root").agg(F.min(order).alias("k")).select(F.col("k._fathom_did").alias("_kd"), F.col("k._fathom_th").alias("_kt"))
+    """One document of each component by similarity: that with the least id (without an id, by its text's hash)."""
+    order = F.struct("_fathom_no", "_fathom_did", "_fathom_th")
+    keep = similar(docs).groupBy("root").agg(F.min(order).alias("k")).select(F.col("k._fathom_did").alias("_kd"), F.col("k._fathom_th").alias("_kt"))
     rows = identity(docs)
     return rows.join(cut(keep), (rows._fathom_did == F.col("_kd")) & (rows._fathom_th == F.col("_kt")), "left_semi").dropDuplicates(["_fathom_did", "_fathom_th"]).select(*docs.columns)

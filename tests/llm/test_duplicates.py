@@ -73,7 +73,80 @@ def test_simhash_stage(spark, odd, empty):
     assert op2_simhash.stage(spark, empty, "").count() == 0
 
 
-@pytest.mark.parametrize("family", range(4))
+def shingles(text, k=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
+    return {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} or ({" ".join(w)} if w else set())
+
+
+def brute_similar(rows, least=0.8):
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] == sets[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+            a, b = find(parent, i), find(parent, j)
+            parent[max(a, b)] = min(a, b)
+    return [find(parent, i) for i in range(len(rows))]
+
+
+def edited(words, share, r):
+    return [r.choice("xyz") + str(r.random()) if r.random() < share else w for w in words]
+
+
+def test_similar_brute(spark, odd, monkeypatch):
+    r = random.Random(3)
+    word = lambda: r.choice("abcdefgh") + str(r.randint(0, 999))
+    rows = []
+    for g in range(30):  # groups of near copies, and unlike texts
+        base = [word() for _ in range(r.randint(60, 300))]
+        rows += [" ".join(edited(base, r.choice([0, 0.003, 0.006]), r)) for _ in range(r.randint(1, 5))]
+    chain = [word() for _ in range(200)]  # neighbours are alike, the ends aren't: links that a star misses
+    for _ in range(50):
+        chain = [*chain[4:], *(word() for _ in range(4))]
+        rows.append(" ".join(chain))
+    rows += ["", None, " \t", "A b", "a B", "one two three four five six"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
+    got = {x._fathom_did: x.root for x in op2_simhash.similar(docs).collect()}
+    want = brute_similar(list(enumerate(rows)))
+    groups = lambda label: {frozenset(i for i in range(len(rows)) if label[i] == k) for k in {label[i] for i in range(len(rows))}}
+    assert groups(got) == groups(want)
+
+
+def test_similar_filter(spark):
+    df = spark.createDataFrame([(i, i * 7) for i in range(500)], "_fathom_did long, _fathom_th long")
+    bits = op2_simhash._filter(df)
+    at = [x.a for x in df.selectExpr(f"xxhash64(_fathom_did, _fathom_th) & {(1 << op2_simhash.FILTER_BITS) - 1} AS a").collect()]
+    assert {i * 8 + j for i in np.flatnonzero(bits).tolist() for j in range(8) if bits[i] >> j & 1} == set(at)
+
+
+def test_similar_recall_at_the_threshold(spark):
+    """Pairs from 0.8 on are found; pairs below aren't linked, however near."""
+    r = random.Random(4)
+    rows, alike = [], []
+    while len(rows) < 1200:
+        base = [f"w{r.randint(0, 10**6)}" for _ in range(300)]
+        other = edited(base, 0.02, r)
+        a, b = shingles(" ".join(base)), shingles(" ".join(other))
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+        alike.append(len(a & b) / len(a | b))
+    root = {x._fathom_did: x.root for x in op2_simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [root[2 * i] == root[2 * i + 1] for i in range(len(alike))]
+    assert not any(x for x, j in zip(linked, alike) if j < 0.8)
+    near = [x for x, j in zip(linked, alike) if 0.8 <= j < 0.85]
+    assert len(near) > 100 and sum(near) / len(near) >= 0.9 and all(x for x, j in zip(linked, alike) if j > 0.92)
+
+
+def test_similar_masks_are_disjoint_in_a_family():
+    for n in (10, 10**5, 10**8):
+        tables = op2_simhash.families(n, 0.8)
+        k = sum((m & (2**64 - 1)).bit_count() for m in tables[0])
+        per = 256 // k
+        for f in range(0, len(tables), per):
+            total = [sum((t[w] & (2**64 - 1)) for t in tables[f : f + per]) for w in range(4)]
+            assert all(x < 2**64 for x in total) and sum(x.bit_count() for x in total) == per * k
+        assert 1 - (1 - op2_simhash.agreement(0.8) ** k) ** len(tables) >= op2_simhash.RECALL
+
+
+@pytest.mark.parametrize("family", range(5))
 def test_masks_cover(family):
     found = [m & (2**64 - 1) for m in op2_simhash.masks(4, family)]
     r = random.Random(family)

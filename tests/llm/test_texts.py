@@ -274,11 +274,28 @@ def test_pipeline(spark):
     kept = {r.doc_id for r in op8_rules.op8_rules(spark, SF).where("kept").collect()}
     assert {r.doc_id for r in rules.collect()} == kept
     single = op2_simhash.stage(spark, rules, SF)
-    near = op2_simhash.near_duplicates(rules).collect()
-    assert sorted(r.doc_id for r in single.collect()) == sorted({r.component_id for r in near})
+    least = {}
+    for r in op2_simhash.similar(rules).collect():
+        least[r.root] = min(least.get(r.root, r._fathom_did), r._fathom_did)
+    assert single.columns == docs.columns and sorted(r.doc_id for r in single.collect()) == sorted(least.values())
     cut = op3_suffix.stage(spark, single, SF)
     assert cut.columns == docs.columns and cut.count() == single.count()
     mixed = op7_mixing.stage(spark, cut, SF)
     assert mixed.columns == docs.columns and max(collections.Counter(r.doc_id for r in mixed.collect()).values()) <= 3
     out = corpus_pipeline.run(spark, SF)
     assert out.where("NOT round_trip").count() == 0 and out.where("rank = 1").count() == mixed.count()
+
+
+def test_pipeline_odd(spark, odd, empty, monkeypatch):
+    """Nulls, empty and long texts, repeated rows, an empty table, columns of names that operators use."""
+    import corpus_pipeline
+
+    long = " ".join(f"w{i}" for i in range(400))
+    more = spark.createDataFrame([(20, long, "en", "a", 5), (20, long, "en", "a", 5), (None, long + " x", None, None, None), (21, " ".join(f"v{i % 390}" for i in range(420)), None, None, 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    frame = odd.unionByName(more, allowMissingColumns=True)
+    monkeypatch.setattr(corpus_pipeline, "table", lambda spark, sf_dir, name: frame)
+    out = corpus_pipeline.run(spark, "")
+    rows = out.collect()
+    assert {20, 21} <= {r.doc_id for r in rows} and all(r.round_trip for r in rows)
+    monkeypatch.setattr(corpus_pipeline, "table", lambda spark, sf_dir, name: empty)
+    assert corpus_pipeline.run(spark, "").count() == 0 and corpus_pipeline.run(spark, "").columns == out.columns
