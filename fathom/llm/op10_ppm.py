@@ -35,7 +35,6 @@ trie is empty (all symbols equally likely) and N is 0; an empty table gives no r
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -43,6 +42,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -171,11 +171,13 @@ def chunks(docs: DataFrame, owners: int, split: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
+        made = 0
         for part in in_groups(batches, CHUNK_BYTES):
             ids = part.column("doc_id").to_pylist()
             texts = [(t or b"").lower() for t in part.column("text").cast(pa.binary()).to_pylist()]
             train = np.array([not held_out(i) for i in ids])
-            name = uuid.uuid4().hex
+            name = f"{TaskContext.get().partitionId():010d}-{made:06d}"  # one attempt of a task counts, as the rows are stored
+            made += 1
             rows: list[tuple] = []
             hashes, at, sizes = split_words(texts)
             in_train = np.repeat(train, sizes)
@@ -421,15 +423,15 @@ class Trie:
         return out
 
 
-def sum_logs(texts: list[bytes], parts: list[tuple[int, list[bytes]]]) -> np.ndarray:
-    """Each text's score, from the logs of the chunk's distinct grams by owner."""
+def sum_logs(texts: list[bytes], parts: list[list[bytes]]) -> np.ndarray:
+    """Each text's score, from the logs of the chunk's distinct grams in the order of their owners."""
     key, starts = grams(texts)
     order = np.argsort(key)
     key = key[order]
     new = np.append(True, key[1:] != key[:-1])
     key = key[new]
     logs = np.empty(len(key))
-    logs[backwards(key)[1]] = np.concatenate([unsqueeze_logs(data) for _, data in sorted(parts)])
+    logs[backwards(key)[1]] = np.concatenate([unsqueeze_logs(data) for data in parts])
     del key
     at = np.cumsum(new, dtype=np.int32)
     at -= 1
@@ -454,29 +456,50 @@ def score(docs: DataFrame) -> DataFrame:
     ends = made.where("kind = 0").select(F.explode("ids").alias("doc_id"))
     n_train = ends.where(~F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_MOD == HELD_REST, F.lit(False))).count()
     vocabulary = distinct + (1 if n_train else 0)
-    parts_ = counted.select("chunk", "owner", "counts", F.lit(None).cast("array<binary>").alias("logs")).union(logs.select("chunk", "owner", F.lit(None).cast("binary"), "logs"))
-    per_chunk = parts_.groupBy("chunk").agg(F.collect_list(F.struct("owner", "counts", "logs")).alias("parts")).withColumnRenamed("chunk", "_chunk")
-    rows = made.where("kind = 0").select("chunk", "ids", "texts").join(per_chunk, F.col("chunk") == F.col("_chunk"), "left").select("ids", "texts", "parts")
+    n_chunks = max(1, made.where("kind = 0").count())
+    tasks = (made.where("kind = 0").agg(F.max(F.substring("chunk", 1, 10).cast("long"))).first()[0] or 0) + 1
+    # chunks are dealt out evenly, by their number in their task and the task's
+    to = F.pmod(F.substring("chunk", 12, 6).cast("long") * tasks + F.substring("chunk", 1, 10).cast("long"), F.lit(n_chunks)).cast("int")
+    blank = {"owner": "int", "ids": "array<long>", "texts": "binary", "counts": "binary", "logs": "array<binary>"}
+    rows = None
+    for part in (made.where("kind = 0").select("chunk", "ids", "texts"), counted.select("chunk", "owner", "counts"), logs):
+        part = part.select("chunk", *[F.col(c) if c in part.columns else F.lit(None).cast(t).alias(c) for c, t in blank.items()])
+        rows = part if rows is None else rows.unionAll(part)
+    rows = rows.repartitionById(n_chunks, to).sortWithinPartitions("chunk", F.col("texts").isNull(), F.col("counts").isNull(), "owner")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Per chunk: its ids, texts, words' counts and grams' logs, by owner."""
+        at, held = None, None
+        for batch in batches:
+            for name, ids, texts, counts, logs_ in zip(*(batch.column(c).to_pylist() for c in ("chunk", "ids", "texts", "counts", "logs"))):
+                if name != at:
+                    if held:
+                        yield held
+                    at, held = name, (ids, texts, [], [])
+                elif counts is not None:
+                    held[2].append(counts)
+                else:
+                    held[3].append(logs_)
+        if held:
+            yield held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for batch in batches:
-            for ids, packed, parts in zip(batch.column("ids").to_pylist(), batch.column("texts").to_pylist(), batch.column("parts").to_pylist()):
-                texts = unpack(packed)
-                _, at, sizes = split_words(texts)
-                words = sorted((p["owner"], p["counts"]) for p in parts if p["counts"] is not None)
-                counts = np.concatenate([unsqueeze(x) for _, x in words]) if words else np.zeros(0, np.uint64)
-                c = counts[at].astype(float)
-                over = n + vocabulary + 1.0
-                text = np.repeat(np.arange(len(texts)), sizes)
-                base = np.bincount(text, np.log10((c + 1) / over), len(texts)) + np.log10((n_train + 1) / over)
-                known = np.bincount(text, c > 0, len(texts)) + (n_train > 0)
-                logs = sum_logs(texts, [(p["owner"], p["logs"]) for p in parts if p["logs"] is not None])
-                bits = -logs * np.log2(10) / (np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array(sizes + 1), pa.array(known.astype(np.int64)), pa.array(np.full(len(ids), n, np.int64)), pa.array(base), pa.array(logs), pa.array(bits)],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_symbol"],
-                )
+        for ids, packed, words, parts in whole(batches):
+            texts = unpack(packed)
+            _, at, sizes = split_words(texts)
+            counts = np.concatenate([unsqueeze(x) for x in words]) if words else np.zeros(0, np.uint64)
+            c = counts[at].astype(float)
+            over = n + vocabulary + 1.0
+            text = np.repeat(np.arange(len(texts)), sizes)
+            base = np.bincount(text, np.log10((c + 1) / over), len(texts)) + np.log10((n_train + 1) / over)
+            known = np.bincount(text, c > 0, len(texts)) + (n_train > 0)
+            logs = sum_logs(texts, parts)
+            bits = -logs * np.log2(10) / (np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array(sizes + 1), pa.array(known.astype(np.int64)), pa.array(np.full(len(ids), n, np.int64)), pa.array(base), pa.array(logs), pa.array(bits)],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_symbol"],
+            )
 
     return map_arrow(rows, run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_symbol double")
 
