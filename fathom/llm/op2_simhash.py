@@ -23,8 +23,12 @@ k bits, so that in each family every pair within 256 / k - 1 bits meets; there a
 many families as let a pair at the similarity meet with probability ``RECALL`` or more,
 and k grows with the logarithm of the rows, as do the buckets' number. Meetings within
 ``NEAR`` bits are links to be checked; a check reads both sets of shingles, of which
-only those in question move. What the checks left apart is compared once more within
-``FAR`` bits, each with all it meets, so that no link within a bucket is lost.
+only those in question move. What the checks left apart, within
+``FAR`` bits, is compared once more, first in stars and then with all it meets, so that
+no link within a bucket is lost. A bound keeps that from growing with the square of a
+group: sets are dealt by hash into GROUPS small groups, and each group whose contents'
+hashes differ says that the sets differ there, so most pairs below the similarity are
+known by their digests.
 
 Defined cases: a null or empty text has fingerprint zero, and is linked like any
 other; fewer words than a shingle are one shingle; null ids get the component of
@@ -262,43 +266,82 @@ def families(n: int, similarity: float) -> list[list[int]]:
     return out
 
 
-def _meet(radius: int, apart: bool):
-    """Over rows sorted by bucket: pairs within the radius, as a spanning forest, or with ``apart`` all between different components."""
-    columns = ["node", "root", *(f"w{i}" for i in range(WORDS))]
+#: Groups of a set's digest; a group's hash has four bits.
+GROUPS = 512
+_DIFFER = np.array([(x >> 4 > 0) + (x & 15 > 0) for x in range(256)], np.uint8)
 
-    def solve(rows: np.ndarray) -> np.ndarray:
-        node, root, fp = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
-        if not apart:
+
+def digest_of(h: np.ndarray) -> bytes:
+    """The digest of a set of shingles: per group, what its members' hashes are as an exclusive or."""
+    v = h * np.uint64(0x9E3779B97F4A7C15)
+    four = np.zeros(GROUPS, np.uint8)
+    np.bitwise_xor.at(four, ((v >> np.uint64(20)) % np.uint64(GROUPS)).astype(np.int64), (v >> np.uint64(60)).astype(np.uint8))
+    return (four[0::2] << 4 | four[1::2]).tobytes()
+
+
+def bound(n: np.ndarray, digests: np.ndarray, i: int, of: np.ndarray) -> np.ndarray:
+    """The most that the Jaccard similarity of set i with other sets can be: each group that differs has an element that isn't in both."""
+    k = _DIFFER[digests[of] ^ digests[i]].sum(1, dtype=np.int64)
+    both = n[of] + n[i]
+    return (both - k) / np.maximum(both + k, 1)
+
+
+FOREST, WHO, STAR, ALL = range(4)
+
+
+def _meet(radius: int, mode: int, similarity: float):
+    """Over rows sorted by bucket, pairs within the radius: as a spanning forest; or of different components: each text once with itself, in stars, or all, but for those below the similarity by their digests."""
+    words = [f"w{i}" for i in range(WORDS)]
+
+    def solve(rows: dict) -> np.ndarray:
+        node, root = rows["node"], rows["root"]
+        fp = np.stack([rows[w] for w in words], axis=1).view(np.uint64)
+        if mode == FOREST:
             return np.array([(node[i], node[j]) for i, j in _links(fp, radius)], np.int64).reshape(-1, 2)
         roots, at, size = np.unique(root, return_inverse=True, return_counts=True)
         if len(roots) < 2:
             return np.zeros((0, 2), np.int64)
-        # those of the largest component wait for the others to look at them
-        found = []
-        for i in np.flatnonzero(at != size.argmax()).tolist():
-            near = (np.bitwise_count(fp ^ fp[i]).sum(1, dtype=np.int64) <= radius) & (root != root[i])
-            found += [(min(node[i], x), max(node[i], x)) for x in node[near].tolist()]
-        return np.array(sorted(set(found)), np.int64).reshape(-1, 2)
+        digests = None if mode == WHO else np.frombuffer(b"".join(rows["digest"].tolist()), np.uint8).reshape(len(node), -1)
+
+        def near(i: int, of: np.ndarray) -> np.ndarray:
+            ok = of[(root[of] != root[i]) & (np.bitwise_count(fp[of] ^ fp[i]).sum(1, dtype=np.int64) <= radius)]
+            return ok if mode == WHO else ok[bound(rows["n"], digests, i, ok) >= similarity]
+
+        found: list[tuple[int, int]] = []
+        if mode == STAR:
+            left = np.argsort(node)
+            while len(left) > 1:
+                i, left = int(left[0]), left[1:]
+                hit = near(i, left)
+                found += [(node[i], node[j]) for j in hit.tolist()]
+                left = left[~np.isin(left, hit)]
+        else:  # those of the largest component wait for the others to look at them
+            every = np.arange(len(node))
+            for i in np.flatnonzero(at != size.argmax()).tolist():
+                hit = near(i, every).tolist()
+                found += [(node[j], node[j]) for j in (*hit, i)] if mode == WHO and hit else [(node[i], node[j]) for j in hit] if mode == ALL else []
+        both = np.array(found, np.int64).reshape(-1, 2)
+        return np.unique(np.sort(both, axis=1), axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 2 + WORDS), np.int64)
-        key = None
+        key, held = None, None
         for part in in_groups(batches, 4 << 20):
             keys = part.column("bucket").to_numpy()
-            rows = np.stack([part.column(c).to_numpy() for c in columns], axis=1)
+            rows = {c: part.column(c).to_numpy() for c in part.column_names if c != "bucket"}
             bounds = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
             sizes = np.diff(bounds)
             found = []
             # a bucket of one row matters only where it may go on in another batch
             for i in sorted({0, len(sizes) - 1, *np.flatnonzero(sizes > 1).tolist()}):
-                s, e = int(bounds[i]), int(bounds[i + 1])
-                if keys[s] != key:
-                    if len(held) > 1:
-                        found.append(solve(held))
-                    key, held = keys[s], held[:0]
-                held = np.concatenate((held, rows[s:e]))
+                own = {c: v[int(bounds[i]) : int(bounds[i + 1])] for c, v in rows.items()}
+                if keys[bounds[i]] == key:
+                    held = {c: np.concatenate((held[c], v)) for c, v in own.items()}
+                    continue
+                if held is not None and len(held["node"]) > 1:
+                    found.append(solve(held))
+                key, held = keys[bounds[i]], own
             yield from _pairs(found)
-        if len(held) > 1:
+        if held is not None and len(held["node"]) > 1:
             yield from _pairs([solve(held)])
 
     return run
@@ -310,12 +353,12 @@ def _pairs(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(both.min(1)), pa.array(both.max(1))], ["a", "b"])
 
 
-def meetings(nodes: DataFrame, tables: list[list[int]], radius: int, apart: bool) -> DataFrame:
-    """Distinct pairs (a, b) of nodes, with their root, that meet in a table within the radius."""
+def meetings(nodes: DataFrame, tables: list[list[int]], radius: int, mode: int, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of nodes, with their root (and size n and digest), that meet in a table within the radius (see _meet)."""
     words = [F.col(f"w{i}") for i in range(WORDS)]
     each = F.array(*[F.xxhash64(F.lit(t), *[w.bitwiseAND(F.lit(m).cast("long")) for w, m in zip(words, mask) if m]) for t, mask in enumerate(tables)])
-    rows = nodes.select("node", "root", *words, F.explode(each).alias("bucket"))
-    return map_arrow(rows.repartition("bucket").sortWithinPartitions("bucket", "node"), _meet(radius, apart), "a long, b long").distinct()
+    rows = nodes.select("node", "root", *words, *(["n", "digest"] if mode in (STAR, ALL) else []), F.explode(each).alias("bucket"))
+    return map_arrow(rows.repartition("bucket").sortWithinPartitions("bucket", "node"), _meet(radius, mode, similarity), "a long, b long").distinct()
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -335,10 +378,9 @@ def _filter(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def checked(pairs: DataFrame, docs: DataFrame, heads: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs of nodes whose sets of shingles have the similarity. ``heads``: one row (_fathom_did, _fathom_th) of each node."""
-    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = cut(heads.join(involved, "node"))
+def sets_of(wanted: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """node and its set of shingles, sorted, as bytes. ``wanted``: one row (node, _fathom_did, _fathom_th) of each."""
+    wanted = cut(wanted.select("node", "_fathom_did", "_fathom_th"))
     bits = _filter(wanted)
     held = docs.sparkSession.sparkContext.broadcast(bits.tobytes())  # 16 MB at any size
 
@@ -354,7 +396,13 @@ def checked(pairs: DataFrame, docs: DataFrame, heads: DataFrame, shingle: int, s
 
     at = F.xxhash64("_fathom_did", "_fathom_th").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     rows = map_arrow(identity(docs.select("doc_id", "text")).select("_fathom_did", "_fathom_th", "text", at.alias("at")), sets, "did long, th long, shingles binary")
-    of, _ = stored(rows.join(wanted, (F.col("did") == F.col("_fathom_did")) & (F.col("th") == F.col("_fathom_th"))).select("node", "shingles").dropDuplicates(["node"]))
+    return stored(rows.join(wanted, (F.col("did") == F.col("_fathom_did")) & (F.col("th") == F.col("_fathom_th"))).select("node", "shingles").dropDuplicates(["node"]))[0]
+
+
+def checked(pairs: DataFrame, docs: DataFrame, heads: DataFrame, shingle: int, similarity: float, of: DataFrame | None = None) -> DataFrame:
+    """The pairs of nodes, and whether their sets of shingles have the similarity. ``heads``: a row of each node; ``of``: the sets, if they are known."""
+    if of is None:
+        of = sets_of(heads.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node"), docs, shingle)
     left, right = (of.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,16 +421,33 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     nodes = cut(prints.groupBy("node").agg(F.min(F.struct("_fathom_did", "_fathom_th")).alias("h"), *words))
     heads = nodes.select("node", "h._fathom_did", "h._fathom_th")
     tables = families(nodes.count(), similarity)
-    first = cut(meetings(nodes.withColumn("root", F.col("node")), tables, NEAR, False))
+    first = cut(meetings(nodes.withColumn("root", F.col("node")), tables, NEAR, FOREST, similarity))
     seen = checked(first, docs, heads, shingle, similarity)
     label = _rooted(nodes, seen)
-    rest = cut(meetings(label, tables, FAR, True).join(seen.select("a", "b"), ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        seen = seen.union(checked(rest, docs, heads, shingle, similarity))
-        label = _rooted(nodes, seen)
+    left = cut(meetings(label, tables, FAR, WHO, similarity).select(F.col("a").alias("node")))
+    if not left.isEmpty():
+        of = sets_of(heads.join(left, "node"), docs, shingle)
+        sizes = cut(_digests(of))
+        for mode in (STAR, ALL):
+            rest = meetings(label.join(sizes, "node"), tables, FAR, mode, similarity)
+            rest = cut(rest.join(seen.select("a", "b"), ["a", "b"], "left_anti"))
+            if not rest.isEmpty():
+                seen = cut(seen.union(checked(rest, docs, heads, shingle, similarity, of)))
+                label = _rooted(nodes, seen)
     return prints.select("_fathom_no", "_fathom_did", "_fathom_th", "node").join(label.select("node", "root"), "node")
 
 
+def _digests(of: DataFrame) -> DataFrame:
+    """node, the size of its set (n), and its digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.frombuffer(raw, np.uint64) for raw in batch.column("shingles").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(h) for h in held], pa.int64()), pa.array([digest_of(h) for h in held], pa.binary())], ["node", "n", "digest"])
+
+    return map_arrow(of, run, "node long, n long, digest binary")
+
+
 def _rooted(nodes: DataFrame, seen: DataFrame) -> DataFrame:
     groups = connected_components(seen.where("ok").select("a", "b")).withColumnRenamed("node", "_n").withColumnRenamed("root", "_r")
     return cut(nodes.join(groups, F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("_r", "node")).drop("_n", "_r"))

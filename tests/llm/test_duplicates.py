@@ -111,6 +111,20 @@ def test_similar_brute(spark, odd, monkeypatch):
     assert groups(got) == groups(want)
 
 
+def test_similar_bound_is_one():
+    r = np.random.RandomState(5)
+    for n in (0, 3, 140, 2000):
+        base = r.randint(0, 1 << 62, n).astype(np.uint64)
+        sets = [np.unique(np.concatenate((base[r.rand(n) > share], r.randint(0, 1 << 62, int(share * n)).astype(np.uint64)))) for share in (0, 0, 0.05, 0.1, 0.3, 0.8)]
+        digests = np.frombuffer(b"".join(op2_simhash.digest_of(s) for s in sets), np.uint8).reshape(len(sets), -1)
+        size = np.array([len(s) for s in sets])
+        for i, a in enumerate(sets):
+            most = op2_simhash.bound(size, digests, i, np.arange(len(sets)))
+            true = [op2_simhash.jaccard(a, b) for b in sets]
+            assert all(t <= m + 1e-12 or n == 0 for t, m in zip(true, most))
+            assert n != 140 or all(m - t < 0.1 for t, m in zip(true, most) if t > 0.6)
+
+
 def test_similar_filter(spark):
     df = spark.createDataFrame([(i, i * 7) for i in range(500)], "_fathom_did long, _fathom_th long")
     bits = op2_simhash._filter(df)
