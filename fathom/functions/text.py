@@ -70,11 +70,6 @@ def newline_count(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def byte_slice(text: Column, start: Column, end: Column) -> Column:
-    """The text between two UTF-8 byte offsets."""
-    return F.decode(F.substring(F.encode(text, "UTF-8"), start + 1, end - start), "UTF-8")
-
-
 def _line(label: str, value: Column) -> Column:
     return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(label), value, F.lit("\n"))).otherwise(F.lit(""))
 
@@ -103,13 +98,9 @@ def reply_map(reply: Column) -> Column:
     return F.transform_values(pairs, lambda _, v: F.coalesce(F.when(v.startswith("{"), F.coalesce(F.get_json_object(v, "$.summary"), F.get_json_object(v, "$.content"))), v))
 
 
-def is_yes(reply: Column) -> Column:
-    return F.upper(reply).contains("YES")
+def says_yes(reply: str) -> bool:
+    return "YES" in reply.upper()
 
 
 def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
-
-
-def reciprocal_rank(rank: Column, k: int = 60) -> Column:
-    return F.lit(1.0) / (F.lit(k) + rank)

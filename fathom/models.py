@@ -12,9 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.functions.text import tokens
+from fathom.functions.text import reply_map, says_yes, sigmoid, tokens
 from fathom.operators.fusion import overlap_score
-from fathom.operators.vector import normalised
+from fathom.operators.vector import normalised, zero_vector
 
 DIM = 64
 
@@ -38,6 +38,56 @@ def echo(prompt: str) -> Iterator[str]:
     yield from prompt.splitlines(keepends=True)
 
 
+def with_sigmoid(logit: Callable[[str, Column], Column]) -> Callable[[str, Column], Column]:
+    """A scorer from one that gives logits."""
+    return lambda query, document: sigmoid(logit(query, document))
+
+
+def zero_on_failure(embed: Callable[[Column], Column], dim: int = DIM) -> Callable[[Column], Column]:
+    """An embedder whose missing vectors (null, or of another length) are zero vectors."""
+
+    def run(text: Column) -> Column:
+        v = embed(text)
+        return F.when(F.size(v) == dim, v).otherwise(zero_vector(dim))
+
+    return run
+
+
+def expander(complete: Callable[[str], Iterator[str]], decide: str, generate: str) -> Callable[[str], str]:
+    """Query expansion by a language model: it decides, and where it says yes its made-up code goes behind the query.
+
+    ``decide`` and ``generate`` are prompts with {query} in them.
+    """
+
+    def run(query: str) -> str:
+        if not says_yes("".join(complete(decide.format(query=query)))):
+            return query
+        return f"{query}\n\nHypothetical code implementation:\n{''.join(complete(generate.format(query=query)))}"
+
+    return run
+
+
+def batched_summaries(complete: Callable[[str], Iterator[str]], prompt: str, batch: int = 5) -> Callable[[DataFrame], DataFrame]:
+    """A summariser that asks for ``batch`` snippets at a time and joins the replies (JSON, id to text) to them by id.
+
+    ``prompt`` has {snippets} in it; a snippet that the reply leaves out keeps its summary by ``first_sentence``.
+    """
+
+    def run(rows: DataFrame) -> DataFrame:
+        def ask(parts):
+            import pandas as pd
+
+            for part in parts:
+                asked = [part.iloc[i : i + batch] for i in range(0, len(part), batch)]
+                yield pd.DataFrame({"reply": ["".join(complete(prompt.format(snippets="\n\n".join(f"{i}:\n{c}" for i, c in zip(x["id"], x["content"]))))) for x in asked]})
+
+        told = rows.select("id", "content").mapInPandas(ask, "reply string").select(F.explode(reply_map(F.col("reply"))).alias("_id", "_summary"))
+        plain = first_sentence(rows)
+        return plain.join(told.where("_summary <> ''"), F.col("id") == F.col("_id"), "left").select("id", F.coalesce("_summary", "summary").alias("summary"))
+
+    return run
+
+
 @dataclass
 class Models:
     embed: Callable[[Column], Column] = hashed_embedding

@@ -1,7 +1,9 @@
 """Keyword search: BM25 over phrases, and the staged search from exact to fuzzy.
 
-A query's few phrases are counted within each row's text, so a search is a scan with
-a top-k and moves no postings. The corpus statistics are one row.
+A query's few phrases are counted within each row's text, which is brought to one form
+first: every token between two spaces of its own. So a search is one scan that leaves a
+narrow row per text (its tokens' number and the phrases' counts); statistics, which are
+one row, and all stages come from those. Many queries share one join on terms.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.text import MARKED, PLAIN, folded, tokens
+from fathom.operators.store import checkpointed
 
 # Saturation, length weight, and the least inverse document frequency.
 K1, B = 1.2, 0.75
@@ -30,13 +33,23 @@ def terms_of(query: str) -> list[str]:
     return re.findall(r"[a-zA-Z0-9_.]+", query.strip())
 
 
-_WORD = r"[\p{L}\p{N}]"
+def spaced(text: Column) -> Column:
+    """The text with each token between two spaces of its own, and nothing but spaces else."""
+    return F.concat(F.lit(" "), F.regexp_replace(folded(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
 
 
 def occurrences(text: Column, phrase: list[str]) -> Column:
-    """How often the phrase's tokens stand one after another in a folded text, overlaps included."""
-    gap = rf"{_WORD[:1]}^{_WORD[1:]}+"
-    return F.regexp_count(text, F.lit(rf"(?<!{_WORD})(?={gap.join(phrase)}(?!{_WORD}))"))
+    """How often the phrase's tokens stand one after another in a spaced text, overlaps included."""
+    whole = "".join(f" {t} " for t in phrase)
+    if any(phrase[:n] == phrase[-n:] for n in range(1, len(phrase))):  # it can overlap itself
+        return F.regexp_count(text, F.lit(f"(?={whole})"))
+    return F.floor((F.length(text) - F.length(F.replace(text, F.lit(whole), F.lit("")))) / len(whole)).cast("int")
+
+
+def length(text: Column) -> Column:
+    """The tokens of a spaced text: a pair of spaces each, and one more where the text has other signs at an end."""
+    pairs = F.floor((F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))) / 2).cast("int")
+    return F.when(F.length(text) <= 2, 0).otherwise(pairs - text.startswith("   ").cast("int") - text.endswith("   ").cast("int"))
 
 
 def _sum(columns: list[Column]) -> Column:
@@ -45,9 +58,11 @@ def _sum(columns: list[Column]) -> Column:
 
 def counted(rows: DataFrame, phrases: list[list[str]], fields: tuple[str, ...]) -> DataFrame:
     """Adds tf0.. (per phrase, within fields) and dl, the row's tokens."""
-    texts = [folded(F.coalesce(F.col(f), F.lit(""))) for f in fields]
+    names = [f"_spaced{i}" for i in range(len(fields))]
+    texts = [F.col(n) for n in names]
     found = [_sum([occurrences(t, p) for t in texts]).alias(f"tf{i}") for i, p in enumerate(phrases)]
-    return rows.select("*", *found, _sum([F.regexp_count(t, F.lit(rf"{_WORD}+")) for t in texts]).alias("dl"))
+    given = rows.columns
+    return rows.select("*", *[spaced(F.col(f)).alias(n) for f, n in zip(fields, names)]).select(*given, *found, _sum([length(t) for t in texts]).alias("dl"))
 
 
 def statistics(found: DataFrame, n_phrases: int) -> tuple[int, float, list[int]]:
@@ -62,12 +77,19 @@ def idf(n: int, df: int) -> float:
 
 
 def bm25(rows: DataFrame, phrases: list[list[str]], fields: tuple[str, ...] = ("content",)) -> DataFrame:
-    """Adds ``bm25``; rows without any of the phrases have 0. Repeated phrases count again."""
-    found = counted(rows, phrases, fields)
+    """id, dl, tf0.. and ``bm25`` of every row; those without any of the phrases have 0. Repeated phrases count again.
+
+    The texts are scanned once; the narrow rows are cut, as the statistics and the scores both read them.
+    """
+    found = checkpointed(counted(rows, phrases, fields).select("id", "dl", *[f"tf{i}" for i in range(len(phrases))]))
     n, avgdl, dfs = statistics(found, len(phrases))
+    return found.withColumn("bm25", weighed(range(len(phrases)), n, avgdl, dfs))
+
+
+def weighed(columns, n: int, avgdl: float, dfs: list[int]) -> Column:
+    """The score of the phrases whose counts are tf0, tf1, ..., by their numbers."""
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(avgdl))
-    score = _sum([F.lit(idf(n, df)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + norm) for i, df in enumerate(dfs)])
-    return found.withColumn("bm25", score.cast("double"))
+    return _sum([F.lit(idf(n, dfs[i])) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + norm) for i in columns]).cast("double")
 
 
 def matches(n_phrases: int, every: bool) -> Column:
@@ -75,20 +97,6 @@ def matches(n_phrases: int, every: bool) -> Column:
     return reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), hits)
 
 
-def phrase_search(rows: DataFrame, phrase: list[str], limit: int, fields: tuple[str, ...] = ("content",)) -> DataFrame:
-    return _best(bm25(rows, [phrase], fields).where("tf0 > 0"), limit)
-
-
-def all_terms(rows: DataFrame, terms: list[str], limit: int, fields: tuple[str, ...] = ("content",)) -> DataFrame:
-    phrases = [fold(t) for t in terms]
-    return _best(bm25(rows, phrases, fields).where(matches(len(phrases), True)), limit)
-
-
-def any_term(rows: DataFrame, terms: list[str], limit: int, fields: tuple[str, ...] = ("content",)) -> DataFrame:
-    phrases = [fold(t) for t in terms]
-    return _best(bm25(rows, phrases, fields).where(matches(len(phrases), False)), limit)
-
-
 def _best(rows: DataFrame, limit: int) -> DataFrame:
     return rows.orderBy(F.desc("bm25"), "id").limit(limit)
 
@@ -110,9 +118,7 @@ def staged_search(rows: DataFrame, query: str, limit: int = 50, fields: tuple[st
     if not terms:
         return rows.select("id").limit(0).select("id", F.lit(0).alias("stage"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("position"))
     tech = [t for t in terms if len(t) > 1]
-    parts: list[DataFrame] = []
-    for i, term in enumerate(t for t in tech if len(t) >= 3):
-        parts.append(_ranked(rows.where(F.col("name") == term).orderBy("id").limit(limit), i, ["id"]))
+    exact = [t for t in tech if len(t) >= 3]
     stages: list[tuple[list[list[str]], bool]] = []
     if tech:
         if len(tech) > 1:
@@ -121,21 +127,27 @@ def staged_search(rows: DataFrame, query: str, limit: int = 50, fields: tuple[st
             stages += [([fold(t) for t in tech], True), ([fold(t) for t in tech], False)]
     elif not any("." in t for t in terms):
         stages.append(([fold(t) for t in terms], False))
-    base = len(parts)
+    stages = [([p for p in phrases if p], every) for phrases, every in stages]
+    phrases = [list(p) for p in dict.fromkeys(tuple(p) for found, _ in stages for p in found)]
+    # one scan: what is read from here on are narrow rows
+    names = [F.coalesce(F.col("name") == t, F.lit(False)).alias(f"nm{i}") for i, t in enumerate(exact)]
+    seen = checkpointed(counted(rows, phrases, fields).select("id", "dl", *[f"tf{i}" for i in range(len(phrases))], *names))
+    n_rows, avgdl, dfs = statistics(seen, len(phrases))
+    parts = [_ranked(seen.where(f"nm{i}").orderBy("id").limit(limit), i, ["id"]) for i in range(len(exact))]
     found = _first_wins(parts) if parts else None
     n = found.count() if found is not None else 0
-    for i, (phrases, every) in enumerate(stages):
+    for i, (own, every) in enumerate(stages):
         if n >= limit:
             break
-        phrases = [p for p in phrases if p]
-        if not phrases:
+        if not own:
             continue
-        hits = _best(bm25(rows, phrases, fields).where(matches(len(phrases), every)), limit)
-        parts.append(_ranked(hits, base + i, [F.desc("bm25"), "id"]))
+        at = [phrases.index(p) for p in own]
+        hits = seen.where(reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), [F.col(f"tf{k}") > 0 for k in at]))
+        parts.append(_ranked(_best(hits.withColumn("bm25", weighed(at, n_rows, avgdl, dfs)), limit), len(exact) + i, [F.desc("bm25"), "id"]))
         found = _first_wins(parts)
         n = found.count()
     if n == 0:
-        found = _first_wins([_ranked(like(rows, query, fields).orderBy("id").limit(limit), base + len(stages), ["id"])])
+        found = _first_wins([_ranked(like(rows, query, fields).orderBy("id").limit(limit), len(exact) + len(stages), ["id"])])
     order = Window.orderBy("stage", "rank")
     return found.select("id", "stage", "rank", F.row_number().over(order).cast("long").alias("position"))
 
@@ -159,20 +171,32 @@ def merged_lists(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def postings(rows: DataFrame, field: str = "content") -> DataFrame:
     """(id, term, tf, dl): the inverted index as a table, for many queries at once."""
-    listed = rows.select("id", tokens(F.col(field)).alias("t")).select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    return _counted_terms(_listed(rows, field))
+
+
+def _listed(rows: DataFrame, field: str) -> DataFrame:
+    return rows.select("id", tokens(F.col(field)).alias("t")).select("id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+
+
+def _counted_terms(listed: DataFrame) -> DataFrame:
     return listed.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
 def search_many(rows: DataFrame, queries: DataFrame, k: int, field: str = "content") -> DataFrame:
-    """Top k by BM25 of any term for every (query_id, query): one join on terms instead of a scan per query."""
-    wanted = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term"))
-    lengths = rows.select(F.size(tokens(F.col(field))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    """Top k by BM25 of any term for every (query_id, query): one join on terms instead of a scan per query.
+
+    Only the queries' terms are counted; their postings are cut, as both the terms' weights and the scores read them.
+    """
+    wanted = checkpointed(queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")))
+    lengths = rows.select(length(spaced(F.col(field))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = lengths["n"], lengths["avgdl"] or 1.0
-    hit = postings(rows, field).join(wanted.select("term").distinct(), "term", "left_semi")
+    hit = checkpointed(_counted_terms(_listed(rows, field).join(wanted.select("term").distinct(), "term", "left_semi")))
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = wanted.join(df.select("term", F.when(weight > 0, weight).otherwise(LEAST_IDF).alias("idf")), "term")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(avgdl)))
+    # a term that a query repeats counts again
+    times = wanted.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    weighted = times.join(df.select("term", F.when(weight > 0, weight).otherwise(LEAST_IDF).alias("idf")), "term")
+    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(avgdl)))
     scored = hit.join(weighted, "term").groupBy("query_id", "id").agg(F.sum(part).alias("bm25"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("bm25", 6).desc(), "id"))
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)

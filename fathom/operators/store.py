@@ -1,16 +1,44 @@
 """The stored index: what changed, upserts and deletes, versions of Parquet tables.
 
-A version is a folder of tables; it counts once its marker is there, which is written
-last, and readers take the newest that counts. So a job that dies leaves the
-former version, and no path is written that a plan still reads.
+A version is a folder with the tables that it wrote and a marker, which says where each
+table of the version is: its own, or carried over from the folder of a former version.
+The marker is written under another name and renamed last, and readers take the newest
+version that has one. So a job that dies leaves the former version whole, a version has
+all tables of its commit or none, and no path is written that a plan still reads.
 """
 
 from __future__ import annotations
 
+import json
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_own: list[str] = []
+
+
+def prepared(spark: SparkSession) -> None:
+    """Sets the checkpoint folder that the session names; a temporary one only on a single machine."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="fathom-"))
+        found = _own[0]
+    context.setCheckpointDir(found)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    prepared(df.sparkSession)
+    return df.checkpoint()
+
+
 def diff(current: DataFrame, manifest: DataFrame) -> DataFrame:
     """file_path and status: unchanged, changed, new or deleted, by content hash."""
     a = current.select("file_path", F.col("content_hash").alias("now"))
@@ -58,28 +86,55 @@ class Store:
         done = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(self._fs(f"{self.root}/{n}/COMMITTED")[1])]
         return max(done, default=0)
 
+    def tables(self, version: int) -> dict[str, str]:
+        """Where the tables of a version are, below the root."""
+        if version == 0:
+            return {}
+        fs, p = self._fs(f"{self.root}/v{version}/COMMITTED")
+        reader = fs.open(p)
+        try:
+            return json.loads(bytes(reader.readAllBytes()).decode())
+        finally:
+            reader.close()
+
     def read(self, table: str, schema: str) -> DataFrame:
-        v = self.version()
-        if v == 0:
+        """A table of the newest version; empty if that has none of the name."""
+        where = self.tables(self.version()).get(table)
+        if where is None:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/v{v}/{table}")
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{where}")
 
     def commit(self, tables: dict[str, DataFrame]) -> int:
-        v = self.version() + 1
+        """Writes a version with these tables; those it isn't given stay as they are."""
+        before = self.version()
+        v = before + 1
         base = f"{self.root}/v{v}"
         fs, p = self._fs(base)
         if fs.exists(p):
             fs.delete(p, True)
         for name, df in tables.items():
             df.write.parquet(f"{base}/{name}")
-        fs.create(self._fs(f"{base}/COMMITTED")[1]).close()
+        where = self.tables(before) | {name: f"v{v}/{name}" for name in tables}
+        draft = self._fs(f"{base}/_COMMITTED")[1]
+        out = fs.create(draft)
+        out.write(bytearray(json.dumps(where).encode()))
+        out.close()
+        fs.rename(draft, self._fs(f"{base}/COMMITTED")[1])
         return v
 
     def vacuum(self, keep: int = 2) -> None:
-        """Deletes all but the newest versions."""
+        """Deletes the tables and markers that none of the newest versions needs."""
         newest = self.version()
+        needed = {path for v in range(max(1, newest - keep + 1), newest + 1) for path in self._tables_if(v).values()}
         fs, p = self._fs(self.root)
         for s in fs.listStatus(p) if fs.exists(p) else []:
             n = s.getPath().getName()
             if n[:1] == "v" and n[1:].isdigit() and int(n[1:]) <= newest - keep:
-                fs.delete(s.getPath(), True)
+                inside = [x.getPath() for x in fs.listStatus(s.getPath())]
+                gone = [x for x in inside if f"{n}/{x.getName()}" not in needed]
+                for x in [s.getPath()] if len(gone) == len(inside) else gone:
+                    fs.delete(x, True)
+
+    def _tables_if(self, version: int) -> dict[str, str]:
+        fs, p = self._fs(f"{self.root}/v{version}/COMMITTED")
+        return self.tables(version) if fs.exists(p) else {}

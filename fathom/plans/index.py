@@ -8,16 +8,9 @@ from pyspark.sql import functions as F
 from fathom.functions.text import embeddable_text
 from fathom.models import Models
 from fathom.operators import graph, hierarchy, store
-from fathom.schema import EDGES, MANIFEST, SNIPPETS, VECTORS
-from fathom.sources.codebase import CAPTURE_ROW, parse, read_codebase
-
-
-def prepared(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fathom-"))
+from fathom.operators.store import prepared
+from fathom.schema import EDGES, ERRORS, MANIFEST, SNIPPETS, VECTORS
+from fathom.sources.codebase import CAPTURE_ROW, parsed, read_codebase
 
 
 def document(use_summary: bool = True):
@@ -35,20 +28,24 @@ def vectors_of(snippets: DataFrame, models: Models, cached: DataFrame | None = N
     return both.select("id", F.when(F.col("_v").isNotNull(), F.col("_v")).otherwise(models.embed(F.col("_text"))).alias("embedding"), *fields)
 
 
-def build(files: DataFrame, st: store.Store, models: Models | None = None, chunk_size: int = 1000, summaries: bool = True) -> DataFrame:
+def build(files: DataFrame, st: store.Store, models: Models | None = None, chunk_size: int = 1000, summaries: bool = True, also: dict[str, DataFrame] | None = None) -> DataFrame:
     """Brings the store to the state of ``files``; gives each path's status.
 
     Only new and changed files are parsed. Edges of all files resolve anew against
-    the whole symbol table, so an edge into a changed file isn't lost.
+    the whole symbol table, so an edge into a changed file isn't lost. Files that a
+    parser couldn't read as they should be are listed in the table ``errors``. ``also``:
+    further tables of the same version.
     """
     models, spark = models or Models(), files.sparkSession
     prepared(spark)
-    old = {name: st.read(name, schema) for name, schema in (("manifest", MANIFEST), ("snippets", SNIPPETS), ("captures", CAPTURE_ROW), ("vectors", VECTORS))}
+    old = {name: st.read(name, schema) for name, schema in (("manifest", MANIFEST), ("snippets", SNIPPETS), ("captures", CAPTURE_ROW), ("vectors", VECTORS), ("errors", ERRORS))}
     files = files.checkpoint()
     status = store.diff(files, old["manifest"]).checkpoint()
     moved = status.where("status <> 'unchanged'")
     fresh = files.join(moved.where("status <> 'deleted'"), "file_path", "left_semi")
-    made, captured = parse(fresh, chunk_size)
+    read = parsed(fresh, chunk_size).checkpoint()  # each file is parsed once
+    made, captured = read.selectExpr("inline(snippets)"), read.selectExpr("inline(captures)")
+    errors = store.delete_by_file(old["errors"], moved).unionByName(read.where("error IS NOT NULL").select("file_path", "error"))
     snippets = store.delete_by_file(old["snippets"], moved).unionByName(made).checkpoint()
     captures = store.delete_by_file(old["captures"], moved).unionByName(captured).checkpoint()
     snippets = hierarchy.link_orphans(snippets).checkpoint()
@@ -59,7 +56,7 @@ def build(files: DataFrame, st: store.Store, models: Models | None = None, chunk
     edges = graph.edges_from_captures(captures, snippets).checkpoint()
     nodes = snippets.select("id", "name", "type", "file_path")
     nodes = nodes.unionByName(graph.placeholders(edges, nodes))
-    tables = {"manifest": files.select("file_path", "content_hash"), "snippets": snippets, "captures": captures, "edges": graph.with_endpoints(edges, nodes), "nodes": nodes, "vectors": vectors_of(snippets, models, old["vectors"])}
+    tables = {"manifest": files.select("file_path", "content_hash"), "snippets": snippets, "captures": captures, "edges": graph.with_endpoints(edges, nodes), "nodes": nodes, "vectors": vectors_of(snippets, models, old["vectors"]), "errors": errors} | (also or {})
     st.commit(tables)
     return status
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fathom.models import Models
 from fathom.operators import fusion, graph, lexical, vector
-from fathom.operators.store import Store
+from fathom.operators.store import Store, checkpointed
 from fathom.plans.index import document
 from fathom.schema import EDGES, NODES, SNIPPETS, VECTORS
 
@@ -28,26 +29,44 @@ def embedded(spark, models: Models, text: str) -> list[float]:
     return list(spark.range(1).select(models.embed(F.lit(text)).alias("v")).first()["v"])
 
 
+def best_rows(rows: DataFrame, query: str, n_results: int, models: Models, reranked: bool) -> DataFrame:
+    """The n best hydrated rows, cut, as what follows reads them more than once; a scorer that fails leaves the first n with falling scores."""
+    if not reranked:
+        return checkpointed(rows.orderBy("rank").limit(n_results).withColumn("rerank_score", F.lit(None).cast("double")))
+    try:
+        return checkpointed(fusion.rerank(rows, query, n_results, models.score))
+    except Exception as e:  # a model may fail in any way
+        logging.getLogger(__name__).warning("reranking failed: %s", e)
+        return checkpointed(fusion.fallback_scores(rows, n_results))
+
+
 def search(st: Store, query: str, n_results: int = 5, models: Models | None = None, reranked: bool = True) -> DataFrame:
     """Hits: rank, id, scores, the snippet, its parent, its relations and its document."""
-    models, spark = models or Models(), st.spark
-    snippets, vectors, edges, nodes = st.read("snippets", SNIPPETS), st.read("vectors", VECTORS), st.read("edges", EDGES), st.read("nodes", NODES)
+    models = models or Models()
+    return search_tables(st.read("snippets", SNIPPETS), st.read("vectors", VECTORS), st.read("edges", EDGES), st.read("nodes", NODES), query, n_results, models, reranked)
+
+
+def search_tables(snippets: DataFrame, vectors: DataFrame, edges: DataFrame, nodes: DataFrame, query: str, n_results: int, models: Models, reranked: bool = True, query_vector: list[float] | None = None) -> DataFrame:
+    """As search(), over tables. The lists are cut at the search's depth, and hydration scans the snippets once."""
     depth = fusion.candidate_depth(n_results)
     final_query = models.expand(query)
-    words = keyword_list(snippets, query, final_query, depth)
-    near = vector.top_k(vectors, embedded(spark, models, final_query), depth)
-    fused = fusion.rrf(near, words, depth).select("id", "rrf_score", "rank")
+    words = checkpointed(keyword_list(snippets, query, final_query, depth))
+    near = vector.top_k(vectors, query_vector or embedded(snippets.sparkSession, models, final_query), depth)
+    fused = checkpointed(fusion.rrf(near, words, depth).select("id", "rrf_score", "rank"))
     rows = fusion.hydrate(fused, snippets)
-    rows = fusion.best_document(rows, vectors.select("id", "document"), vectors.select("id", "document").limit(0), document())
-    best = fusion.rerank(rows, query, n_results, models.score) if reranked else rows.orderBy("rank").limit(n_results).withColumn("rerank_score", F.lit(None).cast("double"))
+    # of the depth's ids at most
+    told = vectors.select("id", "document").join(F.broadcast(fused.select("id")), "id", "left_semi")
+    said = rows.join(F.broadcast(words.select("id")), "id", "left_semi").select("id", document(False).alias("document"))
+    best = best_rows(fusion.best_document(rows, told, said, document()), query, n_results, models, reranked)
     hits = fusion.with_parent(best, snippets)
-    related = graph.neighbours(edges.join(best.select(F.col("id").alias("source_id")), "source_id", "left_semi"), nodes)
+    related = graph.neighbours(edges.join(F.broadcast(best.select(F.col("id").alias("source_id"))), "source_id", "left_semi"), nodes)
     hits = hits.join(related, F.col("id") == F.col("source_id"), "left")
     order = Window.orderBy(F.desc_nulls_last("rerank_score"), "rank")
     fields = [c for c in snippets.columns if c != "id"]
     return hits.select(F.row_number().over(order).alias("rank"), "id", "rrf_score", "rerank_score", F.struct("id", *fields).alias("snippet"), "parent", F.coalesce("relations", F.array().cast("array<struct<type:string,target:string>>")).alias("relations"), "document")
 
 
+# Fixed layout of a hit in the context.
 def context_block(hit_rank, snippet, parent, relations):
     """One hit's part of the answer's context."""
     inside = F.when(parent["name"].isNotNull(), F.concat(F.lit(" [in "), parent["name"], F.lit(" ("), parent["type"], F.lit(")]"))).otherwise(F.lit(""))

@@ -23,5 +23,6 @@ SNIPPETS = (
 EDGES = "source_id string, target_id string, type string, file_path string, resolved boolean"
 NODES = "id string, name string, type string, file_path string"
 VECTORS = "id string, embedding array<float>, document string, name string, type string, file_path string, start_line int, end_line int, is_skeleton boolean"
+ERRORS = "file_path string, error string"
 MANIFEST = "file_path string, content_hash string"
 CAPTURES = "file_path string, tag string, text string, start int, end int, parent_tag string, parent_start int, parent_end int, owner_start int, owner_end int"

@@ -90,7 +90,13 @@ def parsers() -> dict:
 
 
 def parse(files: DataFrame, chunk_size: int = 1000, registry: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """Snippets, and captures for the edges, of a files table; both from one pass when it is persisted by the caller."""
+    """Snippets, and captures for the edges, of a files table."""
+    both = parsed(files, chunk_size, registry)
+    return both.selectExpr("inline(snippets)"), both.selectExpr("inline(captures)")
+
+
+def parsed(files: DataFrame, chunk_size: int = 1000, registry: dict | None = None) -> DataFrame:
+    """file_path, its snippets and captures as arrays, and the parser's error."""
     registry = registry or parsers()
     both = f"snippets array<struct<{_nested(SNIPPETS)}>>, captures array<struct<{_nested(CAPTURE_ROW)}>>, file_path string, error string"
 
@@ -106,8 +112,7 @@ def parse(files: DataFrame, chunk_size: int = 1000, registry: dict | None = None
                 rows.append((outline.snippets(code or "", path, found, chunk_size), outline.captures(path, found), path, found.error))
             yield pd.DataFrame(rows, columns=["snippets", "captures", "file_path", "error"])
 
-    parsed = files.select("file_path", "language", "content").mapInPandas(run, both)
-    return parsed.selectExpr("inline(snippets)"), parsed.selectExpr("inline(captures)")
+    return files.select("file_path", "language", "content").mapInPandas(run, both)
 
 
 CAPTURE_ROW = "file_path string, tag string, text string, start int, end int, owner_start int, owner_end int"

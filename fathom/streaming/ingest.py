@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fathom.operators.store import Store, latest, upsert
+from fathom.operators.store import Store, checkpointed, latest, upsert
 from fathom.plans.index import build
 from fathom.schema import FILES
 
@@ -29,10 +29,7 @@ def index_stream(stream: DataFrame, st: Store, checkpoint: str) -> StreamingQuer
 
     def merge(batch: DataFrame, _: int) -> None:
         new = latest(batch, ["file_path"], [F.col("content_hash")])
-        before = st.read("files", FILES)
-        files = upsert(before, new, "file_path").checkpoint()
-        build(files, st)
-        v = st.version()
-        files.write.parquet(f"{st.root}/v{v}/files")
+        files = checkpointed(upsert(st.read("files", FILES), new, "file_path"))
+        build(files, st, also={"files": files})
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

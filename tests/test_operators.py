@@ -88,3 +88,65 @@ def test_stream_index(spark, tmp_path):
         spark.createDataFrame([(f"f{n}.py", "python", code, str(n))], FILES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         index_stream(landing(spark, str(tmp_path / "in")), st_, str(tmp_path / "ck")).awaitTermination()
     assert {r.name for r in st_.read("snippets", SNIPPETS).where("type = 'function'").collect()} == {"a", "b"}
+
+
+def test_stream_build_and_stream_share_a_store(spark, tmp_path):
+    """Builds and streams on one store, in turn; tables that a commit isn't given stay, and a draft without its marker counts for nothing."""
+    from fathom.plans.index import build
+    from fathom.schema import ERRORS, FILES, SNIPPETS
+    from fathom.streaming.ingest import index_stream, landing
+
+    st_ = store.Store(spark, str(tmp_path / "store"))
+    row = lambda n, code: spark.createDataFrame([(f"f{n}.py", "python", code, f"h{n}{code}")], FILES)
+    names = lambda: {r.name for r in st_.read("snippets", SNIPPETS).where("type = 'function'").collect()}
+    build(row(0, "def a():\n    pass\n"), st_)
+    assert names() == {"a"}
+    for n, name in ((1, "b"), (2, "c")):
+        row(n, f"def {name}():\n    pass\n").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        index_stream(landing(spark, str(tmp_path / "in")), st_, str(tmp_path / "ck")).awaitTermination()
+        files = st_.read("files", FILES)
+        assert files.count() == n and names() == {"b", "c"} - ({"c"} if n == 1 else set())
+        build(files.unionByName(row(9, "def z(:\n")), st_)
+        assert "b" in names() and st_.read("files", FILES).count() == n
+    assert [r.file_path for r in st_.read("errors", ERRORS).collect()] == ["f9.py"]
+    version, before = st_.version(), names()
+    (tmp_path / "store" / f"v{version + 1}" / "snippets").mkdir(parents=True)  # a job that died between its writes
+    assert st_.version() == version and names() == before
+    st_.vacuum(1)
+    assert names() == before and st_.read("files", FILES).count() == 2
+
+
+def test_failing_models(spark):
+    from fathom import models
+    from fathom.plans.search import best_rows
+
+    rows = spark.createDataFrame([(i, i, f"text {i}") for i in range(1, 6)], "id long, rank long, document string")
+
+    def broken(query, document):
+        return F.raise_error(F.lit("no model")).cast("double")
+
+    got = best_rows(rows, "q", 3, models.Models(score=broken), True).orderBy("rank").collect()
+    assert [r.id for r in got] == [1, 2, 3] and [r.rerank_score for r in got] == [pytest.approx(0.0001 / n) for n in (1, 2, 3)]
+    logits = models.with_sigmoid(lambda q, d: F.lit(0.0))
+    assert best_rows(rows, "q", 1, models.Models(score=logits), True).first().rerank_score == 0.5
+    v = spark.range(1).select(models.zero_on_failure(lambda t: F.lit(None).cast("array<float>"), 3)(F.lit("x")).alias("v")).first().v
+    assert v == [0.0, 0.0, 0.0]
+    yes = models.expander(lambda p: iter(["yes"] if "decide" in p else ["code"]), "decide {query}", "make {query}")
+    assert yes("q") == "q\n\nHypothetical code implementation:\ncode" and models.expander(lambda p: iter(["No."]), "decide {query}", "")("q") == "q"
+    snippets = spark.createDataFrame([("a", "x", None, None, "A", []), ("b", "y", None, None, "B", [])], "id string, content string, docstring string, signature string, name string, lines array<string>")
+    told = models.batched_summaries(lambda p: iter(['```json\n{"a": {"summary": "says a"}}\n```']), "{snippets}")(snippets)
+    assert {r.id: r.summary for r in told.collect()} == {"a": "says a", "b": "B"}
+
+
+def test_merged_lists(spark):
+    first, second = (spark.createDataFrame([(x, i + 1) for i, x in enumerate(ids)], "id string, position long") for ids in ("ab", "bcd"))
+    assert [r.id for r in lexical.merged_lists(first, second).orderBy("position").collect()] == list("abcd")
+
+
+@pytest.mark.parametrize("text", ["", "...", "a", " a", "a.", ".a b.", "the the the", "x_y", None, "é É e"])
+def test_spaced_lengths_and_phrases(spark, text):
+    import re
+
+    row = spark.createDataFrame([(text,)], "t string").select(lexical.spaced(F.col("t")).alias("s")).select(lexical.length(F.col("s")).alias("n"), lexical.occurrences(F.col("s"), ["the", "the"]).alias("p"), lexical.occurrences(F.col("s"), ["e"]).alias("e")).first()
+    tokens = re.findall(r"[^\W_]+", (text or "").lower().translate(str.maketrans("é", "e")))
+    assert row.n == len(tokens) and row.p == sum(x == y == "the" for x, y in zip(tokens, tokens[1:])) and row.e == tokens.count("e")
