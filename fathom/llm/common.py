@@ -24,11 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches, and a shared checkpoint folder.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests, one machine) a temporary folder is taken.
-    """
+    """Small Arrow batches, and a shared checkpoint folder (see shared_dir)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
@@ -40,12 +36,17 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
+    """The session's ``spark.checkpoint.dir``, else the context's checkpoint folder; without either a temporary one, on a single machine only."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
+    at = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if at.isDefined():
+        return at.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own:
-        _own.append(tempfile.mkdtemp(prefix="fathom-"))
-    return "file://" + _own[0]
+        _own.append("file://" + tempfile.mkdtemp(prefix="fathom-"))
+    return _own[0]
 
 
 def cut(df: DataFrame) -> DataFrame:
