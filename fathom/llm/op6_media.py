@@ -221,11 +221,11 @@ def describe_stack(stack: np.ndarray) -> tuple[np.ndarray, ...]:
     return image, x, y, angle, np.array(SIGMAS)[level], bits
 
 
-DESCRIBED = "id long, x int, y int, angle double, scale double, d0 long, d1 long, d2 long, d3 long"
+DESCRIBED = "id long, corner int, x int, y int, angle double, scale double, d0 long, d1 long, d2 long, d3 long"
 
 
 def describe(images: DataFrame) -> DataFrame:
-    """Corners of each (id, image): place, orientation, scale and descriptor."""
+    """Corners of each (id, image), numbered within it: place, orientation, scale and descriptor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,7 +239,8 @@ def describe(images: DataFrame) -> DataFrame:
                     image, x, y, angle, scale, bits = describe_stack(np.stack([p[1] for p in part]))
                     d = bits.view(">i8").astype(np.int64).reshape(-1, 4)
                     ids = pa.array([p[0] for p in part], pa.int64()).take(pa.array(image))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(angle), pa.array(scale), *(pa.array(d[:, k].copy()) for k in range(4))], ["id", *NAMES])
+                    corner = np.arange(len(image)) - np.searchsorted(image, image)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(corner.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(angle), pa.array(scale), *(pa.array(d[:, k].copy()) for k in range(4))], ["id", "corner", *NAMES])
 
     return map_arrow(images.select("id", "image"), run, DESCRIBED)
 
@@ -270,17 +271,25 @@ MATCH = "query_id long, match_id long, n_matches int, n_inliers int, turn double
 def match(queries: DataFrame, index: DataFrame) -> DataFrame:
     """Described queries against a described index: pairs with a geometric consensus."""
 
+    queries, index = stored(queries)[0], stored(index)[0]  # both are read twice
+
     def filed(rows: DataFrame, side: str, turned: bool) -> DataFrame:
         # the table's number above the 32 bits of the part; a query also looks up every value one bit away
         low = (F.col(f"d{k // 2}") if k % 2 else F.shiftrightunsigned(F.col(f"d{k // 2}"), 32) for k in range(PARTS))
         parts = F.array(*[F.lit(k << 32).bitwiseOR(v.bitwiseAND(F.lit(0xFFFFFFFF))) for k, v in enumerate(low)])
-        out = rows.select(F.struct("id", *NAMES).alias(side), F.explode(parts).alias("part"))
-        return out.select(side, F.explode(F.array(F.col("part"), *[F.col("part").bitwiseXOR(F.lit(1 << i)) for i in range(32)])).alias("part")) if turned else out
-
+        out = rows.select(F.col("id").alias(f"{side}id"), F.col("corner").alias(f"{side}corner"), F.explode(parts).alias("part"))
+        if turned:
+            near = F.array(F.col("part"), *[F.col("part").bitwiseXOR(F.lit(1 << i)) for i in range(32)])
+            out = out.withColumn("part", F.explode(near))
+        return out
+
+    # only the numbers of corners go to the tables; a meeting in several tables counts once
+    met = filed(queries, "q", True).join(filed(index, "m", False), "part").select("qid", "qcorner", "mid", "mcorner").distinct()
+    for side, rows in (("q", queries), ("m", index)):
+        met = met.join(rows.select(F.col("id").alias(f"{side}id"), F.col("corner").alias(f"{side}corner"), F.struct(*NAMES).alias(side)), [f"{side}id", f"{side}corner"])
     distance = sum(F.bit_count(F.col(f"q.d{k}").bitwiseXOR(F.col(f"m.d{k}"))) for k in range(4))
-    met = filed(queries, "q", True).join(filed(index, "m", False), "part").where(distance <= MAX_DISTANCE)
-    # a meeting of the same two corners in several tables counts once; two images have CORNERS**2 at most
-    pairs = met.groupBy(F.col("q.id").alias("query_id"), F.col("m.id").alias("match_id")).agg(F.collect_set(F.struct(*[F.col(f"{s}.{c}").cast("double").alias(f"{s}{c}") for s in "qm" for c in NAMES[:4]])).alias("met"))
+    # two images have CORNERS**2 meetings at most
+    pairs = met.where(distance <= MAX_DISTANCE).groupBy(F.col("qid").alias("query_id"), F.col("mid").alias("match_id")).agg(F.collect_set(F.struct(*[F.col(f"{s}.{c}").cast("double").alias(f"{s}{c}") for s in "qm" for c in NAMES[:4]])).alias("met"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
