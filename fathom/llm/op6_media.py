@@ -4,8 +4,9 @@ Corners are found at several scales (structure tensor under growing blur); each
 gets an orientation from its intensity centroid and a 256-bit descriptor of
 brightness tests on a pattern turned to that orientation and grown with the scale.
 Descriptors are filed in hash tables under all their eight 32-bit parts; a query looks
-its parts up as they are and with any one bit turned over, so that two corners meet if
-some part differs in one bit at most, and each meeting is verified by its Hamming
+each part up with every choice of its WEAK least certain bits, those whose brightnesses
+differ least, turned over; so two corners meet if some part differs in such bits only.
+Each meeting is verified where it occurs by its Hamming
 distance, all in the JVM. The meetings of two images vote: every one proposes a
 similarity transform from its positions, orientations and scales, and the proposal
 with most agreeing meetings is the consensus. Crops, turns, brightness, contrast, noise
@@ -35,6 +36,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +50,7 @@ CORNERS = 48
 SIGMAS = (1.2, 1.5, 1.9, 2.4, 3.0)
 #: A descriptor's reach at scale 1, in units of BASE; MARGIN is that of the largest scale.
 MARGIN, RADIUS, BASE = 13, 8, 1.9
-BITS, PARTS = 256, 8
+BITS, PARTS, WEAK = 256, 8, 3
 MAX_DISTANCE = 48
 MIN_INLIERS, TOLERANCE, MAX_TURN = 6, 3.0, 0.5
 EVERY = 100
@@ -174,11 +176,11 @@ _DISCS = [_disc(min(round(RADIUS * s / BASE), MARGIN - 1)) for s in SIGMAS]
 
 
 def describe_stack(stack: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(image, x, y, angle, scale, descriptor bytes) of the corners of equally large images."""
+    """(image, x, y, angle, scale, descriptor bytes, each part's weak bits) of the corners of equally large images."""
     n, h, w = stack.shape
     rows: list[tuple[np.ndarray, ...]] = []
     if h <= 2 * MARGIN or w <= 2 * MARGIN:
-        return (*(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, float, float)), np.zeros((0, BITS // 8), np.uint8))
+        return (*(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, float, float)), np.zeros((0, BITS // 8), np.uint8), np.zeros((0, PARTS * WEAK), np.int64))
     scored, smooth = [], {}
     for level, sigma in enumerate(SIGMAS):
         s = smooth[level] = blur(stack, sigma)
@@ -201,7 +203,7 @@ def describe_stack(stack: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.searchsorted(image, np.arange(n))
     best = np.arange(len(image)) - first[image] < CORNERS
     image, y, x, level = image[best], y[best], x[best], level[best]
-    angle, bits = np.zeros(len(image)), np.zeros((len(image), BITS // 8), np.uint8)
+    angle, bits, weak = np.zeros(len(image)), np.zeros((len(image), BITS // 8), np.uint8), np.zeros((len(image), PARTS, WEAK), np.int64)
     for k in range(len(SIGMAS)):
         at = np.flatnonzero(level == k)
         if len(at) == 0:
@@ -218,10 +220,12 @@ def describe_stack(stack: np.ndarray) -> tuple[np.ndarray, ...]:
             dx, dy = np.rint(cos * px - sin * py).astype(np.int64), np.rint(sin * px + cos * py).astype(np.int64)
             value.append(flat[image[at][:, None], base[:, None] + dy * w + dx])
         bits[at] = np.packbits(value[0] < value[1], axis=1)
-    return image, x, y, angle, np.array(SIGMAS)[level], bits
+        margin = np.abs(value[0] - value[1]).reshape(len(at), PARTS, BITS // PARTS)
+        weak[at] = 1 << (BITS // PARTS - 1 - np.argsort(margin, axis=2, kind="stable")[:, :, :WEAK])
+    return image, x, y, angle, np.array(SIGMAS)[level], bits, weak.reshape(len(image), -1)
 
 
-DESCRIBED = "id long, corner int, x int, y int, angle double, scale double, d0 long, d1 long, d2 long, d3 long"
+DESCRIBED = "id long, corner int, x int, y int, angle double, scale double, d0 long, d1 long, d2 long, d3 long, weak array<long>"
 
 
 def describe(images: DataFrame) -> DataFrame:
@@ -236,11 +240,11 @@ def describe(images: DataFrame) -> DataFrame:
             for own in by_size.values():
                 for s in range(0, len(own), 64):
                     part = own[s : s + 64]
-                    image, x, y, angle, scale, bits = describe_stack(np.stack([p[1] for p in part]))
+                    image, x, y, angle, scale, bits, weak = describe_stack(np.stack([p[1] for p in part]))
                     d = bits.view(">i8").astype(np.int64).reshape(-1, 4)
                     ids = pa.array([p[0] for p in part], pa.int64()).take(pa.array(image))
                     corner = np.arange(len(image)) - np.searchsorted(image, image)
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(corner.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(angle), pa.array(scale), *(pa.array(d[:, k].copy()) for k in range(4))], ["id", "corner", *NAMES])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(corner.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(angle), pa.array(scale), *(pa.array(d[:, k].copy()) for k in range(4)), pa.array(list(weak), pa.list_(pa.int64()))], ["id", "corner", *NAMES, "weak"])
 
     return map_arrow(images.select("id", "image"), run, DESCRIBED)
 
@@ -271,25 +275,25 @@ MATCH = "query_id long, match_id long, n_matches int, n_inliers int, turn double
 def match(queries: DataFrame, index: DataFrame) -> DataFrame:
     """Described queries against a described index: pairs with a geometric consensus."""
 
-    queries, index = stored(queries)[0], stored(index)[0]  # both are read twice
+    queries, index = stored(queries)[0], stored(index.drop("weak"))[0]  # both are read twice
+    words = [f"d{k}" for k in range(4)]
 
     def filed(rows: DataFrame, side: str, turned: bool) -> DataFrame:
-        # the table's number above the 32 bits of the part; a query also looks up every value one bit away
+        # the table's number above the 32 bits of the part
         low = (F.col(f"d{k // 2}") if k % 2 else F.shiftrightunsigned(F.col(f"d{k // 2}"), 32) for k in range(PARTS))
-        parts = F.array(*[F.lit(k << 32).bitwiseOR(v.bitwiseAND(F.lit(0xFFFFFFFF))) for k, v in enumerate(low)])
-        out = rows.select(F.col("id").alias(f"{side}id"), F.col("corner").alias(f"{side}corner"), F.explode(parts).alias("part"))
+        parts = [F.lit(k << 32).bitwiseOR(v.bitwiseAND(F.lit(0xFFFFFFFF))) for k, v in enumerate(low)]
         if turned:
-            near = F.array(F.col("part"), *[F.col("part").bitwiseXOR(F.lit(1 << i)) for i in range(32)])
-            out = out.withColumn("part", F.explode(near))
-        return out
+            some = [[i for i in range(WEAK) if n >> i & 1] for n in range(1 << WEAK)]
+            parts = [reduce(lambda v, i: v.bitwiseXOR(F.col("weak")[i]), [WEAK * k + i for i in own], v) for k, v in enumerate(parts) for own in some]
+        return rows.select(*[F.col(c).alias(side + c) for c in ("id", "corner", *words)], F.explode(F.array(*parts)).alias("part"))
 
-    # only the numbers of corners go to the tables; a meeting in several tables counts once
-    met = filed(queries, "q", True).join(filed(index, "m", False), "part").select("qid", "qcorner", "mid", "mcorner").distinct()
+    # a meeting of the same two corners in several tables counts once
+    distance = sum(F.bit_count(F.col(f"q{w}").bitwiseXOR(F.col(f"m{w}"))) for w in words)
+    met = filed(queries, "q", True).join(filed(index, "m", False), "part").where(distance <= MAX_DISTANCE).select("qid", "qcorner", "mid", "mcorner").distinct()
     for side, rows in (("q", queries), ("m", index)):
-        met = met.join(rows.select(F.col("id").alias(f"{side}id"), F.col("corner").alias(f"{side}corner"), F.struct(*NAMES).alias(side)), [f"{side}id", f"{side}corner"])
-    distance = sum(F.bit_count(F.col(f"q.d{k}").bitwiseXOR(F.col(f"m.d{k}"))) for k in range(4))
+        met = met.join(rows.select(F.col("id").alias(f"{side}id"), F.col("corner").alias(f"{side}corner"), *[F.col(c).cast("double").alias(side + c) for c in NAMES[:4]]), [f"{side}id", f"{side}corner"])
     # two images have CORNERS**2 meetings at most
-    pairs = met.where(distance <= MAX_DISTANCE).groupBy(F.col("qid").alias("query_id"), F.col("mid").alias("match_id")).agg(F.collect_set(F.struct(*[F.col(f"{s}.{c}").cast("double").alias(f"{s}{c}") for s in "qm" for c in NAMES[:4]])).alias("met"))
+    pairs = met.groupBy(F.col("qid").alias("query_id"), F.col("mid").alias("match_id")).agg(F.collect_list(F.struct(*[s + c for s in "qm" for c in NAMES[:4]])).alias("met"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
