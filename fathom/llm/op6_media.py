@@ -47,12 +47,12 @@ from fathom.llm.common import cut, map_arrow, stored, table
 
 SIDE, CROP = 96, 72
 CORNERS = 48
-SIGMAS = (1.2, 1.5, 1.9, 2.4, 3.0)
+SIGMAS = (1.2, 1.5, 1.9, 2.4)
 #: A descriptor's reach at scale 1, in units of BASE; MARGIN is that of the largest scale.
-MARGIN, RADIUS, BASE = 13, 8, 1.9
-BITS, PARTS, WEAK = 256, 8, 3
-MAX_DISTANCE = 48
-MIN_INLIERS, TOLERANCE, MAX_TURN = 6, 3.0, 0.5
+MARGIN, RADIUS, BASE = 13, 8, 1.5
+BITS, PARTS, WEAK = 256, 8, 4
+MAX_DISTANCE = 44
+MIN_INLIERS, TOLERANCE, MAX_TURN = 5, 3.0, 0.5
 EVERY = 100
 NAMES = ("x", "y", "angle", "scale", "d0", "d1", "d2", "d3")
 
@@ -163,7 +163,7 @@ def blur(stack: np.ndarray, sigma: float) -> np.ndarray:
 
 def _pattern() -> np.ndarray:
     """Two points per test, within RADIUS."""
-    points = np.random.RandomState(20240607).normal(0, 3.8, (BITS, 2, 2))
+    points = np.random.RandomState(20240607).normal(0, 5.0, (BITS, 2, 2))
     return (points * np.minimum(1, RADIUS / np.maximum(np.hypot(points[..., :1], points[..., 1:]), 1e-9))).reshape(BITS, 4)
 
 
