@@ -23,7 +23,8 @@ The tables given here hold no images, so the query renders each row of
 images. Queries are edited copies (cropped, turned, recoloured, noisy) of every row
 whose id is divisible by 100.
 
-Defined cases: null, broken or tiny images have no descriptors and match nothing;
+Defined cases: null, broken or tiny images, and those of a side of 2**22 pixels or more,
+have no descriptors and match nothing;
 null ids belong to the class of their image and aren't queries; a class of null ids
 alone has a null class_id and is indexed like any other; rows of one id with different
 images belong to the classes of their images, and each image is a query of its own;
@@ -40,7 +41,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm.common import cut, map_arrow, stored, table
@@ -54,6 +55,10 @@ BITS, PARTS, WEAK = 256, 8, 4
 MAX_DISTANCE = 44
 MIN_INLIERS, TOLERANCE, MAX_TURN = 5, 3.0, 0.5
 EVERY = 100
+#: A corner's place is packed into one number: 22 bits a side, 14 for the angle.
+MAX_SIDE, TURNS = (1 << 22) - 1, (1 << 14) - 1
+#: Words of 64 bits of the bitmap that says which parts the queries look up; of any size it only spares rows.
+FILTER_WORDS = 1 << 18
 NAMES = ("x", "y", "angle", "scale", "d0", "d1", "d2", "d3")
 
 
@@ -179,7 +184,7 @@ def describe_stack(stack: np.ndarray) -> tuple[np.ndarray, ...]:
     """(image, x, y, angle, scale, descriptor bytes, each part's weak bits) of the corners of equally large images."""
     n, h, w = stack.shape
     rows: list[tuple[np.ndarray, ...]] = []
-    if h <= 2 * MARGIN or w <= 2 * MARGIN:
+    if h <= 2 * MARGIN or w <= 2 * MARGIN or max(h, w) > MAX_SIDE:
         return (*(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, float, float)), np.zeros((0, BITS // 8), np.uint8), np.zeros((0, PARTS * WEAK), np.int64))
     scored, smooth = [], {}
     for level, sigma in enumerate(SIGMAS):
@@ -269,14 +274,37 @@ def consensus(q: np.ndarray, m: np.ndarray) -> tuple[int, tuple[float, ...]]:
     return best, found
 
 
+def _place() -> Column:
+    """A corner within its image as one number: x, y, angle and scale (in tenths)."""
+    turn = F.round((F.col("angle") + np.pi) * (TURNS / (2 * np.pi))).cast("long")
+    return F.shiftleft(F.col("x").cast("long"), 42).bitwiseOR(F.shiftleft(F.col("y").cast("long"), 20)).bitwiseOR(F.shiftleft(turn, 6)).bitwiseOR(F.round(F.col("scale") * 10).cast("long"))
+
+
+def _placed(place: np.ndarray) -> np.ndarray:
+    """Rows of x, y, angle, scale."""
+    turn = (place >> 6 & TURNS) * (2 * np.pi / TURNS) - np.pi
+    return np.stack([place >> 42 & MAX_SIDE, place >> 20 & MAX_SIDE, turn, (place & 63) / 10], axis=1).astype(float)
+
+
+def _word() -> Column:
+    """Where a bitmap of looked-up parts has a part's bit: FILTER_WORDS words bound what is broadcast."""
+    return F.xxhash64("part").bitwiseAND(F.lit(FILTER_WORDS - 1))
+
+
+def _bit() -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(F.xxhash64("part"), 58).cast("int"))
+
+
 MATCH = "query_id long, match_id long, n_matches int, n_inliers int, turn double, scale double, dx double, dy double"
 
 
 def match(queries: DataFrame, index: DataFrame) -> DataFrame:
     """Described queries against a described index: pairs with a geometric consensus."""
 
-    queries, index = stored(queries)[0], stored(index.drop("weak"))[0]  # both are read twice
     words = [f"d{k}" for k in range(4)]
+    # both are read twice
+    queries = stored(queries.select("id", _place().alias("place"), *words, "weak"))[0]
+    index = stored(index.select("id", _place().alias("place"), *words))[0]
 
     def filed(rows: DataFrame, side: str, turned: bool) -> DataFrame:
         # the table's number above the 32 bits of the part
@@ -285,23 +313,24 @@ def match(queries: DataFrame, index: DataFrame) -> DataFrame:
         if turned:
             some = [[i for i in range(WEAK) if n >> i & 1] for n in range(1 << WEAK)]
             parts = [reduce(lambda v, i: v.bitwiseXOR(F.col("weak")[i]), [WEAK * k + i for i in own], v) for k, v in enumerate(parts) for own in some]
-        return rows.select(*[F.col(c).alias(side + c) for c in ("id", "corner", *words)], F.explode(F.array(*parts)).alias("part"))
+        return rows.select(*[F.col(c).alias(side + c) for c in ("id", "place", *words)], F.explode(F.array(*parts)).alias("part"))
 
-    # a meeting of the same two corners in several tables counts once
+    # the index's rows whose part no query looks up stay where they are; all that may be looked up go on
+    asked, kept = filed(queries, "q", True), filed(index, "m", False)
+    seen = asked.groupBy(_word().alias("word")).agg(F.bit_or(_bit()).alias("bits"))
+    kept = kept.join(F.broadcast(seen), _word() == F.col("word")).where(F.col("bits").bitwiseAND(_bit()) != 0).drop("word", "bits")
     distance = sum(F.bit_count(F.col(f"q{w}").bitwiseXOR(F.col(f"m{w}"))) for w in words)
-    met = filed(queries, "q", True).join(filed(index, "m", False), "part").where(distance <= MAX_DISTANCE).select("qid", "qcorner", "mid", "mcorner").distinct()
-    for side, rows in (("q", queries), ("m", index)):
-        met = met.join(rows.select(F.col("id").alias(f"{side}id"), F.col("corner").alias(f"{side}corner"), *[F.col(c).cast("double").alias(side + c) for c in NAMES[:4]]), [f"{side}id", f"{side}corner"])
-    # two images have CORNERS**2 meetings at most
-    pairs = met.groupBy(F.col("qid").alias("query_id"), F.col("mid").alias("match_id")).agg(F.collect_list(F.struct(*[s + c for s in "qm" for c in NAMES[:4]])).alias("met"))
+    met = asked.join(kept, "part").where(distance <= MAX_DISTANCE).select("qid", "mid", "qplace", "mplace")
+    # a meeting of the same two corners in several tables counts once; two images have CORNERS**2 meetings at most
+    pairs = met.repartition("qid", "mid").distinct().groupBy(F.col("qid").alias("query_id"), F.col("mid").alias("match_id")).agg(F.collect_list(F.struct("qplace", "mplace")).alias("met"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for q, m, rows in zip(*(batch.column(c).to_pylist() for c in ("query_id", "match_id", "met"))):
                 if len(rows) >= MIN_INLIERS:
-                    v = np.array(sorted(tuple(r.values()) for r in rows))
-                    n, (turn, grow, dx, dy) = consensus(v[:, :4], v[:, 4:])
+                    v = np.array(sorted(tuple(r.values()) for r in rows), np.int64)
+                    n, (turn, grow, dx, dy) = consensus(_placed(v[:, 0]), _placed(v[:, 1]))
                     if n >= MIN_INLIERS:
                         out.append((q, m, len(rows), n, turn, grow, dx, dy))
             if out:
