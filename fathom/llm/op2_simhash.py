@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.common import cut, identity, in_groups, map_arrow, stored, table, utf8
+from fathom.llm.common import cut, dropped, identity, in_groups, map_arrow, stored, table, utf8
 from fathom.llm.components import connected_components
 
 SEED, BITS = 42, 64
@@ -378,8 +378,8 @@ def _filter(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def sets_of(wanted: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """node and its set of shingles, sorted, as bytes. ``wanted``: one row (node, _fathom_did, _fathom_th) of each."""
+def sets_of(wanted: DataFrame, docs: DataFrame, shingle: int) -> tuple[DataFrame, str]:
+    """node and its set of shingles, sorted, as bytes, as a stored table with its path. ``wanted``: one row (node, _fathom_did, _fathom_th) of each."""
     wanted = cut(wanted.select("node", "_fathom_did", "_fathom_th"))
     bits = _filter(wanted)
     held = docs.sparkSession.sparkContext.broadcast(bits.tobytes())  # 16 MB at any size
@@ -396,13 +396,14 @@ def sets_of(wanted: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
 
     at = F.xxhash64("_fathom_did", "_fathom_th").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     rows = map_arrow(identity(docs.select("doc_id", "text")).select("_fathom_did", "_fathom_th", "text", at.alias("at")), sets, "did long, th long, shingles binary")
-    return stored(rows.join(wanted, (F.col("did") == F.col("_fathom_did")) & (F.col("th") == F.col("_fathom_th"))).select("node", "shingles").dropDuplicates(["node"]))[0]
+    return stored(rows.join(wanted, (F.col("did") == F.col("_fathom_did")) & (F.col("th") == F.col("_fathom_th"))).select("node", "shingles").dropDuplicates(["node"]))
 
 
 def checked(pairs: DataFrame, docs: DataFrame, heads: DataFrame, shingle: int, similarity: float, of: DataFrame | None = None) -> DataFrame:
     """The pairs of nodes, and whether their sets of shingles have the similarity. ``heads``: a row of each node; ``of``: the sets, if they are known."""
+    own = None
     if of is None:
-        of = sets_of(heads.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node"), docs, shingle)
+        of, own = sets_of(heads.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node"), docs, shingle)
     left, right = (of.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,7 +412,10 @@ def checked(pairs: DataFrame, docs: DataFrame, heads: DataFrame, shingle: int, s
             ok = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity for x, y in zip(sa, sb)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
-    return cut(map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), run, "a long, b long, ok boolean"))
+    found = cut(map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), run, "a long, b long, ok boolean"))
+    if own:
+        dropped(docs.sparkSession, own)
+    return found
 
 
 def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -426,7 +430,7 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     label = _rooted(nodes, seen)
     left = cut(meetings(label, tables, FAR, WHO, similarity).select(F.col("a").alias("node")))
     if not left.isEmpty():
-        of = sets_of(heads.join(left, "node"), docs, shingle)
+        of, path = sets_of(heads.join(left, "node"), docs, shingle)
         sizes = cut(_digests(of))
         for mode in (STAR, ALL):
             rest = meetings(label.join(sizes, "node"), tables, FAR, mode, similarity)
@@ -434,6 +438,7 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
             if not rest.isEmpty():
                 seen = cut(seen.union(checked(rest, docs, heads, shingle, similarity, of)))
                 label = _rooted(nodes, seen)
+        dropped(docs.sparkSession, path)
     return prints.select("_fathom_no", "_fathom_did", "_fathom_th", "node").join(label.select("node", "root"), "node")
 
 
