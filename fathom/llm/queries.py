@@ -6,7 +6,7 @@ import importlib
 
 from fathom.llm import op8_rules
 
-_MODULES = ("op1_toxicity", "op10_ppm", "op11_fim", "op2_simhash", "op3_suffix", "op4_warc", "op5_pieces", "op6_media", "op7_mixing", "op8_rules", "op9_wrappers")
+_MODULES = ("op1_toxicity", "op10_ppm", "op11_fim", "op12_pii", "op2_simhash", "op3_suffix", "op4_warc", "op5_pieces", "op6_media", "op7_mixing", "op8_rules", "op9_wrappers")
 
 
 def queries() -> dict:
