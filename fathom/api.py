@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fathom.models import Models
-from fathom.operators import lexical
 from fathom.operators.store import Store
 from fathom.plans import index as _index
 from fathom.plans import search as _search
@@ -25,8 +24,12 @@ class Engine:
         return _search.search(self.store, query, n_results, self.models, reranked)
 
     def search_many(self, queries: DataFrame, k: int = 10) -> DataFrame:
-        """(query_id, query) -> the best k snippets of each by keywords."""
-        return lexical.search_many(self.store.read("snippets", SNIPPETS), queries, k)
+        """(query_id, query) -> the best k snippets of each by keywords, from the stored postings."""
+        return _index.term_index(self.store).search_many(queries, k)
+
+    def get(self, *ids: str) -> DataFrame:
+        """The snippets of some ids."""
+        return self.store.get("snippets", SNIPPETS, ids)
 
     def answer(self, query: str, n_results: int = 5) -> str:
         return _search.answer(self.search(query, n_results), query, self.models)

@@ -17,6 +17,8 @@ from fathom.operators.fusion import overlap_score
 from fathom.operators.vector import normalised, zero_vector
 
 DIM = 64
+#: Fixed value: what stands between a query and its made-up code, by which clients split them.
+MARKER = "\n\nHypothetical code implementation:\n"
 
 
 def hashed_embedding(text: Column, dim: int = DIM) -> Column:
@@ -62,28 +64,38 @@ def expander(complete: Callable[[str], Iterator[str]], decide: str, generate: st
     def run(query: str) -> str:
         if not says_yes("".join(complete(decide.format(query=query)))):
             return query
-        return f"{query}\n\nHypothetical code implementation:\n{''.join(complete(generate.format(query=query)))}"
+        return f"{query}{MARKER}{''.join(complete(generate.format(query=query)))}"
 
     return run
 
 
 def batched_summaries(complete: Callable[[str], Iterator[str]], prompt: str, batch: int = 5) -> Callable[[DataFrame], DataFrame]:
-    """A summariser that asks for ``batch`` snippets at a time and joins the replies (JSON, id to text) to them by id.
+    """A summariser that asks for ``batch`` snippets at a time and takes their replies (JSON, id to text) by id.
 
-    ``prompt`` has {snippets} in it; a snippet that the reply leaves out keeps its summary by ``first_sentence``.
+    ``prompt`` has {snippets} in it: id, content and, where there are children with summaries, their lines
+    under "Context:". Of a reply only what its own batch asked for counts, once per id; a snippet that
+    it leaves out, or whose batch has no readable reply, keeps its summary by ``first_sentence``.
     """
 
+    def shown(row) -> str:
+        lines = row["lines"] if row["lines"] is not None else []
+        return f"{row['id']}:\n{row['content'] or ''}" + ("\nContext:\n" + "\n".join(lines) if len(lines) else "")
+
     def run(rows: DataFrame) -> DataFrame:
         def ask(parts):
             import pandas as pd
 
             for part in parts:
-                asked = [part.iloc[i : i + batch] for i in range(0, len(part), batch)]
-                yield pd.DataFrame({"reply": ["".join(complete(prompt.format(snippets="\n\n".join(f"{i}:\n{c}" for i, c in zip(x["id"], x["content"]))))) for x in asked]})
-
-        told = rows.select("id", "content").mapInPandas(ask, "reply string").select(F.explode(reply_map(F.col("reply"))).alias("_id", "_summary"))
-        plain = first_sentence(rows)
-        return plain.join(told.where("_summary <> ''"), F.col("id") == F.col("_id"), "left").select("id", F.coalesce("_summary", "summary").alias("summary"))
+                for i in range(0, len(part), batch):
+                    asked = part.iloc[i : i + batch]
+                    reply = "".join(complete(prompt.format(snippets="\n\n".join(shown(r) for _, r in asked.iterrows()))))
+                    yield pd.DataFrame({"reply": [reply], "ids": [list(asked["id"])], "plain": [list(asked["plain"])]})
+
+        lines = F.col("lines") if "lines" in rows.columns else F.array().cast("array<string>")
+        plain = first_sentence(rows.withColumn("lines", lines)).withColumnRenamed("summary", "plain")
+        told = rows.select("id", "content", lines.alias("lines")).join(plain, "id").mapInPandas(ask, "reply string, ids array<string>, plain array<string>")
+        each = told.select(reply_map(F.col("reply")).alias("m"), F.explode(F.arrays_zip("ids", "plain")).alias("x"))
+        return each.select(F.col("x.ids").alias("id"), F.coalesce(F.nullif(F.col("m")[F.col("x.ids")], F.lit("")), F.col("x.plain")).alias("summary"))
 
     return run
 

@@ -71,6 +71,12 @@ def statistics(found: DataFrame, n_phrases: int) -> tuple[int, float, list[int]]
     return r["n"], r["avgdl"] or 1.0, [r[f"df{i}"] for i in range(n_phrases)]
 
 
+def frequencies(found: DataFrame, n_phrases: int) -> list[int]:
+    """Rows per phrase."""
+    r = found.agg(F.count(F.lit(1)), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(n_phrases)]).first()
+    return [r[f"df{i}"] for i in range(n_phrases)]
+
+
 def idf(n: int, df: int) -> float:
     value = math.log((n - df + 0.5) / (df + 0.5)) if n else 0.0
     return value if value > 0 else LEAST_IDF
@@ -106,17 +112,9 @@ def like(rows: DataFrame, pattern: str, fields: tuple[str, ...]) -> DataFrame:
     return rows.where(reduce(lambda a, b: a | b, [F.col(f).ilike(f"%{pattern}%") for f in fields]))
 
 
-def staged_search(rows: DataFrame, query: str, limit: int = 50, fields: tuple[str, ...] = ("name", "content", "summary")) -> DataFrame:
-    """Exact names, then phrase, all terms, any term, then LIKE: id, stage, rank, position.
-
-    A stage adds up to ``limit`` rows and runs while fewer than ``limit`` were found;
-    the first stage that finds a row keeps it; LIKE runs if nothing was found.
-    Stages with a dotted term, which the query syntax rejects, are skipped, except
-    the quoted phrase. Ties are broken by id.
-    """
+def stages_of(query: str) -> tuple[list[str], list[tuple[list[list[str]], bool]], list[list[str]]]:
+    """A query's exact names, its stages (phrases, and whether a row needs all of them), and the distinct phrases of all stages."""
     terms = terms_of(query)
-    if not terms:
-        return rows.select("id").limit(0).select("id", F.lit(0).alias("stage"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("position"))
     tech = [t for t in terms if len(t) > 1]
     exact = [t for t in tech if len(t) >= 3]
     stages: list[tuple[list[list[str]], bool]] = []
@@ -128,11 +126,29 @@ def staged_search(rows: DataFrame, query: str, limit: int = 50, fields: tuple[st
     elif not any("." in t for t in terms):
         stages.append(([fold(t) for t in terms], False))
     stages = [([p for p in phrases if p], every) for phrases, every in stages]
-    phrases = [list(p) for p in dict.fromkeys(tuple(p) for found, _ in stages for p in found)]
+    return exact, stages, [list(p) for p in dict.fromkeys(tuple(p) for found, _ in stages for p in found)]
+
+
+def staged_search(rows: DataFrame, query: str, limit: int = 50, fields: tuple[str, ...] = ("name", "content", "summary")) -> DataFrame:
+    """Exact names, then phrase, all terms, any term, then LIKE: id, stage, rank, position.
+
+    A stage adds up to ``limit`` rows and runs while fewer than ``limit`` were found;
+    the first stage that finds a row keeps it; LIKE runs if nothing was found.
+    Stages with a dotted term, which the query syntax rejects, are skipped, except
+    the quoted phrase. Ties are broken by id.
+    """
+    if not terms_of(query):
+        return rows.select("id").limit(0).select("id", F.lit(0).alias("stage"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("position"))
+    exact, stages, phrases = stages_of(query)
     # one scan: what is read from here on are narrow rows
     names = [F.coalesce(F.col("name") == t, F.lit(False)).alias(f"nm{i}") for i, t in enumerate(exact)]
     seen = checkpointed(counted(rows, phrases, fields).select("id", "dl", *[f"tf{i}" for i in range(len(phrases))], *names))
-    n_rows, avgdl, dfs = statistics(seen, len(phrases))
+    return staged(seen, statistics(seen, len(phrases)), exact, stages, phrases, limit, lambda: like(rows, query, fields))
+
+
+def staged(seen: DataFrame, stats: tuple[int, float, list[int]], exact: list[str], stages: list, phrases: list, limit: int, fallback) -> DataFrame:
+    """The stages over counted rows (id, dl, tf0.., nm0..), which may leave out those without a hit; ``fallback`` gives the rows of LIKE."""
+    n_rows, avgdl, dfs = stats
     parts = [_ranked(seen.where(f"nm{i}").orderBy("id").limit(limit), i, ["id"]) for i in range(len(exact))]
     found = _first_wins(parts) if parts else None
     n = found.count() if found is not None else 0
@@ -147,7 +163,7 @@ def staged_search(rows: DataFrame, query: str, limit: int = 50, fields: tuple[st
         found = _first_wins(parts)
         n = found.count()
     if n == 0:
-        found = _first_wins([_ranked(like(rows, query, fields).orderBy("id").limit(limit), len(exact) + len(stages), ["id"])])
+        found = _first_wins([_ranked(fallback().orderBy("id").limit(limit), len(exact) + len(stages), ["id"])])
     order = Window.orderBy("stage", "rank")
     return found.select("id", "stage", "rank", F.row_number().over(order).cast("long").alias("position"))
 

@@ -1,16 +1,18 @@
 """The stored index: what changed, upserts and deletes, versions of Parquet tables.
 
-A version is a folder with the tables that it wrote and a marker, which says where each
-table of the version is: its own, or carried over from the folder of a former version.
-The marker is written under another name and renamed last, and readers take the newest
-version that has one. So a job that dies leaves the former version whole, a version has
-all tables of its commit or none, and no path is written that a plan still reads.
+A version is a marker that says where each of its tables is: in the folder that its commit
+wrote, which no other commit writes in, or in that of a former version. The marker is written
+under another name and renamed last, to the number after the version that the commit began
+with, which fails where that number is taken. So a job that dies leaves the former version whole,
+a version has all tables of its commit or none, no path is written that a plan still reads, and
+of two writers that began with the same version one gets a Conflict and begins anew.
 """
 
 from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -66,6 +68,10 @@ def delete_by_file(rows: DataFrame, paths: DataFrame) -> DataFrame:
     return rows.join(paths.select("file_path").distinct(), "file_path", "left_anti")
 
 
+class Conflict(RuntimeError):
+    """Another writer committed a version since this commit began."""
+
+
 class Store:
     """Versions of named tables under a root."""
 
@@ -77,20 +83,20 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
+    def _marker(self, name) -> str:
+        return f"{self.root}/versions/{name}"
+
     def version(self) -> int:
-        """The newest version that counts; 0 if there is none."""
-        fs, p = self._fs(self.root)
-        if not fs.exists(p):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        done = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(self._fs(f"{self.root}/{n}/COMMITTED")[1])]
-        return max(done, default=0)
+        """The newest version; 0 if there is none."""
+        fs, p = self._fs(f"{self.root}/versions")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return max((int(n) for n in names if n.isdigit()), default=0)
 
     def tables(self, version: int) -> dict[str, str]:
         """Where the tables of a version are, below the root."""
         if version == 0:
             return {}
-        fs, p = self._fs(f"{self.root}/v{version}/COMMITTED")
+        fs, p = self._fs(self._marker(version))
         reader = fs.open(p)
         try:
             return json.loads(bytes(reader.readAllBytes()).decode())
@@ -104,37 +110,62 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{where}")
 
-    def commit(self, tables: dict[str, DataFrame]) -> int:
-        """Writes a version with these tables; those it isn't given stay as they are."""
+    def get(self, table: str, schema: str, ids: list, key: str = "id") -> DataFrame:
+        """The rows of some ids; the filter reaches the scan."""
+        return self.read(table, schema).where(F.col(key).isin(list(ids)))
+
+    def commit(self, tables: dict[str, DataFrame], by: dict[str, list[str]] | None = None, drop: tuple[str, ...] = ()) -> int:
+        """Writes a version with these tables, in folders by the columns ``by`` names; those it isn't given stay as they are, but for those to drop."""
         before = self.version()
         v = before + 1
-        base = f"{self.root}/v{v}"
-        fs, p = self._fs(base)
-        if fs.exists(p):
+        own = f"v{v}-{uuid.uuid4().hex[:12]}"
+        kept = {name: path for name, path in self.tables(before).items() if name not in drop}
+        try:
+            for name, df in tables.items():
+                df.write.partitionBy(*(by or {}).get(name, [])).parquet(f"{self.root}/{own}/{name}")
+            self._claim(v, kept | {name: f"{own}/{name}" for name in tables})
+        except Exception:
+            fs, p = self._fs(f"{self.root}/{own}")
             fs.delete(p, True)
-        for name, df in tables.items():
-            df.write.parquet(f"{base}/{name}")
-        where = self.tables(before) | {name: f"v{v}/{name}" for name in tables}
-        draft = self._fs(f"{base}/_COMMITTED")[1]
+            raise
+        return v
+
+    def _claim(self, v: int, where: dict[str, str]) -> None:
+        """Makes the version's marker, unless there is one: a rename that doesn't overwrite."""
+        from py4j.protocol import Py4JJavaError
+
+        fs, draft = self._fs(self._marker(f".draft-{uuid.uuid4().hex}"))
         out = fs.create(draft)
         out.write(bytearray(json.dumps(where).encode()))
         out.close()
-        fs.rename(draft, self._fs(f"{base}/COMMITTED")[1])
-        return v
+        jvm = self.spark._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        how = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(fs.makeQualified(draft), fs.makeQualified(self._fs(self._marker(v))[1]), how)
+        except Py4JJavaError as e:
+            fs.delete(draft, False)
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise Conflict(f"version {v} of {self.root} is another writer's") from e
+            raise
 
     def vacuum(self, keep: int = 2) -> None:
-        """Deletes the tables and markers that none of the newest versions needs."""
+        """Deletes the tables and markers that none of the newest versions needs. Folders of numbers above the newest may be some writer's, and stay."""
         newest = self.version()
-        needed = {path for v in range(max(1, newest - keep + 1), newest + 1) for path in self._tables_if(v).values()}
         fs, p = self._fs(self.root)
-        for s in fs.listStatus(p) if fs.exists(p) else []:
+        if not newest:
+            return
+        held = [v for v in range(max(1, newest - keep + 1), newest + 1) if fs.exists(self._fs(self._marker(v))[1])]
+        needed = {path for v in held for path in self.tables(v).values()}
+        for s in fs.listStatus(p):
             n = s.getPath().getName()
-            if n[:1] == "v" and n[1:].isdigit() and int(n[1:]) <= newest - keep:
+            number = n[1:].split("-")[0]
+            if n[:1] == "v" and number.isdigit() and int(number) <= newest:
                 inside = [x.getPath() for x in fs.listStatus(s.getPath())]
                 gone = [x for x in inside if f"{n}/{x.getName()}" not in needed]
                 for x in [s.getPath()] if len(gone) == len(inside) else gone:
                     fs.delete(x, True)
-
-    def _tables_if(self, version: int) -> dict[str, str]:
-        fs, p = self._fs(f"{self.root}/v{version}/COMMITTED")
-        return self.tables(version) if fs.exists(p) else {}
+        for s in fs.listStatus(self._fs(f"{self.root}/versions")[1]):
+            n = s.getPath().getName()
+            if n.isdigit() and int(n) not in held:
+                fs.delete(s.getPath(), False)

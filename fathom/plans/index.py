@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions.text import embeddable_text
 from fathom.models import Models
-from fathom.operators import graph, hierarchy, store
+from fathom.operators import graph, hierarchy, postings, store
 from fathom.operators.store import prepared
 from fathom.schema import EDGES, ERRORS, MANIFEST, SNIPPETS, VECTORS
 from fathom.sources.codebase import CAPTURE_ROW, parsed, read_codebase
@@ -34,7 +36,8 @@ def build(files: DataFrame, st: store.Store, models: Models | None = None, chunk
     Only new and changed files are parsed. Edges of all files resolve anew against
     the whole symbol table, so an edge into a changed file isn't lost. Files that a
     parser couldn't read as they should be are listed in the table ``errors``. ``also``:
-    further tables of the same version.
+    further tables of the same version. The inverted index gets a segment of what changed in
+    the indexed fields, in the same version, so it can't drift from the snippets.
     """
     models, spark = models or Models(), files.sparkSession
     prepared(spark)
@@ -57,10 +60,53 @@ def build(files: DataFrame, st: store.Store, models: Models | None = None, chunk
     nodes = snippets.select("id", "name", "type", "file_path")
     nodes = nodes.unionByName(graph.placeholders(edges, nodes))
     tables = {"manifest": files.select("file_path", "content_hash"), "snippets": snippets, "captures": captures, "edges": graph.with_endpoints(edges, nodes), "nodes": nodes, "vectors": vectors_of(snippets, models, old["vectors"]), "errors": errors} | (also or {})
-    st.commit(tables)
+    words, drop = term_segment(st, snippets)
+    st.commit(tables | words, {name: ["bucket"] for name in words if name.startswith("postings_")}, drop)
     return status
 
 
+def _segments(names, kind: str) -> dict[int, str]:
+    return {int(n.rpartition("_")[2]): n for n in names if n.startswith(f"{kind}_")}
+
+
+def term_index(st: store.Store) -> postings.Index:
+    """The stored inverted index over the snippets' names, contents and summaries."""
+    spark, where = st.spark, st.tables(st.version())
+
+    def all_of(kind: str, schema: str, numbered: bool) -> DataFrame:
+        """The segments' tables one below the other; of a table in a segment's own folder its number is the column segment."""
+        parts = [spark.read.schema(schema).parquet(f"{st.root}/{where[name]}").select("*", *([F.lit(n).alias("segment")] if numbered else [])) for n, name in sorted(_segments(where, kind).items())]
+        return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema + (", segment int" if numbered else ""))
+
+    of = lambda spec: spec.format(id="string")
+    return postings.Index(all_of("postings", of(postings.POSTINGS), True), all_of("rows", of(postings.ROWS), True), all_of("gone", of(postings.GONE), False), all_of("stats", postings.STATS, False))
+
+
+def term_segment(st: store.Store, snippets: DataFrame) -> tuple[dict[str, DataFrame], tuple[str, ...]]:
+    """The tables of a new segment that brings the inverted index to the state of the snippets, and those it replaces by merging small segments in."""
+    spark, names = st.spark, st.tables(st.version())
+    have = term_index(st)
+    live = postings.live_rows(have.rows, have.gone)
+    fresh, dead = postings.changes(snippets, live)
+    dead, n_fresh = store.checkpointed(dead), fresh.count()
+    if not n_fresh and dead.isEmpty():
+        return {}, ()
+    made = snippets.join(fresh, "id", "left_semi")
+    found = store.checkpointed(postings.postings_of(made))
+    rows = store.checkpointed(postings.rows_of(made, found))
+    new = max(_segments(names, "stats"), default=0) + 1
+    sizes = {r["segment"]: r["n"] for r in have.stats.collect()}  # one row per segment
+    old = [n for n in postings.to_merge(sizes | {new: n_fresh}) if n != new]
+    gone = have.gone.unionByName(dead)
+    if old:
+        kept = postings.Index(have.postings.where(F.col("segment").isin(old)), have.rows.where(F.col("segment").isin(old)), gone, have.stats)
+        found = found.unionByName(kept.live().drop("segment")).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(postings.SPREAD))).sortWithinPartitions("bucket", "term", F.desc("tf"), "dl", "id")
+        rows = store.checkpointed(rows.unionByName(postings.live_rows(kept.rows, gone).drop("segment")))
+        gone = gone.where(~F.col("dead_segment").isin(old))
+    drop = [name for kind in ("postings", "rows", "stats") for n, name in _segments(names, kind).items() if n in old] + list(_segments(names, "gone").values())
+    return {f"postings_{new}": found, f"rows_{new}": rows, f"gone_{new}": gone, f"stats_{new}": postings.stats_of(new, rows)}, tuple(drop)
+
+
 def index_directory(spark: SparkSession, path: str, root: str, models: Models | None = None, recursive: bool = True, **options) -> DataFrame:
     return build(read_codebase(spark, path, recursive=str(recursive).lower()), store.Store(spark, root), models, **options)
 

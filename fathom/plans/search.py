@@ -5,23 +5,26 @@ from __future__ import annotations
 import logging
 from collections.abc import Iterator
 
+from pyspark.errors import PythonException, SparkRuntimeException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.models import Models
+from fathom.models import MARKER, Models
 from fathom.operators import fusion, graph, lexical, vector
+from fathom.operators.postings import Index
 from fathom.operators.store import Store, checkpointed
-from fathom.plans.index import document
+from fathom.plans.index import document, term_index
 from fathom.schema import EDGES, NODES, SNIPPETS, VECTORS
 
 PROMPT = "Answer the question about the code base from the snippets below; say so where they don't tell.\n\nQuestion: {query}\n\nSnippets:\n{context}\n\nAnswer:"
 
 
-def keyword_list(snippets: DataFrame, query: str, final_query: str, limit: int) -> DataFrame:
-    """The staged search of the query, then of the expanded query where that differs: id and rank."""
-    first = lexical.staged_search(snippets, query, limit)
+def keyword_list(snippets: DataFrame, query: str, final_query: str, limit: int, index: Index | None = None) -> DataFrame:
+    """The staged search of the query, then of the expanded query where that differs: id and rank. By the stored postings where there are any."""
+    find = (lambda q: index.staged_search(q, limit, lambda: snippets)) if index else (lambda q: lexical.staged_search(snippets, q, limit))
+    first = find(query)
     if final_query != query:
-        first = lexical.merged_lists(first, lexical.staged_search(snippets, final_query, limit))
+        first = lexical.merged_lists(first, find(final_query.replace(MARKER, " ")))
     return first.select("id", F.col("position").alias("rank"))
 
 
@@ -35,7 +38,7 @@ def best_rows(rows: DataFrame, query: str, n_results: int, models: Models, reran
         return checkpointed(rows.orderBy("rank").limit(n_results).withColumn("rerank_score", F.lit(None).cast("double")))
     try:
         return checkpointed(fusion.rerank(rows, query, n_results, models.score))
-    except Exception as e:  # a model may fail in any way
+    except (PythonException, SparkRuntimeException) as e:  # raised by the scorer's own code; a lost executor or a full disk is another failure, and rises
         logging.getLogger(__name__).warning("reranking failed: %s", e)
         return checkpointed(fusion.fallback_scores(rows, n_results))
 
@@ -43,14 +46,14 @@ def best_rows(rows: DataFrame, query: str, n_results: int, models: Models, reran
 def search(st: Store, query: str, n_results: int = 5, models: Models | None = None, reranked: bool = True) -> DataFrame:
     """Hits: rank, id, scores, the snippet, its parent, its relations and its document."""
     models = models or Models()
-    return search_tables(st.read("snippets", SNIPPETS), st.read("vectors", VECTORS), st.read("edges", EDGES), st.read("nodes", NODES), query, n_results, models, reranked)
+    return search_tables(st.read("snippets", SNIPPETS), st.read("vectors", VECTORS), st.read("edges", EDGES), st.read("nodes", NODES), query, n_results, models, reranked, index=term_index(st))
 
 
-def search_tables(snippets: DataFrame, vectors: DataFrame, edges: DataFrame, nodes: DataFrame, query: str, n_results: int, models: Models, reranked: bool = True, query_vector: list[float] | None = None) -> DataFrame:
+def search_tables(snippets: DataFrame, vectors: DataFrame, edges: DataFrame, nodes: DataFrame, query: str, n_results: int, models: Models, reranked: bool = True, query_vector: list[float] | None = None, index: Index | None = None) -> DataFrame:
     """As search(), over tables. The lists are cut at the search's depth, and hydration scans the snippets once."""
     depth = fusion.candidate_depth(n_results)
     final_query = models.expand(query)
-    words = checkpointed(keyword_list(snippets, query, final_query, depth))
+    words = checkpointed(keyword_list(snippets, query, final_query, depth, index))
     near = vector.top_k(vectors, query_vector or embedded(snippets.sparkSession, models, final_query), depth)
     fused = checkpointed(fusion.rrf(near, words, depth).select("id", "rrf_score", "rank"))
     rows = fusion.hydrate(fused, snippets)

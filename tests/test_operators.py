@@ -110,7 +110,7 @@ def test_stream_build_and_stream_share_a_store(spark, tmp_path):
         assert "b" in names() and st_.read("files", FILES).count() == n
     assert [r.file_path for r in st_.read("errors", ERRORS).collect()] == ["f9.py"]
     version, before = st_.version(), names()
-    (tmp_path / "store" / f"v{version + 1}" / "snippets").mkdir(parents=True)  # a job that died between its writes
+    (tmp_path / "store" / f"v{version + 1}" / "snippets").mkdir(parents=True)  # a job that died between its writes (folders of commits have names of their own)
     assert st_.version() == version and names() == before
     st_.vacuum(1)
     assert names() == before and st_.read("files", FILES).count() == 2
