@@ -112,6 +112,11 @@ def like(rows: DataFrame, pattern: str, fields: tuple[str, ...]) -> DataFrame:
     return rows.where(reduce(lambda a, b: a | b, [F.col(f).ilike(f"%{pattern}%") for f in fields]))
 
 
+def named(rows: DataFrame, terms: list[str]) -> DataFrame:
+    """Rows whose name is one of the terms, letter for letter."""
+    return rows.where(F.col("name").isin(terms))
+
+
 def stages_of(query: str) -> tuple[list[str], list[tuple[list[list[str]], bool]], list[list[str]]]:
     """A query's exact names, its stages (phrases, and whether a row needs all of them), and the distinct phrases of all stages."""
     terms = terms_of(query)

@@ -60,8 +60,17 @@ def latest(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def paths_of(rows: DataFrame) -> DataFrame:
+    return rows.select("file_path").distinct()
+
+
 def stale_paths(stored: DataFrame, current: DataFrame) -> DataFrame:
-    return stored.select("file_path").distinct().subtract(current.select("file_path"))
+    return paths_of(stored).subtract(current.select("file_path"))
+
+
+def lookup(rows: DataFrame, wanted: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of many ids, with what ``wanted`` says of each; of columns only those that are read reach the scan."""
+    return rows.join(wanted, key)
 
 
 def delete_by_file(rows: DataFrame, paths: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from fathom.functions import text as T
 from fathom.operators import fusion, graph, hierarchy, lexical, store, vector
-from fathom.plans.index import prepared
+from fathom.models import Models
+from fathom.plans.index import counts, prepared, vectors_of
 
 QUERY, TERMS, PHRASE = "the tion thing", ["the", "tion", "thing"], ["of", "the"]
 K = 100
@@ -67,9 +68,13 @@ TOK = S + r""", lists AS (SELECT id, regexp_extract_all(strip_accents(lower(cont
 tok AS (SELECT id, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS pos FROM lists),
 len AS (SELECT id, len(t) AS dl FROM lists), stat AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len)"""
 #: f: one row per phrase number p and id with tf > 0.
-SCORE = """df AS (SELECT p, count(*) AS df FROM f GROUP BY p),
-idf AS (SELECT p, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM df, stat),
-sc AS (SELECT id, count(*) AS hits, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM f JOIN idf USING (p) JOIN len USING (id), stat GROUP BY id)"""
+def score_sql(n: str = "") -> str:
+    return f"""df{n} AS (SELECT p, count(*) AS df FROM f{n} GROUP BY p),
+idf{n} AS (SELECT p, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM df{n}, stat),
+sc{n} AS (SELECT id, count(*) AS hits, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM f{n} JOIN idf{n} USING (p) JOIN len USING (id), stat GROUP BY id)"""
+
+
+SCORE = score_sql()
 
 
 def term_tf(terms: list[str]) -> str:
@@ -82,6 +87,28 @@ KEYWORDS = TOK + ", " + term_tf(TERMS) + ", " + SCORE + ", klist AS (SELECT id,
 FUSED = "fu AS (SELECT id, round(coalesce(1.0::DOUBLE / (60 + min(v)), 0) + coalesce(1.0::DOUBLE / (60 + min(w)), 0), 9) AS rrf_score, min(v) AS v, min(w) AS w FROM (SELECT id, rank AS v, NULL AS w FROM vlist UNION ALL SELECT id, NULL, rank FROM klist) GROUP BY id), fused AS (SELECT id, rrf_score, row_number() OVER (ORDER BY rrf_score DESC, v IS NULL, coalesce(v, w), id) AS rank FROM fu)"
 
 
+FIELDS_TOK = S + r""", fld AS (SELECT id, 0 AS fd, regexp_extract_all(strip_accents(lower(name)), '[\p{L}\p{N}]+') AS t FROM s UNION ALL SELECT id, 1, regexp_extract_all(strip_accents(lower(content)), '[\p{L}\p{N}]+') FROM s),
+tok AS (SELECT id, fd, unnest(t) AS term, unnest(range(1, len(t) + 1)) AS pos FROM fld), len AS (SELECT id, sum(len(t)) AS dl FROM fld GROUP BY id), stat AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len)"""
+
+
+def staged_sql(names: list[str], terms: list[str], limit: int) -> str:
+    """The staged search with its limits and its stop rule: found (id, stage, rk). Name and content are a row's fields, and no phrase crosses them."""
+    parts, stages = [FIELDS_TOK], []
+    for i, name in enumerate(names):
+        parts.append(f"st{i} AS (SELECT id, {i} AS stage, row_number() OVER (ORDER BY id) AS rk FROM s WHERE name = '{name}' ORDER BY id LIMIT {limit})")
+        stages.append(f"SELECT * FROM st{i}")
+    chain = " JOIN ".join(["tok t0", *(f"tok t{i} ON t{i}.id = t0.id AND t{i}.fd = t0.fd AND t{i}.pos = t0.pos + {i}" for i in range(1, len(terms)))])
+    phrase = f"SELECT 0 AS p, t0.id, count(*) AS tf FROM {chain} WHERE " + " AND ".join(f"t{i}.term = '{t}'" for i, t in enumerate(terms)) + " GROUP BY t0.id"
+    single = "SELECT q.p, id, count(*) AS tf FROM tok JOIN (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(terms)) + ") q(p, term) USING (term) GROUP BY q.p, id"
+    for k, (rows, least) in enumerate(((phrase, 1), (single, len(terms)), (single, 1)), len(names)):
+        before = " UNION ALL ".join(stages)
+        order = "round(bm25, 9) DESC, id"
+        parts += [f"f{k} AS ({rows})", score_sql(str(k)), f"st{k} AS (SELECT id, {k} AS stage, row_number() OVER (ORDER BY {order}) AS rk FROM sc{k} WHERE hits >= {least} AND (SELECT count(DISTINCT id) FROM ({before})) < {limit} ORDER BY {order} LIMIT {limit})"]
+        stages.append(f"SELECT * FROM st{k}")
+    parts.append(f"found AS (SELECT id, min(stage) AS stage, arg_min(rk, stage) AS rk FROM ({' UNION ALL '.join(stages)}) GROUP BY id)")
+    return ", ".join(parts)
+
+
 # ---- text functions ----
 
 
@@ -174,8 +201,7 @@ def lexical_like_fallback(spark, d):
 
 @query(f"WITH {S} SELECT id, name FROM s WHERE name IN ('The', 'And', 'Der')")
 def name_exact(spark, d):
-    terms = spark.createDataFrame([("The",), ("And",), ("Der",)], "name string")
-    return snippets(spark, d).join(F.broadcast(terms), "name").select("id", "name")
+    return lexical.named(snippets(spark, d), ["The", "And", "Der"]).select("id", "name")
 
 
 @query(f"WITH {S} SELECT id, name FROM s WHERE name ILIKE '%tio%'")
@@ -191,6 +217,51 @@ def staged_search(spark, d):
     return lexical.staged_search(snippets(spark, d), "The and", 100_000).select("id", F.col("stage").cast("long").alias("stage"))
 
 
+def stored_index(spark, d):
+    """The inverted index of the snippets, built and read back in a folder of its own."""
+    import uuid
+
+    from fathom.plans.index import term_index, term_segment
+
+    prepared(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    st = store.Store(spark, f"{base}/index-{uuid.uuid4().hex}")
+    rows = snippets(spark, d).withColumn("id", F.col("id").cast("string"))
+    tables, drop = term_segment(st, rows)
+    st.commit(tables, {name: ["bucket"] for name in tables if name.startswith("postings_")}, drop)
+    return term_index(st)
+
+
+@query(f"WITH {staged_sql(['And', 'that'], ['and', 'that'], 50)} SELECT id, stage::BIGINT AS stage FROM found")
+def staged_limits(spark, d):
+    """The staged search with its usual limit: a stage runs while fewer than 50 rows are found, and adds 50 at most."""
+    return lexical.staged_search(snippets(spark, d), "And that", 50).select("id", F.col("stage").cast("long").alias("stage"))
+
+
+@query(f"WITH {staged_sql(['And', 'that'], ['and', 'that'], 50)} SELECT id, stage::BIGINT AS stage FROM found")
+def stored_search(spark, d):
+    """The same from a stored index: no text is read."""
+    found = stored_index(spark, d).staged_search("And that", 50)
+    return found.select(F.col("id").cast("long").alias("id"), F.col("stage").cast("long").alias("stage"))
+
+
+@query("SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0) AS queries, 10::BIGINT AS k, true AS reached")
+def ann_recall(spark, d):
+    """A stored vector index: whether recall at 10 over all ids divisible by 100, against brute force over all vectors, is 0.9 or more."""
+    import uuid
+
+    from fathom.operators import vector_index
+
+    prepared(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    root = f"{base}/vectors-{uuid.uuid4().hex}"
+    rows = vectors(spark, d)
+    vector_index.build(rows, root)
+    asked = rows.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    found = vector_index.opened(spark, root, rows).search_many(asked, 10)
+    return vector_index.recall(found, vector_index.exact_many(rows, asked, 10), 10).select("queries", F.lit(10).cast("long").alias("k"), (F.col("recall") >= 0.9).alias("reached"))
+
+
 @query(f"""WITH {TOK}, q AS (SELECT item_id AS query_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+')) AS term FROM benchmark),
 tf AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 w AS (SELECT query_id, term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf FROM q JOIN df USING (term), stat),
@@ -219,11 +290,15 @@ def ann_lsh(spark, d):
     return vector.approximate_top_k(vectors(spark, d), query_vector(spark, d), 10)
 
 
-@query("SELECT vec_id, coalesce(source, '') AS file_path, coalesce(n_chars, -1)::BIGINT AS start_line FROM embeddings LEFT JOIN documents ON vec_id = doc_id AND n_chars % 3 = 0")
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE regexp_extract(text, '[A-Za-z]+') END AS name, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS file_path, CASE WHEN doc_id % 5 = 0 THEN -1 ELSE n_chars END::BIGINT AS start_line, -1::BIGINT AS end_line FROM documents")
 def vector_metadata_defaults(spark, d):
-    docs = read(spark, d, "documents").where("n_chars % 3 = 0")
-    both = read(spark, d, "embeddings").join(docs, F.col("vec_id") == F.col("doc_id"), "left")
-    return both.select("vec_id", F.coalesce("source", F.lit("")).alias("file_path"), F.coalesce("n_chars", F.lit(-1)).alias("start_line"))
+    """Vector rows of snippets that lack some of their fields."""
+    rows = snippets(spark, d).join(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars"), "id")
+    lacking = lambda c, n: F.when(F.col("id") % n != 0, F.col(c)).alias(c)
+    none = {c: F.lit(None).cast("string") for c in ("parent_signature", "parent_summary")} | {"end_line": F.lit(None).cast("int"), "is_skeleton": F.lit(False)}
+    rows = rows.select("id", lacking("name", 2), "type", lacking("file_path", 3), "content", "summary", F.when(F.col("id") % 5 != 0, F.col("n_chars")).alias("start_line")).withColumns(none)
+    made = vectors_of(rows, Models())
+    return made.select("id", "name", "file_path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
 
 
 # ---- fusion and hits ----
@@ -239,10 +314,17 @@ def rrf_fusion(spark, d):
     return fusion.rrf(vector_topk(spark, d), keyword_list(spark, d), K).select("id", "rrf_score", "rank")
 
 
-@query(f"WITH {KEYWORDS}, {NEAR}, {FUSED}, hits AS (SELECT s.id, name, type, file_path, rrf_score, rank FROM fused JOIN s USING (id) WHERE rank <= 100) SELECT id, name, type, file_path, rrf_score, rank FROM hits ORDER BY rank LIMIT 10")
+@query(f"WITH {staged_sql(TERMS, TERMS, 100)}, klist AS (SELECT id, row_number() OVER (ORDER BY stage, rk) AS rank FROM found), {NEAR}, {FUSED} SELECT s.id, name, type, file_path, rrf_score, rank FROM fused JOIN s USING (id) WHERE rank <= 100 ORDER BY rank LIMIT 10")
 def hybrid_search(spark, d):
-    fused = rrf_fusion(spark, d)
-    return fusion.hydrate(fused, snippets(spark, d)).select("id", "name", "type", "file_path", "rrf_score", "rank").orderBy("rank").limit(10)
+    """The whole search over tables: staged keywords and vectors, fused, hydrated, with parents and relations."""
+    from fathom.plans.search import search_tables
+
+    rows = snippets(spark, d).withColumn("id", F.col("id").cast("string"))
+    none = {c: F.lit(None).cast("string") for c in ("parent_id", "parent_signature", "parent_summary")}
+    near = vectors(spark, d).select(F.col("id").cast("string").alias("id"), "embedding", F.lit(None).cast("string").alias("document"))
+    found = search_tables(rows.withColumns(none), near, edges(spark, d), nodes(spark, d), QUERY, 10, Models(), False, query_vector(spark, d))
+    hit = F.col("snippet")
+    return found.select(F.col("id").cast("long").alias("id"), hit["name"].alias("name"), hit["type"].alias("type"), hit["file_path"].alias("file_path"), "rrf_score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {KEYWORDS}, sco AS (SELECT k.id, k.rank, round(len(list_intersect(list_distinct(t), ['the', 'tion', 'thing'])) / 3.0::DOUBLE, 6) AS rerank_score FROM klist k JOIN lists USING (id))
@@ -468,18 +550,18 @@ def delete_by_file(spark, d):
 
 @query("SELECT DISTINCT source AS file_path FROM documents")
 def distinct_paths(spark, d):
-    return read(spark, d, "documents").select(F.col("source").alias("file_path")).distinct()
+    return store.paths_of(snippets(spark, d))
 
 
-@query("SELECT count(*) AS snippets, count(DISTINCT source) AS files, count(*) > 0 AS indexed FROM documents")
+@query(f"WITH {E_SQL} SELECT count(*) AS snippets, count(DISTINCT source) AS files, (SELECT count(*) FROM e) AS edges, count(*) > 0 AS indexed FROM documents")
 def status(spark, d):
-    return read(spark, d, "documents").agg(F.count(F.lit(1)).alias("snippets"), F.count_distinct("source").alias("files"), (F.count(F.lit(1)) > 0).alias("indexed"))
+    return counts(snippets(spark, d), edges(spark, d).distinct())
 
 
 @query("SELECT d.doc_id, source, n_chars, toxic FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 0")
 def bulk_lookup(spark, d):
     ids = read(spark, d, "labels").where("quality = 0").select("doc_id", "toxic")
-    return read(spark, d, "documents").select("doc_id", "source", "n_chars").join(ids, "doc_id")
+    return store.lookup(read(spark, d, "documents").select("doc_id", "source", "n_chars"), ids, "doc_id")
 
 
 # ---- assembled texts ----
@@ -498,20 +580,6 @@ def context_string(spark, d):
     return answer_context(rows.select("rank", hit.alias("snippet"), parent.alias("parent"), F.array(F.struct(F.lit("calls").alias("type"), F.col("lang").alias("target"))).alias("relations")))
 
 
-@query("""WITH x AS (SELECT conv_id, turn, text, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM conversations), y AS (SELECT *, lag(e, 1, 0) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM x)
-SELECT conv_id, string_agg('[' || b || '-' || e || ']' || trim(text) || chr(10) || '    ... # implementation hidden ...' || chr(10), '' ORDER BY turn) AS skeleton FROM y GROUP BY conv_id""")
-def file_skeleton(spark, d):
-    """Pieces in order with the end of the one before, as a file's skeleton is put together."""
-    from fathom.parsing.outline import HIDDEN
-
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = read(spark, d, "conversations").withColumn("e", F.sum(F.length("text")).over(w))
-    rows = rows.withColumn("b", F.lag("e", 1, 0).over(w))
-    piece = F.concat(F.lit("["), F.col("b").cast("string"), F.lit("-"), F.col("e").cast("string"), F.lit("]"), F.btrim("text", F.lit(" ")), F.lit(f"\n    {HIDDEN}\n"))
-    listed = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", piece.alias("p")))).alias("l"))
-    return listed.select("conv_id", F.array_join(F.transform("l", lambda x: x["p"]), "").alias("skeleton"))
-
-
 # ---- streams ----
 
 
@@ -532,52 +600,6 @@ def stream_incremental(spark, d):
     return st.read("events", schema).select("user_id", "event_type", "event_id")
 
 
-# ---- code corpora (no table holds code) ----
-
-
-def _code(spark, which: str) -> DataFrame:
-    files = spark.createDataFrame([(n, "python" if n.endswith(".py") else "c", t) for n, t in CODE.items()], "file_path string, language string, content string")
-    return files.where(F.col("language") == which)
-
-
-CODE = {
-    "pkg/shapes.py": 'import os\nfrom a.b import c\n\nLIMIT = 3\n\nclass Base:\n    pass\n\nclass Child(Base):\n    """Doc."""\n    def run(self, n):\n        self.n = n\n        return helper(n)\n\n# leading note\n@deco\ndef helper(x) -> int:\n    return Base()\n',
-    "pkg/__init__.py": "".join(["def long(a):\n", *(f"    b{i} = a * {i}\n" for i in range(120)), "    return b1\n"]),
-    "pkg/node.h": '#include <stdio.h>\n#include "list.h"\n\n/* a node */\ntypedef struct Node {\n    int value;\n    struct Node *next;\n} Node;\n\nenum Color { RED, GREEN };\n\nvoid push(Node *n, int v) {\n    n->value = v;\n    emit(v);\n}\n',
-}
-
-
-@query(None)
-def parse_python(spark, d):
-    from fathom.sources.codebase import parse
-
-    return parse(_code(spark, "python"))[0].select("id", "name", "type", "file_path", "start_byte", "end_byte", "is_skeleton", "chunk_index")
-
-
-@query(None)
-def parse_c(spark, d):
-    from fathom.sources.codebase import parse
-
-    return parse(_code(spark, "c"))[0].select("id", "name", "type", "file_path", "start_byte", "end_byte", "is_skeleton", "docstring")
-
-
-@query(None)
-def chunk_functions(spark, d):
-    return parse_python(spark, d).where("chunk_index IS NOT NULL")
-
-
-def _edges(spark, which: str) -> DataFrame:
-    from fathom.sources.codebase import parse
+# ---- parsers, chunks and edges, over code files derived from documents ----
 
-    rows, captures = parse(_code(spark, which))
-    return graph.edges_from_captures(captures, rows)
-
-
-@query(None)
-def edges_python(spark, d):
-    return _edges(spark, "python")
-
-
-@query(None)
-def edges_c(spark, d):
-    return _edges(spark, "c")
+from fathom.plans import code_queries  # noqa: E402, F401  (registers its queries)

@@ -15,6 +15,9 @@ from fathom.schema import EDGES, ERRORS, MANIFEST, SNIPPETS, VECTORS
 from fathom.sources.codebase import CAPTURE_ROW, parsed, read_codebase
 
 
+UNREADABLE = "unreadable"
+
+
 def document(use_summary: bool = True):
     return embeddable_text(*[F.col(c) for c in ("file_path", "name", "type", "parent_signature", "summary", "parent_summary", "content")], use_summary=use_summary)
 
@@ -43,12 +46,16 @@ def build(files: DataFrame, st: store.Store, models: Models | None = None, chunk
     prepared(spark)
     old = {name: st.read(name, schema) for name, schema in (("manifest", MANIFEST), ("snippets", SNIPPETS), ("captures", CAPTURE_ROW), ("vectors", VECTORS), ("errors", ERRORS))}
     files = files.checkpoint()
-    status = store.diff(files, old["manifest"]).checkpoint()
+    # a file that can't be read now is no deleted one: it stays as it was, and is listed in errors
+    unread = files.where("content_hash IS NULL").select("file_path")
+    files = files.where("content_hash IS NOT NULL")
+    manifest = files.select("file_path", "content_hash").unionByName(old["manifest"].join(unread, "file_path", "left_semi"))
+    status = store.diff(manifest, old["manifest"]).checkpoint()
     moved = status.where("status <> 'unchanged'")
     fresh = files.join(moved.where("status <> 'deleted'"), "file_path", "left_semi")
     read = parsed(fresh, chunk_size).checkpoint()  # each file is parsed once
     made, captured = read.selectExpr("inline(snippets)"), read.selectExpr("inline(captures)")
-    errors = store.delete_by_file(old["errors"], moved).unionByName(read.where("error IS NOT NULL").select("file_path", "error"))
+    errors = store.delete_by_file(old["errors"].where(F.col("error") != UNREADABLE), moved).unionByName(read.where("error IS NOT NULL").select("file_path", "error")).unionByName(unread.withColumn("error", F.lit(UNREADABLE)))
     snippets = store.delete_by_file(old["snippets"], moved).unionByName(made).checkpoint()
     captures = store.delete_by_file(old["captures"], moved).unionByName(captured).checkpoint()
     snippets = hierarchy.link_orphans(snippets).checkpoint()
@@ -59,7 +66,7 @@ def build(files: DataFrame, st: store.Store, models: Models | None = None, chunk
     edges = graph.edges_from_captures(captures, snippets).checkpoint()
     nodes = snippets.select("id", "name", "type", "file_path")
     nodes = nodes.unionByName(graph.placeholders(edges, nodes))
-    tables = {"manifest": files.select("file_path", "content_hash"), "snippets": snippets, "captures": captures, "edges": graph.with_endpoints(edges, nodes), "nodes": nodes, "vectors": vectors_of(snippets, models, old["vectors"]), "errors": errors} | (also or {})
+    tables = {"manifest": manifest, "snippets": snippets, "captures": captures, "edges": graph.with_endpoints(edges, nodes), "nodes": nodes, "vectors": vectors_of(snippets, models, old["vectors"]), "errors": errors} | (also or {})
     words, drop = term_segment(st, snippets)
     st.commit(tables | words, {name: ["bucket"] for name in words if name.startswith("postings_")}, drop)
     return status
@@ -122,6 +129,10 @@ def verify(st: store.Store) -> DataFrame:
 
 def status(st: store.Store) -> DataFrame:
     """What the status page shows: counts, and whether anything is indexed."""
-    snippets, edges = st.read("snippets", SNIPPETS), st.read("edges", EDGES)
+    return counts(st.read("snippets", SNIPPETS), st.read("edges", EDGES)).withColumn("version", F.lit(st.version()))
+
+
+def counts(snippets: DataFrame, edges: DataFrame) -> DataFrame:
+    """snippets, files, edges, and whether anything is indexed."""
     n = snippets.agg(F.count(F.lit(1)).alias("snippets"), F.count_distinct("file_path").alias("files"))
-    return n.withColumn("edges", F.lit(edges.count())).withColumn("indexed", F.col("snippets") > 0).withColumn("version", F.lit(st.version()))
+    return n.withColumn("edges", F.lit(edges.count())).withColumn("indexed", F.col("snippets") > 0)

@@ -60,7 +60,8 @@ class _Reader(DataSourceReader):
                 with open(path, "rb") as f:
                     text = f.read().decode("utf-8", "ignore")
             except OSError as e:
-                logging.getLogger(__name__).warning("left out %s: %s", path, e)
+                logging.getLogger(__name__).warning("can't read %s: %s", path, e)
+                yield path, language_of(path), None, None  # so that it isn't taken for a deleted one
                 continue
             yield path, language_of(path), text, hashlib.sha256(text.encode("utf-8")).hexdigest()
 

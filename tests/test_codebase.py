@@ -154,3 +154,27 @@ def test_c_cases():
     o = c_source.parse('static int (*table[2])(int);\nextern "C" {\nint add(int a, int b) { if (a) { return g(a); } A = b; return b; }\n}\nstruct S { int x; };\ntypedef enum { X, Y } E;\n')
     assert [(d.kind, d.name) for d in o.definitions] == [("function", "add"), ("struct", "S"), ("enum", "E")]
     assert {(c.tag, c.text) for c in o.captures} == {("call", "g"), ("assignment", "A")}
+
+
+def test_unreadable_file_is_not_deleted(spark, tmp_path, monkeypatch):
+    """A file that can't be read for a while keeps its snippets, and is listed as an error; once gone it's deleted."""
+    from fathom.plans.index import build
+    from fathom.schema import ERRORS, FILES, SNIPPETS
+    from fathom.sources.codebase import _Files, _Reader
+
+    row = next(iter(_Reader({"path": str(tmp_path)}).read(_Files([str(tmp_path / "no.py")]))))
+    assert row == (str(tmp_path / "no.py"), "python", None, None)
+    e = Engine(spark, str(tmp_path / "store"))
+    files = lambda *rows: spark.createDataFrame(list(rows), FILES)
+    names = lambda: {r.name for r in e.store.read("snippets", SNIPPETS).where("type = 'function'").collect()}
+    a, b = ("a.py", "python", "def a():\n    pass\n", "1"), ("b.py", "python", "def b():\n    pass\n", "2")
+    build(files(a, b), e.store)
+    status = {r.file_path: r.status for r in build(files(a, ("b.py", "python", None, None), ("c.py", "python", None, None)), e.store).collect()}
+    assert status == {"a.py": "unchanged", "b.py": "unchanged"} and names() == {"a", "b"}
+    assert {(r.file_path, r.error) for r in e.store.read("errors", ERRORS).collect()} == {("b.py", "unreadable"), ("c.py", "unreadable")}
+    build(files(a, b), e.store)
+    assert e.store.read("errors", ERRORS).count() == 0 and names() == {"a", "b"}
+    one = e.get(*[r.id for r in e.store.read("snippets", SNIPPETS).where("name = 'b'").collect()]).collect()
+    assert [r.name for r in one] == ["b"]
+    build(files(a), e.store)
+    assert names() == {"a"}
