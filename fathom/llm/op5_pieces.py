@@ -21,7 +21,9 @@ vocabulary file holds merge ranks and no probabilities. Nothing is trained.
 Defined cases: null and empty texts have one segmentation, of no pieces; a text
 with fewer segmentations than k gives fewer rows; a literal U+2581 is spelled in
 bytes, so decoding is exact; null keys are replaced by the text's hash; repeated
-rows get the same samples.
+rows get the same samples; very long texts are searched ROWS rows at a time, their units one
+by one; extra columns are left out, by the stage too, which gives ids and segmentations only; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -450,6 +452,12 @@ def encode(docs: DataFrame, key: str = "doc_id", k: int = SAMPLES, model: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # nothing here makes cycles, and collecting walks all cached units
+        try:
+            yield from sampled(batches)
+        finally:
+            gc.enable()
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         v = held.value
         tables = _worker.get(model)
@@ -471,7 +479,6 @@ def encode(docs: DataFrame, key: str = "doc_id", k: int = SAMPLES, model: str =
                 if rows:
                     types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int32()), *((pa.string(), pa.bool_()) if digest else ())]
                     yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows), types)], names)
-        gc.enable()
 
     names = [key, "rank", "n_pieces", "log_prob", "perturbed", "inclusion", "ids", *(("ids_digest", "round_trip") if digest else ())]
     schema = f"`{key}` long, " + ENCODED + (", ids_digest string, round_trip boolean" if digest else "")

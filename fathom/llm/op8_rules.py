@@ -1,9 +1,11 @@
 """Quality rules as a ledger of bits.
 
 Every rule is evaluated once per document. The ledger keeps one failure bit per
-rule and the measurements behind it; a policy is a versioned set of rules (a
-mask) that is applied to the stored bits, so that a new policy or an ablation
-reads the ledger and never the texts again.
+rule and the measurements behind it, and is written as a table with the version of its
+rules (kept_ledger); a policy is a versioned set of rules (a mask) that is applied to the
+stored bits, so that a new policy or an ablation reads the ledger and never the texts again.
+The pipeline's stage applies a policy as it measures, each entry with its row, as it
+wants the rows and not the ledger.
 
 Defined cases: a null text has no words and fails ``min_words``; empty texts
 likewise; repeated rows each get their row; very long texts are measured as a
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.common import SPACE, map_arrow, table, words_of
+from fathom.llm.common import SPACE, map_arrow, stored, table, words_of
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_bar_words")
 LEDGER = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
@@ -109,6 +111,15 @@ def ledger(docs: DataFrame, carried: bool = False) -> DataFrame:
     return measurements(docs, carried).withColumn("failures", bits)
 
 
+#: Goes up with any change of a rule's condition or of what is measured.
+RULE_VERSION = 1
+
+
+def kept_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger, written once to the shared folder and read from there, with rule_version."""
+    return stored(ledger(docs).withColumn("rule_version", F.lit(RULE_VERSION)))[0]
+
+
 def apply_policy(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
     """Adds base_failed and kept by a stored policy."""
     return entries.withColumn("base_failed", F.col("failures").bitwiseAND(F.lit(mask("base"))) != 0).withColumn("kept", F.col("failures").bitwiseAND(F.lit(mask(policy))) == 0)
@@ -128,13 +139,13 @@ def ablations(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = apply_policy(ledger(table(spark, sf_dir, "documents")))
+    entries = apply_policy(kept_ledger(table(spark, sf_dir, "documents")))
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
 
 
 def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per rule of the current policy: documents it fails, and those that only it rejects."""
-    return ablations(ledger(table(spark, sf_dir, "documents")))
+    return ablations(kept_ledger(table(spark, sf_dir, "documents")))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,10 @@ mismatch becomes an optional group on its side. The wrapper is the regular
 expression that results: constants, text slots, ``?`` and ``+``, no unions. Each of
 its items also knows how many pages have it, how much text, and how much within links.
 
+Alignment takes equal ends, then tokens that either side has once, as far as their order agrees. A gap
+between those of at most GAP tokens a side is compared token with token, a larger one in order, each
+token with the next equal one within GAP; that bounds the time, not what is read.
+
 Every page of a host takes part. Streams of equal tokens are summed first, within a
 task and then per host; what is summed doesn't depend on the order. Different streams
 are then aligned in the order of their tokens, in two steps of fixed groups, so that
@@ -22,7 +26,11 @@ A page's text is read through its alignment with the wrapper, slot by slot:
    - its item is mostly links over the host's pages, and so is the slot;
    - an element around it is a menu, header (its headings stay), footer, sidebar, form
      or the like, or is named so. In the region, names count as classes and roles
-     of containers, as whole names or compounds of such words ("share-price" is none).
+     of containers, as whole names or compounds of such words ("share-price" is none);
+     those of adverts and notices on any element.
+
+Buttons and inputs stand within a line and don't end it; their text isn't read. Drawings and
+formulas may close themselves and nest, and end where a block begins.
 
 Defined cases: null or empty html, and pages without an article, give the empty
 text; urls that are null or have no host are one host; a page alone on its host is
@@ -58,20 +66,24 @@ MAX_DEPTH = 512
 #: The part of a page's varying text that an article or main element has at least, and the one within it that is entered.
 REGION, INNER = 0.25, 0.5
 
-RAW = "script|style|title|textarea|noscript|template|iframe|svg|object|select|math|canvas|audio|video"
+RAW = "script|style|title|textarea|noscript|template|iframe|object|select|canvas|audio|video"
+#: Drawings and formulas nest and may close themselves; a start tag of these ends them, as in browsers.
+FOREIGN = frozenset(("svg", "math"))
+BREAKOUT = frozenset("article aside blockquote body br center code dd div dl dt em figure footer form h1 h2 h3 h4 h5 h6 header hr img li main nav ol p pre section span strong table ul".split())
 #: What a tag has up to its end; a quoted value counts only after an equals sign. Possessive, so nothing is read twice.
 INSIDE = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+"""
 TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b{INSIDE}>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>{INSIDE})>|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)""", re.S | re.I)
 #: After the last > of a page, a tag that has no end.
 OPEN_END = re.compile(r"<[a-zA-Z/!?]")
 ATTR = re.compile(r"""([a-zA-Z_:][\w:.-]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img picture source track label output meter progress".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img picture source track label output meter progress button input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: An element that ends what CLOSES would look for further out.
 SCOPES = frozenset("ul ol dl table tbody thead tfoot body article main section div".split())
-OUT = frozenset("nav footer aside form dialog menu button input fieldset head".split())
-#: Words that name what isn't the article: on any element but headings, and on containers only.
+OUT = frozenset("nav footer aside form dialog menu fieldset head".split())
+#: Words that name what isn't the article. Within the region only containers go by their names, any element by those of adverts and notices.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored cookie cookies gdpr newsletter paywall".split())
 STRONG = frozenset("ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored cookie cookies consent gdpr sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments reply replies respond disqus related recommended recommendations newsletter subscribe subscription pagination pager teaser teasers topbar topnav subnav sidenav submenu paywall contentinfo".split())
 WEAK = frozenset("promo promotion banner notice notices alert header masthead share sharing social popup modal overlay widget toolbar login signup signin search skip copyright disclaimer complementary discussion responses toc crumbs rail announcement".split())
 #: Words with these beginnings count as well (commentlist, advertblock).
@@ -90,7 +102,7 @@ def parse(page: str) -> list[tuple[str, str, int]]:
     names: list[str] = []
     open_: dict[str, int] = {}
     held: list[str] = []
-    links = linked = 0
+    links = linked = foreign = 0
     hidden: list | None = None  # a hidden inline element: its name, the same names open within, the depth it is at
 
     def flush() -> None:
@@ -112,7 +124,7 @@ def parse(page: str) -> list[tuple[str, str, int]]:
     for m in (*TOKEN.finditer(page, 0, end), None):
         text = page[end : tail.start() if tail else len(page)] if m is None else m["text"]
         if text is not None:
-            if hidden is None:
+            if hidden is None and not foreign:
                 held.append(text)
                 if links:
                     linked += len(text)
@@ -120,6 +132,13 @@ def parse(page: str) -> list[tuple[str, str, int]]:
         if m["tag"] is None:
             continue
         tag, attrs = m["tag"].lower(), m["attrs"]
+        if tag in FOREIGN:
+            foreign = max(foreign - 1, 0) if m["end"] else foreign + (not attrs.rstrip().endswith("/"))
+            continue
+        if foreign:
+            if m["end"] or tag not in BREAKOUT:
+                continue
+            foreign = 0
         if tag == "a":
             links = 0 if m["end"] or "href" not in attrs.lower() else 1
         if tag in INLINE:
@@ -130,7 +149,7 @@ def parse(page: str) -> list[tuple[str, str, int]]:
                     hidden[1] -= 1
                 else:
                     hidden = None
-            elif not hidden and not m["end"] and tag not in VOID and not attrs.rstrip().endswith("/") and _hides(attrs):
+            elif not hidden and not m["end"] and tag not in VOID and not attrs.rstrip().endswith("/") and (tag == "button" or _hides(attrs)):
                 hidden = [tag, 0, len(names)]
             continue
         flush()
@@ -352,8 +371,8 @@ def _named(name: str, words: frozenset) -> bool:
 
 
 @lru_cache(1 << 14)
-def _part(part: str) -> tuple[str, bool, bool, bool, bool, bool]:
-    """Of an element's signature: its tag; hidden; whether classes and roles name it strongly, or weakly; whether the id does; whether it is a main element."""
+def _part(part: str) -> tuple[str, bool, bool, bool, bool, bool, bool]:
+    """Of an element's signature: its tag; hidden; whether classes and roles name it strongly, or weakly; whether the id does; whether it is a main element; whether it's named an advert or notice."""
     tag = re.split(r"[.#]", part)[0]
     classes = [c for c in re.findall(r"\.([^.#]*)", part)]
     ids = re.findall(r"#([^#.]*)", part)
@@ -361,7 +380,7 @@ def _part(part: str) -> tuple[str, bool, bool, bool, bool, bool]:
         classes.append(tag)  # a custom element
     strong, weak = any(_named(c, STRONG) for c in classes), any(_named(c, WEAK) for c in classes)
     main = tag in MAIN or any(c in ("main", "articlebody") for c in (*classes, *ids))
-    return tag, "(hidden)" in classes or "hidden" in classes and tag not in MAIN, strong, weak, any(_named(c, STRONG) or _named(c, WEAK) for c in ids), main and tag not in ("html", "body")
+    return tag, "(hidden)" in classes or "hidden" in classes and tag not in MAIN, strong, weak, any(_named(c, STRONG) or _named(c, WEAK) for c in ids), main and tag not in ("html", "body"), any(_named(c, ADVERTS) for c in classes)
 
 
 @lru_cache(1 << 14)
@@ -378,7 +397,7 @@ def boilerplate(path: str, region: str) -> bool:
     inner = len(region.split(">")) if region else 0
     heading = bool(HEADING.match(parts[-1]))
     for i, part in enumerate(parts):
-        tag, hidden, strong, weak, by_id, main = _part(part)
+        tag, hidden, strong, weak, by_id, main, advert = _part(part)
         if hidden or tag in OUT:
             return True
         if i < inner or tag in ("html", "body"):
@@ -389,7 +408,7 @@ def boilerplate(path: str, region: str) -> bool:
             continue
         if (tag == "header" or weak and _named_header(part)) and heading and (inner or main):
             continue
-        if strong or tag == "header" or (weak and (tag in CONTAINERS or not inner)) or (by_id and not inner):
+        if advert or tag == "header" or ((strong or weak) and (tag in CONTAINERS or "-" in tag or not inner)) or strong and tag in CLOSES or (by_id and not inner):
             return True
     return False
 

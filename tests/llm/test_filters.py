@@ -324,3 +324,13 @@ def test_ppm_odd(spark, odd, empty):
     assert all(r.train_tokens == 0 and r.base_score == 0 for r in op10_ppm.score(held_only).collect())
     a = np.array([3, 9, 2**63, 2**64 - 1], np.uint64)
     assert (op10_ppm.unsqueeze_sorted(op10_ppm.squeeze_sorted(a)) == a).all()
+
+
+def test_policies_read_the_stored_ledger(spark):
+    """A second policy and the ablations scan the ledger's table, and no documents."""
+    entries = op8_rules.kept_ledger(op8_rules.table(spark, SF, "documents"))
+    for df in (op8_rules.apply_policy(entries, "base"), op8_rules.ablations(entries)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "documents" not in plan and "text" not in plan and all("documents" not in f for f in df.inputFiles())
+    direct = {r.doc_id: r.failures for r in op8_rules.ledger(op8_rules.table(spark, SF, "documents")).collect()}
+    assert {r.doc_id: r.failures for r in entries.collect()} == direct and entries.first().rule_version == op8_rules.RULE_VERSION

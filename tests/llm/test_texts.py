@@ -299,3 +299,16 @@ def test_pipeline_odd(spark, odd, empty, monkeypatch):
     assert {20, 21} <= {r.doc_id for r in rows} and all(r.round_trip for r in rows)
     monkeypatch.setattr(corpus_pipeline, "table", lambda spark, sf_dir, name: empty)
     assert corpus_pipeline.run(spark, "").count() == 0 and corpus_pipeline.run(spark, "").columns == out.columns
+
+
+def test_wrapper_keeps_text_around_drawings_and_controls():
+    for page, text in [
+        ('<article><p>one</p><svg viewBox="0 0 1 1"/><p>two</p></article>', "one\ntwo"),
+        ("<article><p>a <svg><title>t</title><g/></svg>b</p></article>", "a b"),
+        ("<article><p>x <svg><svg><text>q</text></svg><text>w</text></svg> y</p><svg><path><p>z</p></article>", "x y\nz"),
+        ("<article><p>a <math><mi>x</mi></math> b</p></article>", "a b"),
+        ('<article><p>one</p><p class="recommended">We recommend this book.</p></article>', "one\nWe recommend this book."),
+        ('<article><p>one</p><p class="advert">Buy</p><div class="related">More</div><p>two</p></article>', "one\ntwo"),
+        ("<article><p>a <button>Share</button> b <input type=text> c</p></article>", "a b c"),
+    ]:
+        assert alone(page) == text
