@@ -266,6 +266,10 @@ def families(n: int, similarity: float) -> list[list[int]]:
     return out
 
 
+#: The tables that a round of comparing begins with.
+ROUNDS = (0, 1, 3, 8)
+
+
 #: Groups of a set's digest; a group's hash has four bits.
 GROUPS = 512
 _DIFFER = np.array([(x >> 4 > 0) + (x & 15 > 0) for x in range(256)], np.uint8)
@@ -290,14 +294,14 @@ FOREST, WHO, STAR, ALL = range(4)
 
 
 def _meet(radius: int, mode: int, similarity: float):
-    """Over rows sorted by bucket, pairs within the radius: as a spanning forest; or of different components: each text once with itself, in stars, or all, but for those below the similarity by their digests."""
+    """Over rows sorted by bucket, pairs within the radius: as a spanning forest, without what earlier tables joined; or of different components: each text once with itself, in stars, or all, but for those below the similarity by their digests."""
     words = [f"w{i}" for i in range(WORDS)]
 
     def solve(rows: dict) -> np.ndarray:
         node, root = rows["node"], rows["root"]
         fp = np.stack([rows[w] for w in words], axis=1).view(np.uint64)
         if mode == FOREST:
-            return np.array([(node[i], node[j]) for i, j in _links(fp, radius)], np.int64).reshape(-1, 2)
+            return np.array([(node[i], node[j]) for i, j in _links(fp, radius) if root[i] != root[j]], np.int64).reshape(-1, 2)
         roots, at, size = np.unique(root, return_inverse=True, return_counts=True)
         if len(roots) < 2:
             return np.zeros((0, 2), np.int64)
@@ -420,14 +424,20 @@ def checked(pairs: DataFrame, docs: DataFrame, heads: DataFrame, shingle: int, s
 
 def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Each row's _fathom_no, _fathom_did, _fathom_th and node, and the root of the component of nodes linked by their similarity."""
-    prints, _ = stored(wide_prints(docs, shingle))
+    prints, _ = stored(wide_prints(docs, shingle))  # stays: the result is read from it
     words = [F.first(f"w{i}").alias(f"w{i}") for i in range(WORDS)]
     nodes = cut(prints.groupBy("node").agg(F.min(F.struct("_fathom_did", "_fathom_th")).alias("h"), *words))
     heads = nodes.select("node", "h._fathom_did", "h._fathom_th")
     tables = families(nodes.count(), similarity)
-    first = cut(meetings(nodes.withColumn("root", F.col("node")), tables, NEAR, FOREST, similarity))
-    seen = checked(first, docs, heads, shingle, similarity)
-    label = _rooted(nodes, seen)
+    # a few tables first: what they join isn't compared again in the others, so pairs grow with the texts, not with texts times tables
+    label, seen = nodes.withColumn("root", F.col("node")), None
+    for start, stop in zip(ROUNDS, (*ROUNDS[1:], len(tables))):
+        pairs = meetings(label, tables[start:stop], NEAR, FOREST, similarity)
+        pairs = cut(pairs if seen is None else pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"))
+        if seen is None or not pairs.isEmpty():
+            new = checked(pairs, docs, heads, shingle, similarity)
+            seen = new if seen is None else cut(seen.union(new))
+            label = _rooted(nodes, seen)
     left = cut(meetings(label, tables, FAR, WHO, similarity).select(F.col("a").alias("node")))
     if not left.isEmpty():
         of, path = sets_of(heads.join(left, "node"), docs, shingle)
