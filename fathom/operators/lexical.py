@@ -21,6 +21,8 @@ from fathom.operators.store import checkpointed
 # Saturation, length weight, and the least inverse document frequency.
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
+#: Scores are compared after rounding to six digits.
+ROUNDING = 2e-6
 
 
 def fold(text: str) -> list[str]:
@@ -206,18 +208,58 @@ def _counted_terms(listed: DataFrame) -> DataFrame:
 def search_many(rows: DataFrame, queries: DataFrame, k: int, field: str = "content") -> DataFrame:
     """Top k by BM25 of any term for every (query_id, query): one join on terms instead of a scan per query.
 
-    Only the queries' terms are counted; their postings are cut, as both the terms' weights and the scores read them.
+    Texts are split once; the postings of the queries' terms are cut, with one of an empty term per row, which tells the
+    rows' number and lengths.
     """
-    wanted = checkpointed(queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")))
-    lengths = rows.select(length(spaced(F.col(field))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    n, avgdl = lengths["n"], lengths["avgdl"] or 1.0
-    hit = checkpointed(_counted_terms(_listed(rows, field).join(wanted.select("term").distinct(), "term", "left_semi")))
-    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    wanted = wanted_terms(queries)
+    terms = wanted.select("term").distinct().union(rows.sparkSession.createDataFrame([("",)], "term string"))
+    listed = rows.select("id", tokens(F.col(field)).alias("t")).select("id", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
+    hit = checkpointed(_counted_terms(listed.join(terms, "term", "left_semi")))
+    stats = hit.where("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    return best_many(hit.where("term <> ''"), wanted, stats["n"], stats["avgdl"] or 1.0, k)
+
+
+def wanted_terms(queries: DataFrame) -> DataFrame:
+    """query_id, term, times: a term that a query repeats counts again."""
+    return checkpointed(queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")))
+
+
+def best_many(held: DataFrame, wanted: DataFrame, n: int, mean: float, k: int) -> DataFrame:
+    """The k best rows of each query by the postings (term, id, tf, dl) of its terms: query_id, id, bm25, rank.
+
+    The terms of a query are taken from the rarest on. What those give already sets a bound for the k-th
+    score; terms whose greatest scores together stay below it can't bring in a row of their own, so their
+    postings are looked up for the rows the others found only. The bounds are exact, so the result is.
+    """
+    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(mean))
+    share = F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max(share).alias("most"))
     weight = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # a term that a query repeats counts again
-    times = wanted.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    weighted = times.join(df.select("term", F.when(weight > 0, weight).otherwise(LEAST_IDF).alias("idf")), "term")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(avgdl)))
-    scored = hit.join(weighted, "term").groupBy("query_id", "id").agg(F.sum(part).alias("bm25"))
+    weighed = wanted.join(df, "term").select("query_id", "term", "df", (F.col("times") * F.when(weight > 0, weight).otherwise(LEAST_IDF)).alias("w"), "most")
+    # the rarest terms, by their sum of rows, set the bound
+    by_rarity = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    weighed = checkpointed(weighed.withColumn("first", F.coalesce(F.sum("df").over(by_rarity), F.lit(0)) < 4 * k))
+    part = (F.col("w") * share).alias("part")
+    scores = lambda own: held.join(own.select("query_id", "term", "w"), "term").select("query_id", "id", part).groupBy("query_id", "id").agg(F.sum("part").alias("part"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("part"), "id")
+
+    def looked_up(pairs: DataFrame, own: DataFrame) -> DataFrame:
+        """Parts of some (query_id, id): by row first, then the queries' terms, so that never all rows of a common term meet every query."""
+        some = held.join(own.select("term").distinct(), "term", "left_semi").join(pairs.select("id").distinct(), "id", "left_semi")
+        return pairs.join(some, "id").join(own.select("query_id", "term", "w"), ["query_id", "term"]).select("query_id", "id", part)
+
+    low = checkpointed(scores(weighed.where("first")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("query_id", "id"))
+    # the whole scores of k rows at most per query: the k-th best of all is no less than the least of them
+    low = looked_up(low, weighed).groupBy("query_id", "id").agg(F.sum("part").alias("part"))
+    low = low.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("part")).otherwise(0.0).alias("bound"))
+    # from the least term up, as long as all so far together stay below the bound by more than rounding
+    small = Window.partitionBy("query_id").orderBy(F.col("w") * F.col("most"), "term")
+    split = weighed.join(low, "query_id", "left").withColumn("rest", F.sum(F.col("w") * F.col("most")).over(small))
+    bound = F.coalesce("bound", F.lit(0.0))
+    split = checkpointed(split.select("query_id", "term", "w", "most", bound.alias("bound"), (F.col("rest") + ROUNDING >= bound).alias("main")))
+    slack = split.groupBy("query_id").agg(F.sum(F.when(F.col("main"), 0.0).otherwise(F.col("w") * F.col("most"))).alias("slack"), F.max("bound").alias("bound"))
+    found = checkpointed(scores(split.where("main")).join(slack, "query_id").where(F.col("part") + F.col("slack") + ROUNDING >= F.col("bound")).select("query_id", "id", "part"))
+    more = looked_up(found.select("query_id", "id"), split.where("NOT main"))
+    whole = found.union(more).groupBy("query_id", "id").agg(F.sum("part").alias("bm25"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("bm25", 6).desc(), "id"))
-    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    return whole.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)

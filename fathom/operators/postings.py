@@ -19,7 +19,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions.text import tokens
@@ -199,44 +199,17 @@ class Index:
     def search_many(self, queries: DataFrame, k: int) -> DataFrame:
         """Top k by BM25 of any term for every (query_id, query), field for field as lexical.search_many; reads the postings only.
 
-        The terms of a query are taken from the rarest on. What those give already sets a bound for the k-th
-        score; terms whose greatest scores together stay below it can't bring in a row of their own, so their
-        postings are looked up for the rows the others found only. The bounds are exact, so the result is.
+        See lexical.best_many for the bounds that spare common terms.
         """
         n, mean, n_gone = self.totals()
-        wanted = checkpointed(queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")))
-        terms = wanted.select("term").distinct()
+        wanted = lexical.wanted_terms(queries)
         # positions aren't read; the terms of all queries stand at most once each
         some = self.postings.where("field >= 0").select("bucket", "segment", "term", "id", "tf", "dl")
-        keys = terms.select(bucket_of(F.col("term"), self.buckets).alias("bucket"), "term")
+        keys = wanted.select(bucket_of(F.col("term"), self.buckets).alias("bucket"), "term").distinct()
         held = self.alive(some.join(keys, ["bucket", "term"], "left_semi"), n_gone)
         if len(self.fields) > 1:
             held = held.groupBy("term", "id").agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
-        norm = F.lit(lexical.K1) * (F.lit(1 - lexical.B) + F.lit(lexical.B) * F.col("dl") / F.lit(mean))
-        share = F.col("tf") * (lexical.K1 + 1) / (F.col("tf") + norm)
-        df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max(share).alias("most"))
-        weight = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weighed = wanted.join(df, "term").select("query_id", "term", "df", (F.col("times") * F.when(weight > 0, weight).otherwise(lexical.LEAST_IDF)).alias("w"), "most")
-        # the rarest terms that k rows at least hold, by their sum, set the bound
-        by_rarity = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
-        weighed = checkpointed(weighed.withColumn("first", F.coalesce(F.sum("df").over(by_rarity), F.lit(0)) < 4 * k))
-        part = (F.col("w") * share).alias("part")
-        scores = lambda own: held.join(own.select("query_id", "term", "w"), "term").select("query_id", "id", part).groupBy("query_id", "id").agg(F.sum("part").alias("part"))
-        order = Window.partitionBy("query_id").orderBy(F.desc("part"), "id")
-        low = scores(weighed.where("first")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
-        low = low.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("part")).otherwise(0.0).alias("bound"))
-        # from the least term up, as long as all so far together stay below the bound by more than rounding
-        small = Window.partitionBy("query_id").orderBy(F.col("w") * F.col("most"), "term")
-        split = weighed.join(low, "query_id", "left").withColumn("rest", F.sum(F.col("w") * F.col("most")).over(small))
-        split = checkpointed(split.select("query_id", "term", "w", "most", F.coalesce("bound", F.lit(0.0)).alias("bound"), (F.col("rest") + 2e-6 >= F.coalesce("bound", F.lit(0.0))).alias("main")))
-        slack = split.groupBy("query_id").agg(F.sum(F.when(F.col("main"), 0.0).otherwise(F.col("w") * F.col("most"))).alias("slack"), F.max("bound").alias("bound"))
-        found = scores(split.where("main")).join(slack, "query_id").where(F.col("part") + F.col("slack") + 2e-6 >= F.col("bound")).select("query_id", "id", "part")
-        found = checkpointed(found)
-        minor = split.where("NOT main").select("query_id", "term", "w")
-        more = held.join(minor, "term").join(found.select("query_id", "id"), ["query_id", "id"], "left_semi").select("query_id", "id", part)
-        whole = found.union(more).groupBy("query_id", "id").agg(F.sum("part").alias("bm25"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("bm25", 6).desc(), "id"))
-        return whole.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+        return lexical.best_many(held, wanted, n, mean, k)
 
     def live(self) -> DataFrame:
         """The postings without those of dead rows, as a merge writes them."""
