@@ -23,6 +23,8 @@ K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 #: Scores are compared after rounding to six digits.
 ROUNDING = 2e-6
+#: Up to so many postings for all queries together, each is scored; beyond it bounds spare those of common terms, in more steps. The result is the same.
+PAIRS = 50_000_000
 
 
 def fold(text: str) -> list[str]:
@@ -230,17 +232,21 @@ def best_many(held: DataFrame, wanted: DataFrame, n: int, mean: float, k: int) -
     The terms of a query are taken from the rarest on. What those give already sets a bound for the k-th
     score; terms whose greatest scores together stay below it can't bring in a row of their own, so their
     postings are looked up for the rows the others found only. The bounds are exact, so the result is.
+    Where all postings together are few (PAIRS), they are all scored.
     """
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(mean))
     share = F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max(share).alias("most"))
     weight = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = wanted.join(df, "term").select("query_id", "term", "df", (F.col("times") * F.when(weight > 0, weight).otherwise(LEAST_IDF)).alias("w"), "most")
-    # the rarest terms, by their sum of rows, set the bound
-    by_rarity = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
-    weighed = checkpointed(weighed.withColumn("first", F.coalesce(F.sum("df").over(by_rarity), F.lit(0)) < 4 * k))
     part = (F.col("w") * share).alias("part")
     scores = lambda own: held.join(own.select("query_id", "term", "w"), "term").select("query_id", "id", part).groupBy("query_id", "id").agg(F.sum("part").alias("part"))
+    weighed = checkpointed(weighed)
+    if (weighed.agg(F.sum("df").alias("n")).first()["n"] or 0) <= PAIRS:
+        return ranked_many(scores(weighed), k)
+    # the rarest terms, by their sum of rows, set the bound
+    by_rarity = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    weighed = weighed.withColumn("first", F.coalesce(F.sum("df").over(by_rarity), F.lit(0)) < 4 * k)
     order = Window.partitionBy("query_id").orderBy(F.desc("part"), "id")
 
     def looked_up(pairs: DataFrame, own: DataFrame) -> DataFrame:
@@ -260,6 +266,10 @@ def best_many(held: DataFrame, wanted: DataFrame, n: int, mean: float, k: int) -
     slack = split.groupBy("query_id").agg(F.sum(F.when(F.col("main"), 0.0).otherwise(F.col("w") * F.col("most"))).alias("slack"), F.max("bound").alias("bound"))
     found = checkpointed(scores(split.where("main")).join(slack, "query_id").where(F.col("part") + F.col("slack") + ROUNDING >= F.col("bound")).select("query_id", "id", "part"))
     more = looked_up(found.select("query_id", "id"), split.where("NOT main"))
-    whole = found.union(more).groupBy("query_id", "id").agg(F.sum("part").alias("bm25"))
+    return ranked_many(found.union(more).groupBy("query_id", "id").agg(F.sum("part").alias("part")), k)
+
+
+def ranked_many(scores: DataFrame, k: int) -> DataFrame:
+    whole = scores.withColumnRenamed("part", "bm25")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("bm25", 6).desc(), "id"))
     return whole.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)

@@ -65,8 +65,10 @@ def test_search_reads_its_terms_buckets(built):
     assert "content" not in plan
 
 
-@pytest.mark.parametrize("k", [1, 3, 40])
-def test_search_many_is_exact(spark, built, k):
+@pytest.mark.parametrize(("k", "pairs"), [(1, 0), (3, 0), (40, 0), (3, lexical.PAIRS)])
+def test_search_many_is_exact(spark, built, k, pairs, monkeypatch):
+    """By bounds, and where all postings are scored."""
+    monkeypatch.setattr(lexical, "PAIRS", pairs)
     rows, st = built
     rng = random.Random(9)
     asked = [(i, " ".join(rng.choices([*WORDS, "unseen"], k=rng.randrange(1, 7)))) for i in range(25)] + [(90, ""), (91, None), (92, "the"), (93, "the of the of")]
