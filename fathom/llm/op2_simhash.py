@@ -267,7 +267,7 @@ def families(n: int, similarity: float) -> list[list[int]]:
 
 
 #: The tables that a round of comparing begins with.
-ROUNDS = (0, 1, 3, 8)
+ROUNDS = (0, 2, 8)
 
 
 #: Groups of a set's digest; a group's hash has four bits.
@@ -400,7 +400,9 @@ def sets_of(wanted: DataFrame, docs: DataFrame, shingle: int) -> tuple[DataFrame
 
     at = F.xxhash64("_fathom_did", "_fathom_th").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     rows = map_arrow(identity(docs.select("doc_id", "text")).select("_fathom_did", "_fathom_th", "text", at.alias("at")), sets, "did long, th long, shingles binary")
-    return stored(rows.join(wanted, (F.col("did") == F.col("_fathom_did")) & (F.col("th") == F.col("_fathom_th"))).select("node", "shingles").dropDuplicates(["node"]))
+    out = stored(rows.join(wanted, (F.col("did") == F.col("_fathom_did")) & (F.col("th") == F.col("_fathom_th"))).select("node", "shingles").dropDuplicates(["node"]))
+    held.destroy()  # the sets are written
+    return out
 
 
 def checked(pairs: DataFrame, docs: DataFrame, heads: DataFrame, shingle: int, similarity: float, of: DataFrame | None = None) -> DataFrame:
