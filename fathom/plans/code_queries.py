@@ -152,3 +152,19 @@ t AS (SELECT pid AS source_id, 'push' || (doc_id + 1) AS target, 'calls' AS type
 {RESOLVED} UNION ALL SELECT pid, 'n->value', 'modifies', path, false FROM i UNION ALL SELECT fid, unnest([nid, pid]), 'defines', path, true FROM i""")
 def edges_c(spark, d):
     return _edges(spark, d, "c")
+
+
+@query(f"WITH {ROWS_C} SELECT {', '.join(SHOWN)} FROM s")
+def lateral_snippets(spark, d):
+    """The C files' snippets by a table function in SQL."""
+    import uuid
+
+    from fathom.functions import tables
+
+    tables.register(spark)
+    view = f"files_{uuid.uuid4().hex}"
+    code_files(spark, d, "c").createOrReplaceTempView(view)
+    try:
+        return spark.sql(f"SELECT {', '.join(f's.{c}' for c in SHOWN)} FROM {view} f, LATERAL code_snippets(f.file_path, f.language, f.content) s")
+    finally:
+        spark.catalog.dropTempView(view)
