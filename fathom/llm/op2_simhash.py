@@ -216,7 +216,7 @@ NEAR, FAR = 40, 56
 RECALL = 0.95
 SIMILARITY, SHINGLE = 0.8, 5
 #: Bits of the fixed filter that says which texts a check may want.
-FILTER_BITS = 27
+FILTER_BITS = 24
 _PRINTS = ", ".join(f"w{i} long" for i in range(WORDS))
 
 
@@ -267,7 +267,7 @@ def families(n: int, similarity: float) -> list[list[int]]:
 
 
 #: The tables that a round of comparing begins with.
-ROUNDS = (0, 2, 8)
+ROUNDS = (0, 2)
 
 
 #: Groups of a set's digest; a group's hash has four bits.
@@ -386,7 +386,7 @@ def sets_of(wanted: DataFrame, docs: DataFrame, shingle: int) -> tuple[DataFrame
     """node and its set of shingles, sorted, as bytes, as a stored table with its path. ``wanted``: one row (node, _fathom_did, _fathom_th) of each."""
     wanted = cut(wanted.select("node", "_fathom_did", "_fathom_th"))
     bits = _filter(wanted)
-    held = docs.sparkSession.sparkContext.broadcast(bits.tobytes())  # 16 MB at any size
+    held = docs.sparkSession.sparkContext.broadcast(bits.tobytes())  # 2 MB at any size
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(held.value, np.uint8)
