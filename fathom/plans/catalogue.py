@@ -57,6 +57,11 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 
 
+def padded():
+    """A number as an id, in the numbers' order, as equal scores go by id."""
+    return F.lpad(F.col("id").cast("string"), 20, "0")
+
+
 def query_vector(spark: SparkSession, d: str) -> list[float]:
     return list(read(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0])
 
@@ -102,7 +107,7 @@ def staged_sql(names: list[str], terms: list[str], limit: int) -> str:
     single = "SELECT q.p, id, count(*) AS tf FROM tok JOIN (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(terms)) + ") q(p, term) USING (term) GROUP BY q.p, id"
     for k, (rows, least) in enumerate(((phrase, 1), (single, len(terms)), (single, 1)), len(names)):
         before = " UNION ALL ".join(stages)
-        order = "round(bm25, 9) DESC, id"
+        order = "round(bm25, 12) DESC, id"
         parts += [f"f{k} AS ({rows})", score_sql(str(k)), f"st{k} AS (SELECT id, {k} AS stage, row_number() OVER (ORDER BY {order}) AS rk FROM sc{k} WHERE hits >= {least} AND (SELECT count(DISTINCT id) FROM ({before})) < {limit} ORDER BY {order} LIMIT {limit})"]
         stages.append(f"SELECT * FROM st{k}")
     parts.append(f"found AS (SELECT id, min(stage) AS stage, arg_min(rk, stage) AS rk FROM ({' UNION ALL '.join(stages)}) GROUP BY id)")
@@ -226,7 +231,7 @@ def stored_index(spark, d):
     prepared(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
     st = store.Store(spark, f"{base}/index-{uuid.uuid4().hex}")
-    rows = snippets(spark, d).withColumn("id", F.col("id").cast("string"))
+    rows = snippets(spark, d).withColumn("id", padded())
     tables, drop = term_segment(st, rows)
     st.commit(tables, {name: ["bucket"] for name in tables if name.startswith("postings_")}, drop)
     return term_index(st)
@@ -319,10 +324,9 @@ def hybrid_search(spark, d):
     """The whole search over tables: staged keywords and vectors, fused, hydrated, with parents and relations."""
     from fathom.plans.search import search_tables
 
-    rows = snippets(spark, d).withColumn("id", F.col("id").cast("string"))
     none = {c: F.lit(None).cast("string") for c in ("parent_id", "parent_signature", "parent_summary")}
-    near = vectors(spark, d).select(F.col("id").cast("string").alias("id"), "embedding", F.lit(None).cast("string").alias("document"))
-    found = search_tables(rows.withColumns(none), near, edges(spark, d), nodes(spark, d), QUERY, 10, Models(), False, query_vector(spark, d))
+    near = vectors(spark, d).select(padded().alias("id"), "embedding", F.lit(None).cast("string").alias("document"))
+    found = search_tables(snippets(spark, d).withColumn("id", padded()).withColumns(none), near, edges(spark, d), nodes(spark, d), QUERY, 10, Models(), False, query_vector(spark, d))
     hit = F.col("snippet")
     return found.select(F.col("id").cast("long").alias("id"), hit["name"].alias("name"), hit["type"].alias("type"), hit["file_path"].alias("file_path"), "rrf_score", F.col("rank").cast("long").alias("rank"))
 
