@@ -266,8 +266,8 @@ def families(n: int, similarity: float) -> list[list[int]]:
     return out
 
 
-#: The tables that a round of comparing begins with.
-ROUNDS = (0, 2)
+#: The tables that a round of comparing begins with. Further rounds (0, 2) write less, as they leave out what is joined, and take more of the driver's memory.
+ROUNDS = (0,)
 
 
 #: Groups of a set's digest; a group's hash has four bits.
@@ -431,7 +431,7 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     nodes = cut(prints.groupBy("node").agg(F.min(F.struct("_fathom_did", "_fathom_th")).alias("h"), *words))
     heads = nodes.select("node", "h._fathom_did", "h._fathom_th")
     tables = families(nodes.count(), similarity)
-    # a few tables first: what they join isn't compared again in the others, so pairs grow with the texts, not with texts times tables
+    # what a round's tables join isn't compared again in the next round's
     label, seen = nodes.withColumn("root", F.col("node")), None
     for start, stop in zip(ROUNDS, (*ROUNDS[1:], len(tables))):
         pairs = meetings(label, tables[start:stop], NEAR, FOREST, similarity)
