@@ -155,6 +155,28 @@ def staged_search(rows: DataFrame, query: str, limit: int = 50, fields: tuple[st
     return staged(seen, statistics(seen, len(phrases)), exact, stages, phrases, limit, lambda: like(rows, query, fields))
 
 
+def first_stages(rows: DataFrame, query: str, names: list[str], name_limit: int, fields: tuple[str, ...] = ("content",)) -> DataFrame:
+    """Every row that a stage finds, and the first one that does (id, stage): no limit, no stop rule, no LIKE.
+
+    Stages have the numbers of staged_search; of its exact names only ``names`` are looked up, ``name_limit`` rows of each by id.
+    One scan; what moves is an id and a stage per row found.
+    """
+    exact, stages, phrases = stages_of(query)
+    at = {t: i for i, t in enumerate(exact) if t in names}
+    flags = [F.coalesce(F.col("name") == t, F.lit(False)).alias(f"nm{i}") for t, i in at.items()]
+    seen = checkpointed(counted(rows, phrases, fields).select("id", *[f"tf{i}" for i in range(len(phrases))], *flags))
+    for i in at.values():
+        if seen.where(f"nm{i}").count() > name_limit:
+            last = seen.where(f"nm{i}").orderBy("id").limit(name_limit).agg(F.max("id")).first()[0]
+            seen = seen.withColumn(f"nm{i}", F.col(f"nm{i}") & (F.col("id") <= F.lit(last)))
+    found = [F.when(F.col(f"nm{i}"), i) for i in at.values()]
+    for i, (own, every) in enumerate(stages, len(exact)):
+        if own:
+            hits = [F.col(f"tf{phrases.index(p)}") > 0 for p in own]
+            found.append(F.when(reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), hits), i))
+    return seen.select("id", F.coalesce(*found, F.lit(None)).alias("stage")).where("stage IS NOT NULL").groupBy("id").agg(F.min("stage").alias("stage"))
+
+
 def staged(seen: DataFrame, stats: tuple[int, float, list[int]], exact: list[str], stages: list, phrases: list, limit: int, fallback) -> DataFrame:
     """The stages over counted rows (id, dl, tf0.., nm0..), which may leave out those without a hit; ``fallback`` gives the rows of LIKE."""
     n_rows, avgdl, dfs = stats

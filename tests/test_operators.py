@@ -57,6 +57,21 @@ def test_staged_search(spark):
     assert ids("quick brown")[0] == "1"
 
 
+def test_first_stages_have_no_limit(spark, tmp_path):
+    """The query staged_search against its SQL: more rows than a stage's former limit, and names that are no tokens or no exact ones."""
+    import duckdb
+
+    from fathom.plans import catalogue
+
+    odd = spark.createDataFrame([(-1, "The fox and the"), (-2, "and so"), (-3, "the1 x"), (-4, "The\u00e9 and"), (-5, ""), (-6, "nothing")], "doc_id long, text string")
+    many = spark.range(60_000).selectExpr("id AS doc_id", "'so the and' AS text").union(spark.range(60_000, 100_100).selectExpr("id AS doc_id", "'and so the' AS text")).union(spark.range(100_100, 100_150).selectExpr("id AS doc_id", "'so the' AS text"))
+    odd.union(many).selectExpr("*", "'en' AS lang", "'s' AS source").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.id, r.stage) for r in catalogue.queries()["staged_search"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert len(got) > 100_100 and got == set(con.execute(catalogue.oracle_sql()["staged_search"]).fetchall())
+
+
 def test_replies_and_embedding_text(spark):
     r = spark.createDataFrame([('```json\n{"a": "x", "b": {"content": "y"}, "c": {"z": 1}, "d": null}\n```',)], "r string").select(T.reply_map(F.col("r")).alias("m")).first().m
     assert r == {"a": "x", "b": "y", "c": '{"z":1}', "d": None}
