@@ -11,7 +11,10 @@ import logging
 import os
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from fathom.schema import FILES, SNIPPETS
@@ -21,6 +24,8 @@ IGNORED_DIRS = (".git", "__pycache__", "node_modules", ".venv", "venv")
 IGNORED_EXTENSIONS = (".pyc", ".pyo", ".so", ".dll", ".exe", ".bin")
 LANGUAGES = {"py": "python", "c": "c", "h": "c"}
 FILES_PER_TASK = 64
+#: Files whose rows a task holds at once, however many a batch has.
+FILES_AT_ONCE = 64
 
 
 def language_of(path: str) -> str | None:
@@ -99,21 +104,23 @@ def parse(files: DataFrame, chunk_size: int = 1000, registry: dict | None = None
 def parsed(files: DataFrame, chunk_size: int = 1000, registry: dict | None = None) -> DataFrame:
     """file_path, its snippets and captures as arrays, and the parser's error."""
     registry = registry or parsers()
-    both = f"snippets array<struct<{_nested(SNIPPETS)}>>, captures array<struct<{_nested(CAPTURE_ROW)}>>, file_path string, error string"
+    spec = f"snippets array<struct<{_nested(SNIPPETS)}>>, captures array<struct<{_nested(CAPTURE_ROW)}>>, file_path string, error string"
+    schema = to_arrow_schema(T._parse_datatype_string(spec))
+    return files.select("file_path", "language", "content").mapInArrow(lambda batches: outlined(batches, registry, chunk_size, schema), spec)
 
-    def run(batches):
-        import pandas as pd
 
-        from fathom.parsing import outline
+def outlined(batches: Iterator[pa.RecordBatch], registry: dict, chunk_size: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The rows of some files at a time, so that a task's memory doesn't depend on how many a batch has."""
+    from fathom.parsing import outline
 
-        for batch in batches:
-            rows = []
-            for path, lang, code in zip(batch["file_path"], batch["language"], batch["content"]):
+    for batch in batches:
+        for at in range(0, batch.num_rows, FILES_AT_ONCE):
+            part, rows = batch.slice(at, FILES_AT_ONCE).to_pydict(), []
+            for path, lang, code in zip(part["file_path"], part["language"], part["content"]):
                 found = registry[lang](code or "") if lang in registry else outline.Outline([], [])
-                rows.append((outline.snippets(code or "", path, found, chunk_size), outline.captures(path, found), path, found.error))
-            yield pd.DataFrame(rows, columns=["snippets", "captures", "file_path", "error"])
-
-    return files.select("file_path", "language", "content").mapInPandas(run, both)
+                own = [row | {"metadata": list(row["metadata"].items())} for row in outline.snippets(code or "", path, found, chunk_size)]
+                rows.append((own, outline.captures(path, found), path, found.error))
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
 
 
 CAPTURE_ROW = "file_path string, tag string, text string, start int, end int, owner_start int, owner_end int"

@@ -6,6 +6,7 @@ import pytest
 
 from fathom.api import Engine
 from fathom.parsing import c_source, outline, python_source
+from fathom.sources import codebase
 from fathom.sources.codebase import read_codebase
 
 SHAPES = '''import os
@@ -178,3 +179,16 @@ def test_unreadable_file_is_not_deleted(spark, tmp_path, monkeypatch):
     assert [r.name for r in one] == ["b"]
     build(files(a), e.store)
     assert names() == {"a"}
+
+
+def test_a_task_holds_few_files_at_once():
+    """However many files a batch has."""
+    import pyarrow as pa
+
+    n = 3 * codebase.FILES_AT_ONCE + 1
+    batch = pa.RecordBatch.from_pydict({"file_path": [f"f{i}.py" for i in range(n)], "language": ["python"] * n, "content": [f"def f{i}(x):\n    return x\n" for i in range(n)]})
+    snippet, capture = pa.list_(pa.struct([("id", pa.string()), ("name", pa.string()), ("metadata", pa.map_(pa.string(), pa.string()))])), pa.list_(pa.struct([("tag", pa.string())]))
+    schema = pa.schema([("snippets", snippet), ("captures", capture), ("file_path", pa.string()), ("error", pa.string())])
+    out = list(codebase.outlined(iter([batch]), codebase.parsers(), 1000, schema))
+    assert max(b.num_rows for b in out) <= codebase.FILES_AT_ONCE
+    assert [r["snippets"][0]["name"] for b in out for r in b.to_pylist()] == [f"f{i}" for i in range(n)]
