@@ -8,7 +8,10 @@ the former document's file. The pieces are SQL that Spark and DuckDB read alike.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from fathom.operators import graph
+from fathom.operators.store import checkpointed
 from fathom.parsing.outline import HIDDEN
 from fathom.plans.catalogue import query, read
 
@@ -132,10 +135,12 @@ def chunk_functions(spark, d):
 
 
 def _edges(spark, d, extension: str):
-    from fathom.sources.codebase import parse
+    """Each file is parsed once; what is kept of it are its captures, and of its snippets the columns that edges need, no texts."""
+    from fathom.sources.codebase import parsed
 
-    rows, captures = parse(code_files(spark, d, extension))
-    return graph.edges_from_captures(captures, rows)
+    rows = F.transform("snippets", lambda s: F.struct(*[s[c].alias(c) for c in ("id", "name", "type", "file_path", "start_byte", "end_byte", "chunk_index")]))
+    read = checkpointed(parsed(code_files(spark, d, extension)).select(rows.alias("snippets"), "captures"))
+    return graph.edges_from_captures(read.selectExpr("inline(captures)"), read.selectExpr("inline(snippets)"))
 
 
 @query(f"""WITH {ROWS_PY}, i AS (SELECT doc_id, any_value(file_path) AS path, max(id) FILTER (type = 'file') AS fid, max(id) FILTER (type = 'class') AS cid, max(id) FILTER (type = 'method') AS rid, max(id) FILTER (name LIKE 'helper%') AS hid, max(id) FILTER (name LIKE 'long%') AS lid FROM s GROUP BY doc_id),

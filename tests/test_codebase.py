@@ -192,3 +192,24 @@ def test_a_task_holds_few_files_at_once():
     out = list(codebase.outlined(iter([batch]), codebase.parsers(), 1000, schema))
     assert max(b.num_rows for b in out) <= codebase.FILES_AT_ONCE
     assert [r["snippets"][0]["name"] for b in out for r in b.to_pylist()] == [f"f{i}" for i in range(n)]
+
+
+def test_edges_parse_each_file_once(spark, tmp_path, monkeypatch):
+    from fathom.parsing import c_source, python_source
+    from fathom.plans import catalogue
+
+    spark.createDataFrame([(i, "some text", "en", "s", 9) for i in range(5)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    taken = spark.sparkContext.accumulator(0)
+
+    def counting(parse):
+        def run(code):
+            taken.add(1)
+            return parse(code)
+
+        return run
+
+    monkeypatch.setattr(codebase, "parsers", lambda: {"python": counting(python_source.parse), "c": counting(c_source.parse)})
+    for name in ("edges_python", "edges_c"):
+        before = taken.value
+        assert catalogue.queries()[name](spark, str(tmp_path)).count() > 0
+        assert taken.value - before == 5
