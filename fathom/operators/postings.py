@@ -15,10 +15,13 @@ snippets in one version, and a job writes them as partitions.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +30,9 @@ from fathom.operators import lexical
 from fathom.operators.store import checkpointed
 
 #: Folders of terms in a segment, and the parts that each is written in, so that one frequent term isn't one task's.
-BUCKETS, SPREAD = 16, 4
+BUCKETS, SPREAD = 16, 16
+#: Rows whose postings a task makes at once.
+ROWS_AT_ONCE = 1024
 NAME_FIELD = -1
 FIELDS = ("name", "content", "summary")
 #: A merge takes older segments in while they are at most this many times what it has.
@@ -49,35 +54,58 @@ def row_hash(fields: tuple[str, ...]) -> Column:
     return F.xxhash64(*[x for f in fields for x in (F.col(f).isNull(), F.col(f))])
 
 
-def _placed(field: int) -> Column:
-    return F.transform(f"_t{field}", lambda t, p: F.struct(t.alias("term"), F.lit(field).alias("field"), p.cast("int").alias("position")))
-
-
 def _shifted(positions: Column, by: int) -> Column:
     return F.transform(positions, lambda x: x - by)
 
 
 def postings_of(rows: DataFrame, fields: tuple[str, ...] = FIELDS, name: str | None = "name", buckets: int = BUCKETS) -> DataFrame:
-    """The postings of rows: one shuffle by term and a part of the id, which also groups the tokens and sorts them.
+    """The postings of rows: made where the texts are read, then one shuffle by term and a part of the id, and a sort.
 
     A row's length is that of all its fields together; rows without tokens have no posting but their name's.
     """
-    lists = rows.select("id", *([F.col(name).alias("_name")] if name else []), *[tokens(F.col(f)).alias(f"_t{i}") for i, f in enumerate(fields)])
-    size = reduce(lambda a, b: a + b, [F.size(f"_t{i}") for i in range(len(fields))])
-    found = [_placed(i) for i in range(len(fields))]
-    if name:
-        own = F.array(F.struct(F.col("_name").alias("term"), F.lit(NAME_FIELD).alias("field"), F.lit(0).alias("position")))
-        found.append(F.when(F.col("_name").isNotNull(), own).otherwise(F.slice(own, 1, 0)))
-    flat = lists.select("id", size.alias("dl"), F.explode(F.concat(*found)).alias("p")).select("id", "dl", "p.*")
-    dealt = flat.select(bucket_of(F.col("term"), buckets).alias("bucket"), F.pmod(F.xxhash64("id"), F.lit(SPREAD)).alias("part"), "*").repartition("bucket", "part")
-    listed = dealt.groupBy("bucket", "part", "term", "id", "field").agg(F.array_sort(F.collect_list("position")).alias("positions"), F.first("dl").alias("dl"))
-    return listed.select("bucket", "term", "id", "field", F.size("positions").alias("tf"), "dl", "positions").sortWithinPartitions("bucket", "term", F.desc("tf"), "dl", "id")
-
-
-def rows_of(rows: DataFrame, postings: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """id, hash and length of each row. ``postings``: theirs, stored, so that texts aren't split again."""
-    lengths = postings.select("id", "dl").groupBy("id").agg(F.first("dl").alias("dl"))
-    return rows.select("id", row_hash(fields).alias("h")).join(lengths, "id", "left").select("id", "h", F.coalesce("dl", F.lit(0)).alias("dl"))
+    names = [F.col(name).alias("_name")] if name else [F.lit(None).cast("string").alias("_name")]
+    lists = rows.select("id", *names, *[tokens(F.col(f)).alias(f"_t{i}") for i, f in enumerate(fields)])
+    found = lists.mapInArrow(lambda batches: grouped(batches, len(fields)), f"term string, id {lists.schema['id'].dataType.simpleString()}, field int, dl int, positions array<int>")
+    bucket = bucket_of(F.col("term"), buckets)
+    dealt = found.repartition(bucket, F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
+    return dealt.select(bucket.alias("bucket"), "term", "id", "field", F.size("positions").alias("tf"), "dl", "positions").sortWithinPartitions("bucket", "term", F.desc("tf"), "dl", "id")
+
+
+def grouped(batches: Iterator[pa.RecordBatch], n_fields: int) -> Iterator[pa.RecordBatch]:
+    """Rows of tokens (id, _name, _t0..) as one row per term of a row's field; the rows of a term stand together, so that a shuffle compresses them."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+            batch = whole.slice(at, ROWS_AT_ONCE)
+            ids, n = batch.column("id"), batch.num_rows
+            lists = [batch.column(f"_t{i}") for i in range(n_fields)]
+            sizes = [pc.list_value_length(t).to_numpy(zero_copy_only=False).astype(np.int64) for t in lists]
+            dl = np.sum(sizes, axis=0).astype(np.int32)
+            for field, (tokens_of, size) in enumerate(zip(lists, sizes)):
+                total = int(size.sum())
+                if total:
+                    terms = tokens_of.flatten().dictionary_encode()
+                    row, place = np.repeat(np.arange(n), size), np.arange(total) - np.repeat(np.cumsum(size) - size, size)
+                    key = terms.indices.to_numpy().astype(np.int64) * n + row
+                    order = np.argsort(key, kind="stable")
+                    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+                    mine = key[order[first]]
+                    positions = pa.ListArray.from_arrays(pa.array(np.append(first, total), pa.int32()), pa.array(place[order], pa.int32()))
+                    yield _postings(terms.dictionary.take(pa.array(mine // n)), ids.take(pa.array(mine % n)), field, dl[mine % n], positions)
+            named = np.flatnonzero(batch.column("_name").is_valid().to_numpy(zero_copy_only=False))
+            if len(named):
+                own = pa.array(named)
+                zeros = pa.ListArray.from_arrays(pa.array(np.arange(len(named) + 1), pa.int32()), pa.array(np.zeros(len(named)), pa.int32()))
+                yield _postings(batch.column("_name").take(own), ids.take(own), NAME_FIELD, dl[named], zeros)
+
+
+def _postings(terms: pa.Array, ids: pa.Array, field: int, dl: np.ndarray, positions: pa.ListArray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([terms, ids, pa.array(np.full(len(terms), field), pa.int32()), pa.array(dl, pa.int32()), positions], ["term", "id", "field", "dl", "positions"])
+
+
+def rows_of(rows: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """id, hash and length of each row. The texts are split once more for it, and nothing moves."""
+    size = reduce(lambda a, b: a + b, [F.size(tokens(F.col(f))) for f in fields])
+    return rows.select("id", row_hash(fields).alias("h"), size.alias("dl"))
 
 
 def live_rows(rows: DataFrame, gone: DataFrame) -> DataFrame:

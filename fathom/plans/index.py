@@ -98,11 +98,14 @@ def term_segment(st: store.Store, snippets: DataFrame) -> tuple[dict[str, DataFr
     dead, n_fresh = store.checkpointed(dead), fresh.count()
     if not n_fresh and dead.isEmpty():
         return {}, ()
-    made = snippets.join(fresh, "id", "left_semi")
-    found = store.checkpointed(postings.postings_of(made))
-    rows = store.checkpointed(postings.rows_of(made, found))
-    new = max(_segments(names, "stats"), default=0) + 1
     sizes = {r["segment"]: r["n"] for r in have.stats.collect()}  # one row per segment
+    if sizes:
+        made = snippets.join(F.broadcast(fresh) if n_fresh <= postings.BROADCAST_ROWS else fresh, "id", "left_semi")
+    else:  # all of them, where they are read
+        made = snippets.where("id IS NOT NULL")
+    found = postings.postings_of(made)
+    rows = store.checkpointed(postings.rows_of(made))
+    new = max(_segments(names, "stats"), default=0) + 1
     old = [n for n in postings.to_merge(sizes | {new: n_fresh}) if n != new]
     gone = have.gone.unionByName(dead)
     if old:

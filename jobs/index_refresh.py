@@ -12,7 +12,7 @@ A document replaces the one of its id from former batches; one with a null text
 away. Of several in a batch the one with the greatest ``order`` column stays, then that of the
 greatest text. Rows without an id can't be indexed, and are counted in the log.
 
-Cost per run: the new files' texts once for the postings and once for their hashes, and the ids of the
+Cost per run: the new files' texts once for the postings and once for their hashes and lengths, and the ids of the
 index once, to find the rows that are replaced. Former segments aren't rewritten.
 """
 
@@ -78,9 +78,7 @@ def refresh(spark: SparkSession, source: str, target: str, checkpoint: str, sche
         kept = new.where("content IS NOT NULL")
         made = postings.postings_of(kept, FIELDS, None)
         _write(made, target, "postings", number)
-        stored = read_or_none(spark, f"{target}/postings", PARTS["postings"][0].format(id=id_type) + ", segment int")
-        own = stored.where(F.col("segment") == number) if stored is not None else made.limit(0)
-        _write(postings.rows_of(kept, own, FIELDS), target, "rows", number)
+        _write(postings.rows_of(kept, FIELDS), target, "rows", number)
         rows = spark.read.schema(PARTS["rows"][0].format(id=id_type) + ", segment int").parquet(f"{target}/rows").where(F.col("segment") == number)
         former = open_index(spark, target, id_type, before=number)
         if former is not None:

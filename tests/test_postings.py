@@ -148,3 +148,22 @@ def test_batched_summaries_keep_one_row_per_id(spark):
     got = sorted((r.id, r.summary) for r in models.batched_summaries(complete, "{snippets}", 3)(rows).collect())
     assert [i for i, _ in got] == [str(i) for i in range(7)]
     assert dict(got)["0"] == "zero" and dict(got)["5"] == "five" and dict(got)["3"] == "N3 [kid3]" and dict(got)["6"] == "N6"
+
+
+def test_a_term_of_a_row_moves_once():
+    """Postings are made where texts are read: what is shuffled has one row per term of a row's field, not one per token."""
+    import pyarrow as pa
+
+    text = ["b", "a", "b", "b", "c"]
+    batch = pa.RecordBatch.from_pydict({"id": [7, 8, 9], "_name": ["N", None, ""], "_t0": [["n"], [], []], "_t1": [text, ["a"], []]}, pa.schema([("id", pa.int64()), ("_name", pa.string()), ("_t0", pa.list_(pa.string())), ("_t1", pa.list_(pa.string()))]))
+    got = [tuple(r.values()) for b in postings.grouped(iter([batch]), 2) for r in b.to_pylist()]
+    want = [("n", 7, 0, 6, [0]), ("b", 7, 1, 6, [0, 2, 3]), ("a", 7, 1, 6, [1]), ("a", 8, 1, 1, [0]), ("c", 7, 1, 6, [4]), ("N", 7, -1, 6, [0]), ("", 9, -1, 0, [0])]
+    assert sorted(got) == sorted(want)
+    assert [t for t, *_ in got].index("a") + 1 == len(got) - 1 - [t for t, *_ in got][::-1].index("a")  # a term's rows stand together
+
+
+def test_a_first_build_moves_no_texts(spark, tmp_path):
+    st = store.Store(spark, str(tmp_path / "s"))
+    tables, _ = term_segment(st, spark.createDataFrame(some_rows(20), SCHEMA))
+    plan = tables["postings_1"]._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
