@@ -17,8 +17,9 @@ give a spanning forest of their links, not all pairs; components are joined over
 tables.
 
 ``similar`` is the operator for similarities that no small radius reaches, and what the
-pipeline's stage takes: five-word shingles and a Jaccard similarity of 0.8 or more. Its
-fingerprints have 256 bits, and its structured masks are families of disjoint masks of
+pipeline's stage takes: five-word shingles and a Jaccard similarity of 0.8 or more. The
+query's links come first, each checked by the similarity (``linked``). What they leave
+apart meets by wide fingerprints. These have 256 bits, and its structured masks are families of disjoint masks of
 k bits, so that in each family every pair within 256 / k - 1 bits meets; there are as
 many families as let a pair at the similarity meet with probability ``RECALL`` or more,
 and k grows with the logarithm of the rows, as do the buckets' number. Meetings within
@@ -40,18 +41,20 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm.common import cut, dropped, identity, in_groups, map_arrow, stored, table, utf8
 from fathom.llm.components import connected_components
 
 SEED, BITS = 42, 64
+#: The query's words a shingle and bits of difference.
+QUERY_SHINGLE, QUERY_RADIUS = 4, 4
 #: Fingerprints that one task compares with each other.
 BUCKET = 1024
 LEVELS = 5
@@ -90,7 +93,7 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = QUERY_SHINGLE) -> DataFrame:
     """doc_id, which row it is (_fathom_did, _fathom_th), and the fingerprint's 64 bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,12 +180,17 @@ def _batch(a: list, b: list, kind: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)), pa.array(kind, pa.int32())], ["a", "b", "kind"])
 
 
-def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
+def buckets(tables: list[list[int]], *words: str, by: Iterable[str] = ()) -> Column:
+    """A row's bucket in each table: the words under the table's mask (and other columns), with the table's number, as one hash."""
+    rows = ", ".join(f"array({t}L, {', '.join(f'{m}L' if m + (1 << 63) else 'bigint(-9223372036854775808)' for m in mask)})" for t, mask in enumerate(tables))
+    return F.expr(f"transform(array({rows}), m -> xxhash64({', '.join([*by, 'm[0]', *(f'{w} & m[{i + 1}]' for i, w in enumerate(words))])}))")
+
+
+def links(distinct: DataFrame, radius: int = QUERY_RADIUS) -> DataFrame:
     """Links (a, b) that join every pair of fingerprints within the radius, over forests."""
     found, rows = None, distinct.select("fp", F.lit(0).cast("long").alias("outer"))
     for level in range(LEVELS):
-        tables = F.array(*[F.xxhash64(F.col("outer"), F.lit(t), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for t, m in enumerate(masks(radius, level))])
-        dealt = rows.select("fp", F.explode(tables).alias("bucket")).repartition("bucket").sortWithinPartitions("bucket", "fp")
+        dealt = rows.select("fp", F.explode(buckets([[m] for m in masks(radius, level)], "fp", by=["outer"])).alias("bucket")).repartition("bucket").sortWithinPartitions("bucket", "fp")
         out = cut(map_arrow(dealt, _compare(radius, level == LEVELS - 1), "a long, b long, kind int"))
         pairs = out.where("kind = 0").select("a", "b")
         found = pairs if found is None else found.union(pairs)
@@ -192,7 +200,7 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     return found.distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = QUERY_RADIUS, shingle: int = QUERY_SHINGLE) -> DataFrame:
     """Each row's doc_id, _fathom_did, _fathom_th and fp; root, the component's least fingerprint; component_id, the least doc_id of all that are linked."""
     prints = cut(fingerprints(docs, shingle))
     firsts = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
@@ -233,16 +241,17 @@ def wide_print(h: np.ndarray) -> tuple[int, list[int]]:
 
 
 def wide_prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """_fathom_no (without an id), _fathom_did, _fathom_th, the set's hash as node, and the fingerprint's words."""
+    """_fathom_no (without an id), _fathom_did, _fathom_th, the set's hash as node, the wide fingerprint's words, and the query's fingerprint (fp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_print(hashes(t, shingle)) for t in batch.column("text").to_pylist()]
-            values = np.array([(n, *w) for n, w in found], np.uint64).reshape(-1, 1 + WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(values[:, i].copy()) for i in range(1 + WORDS))], ["_fathom_no", "_fathom_did", "_fathom_th", "node", *(f"w{i}" for i in range(WORDS))])
+            texts = batch.column("text").to_pylist()
+            found = [(*wide_print(hashes(t, shingle)), majority(hashes(t, QUERY_SHINGLE))) for t in texts]
+            values = np.array([(n, *w, f) for n, w, f in found], np.uint64).reshape(-1, 2 + WORDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(values[:, i].copy()) for i in range(2 + WORDS))], ["_fathom_no", "_fathom_did", "_fathom_th", "node", *(f"w{i}" for i in range(WORDS)), "fp"])
 
     rows = identity(docs.select("doc_id", "text")).select(F.col("doc_id").isNull().alias("_fathom_no"), "_fathom_did", "_fathom_th", "text")
-    return map_arrow(rows, run, f"_fathom_no boolean, _fathom_did long, _fathom_th long, node long, {_PRINTS}")
+    return map_arrow(rows, run, f"_fathom_no boolean, _fathom_did long, _fathom_th long, node long, {_PRINTS}, fp long")
 
 
 def agreement(similarity: float) -> float:
@@ -290,6 +299,24 @@ def bound(n: np.ndarray, digests: np.ndarray, i: int, of: np.ndarray) -> np.ndar
     return (both - k) / np.maximum(both + k, 1)
 
 
+#: Buckets of so many rows at most are looked through together.
+SMALL = 64
+
+
+def lively(fp: np.ndarray, root: np.ndarray, bounds: np.ndarray, radius: int) -> np.ndarray:
+    """The buckets that hold a pair of different components within the radius; those over SMALL rows count without a look."""
+    sizes = np.diff(bounds)
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    found = sizes > SMALL
+    own[found[own]] = -1
+    for step in range(1, int(sizes[~found].max(initial=0))):
+        i = np.flatnonzero((own[step:] == own[:-step]) & (own[step:] >= 0) & (root[step:] != root[:-step]))
+        if len(i):
+            far = np.bitwise_count(fp[i] ^ fp[i + step]).sum(1, dtype=np.int64)
+            found[own[i[far <= radius]]] = True
+    return np.flatnonzero(found)
+
+
 FOREST, WHO, STAR, ALL = range(4)
 
 
@@ -335,8 +362,9 @@ def _meet(radius: int, mode: int, similarity: float):
             bounds = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
             sizes = np.diff(bounds)
             found = []
-            # a bucket of one row matters only where it may go on in another batch
-            for i in sorted({0, len(sizes) - 1, *np.flatnonzero(sizes > 1).tolist()}):
+            fp = np.stack([rows[w] for w in words], axis=1).view(np.uint64)
+            # the first and the last may go on in another batch
+            for i in sorted({0, len(sizes) - 1, *lively(fp, rows["root"], bounds, radius).tolist()}):
                 own = {c: v[int(bounds[i]) : int(bounds[i + 1])] for c, v in rows.items()}
                 if keys[bounds[i]] == key:
                     held = {c: np.concatenate((held[c], v)) for c, v in own.items()}
@@ -359,9 +387,8 @@ def _pairs(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 def meetings(nodes: DataFrame, tables: list[list[int]], radius: int, mode: int, similarity: float) -> DataFrame:
     """Distinct pairs (a, b) of nodes, with their root (and size n and digest), that meet in a table within the radius (see _meet)."""
-    words = [F.col(f"w{i}") for i in range(WORDS)]
-    each = F.array(*[F.xxhash64(F.lit(t), *[w.bitwiseAND(F.lit(m).cast("long")) for w, m in zip(words, mask) if m]) for t, mask in enumerate(tables)])
-    rows = nodes.select("node", "root", *words, *(["n", "digest"] if mode in (STAR, ALL) else []), F.explode(each).alias("bucket"))
+    words = [f"w{i}" for i in range(WORDS)]
+    rows = nodes.select("node", "root", *words, *(["n", "digest"] if mode in (STAR, ALL) else []), F.explode(buckets(tables, *words)).alias("bucket"))
     return map_arrow(rows.repartition("bucket").sortWithinPartitions("bucket", "node"), _meet(radius, mode, similarity), "a long, b long").distinct()
 
 
@@ -424,17 +451,28 @@ def checked(pairs: DataFrame, docs: DataFrame, heads: DataFrame, shingle: int, s
     return found
 
 
+def linked(nodes: DataFrame, radius: int = QUERY_RADIUS) -> DataFrame:
+    """Pairs (a, b) of nodes by the query's fingerprints: links() over the least node of each, and that node with the others of its fingerprint."""
+    firsts = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    same = nodes.select("fp", "node").join(firsts, "fp").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    ends = [firsts.select(F.col("fp").alias(c), F.col("first").alias(f)) for c, f in ("ax", "by")]
+    met = links(firsts, radius).join(ends[0], "a").join(ends[1], "b").select("x", "y")
+    return same.union(met).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Each row's _fathom_no, _fathom_did, _fathom_th and node, and the root of the component of nodes linked by their similarity."""
     prints, _ = stored(wide_prints(docs, shingle))  # stays: the result is read from it
     words = [F.first(f"w{i}").alias(f"w{i}") for i in range(WORDS)]
-    nodes = cut(prints.groupBy("node").agg(F.min(F.struct("_fathom_did", "_fathom_th")).alias("h"), *words))
+    nodes = cut(prints.groupBy("node").agg(F.min(F.struct("_fathom_did", "_fathom_th", "fp")).alias("h"), *words).withColumn("fp", F.col("h.fp")))
     heads = nodes.select("node", "h._fathom_did", "h._fathom_th")
     tables = families(nodes.count(), similarity)
     # what a round's tables join isn't compared again in the next round's
     label, seen = nodes.withColumn("root", F.col("node")), None
     for start, stop in zip(ROUNDS, (*ROUNDS[1:], len(tables))):
         pairs = meetings(label, tables[start:stop], NEAR, FOREST, similarity)
+        if seen is None:
+            pairs = pairs.union(linked(nodes)).distinct()
         pairs = cut(pairs if seen is None else pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"))
         if seen is None or not pairs.isEmpty():
             new = checked(pairs, docs, heads, shingle, similarity)

@@ -111,6 +111,39 @@ def test_similar_brute(spark, odd, monkeypatch):
     assert groups(got) == groups(want)
 
 
+def test_stage_takes_the_querys_links(spark, monkeypatch):
+    """What the query's fingerprints link and the check confirms is joined without any meeting in the wide tables."""
+    monkeypatch.setattr(op2_simhash, "meetings", lambda nodes, *_: nodes.select("node", "node").toDF("a", "b").limit(0))
+    r = random.Random(8)
+    rows = []
+    for g in range(20):
+        base = [f"w{r.randint(0, 10**6)}" for _ in range(200)]
+        rows += [(len(rows) + k, " ".join([*base[:-1], f"end{k}"])) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints, sets = [fingerprint(t) for _, t in rows], [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if (prints[i] ^ prints[j]).bit_count() <= 4 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = find(parent, i), find(parent, j)
+            parent[max(a, b)] = min(a, b)
+    least = {find(parent, i) for i in range(len(rows))}
+    assert len(least) < len(rows) / 2 and {x.doc_id for x in op2_simhash.stage(spark, docs, "").collect()} == least
+
+
+def test_similar_idle_buckets_are_passed_over():
+    r = np.random.RandomState(6)
+    bounds = np.cumsum([0, *r.randint(1, 9, 300), op2_simhash.SMALL + 1])
+    fp = r.randint(0, 1 << 62, (bounds[-1], 4)).astype(np.uint64)
+    root = np.arange(bounds[-1])
+    for i in range(1, 250, 5):
+        if bounds[i + 1] - bounds[i] > 1:
+            fp[bounds[i + 1] - 1] = fp[bounds[i]] ^ np.array([(0, 1, 7)[i % 3], 0, 0, 0], np.uint64)
+            root[bounds[i + 1] - 1] -= (i % 2) * (bounds[i + 1] - 1 - bounds[i])
+    pairs = lambda s, e: any(root[i] != root[j] and np.bitwise_count(fp[i] ^ fp[j]).sum() <= 1 for i, j in itertools.combinations(range(s, e), 2))
+    want = [i for i in range(300) if pairs(bounds[i], bounds[i + 1])] + [300]
+    assert op2_simhash.lively(fp, root, bounds, 1).tolist() == want and len(want) > 10
+
+
 def test_similar_bound_is_one():
     r = np.random.RandomState(5)
     for n in (0, 3, 140, 2000):
