@@ -2,7 +2,8 @@
 
 Labels move only along joins and pre-aggregated minima, so no node's links are
 ever gathered; each half step is cut to the shared folder. A hub is a join key
-with plain exchanges on both sides, which adaptive execution can split.
+with plain exchanges on both sides, which adaptive execution can split. A step's
+partitions follow the number of links, so that few links are few tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 from fathom.llm.common import cut
 
 
+#: Links of a partition; fewer links in all are one partition, whose steps need no exchange.
+LINKS = 1 << 16
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node that has a link to another; root is the least node.
 
@@ -22,13 +27,15 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     edges = cut(e)
     state = _state(edges)
     while state[0]:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        parts = -(-state[0] // LINKS)
+        edges = edges.coalesce(parts)
+        both = edges.selectExpr("inline(array(struct(u, v), struct(v AS u, u AS v)))")
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))).coalesce(parts)
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large)
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = cut(large.coalesce(parts)).coalesce(parts)
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"))).coalesce(parts)
         other = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(other.union(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = cut(other.union(least.select("u", F.col("m").alias("v"))).distinct().coalesce(parts))
         new = _state(edges)
         if new == state:
             break

@@ -216,6 +216,26 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_links_are_few_tasks(spark, monkeypatch):
+    """Steps over few links took a task for each of Spark's partitions."""
+    sizes, plain = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: sizes.append((made := plain(df)).rdd.getNumPartitions()) or made)
+    links = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 7], "a long, b long")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for bound, most in ((1 << 16, 1), (9, 7)):
+            sizes.clear()
+            monkeypatch.setattr(components, "LINKS", bound)
+            got = {r.node: r.root for r in components.connected_components(links).collect()}
+            assert got == {i: (i - 1) // 7 * 7 + 1 for i in range(1, 41)}
+            assert len(sizes) > 4 and max(sizes[1:]) <= most
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def brute_suffix(texts, length=200):
     raw = [(t or "").encode() for t in texts]
     n = collections.Counter(b[p : p + length] for b in raw for p in range(len(b) - length + 1))
