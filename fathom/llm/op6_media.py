@@ -55,6 +55,8 @@ BITS, PARTS, WEAK = 256, 8, 4
 MAX_DISTANCE = 44
 MIN_INLIERS, TOLERANCE, MAX_TURN = 5, 3.0, 0.5
 EVERY = 100
+#: Images that a worker holds and passes on at once, whatever the batch of vectors they are drawn from.
+DRAWN = 256
 #: A corner's place is packed into one number: 22 bits a side, 14 for the angle.
 MAX_SIDE, TURNS = (1 << 22) - 1, (1 << 14) - 1
 #: Words of 64 bits of the bitmap that says which parts the queries look up; of any size it only spares rows.
@@ -62,6 +64,13 @@ FILTER_WORDS = 1 << 18
 NAMES = ("x", "y", "angle", "scale", "d0", "d1", "d2", "d3")
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, so many at once at most."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 # ---- images ----
 
 
@@ -237,9 +246,9 @@ def describe(images: DataFrame) -> DataFrame:
     """Corners of each (id, image), numbered within it: place, orientation, scale and descriptor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for held in in_parts(batches, DRAWN):
             by_size: dict[tuple, list] = {}
-            for i, data in zip(batch.column("id").to_pylist(), batch.column("image").to_pylist()):
+            for i, data in zip(held.column("id").to_pylist(), held.column("image").to_pylist()):
                 if (image := read_image(data)) is not None:
                     by_size.setdefault(image.shape, []).append((i, image))
             for own in by_size.values():
@@ -325,9 +334,9 @@ def match(queries: DataFrame, index: DataFrame) -> DataFrame:
     pairs = met.repartition("qid", "mid").distinct().groupBy(F.col("qid").alias("query_id"), F.col("mid").alias("match_id")).agg(F.collect_list(F.struct("qplace", "mplace")).alias("met"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in in_parts(batches, DRAWN):
             out = []
-            for q, m, rows in zip(*(batch.column(c).to_pylist() for c in ("query_id", "match_id", "met"))):
+            for q, m, rows in zip(*(part.column(c).to_pylist() for c in ("query_id", "match_id", "met"))):
                 if len(rows) >= MIN_INLIERS:
                     v = np.array(sorted(tuple(r.values()) for r in rows), np.int64)
                     n, (turn, grow, dx, dy) = consensus(_placed(v[:, 0]), _placed(v[:, 1]))
@@ -369,9 +378,9 @@ def render(vectors: DataFrame, edited: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = _fields()
-        for batch in batches:
-            out = [_drawn(v, fields, i if edited else None) for i, v in zip(batch.column("seed").to_pylist(), batch.column("embedding").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], ["id", "image"])
+        for part in in_parts(batches, DRAWN):
+            out = [_drawn(v, fields, i if edited else None) for i, v in zip(part.column("seed").to_pylist(), part.column("embedding").to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(out, pa.binary())], ["id", "image"])
 
     return map_arrow(vectors.select("id", "seed", "embedding"), run, "id long, image binary")
 
@@ -390,9 +399,9 @@ def hashed(vectors: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = _fields()
-        for batch in batches:
-            sha = [hashlib.sha1(_drawn(v, fields) or b"").hexdigest() for v in batch.column("embedding").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").cast(pa.int64()), pa.array(sha, pa.string()), batch.column("embedding")], ["id", "sha", "embedding"])
+        for part in in_parts(batches, DRAWN):
+            sha = [hashlib.sha1(_drawn(v, fields) or b"").hexdigest() for v in part.column("embedding").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("vec_id").cast(pa.int64()), pa.array(sha, pa.string()), part.column("embedding")], ["id", "sha", "embedding"])
 
     return map_arrow(vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")), run, "id long, sha string, embedding array<float>")
 

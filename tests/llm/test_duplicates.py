@@ -370,6 +370,25 @@ def test_images_odd(spark, given):
     assert op6_media.op6_media(spark, "").count() == 0
 
 
+def test_images_are_drawn_and_hashed_a_few_at_a_time(monkeypatch):
+    """A batch of vectors is 36 times smaller than its pictures; workers never hold those of a whole batch."""
+    import pyarrow as pa
+
+    rows = np.random.RandomState(3).normal(size=(700, 64)).astype(np.float32).tolist()
+    batch = pa.RecordBatch.from_pydict({c: list(range(700)) for c in ("id", "seed", "vec_id")} | {"embedding": rows})
+
+    class Frame:
+        select = lambda self, *_: self
+
+    monkeypatch.setattr(op6_media, "map_arrow", lambda df, run, schema: list(run(iter([batch]))))
+    monkeypatch.setattr(op6_media.F, "col", lambda name: type("C", (), {"cast": lambda s, t: s, "alias": lambda s, n: s})())
+    fields = op6_media._fields()
+    drawn, sums = op6_media.render(Frame()), op6_media.hashed(Frame())
+    assert max(b.num_rows for b in drawn) <= 256 and max(b.num_rows for b in sums) <= 256
+    assert [i for b in drawn for i in b.column("id").to_pylist()] == [i for b in sums for i in b.column("id").to_pylist()] == list(range(700))
+    assert all(b.column("image")[k].as_py() == op6_media._drawn(rows[b.column("id")[k].as_py()], fields) for b in drawn for k in (0, b.num_rows - 1))
+
+
 def test_images_of_one_id_are_told_by_their_hash(spark, given):
     a, b, c = ([float(x) for x in np.random.RandomState(i).normal(size=64)] for i in (1, 2, 3))
     rows = [(5, a), (5, b), (100, b), (200, a), (None, c), (None, c), (300, a), (300, c)]
