@@ -112,7 +112,9 @@ class Model:
 
 def measured(model: Model, x: np.ndarray) -> tuple[int, int]:
     """How many cells to probe and codes to rank again, so that either loses few of the nearest neighbours within the sample x."""
-    asked = x[:: max(1, len(x) // ASKED)][:ASKED]
+    # different vectors, dealt by chance: every nth row may be a copy of one, and copies need only the cell they're in
+    some = np.unique(x, axis=0)
+    asked = some[np.random.RandomState(len(some)).permutation(len(some))[:ASKED]]
     k = min(NEAREST, len(x))
     close = asked @ x.T
     true = np.argpartition(-close, k - 1, axis=1)[:, :k]

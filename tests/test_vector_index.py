@@ -69,6 +69,15 @@ def test_fit_is_repeatable_and_new_vectors_need_no_fit(spark, points, index):
     assert {r.id for r in grown.search(points[1].tolist(), 2).collect()} == {1, 901}
 
 
+def test_depths_are_measured_on_different_vectors(points):
+    x, rng = vi.unit(points), np.random.RandomState(3)
+    cells = vi.clusters(x, 30, rng)
+    books = [vi.clusters(np.ascontiguousarray(p), 64, rng) for p in np.array_split(x - cells[vi.nearest(x, cells)[:, 0]], 5, axis=1)]
+    model = vi.Model(cells, books)
+    # every third row is the same vector, and a stride of three meets no other
+    assert vi.measured(model, x)[0] > 1 and vi.measured(model, x[::3])[0] == 1
+
+
 def test_odd_rows(spark, index, points):
     rows = spark.createDataFrame([(1, None), (2, []), (3, [1.0]), (4, [0.0] * 20), (5, [1.0] * 20), (5, [1.0] * 20)], "id long, embedding array<float>")
     assert sorted(r.id for r in vi.codes_of(rows, index.model).collect()) == [4, 5, 5]
