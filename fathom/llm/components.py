@@ -3,15 +3,20 @@
 Labels move only along joins and pre-aggregated minima, so no node's links are
 ever gathered; each half step is cut to the shared folder. A hub is a join key
 with plain exchanges on both sides, which adaptive execution can split. A step's
-partitions follow the number of links, so that few links are few tasks.
+partitions follow the number of links, so that few links are few tasks. Where all
+links are one partition, ``components`` labels them in one pass and takes no steps.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import cut
+from fathom.llm.common import cut, map_arrow
 
 
 #: Links of a partition; fewer links in all are one partition, whose steps need no exchange.
@@ -23,9 +28,25 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Links may be null, repeated, in either direction or loops; such rows add nothing.
     """
-    e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
-    edges = cut(e)
+    edges = _edges(links, a, b)
+    return _by_stars(edges, _state(edges))
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """The same of longs; LINKS different links at most are labelled in one pass, in one task."""
+    edges = _edges(links, a, b)
     state = _state(edges)
+    if state[0] > LINKS:
+        return _by_stars(edges, state)
+    return _rooted(cut(map_arrow(edges.coalesce(1), _labelled, "u long, v long")))
+
+
+def _edges(links: DataFrame, a: str, b: str) -> DataFrame:
+    """Different links as (u, v), v the lesser."""
+    return cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct())
+
+
+def _by_stars(edges: DataFrame, state: tuple) -> DataFrame:
     while state[0]:
         parts = -(-state[0] // LINKS)
         edges = edges.coalesce(parts)
@@ -40,9 +61,35 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if new == state:
             break
         state = new
+    return _rooted(edges)
+
+
+def _rooted(edges: DataFrame) -> DataFrame:
+    """Stars as (node, root), roots included."""
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links as stars: every node but the roots, with its root, the least node it is linked to."""
+    held = [np.stack([b.column(c).to_numpy() for c in ("u", "v")]) for b in batches if b.num_rows]
+    if not held:
+        return
+    nodes, at = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while True:
+        new, low = root.copy(), np.minimum(root[a], root[b])
+        for end in (root[a], root[b], a, b):
+            np.minimum.at(new, end, low)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, root):
+            break
+        root = new
+    rest = root != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[rest]), pa.array(nodes[root[rest]])], ["u", "v"])
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit(0xFFFFFFFF)))).first()
     return tuple(row)

@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm.common import cut, dropped, identity, in_groups, map_arrow, stored, table, utf8
-from fathom.llm.components import connected_components
+from fathom.llm.components import components
 
 SEED, BITS = 42, 64
 #: The query's words a shingle and bits of difference.
@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, radius: int = QUERY_RADIUS, shingle: int =
     """Each row's doc_id, _fathom_did, _fathom_th and fp; root, the component's least fingerprint; component_id, the least doc_id of all that are linked."""
     prints = cut(fingerprints(docs, shingle))
     firsts = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    groups = cut(connected_components(links(firsts, radius)))
+    groups = cut(components(links(firsts, radius)))
     members = cut(groups.join(firsts, groups.node == firsts.fp).select("root", "node", "first"))
     least = cut(members.groupBy("root").agg(F.min("first").alias("component_id")))
     linked = members.join(least, "root").select(F.col("node").alias("fp"), "root", "component_id")
@@ -504,7 +504,7 @@ def _digests(of: DataFrame) -> DataFrame:
 
 
 def _rooted(nodes: DataFrame, seen: DataFrame) -> DataFrame:
-    groups = connected_components(seen.where("ok").select("a", "b")).withColumnRenamed("node", "_n").withColumnRenamed("root", "_r")
+    groups = components(seen.where("ok").select("a", "b")).withColumnRenamed("node", "_n").withColumnRenamed("root", "_r")
     return cut(nodes.join(groups, F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("_r", "node")).drop("_n", "_r"))
 
 

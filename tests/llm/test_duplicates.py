@@ -236,6 +236,23 @@ def test_components_of_few_links_are_few_tasks(spark, monkeypatch):
             spark.conf.set(k, v)
 
 
+def test_components_in_one_pass_are_those_of_the_steps(spark, monkeypatch):
+    """Few links took four stored tables a step, each of some stages of all of Spark's partitions."""
+    r = random.Random(4)
+    links = [(r.randint(-300, 300), r.randint(-300, 300)) for _ in range(250)] + [(i + 1, i) for i in range(1000, 1200)] + [(5000, i) for i in range(4000, 4100)] + [(None, 3), (7, 7), (6, 5), (5, 6)]
+    df = spark.createDataFrame(r.sample(links, len(links)), "a long, b long").repartition(5).cache()
+    taken, plain = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: taken.append(df) or plain(df))
+    want = sorted(map(tuple, components.connected_components(df).collect()))
+    assert len(taken) > 4
+    taken.clear()
+    assert sorted(map(tuple, components.components(df).collect())) == want and len(taken) == 2
+    assert components.components(df.limit(0)).count() == 0
+    monkeypatch.setattr(components, "LINKS", 100)
+    taken.clear()
+    assert sorted(map(tuple, components.components(df).collect())) == want and len(taken) > 4
+
+
 def brute_suffix(texts, length=200):
     raw = [(t or "").encode() for t in texts]
     n = collections.Counter(b[p : p + length] for b in raw for p in range(len(b) - length + 1))
