@@ -7,7 +7,10 @@ Descriptors are filed in hash tables under all their eight 32-bit parts; a query
 each part up with every choice of its WEAK least certain bits, those whose brightnesses
 differ least, turned over; so two corners meet if some part differs in such bits only.
 Each meeting is verified where it occurs by its Hamming
-distance, all in the JVM. The meetings of two images vote: every one proposes a
+distance. Corners of different pictures look alike now and then, at a constant rate, so
+meetings grow with queries times images; none of them leaves its task: a block of the
+index meets a block of queries, with all corners of either image, and only pairs of
+images come out. The meetings of two images vote: every one proposes a
 similarity transform from its positions, orientations and scales, and the proposal
 with most agreeing meetings is the consensus. Crops, turns, brightness, contrast, noise
 and sizes that differ by the ratio of two scales leave enough of them.
@@ -37,10 +40,10 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,8 +62,8 @@ EVERY = 100
 DRAWN = 256
 #: A corner's place is packed into one number: 22 bits a side, 14 for the angle.
 MAX_SIDE, TURNS = (1 << 22) - 1, (1 << 14) - 1
-#: Words of 64 bits of the bitmap that says which parts the queries look up; of any size it only spares rows.
-FILTER_WORDS = 1 << 18
+#: Images of the index and queries that one task compares, and about how many looks into the tables it verifies at once.
+IMAGES, QUERIES, MET = 2048, 1024, 1 << 20
 NAMES = ("x", "y", "angle", "scale", "d0", "d1", "d2", "d3")
 
 
@@ -295,58 +298,95 @@ def _placed(place: np.ndarray) -> np.ndarray:
     return np.stack([place >> 42 & MAX_SIDE, place >> 20 & MAX_SIDE, turn, (place & 63) / 10], axis=1).astype(float)
 
 
-def _word() -> Column:
-    """Where a bitmap of looked-up parts has a part's bit: FILTER_WORDS words bound what is broadcast."""
-    return F.xxhash64("part").bitwiseAND(F.lit(FILTER_WORDS - 1))
-
-
-def _bit() -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(F.xxhash64("part"), 58).cast("int"))
+MATCH = "query_id long, match_id long, n_matches int, n_inliers int, turn double, scale double, dx double, dy double"
 
 
-MATCH = "query_id long, match_id long, n_matches int, n_inliers int, turn double, scale double, dx double, dy double"
+def _words(rows: pa.Table | pa.StructArray) -> np.ndarray:
+    """Descriptors as rows of four words."""
+    own = rows.field if isinstance(rows, pa.StructArray) else lambda c: rows.column(c).combine_chunks()
+    return np.stack([own(f"d{k}").to_numpy(zero_copy_only=False) for k in range(4)], axis=1).view(np.uint64)
+
+
+def _part(words: np.ndarray, k: int) -> np.ndarray:
+    return (words[:, k // 2] >> np.uint64(0 if k % 2 else 32)).astype(np.uint32)
+
+
+def _tables(words: np.ndarray, weak: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each part, what the queries' corners look up, sorted, and whose it is: the part with every choice of its weak bits turned over."""
+    out = []
+    for k in range(PARTS):
+        own = _part(words, k)[:, None]
+        for i in range(WEAK):
+            own = np.concatenate((own, own ^ (np.uint32(1) << weak[:, WEAK * k + i, None])), axis=1)
+        order = np.argsort(own, axis=None, kind="stable")
+        out.append((own.ravel()[order], (order >> WEAK).astype(np.int32)))
+    return out
+
+
+def _meetings(q: np.ndarray, m: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]], image: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Corners (of the queries, of the index) within MAX_DISTANCE that meet in some table, once each; some whole images of the index (sorted) at a time."""
+    at = [(np.searchsorted(keys, p := _part(m, k), "left"), np.searchsorted(keys, p, "right")) for k, (keys, _) in enumerate(tables)]
+    ends = np.append(np.flatnonzero(np.diff(image)) + 1, len(image))
+    looked = np.cumsum(sum(hi - lo for lo, hi in at))[ends - 1]
+    start = done = 0
+    while start < len(image):
+        i = max(int(np.searchsorted(looked, done + MET, "right")) - 1, int(np.searchsorted(ends, start, "right")))
+        stop, found = int(ends[i]), []
+        for (lo, hi), (_, whose) in zip(at, tables):
+            n = hi[start:stop] - lo[start:stop]
+            mine = np.repeat(np.arange(start, stop), n)
+            theirs = whose[np.arange(len(mine)) + np.repeat(lo[start:stop] - np.cumsum(n) + n, n)]
+            near = np.bitwise_count(q[theirs] ^ m[mine]).sum(1, dtype=np.int64) <= MAX_DISTANCE
+            found.append(theirs[near].astype(np.int64) * len(m) + mine[near])
+        yield np.divmod(np.unique(np.concatenate(found)), len(m))
+        start, done = stop, int(looked[i])
+
+
+def _matched(index: pa.Table, queries: pa.Table) -> pa.Table:
+    """A block of the index against a block of queries: only pairs of images with a consensus leave it."""
+    schema = pa.schema([*((c, pa.int64()) for c in ("query_id", "match_id")), *((c, pa.int32()) for c in ("n_matches", "n_inliers")), *((c, pa.float64()) for c in ("turn", "scale", "dx", "dy"))])
+    out: list[tuple] = []
+    if index.num_rows and queries.num_rows:
+        ids = pc.dictionary_encode(index.column("id").combine_chunks(), null_encoding="encode")
+        image = ids.indices.to_numpy()
+        order = np.argsort(image, kind="stable")
+        image, m, mplace = image[order], _words(index)[order], index.column("place").to_numpy()[order]
+        corners = queries.column("corners").combine_chunks()
+        owner = np.repeat(np.arange(len(corners)), pc.list_value_length(corners).to_numpy())
+        corners = corners.flatten()
+        q, qplace = _words(corners), corners.field("place").to_numpy()
+        weak = corners.field("weak").flatten().to_numpy().astype(np.uint32).reshape(len(q), -1)
+        for a, b in _meetings(q, m, _tables(q, weak), image):
+            pair = owner[a].astype(np.int64) * len(ids.dictionary) + image[b]
+            by = np.argsort(pair, kind="stable")
+            for own in np.split(by, np.flatnonzero(np.diff(pair[by])) + 1):
+                if len(own) < MIN_INLIERS:
+                    continue
+                v = np.unique(np.stack((qplace[a[own]], mplace[b[own]]), axis=1), axis=0)
+                if len(v) < MIN_INLIERS:
+                    continue
+                n, moved = consensus(_placed(v[:, 0]), _placed(v[:, 1]))
+                if n >= MIN_INLIERS:
+                    out.append((queries.column("id")[int(owner[a[own[0]]])].as_py(), ids.dictionary[int(image[b[own[0]]])].as_py(), len(v), n, *moved))
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(schema), schema)], schema=schema)
 
 
 def match(queries: DataFrame, index: DataFrame) -> DataFrame:
     """Described queries against a described index: pairs with a geometric consensus."""
 
     words = [f"d{k}" for k in range(4)]
-    # both are read twice
-    queries = stored(queries.select("id", _place().alias("place"), *words, "weak"))[0]
+    # each is counted, then read
+    weak = F.transform("weak", lambda w: F.log2(w).cast("tinyint")).alias("weak")
+    corners = F.collect_list(F.struct("place", *words, "weak")).alias("corners")
+    queries = stored(queries.select("id", _place().alias("place"), *words, weak).groupBy("id").agg(corners))[0]
     index = stored(index.select("id", _place().alias("place"), *words))[0]
-
-    def filed(rows: DataFrame, side: str, turned: bool) -> DataFrame:
-        # the table's number above the 32 bits of the part
-        low = (F.col(f"d{k // 2}") if k % 2 else F.shiftrightunsigned(F.col(f"d{k // 2}"), 32) for k in range(PARTS))
-        parts = [F.lit(k << 32).bitwiseOR(v.bitwiseAND(F.lit(0xFFFFFFFF))) for k, v in enumerate(low)]
-        if turned:
-            some = [[i for i in range(WEAK) if n >> i & 1] for n in range(1 << WEAK)]
-            parts = [reduce(lambda v, i: v.bitwiseXOR(F.col("weak")[i]), [WEAK * k + i for i in own], v) for k, v in enumerate(parts) for own in some]
-        return rows.select(*[F.col(c).alias(side + c) for c in ("id", "place", *words)], F.explode(F.array(*parts)).alias("part"))
-
-    # the index's rows whose part no query looks up stay where they are; all that may be looked up go on
-    asked, kept = filed(queries, "q", True), filed(index, "m", False)
-    seen = asked.groupBy(_word().alias("word")).agg(F.bit_or(_bit()).alias("bits"))
-    kept = kept.join(F.broadcast(seen), _word() == F.col("word")).where(F.col("bits").bitwiseAND(_bit()) != 0).drop("word", "bits")
-    distance = sum(F.bit_count(F.col(f"q{w}").bitwiseXOR(F.col(f"m{w}"))) for w in words)
-    met = asked.join(kept, "part").where(distance <= MAX_DISTANCE).select("qid", "mid", "qplace", "mplace")
-    # a meeting of the same two corners in several tables counts once; two images have CORNERS**2 meetings at most
-    pairs = met.repartition("qid", "mid").distinct().groupBy(F.col("qid").alias("query_id"), F.col("mid").alias("match_id")).agg(F.collect_list(F.struct("qplace", "mplace")).alias("met"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in in_parts(batches, DRAWN):
-            out = []
-            for q, m, rows in zip(*(part.column(c).to_pylist() for c in ("query_id", "match_id", "met"))):
-                if len(rows) >= MIN_INLIERS:
-                    v = np.array(sorted(tuple(r.values()) for r in rows), np.int64)
-                    n, (turn, grow, dx, dy) = consensus(_placed(v[:, 0]), _placed(v[:, 1]))
-                    if n >= MIN_INLIERS:
-                        out.append((q, m, len(rows), n, turn, grow, dx, dy))
-            if out:
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.float64()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["query_id", "match_id", "n_matches", "n_inliers", "turn", "scale", "dx", "dy"])
-
-    return map_arrow(pairs.where(F.size("met") >= MIN_INLIERS), run, MATCH)
+    parts, query_parts = (max(1, -(-n // size)) for n, size in ((index.count(), IMAGES * CORNERS), (queries.count(), QUERIES)))
+    own = lambda n: F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n > 1 else F.lit(0)
+    left = index.withColumn("part", own(parts)).withColumn("query_part", every(query_parts))
+    right = queries.withColumn("part", every(parts)).withColumn("query_part", own(query_parts))
+    by = ["part", "query_part"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_matched, MATCH)
 
 
 def classes(hashed: DataFrame) -> DataFrame:

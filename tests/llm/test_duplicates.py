@@ -376,6 +376,44 @@ def test_images_recall_against_brute_force(spark):
     assert len(got & want) / len(want) >= 0.9
 
 
+def test_meetings_of_corners_stay_in_their_task(spark, monkeypatch):
+    """A join made a row of every two corners that look alike: 25 times as many on five times the images."""
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").where("vec_id < 60").selectExpr("vec_id AS id", "vec_id AS seed", "embedding")
+    index = op6_media.describe(op6_media.render(vectors)).cache()
+    queries = op6_media.describe(op6_media.render(vectors.where("id < 8"), edited=True)).cache()
+    found = op6_media.match(queries, index)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "bit_count" not in plan
+    whole = {(r.query_id, r.match_id): r for r in found.collect()}
+    a, b = queries.toPandas(), index.toPandas()
+    words = lambda rows: rows[[f"d{k}" for k in range(4)]].to_numpy().view(np.uint64)
+    for q, qs in a.groupby("id"):  # meetings by comparing each corner with each
+        ms = b[b.id == q]
+        x = words(qs)[:, None] ^ words(ms)[None]
+        meets = np.zeros(x.shape[:2], bool)
+        for k in range(op6_media.PARTS):
+            certain = np.array([0xFFFFFFFF & ~sum(w[op6_media.WEAK * k : op6_media.WEAK * (k + 1)]) for w in qs.weak], np.uint64)
+            meets |= (x[..., k // 2] >> np.uint64(0 if k % 2 else 32)) & certain[:, None] == 0
+        assert whole[q, q].n_matches == (meets & (np.bitwise_count(x).sum(2, dtype=int) <= op6_media.MAX_DISTANCE)).sum()
+    monkeypatch.setattr(op6_media, "IMAGES", 7)
+    monkeypatch.setattr(op6_media, "QUERIES", 3)
+    assert {(r.query_id, r.match_id): r for r in op6_media.match(queries, index).collect()} == whole
+
+
+def test_corners_are_looked_up_some_images_at_a_time(monkeypatch):
+    r = np.random.RandomState(6)
+    m = r.randint(0, 2**63, (400, 4)).astype(np.uint64)
+    m[100:200] = m[:100]
+    q, image, weak = m[:50] ^ np.uint64(1), np.repeat(np.arange(40), 10), np.tile(np.arange(4), (50, 8))
+    tables = op6_media._tables(q, weak)
+    whole = list(op6_media._meetings(q, m, tables, image))
+    monkeypatch.setattr(op6_media, "MET", 30)
+    some = list(op6_media._meetings(q, m, tables, image))
+    assert len(whole) == 1 and len(some) > 10
+    pairs = lambda found: {(int(x), int(y)) for a, b in found for x, y in zip(a, b)}
+    assert pairs(some) == pairs(whole) == {(i, j) for i in range(50) for j in (i, 100 + i)}
+
+
 def test_images_odd(spark, given):
     v = [float(x) for x in np.random.RandomState(1).normal(size=64)]
     rows = [(0, v, 1), (1, v, 1), (1, v, 1), (None, v, 1), (2, None, 1), (3, [0.0] * 64, 1), (4, [1.0], 1)]
