@@ -3,8 +3,10 @@
 Labels move only along joins and pre-aggregated minima, so no node's links are
 ever gathered; each half step is cut to the shared folder. A hub is a join key
 with plain exchanges on both sides, which adaptive execution can split. A step's
-partitions follow the number of links, so that few links are few tasks. Where all
-links are one partition, ``components`` labels them in one pass and takes no steps.
+partitions follow the number of links, so that few links are few tasks. Up to
+``LINKS`` links ``components`` labels in one pass and takes no steps: each step is
+ten stages, of which the driver keeps statuses and plans, and a pass over so many
+links takes some seconds and about 300 MB of one worker.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 from fathom.llm.common import cut, map_arrow
 
 
-#: Links of a partition; fewer links in all are one partition, whose steps need no exchange.
-LINKS = 1 << 16
+#: Links (16 bytes each) that one task labels.
+LINKS = 1 << 21
+#: Links of a step's partition; fewer links in all are one partition, whose steps need no exchange.
+STEP = 1 << 16
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -48,7 +52,7 @@ def _edges(links: DataFrame, a: str, b: str) -> DataFrame:
 
 def _by_stars(edges: DataFrame, state: tuple) -> DataFrame:
     while state[0]:
-        parts = -(-state[0] // LINKS)
+        parts = -(-state[0] // min(LINKS, STEP))
         edges = edges.coalesce(parts)
         both = edges.selectExpr("inline(array(struct(u, v), struct(v AS u, u AS v)))")
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))).coalesce(parts)

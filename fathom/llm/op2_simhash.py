@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm.common import cut, dropped, identity, in_groups, map_arrow, stored, table, utf8
-from fathom.llm.components import components
+from fathom.llm.components import STEP, components
 
 SEED, BITS = 42, 64
 #: The query's words a shingle and bits of difference.
@@ -466,7 +466,8 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     words = [F.first(f"w{i}").alias(f"w{i}") for i in range(WORDS)]
     nodes = cut(prints.groupBy("node").agg(F.min(F.struct("_fathom_did", "_fathom_th", "fp")).alias("h"), *words).withColumn("fp", F.col("h.fp")))
     heads = nodes.select("node", "h._fathom_did", "h._fathom_th")
-    tables = families(nodes.count(), similarity)
+    tables = families(n := nodes.count(), similarity)
+    parts = max(1, -(-n // STEP))  # of pairs, which are narrow; each check would add its own
     # what a round's tables join isn't compared again in the next round's
     label, seen = nodes.withColumn("root", F.col("node")), None
     for start, stop in zip(ROUNDS, (*ROUNDS[1:], len(tables))):
@@ -476,7 +477,7 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
         pairs = cut(pairs if seen is None else pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"))
         if seen is None or not pairs.isEmpty():
             new = checked(pairs, docs, heads, shingle, similarity)
-            seen = new if seen is None else cut(seen.union(new))
+            seen = (new if seen is None else seen.union(new)).coalesce(parts)
             label = _rooted(nodes, seen)
     left = cut(meetings(label, tables, FAR, WHO, similarity).select(F.col("a").alias("node")))
     if not left.isEmpty():
@@ -486,7 +487,7 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
             rest = meetings(label.join(sizes, "node"), tables, FAR, mode, similarity)
             rest = cut(rest.join(seen.select("a", "b"), ["a", "b"], "left_anti"))
             if not rest.isEmpty():
-                seen = cut(seen.union(checked(rest, docs, heads, shingle, similarity, of)))
+                seen = seen.union(checked(rest, docs, heads, shingle, similarity, of)).coalesce(parts)
                 label = _rooted(nodes, seen)
         dropped(docs.sparkSession, path)
     return prints.select("_fathom_no", "_fathom_did", "_fathom_th", "node").join(label.select("node", "root"), "node")

@@ -253,6 +253,28 @@ def test_components_in_one_pass_are_those_of_the_steps(spark, monkeypatch):
     assert sorted(map(tuple, components.components(df).collect())) == want and len(taken) > 4
 
 
+def test_components_of_a_million_links_take_no_steps(spark, monkeypatch):
+    """Over 65,536 links, steps of ten stages each filled the driver's memory."""
+    taken, plain = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: taken.append(df) or plain(df))
+    links = spark.range(200_000).selectExpr("id - id % 4 AS a", "id AS b")
+    got = components.components(links)
+    assert len(taken) == 2
+    assert got.where("root = node - pmod(node, 4)").count() == got.count() == 200_000
+
+
+def test_similar_pairs_do_not_add_partitions(spark, monkeypatch):
+    """The pairs of each check came with partitions of their own, and all of them were tasks of every later pass."""
+    r = random.Random(6)
+    base = [[f"w{r.randint(0, 9999)}" for _ in range(150)] for _ in range(12)]
+    rows = [(k * 100 + i, " ".join(w if r.random() > 0.004 * i else "x" for w in words)) for k, words in enumerate(base) for i in range(6)]
+    seen, plain = [], op2_simhash._rooted
+    monkeypatch.setattr(op2_simhash, "_rooted", lambda nodes, pairs: seen.append(pairs.rdd.getNumPartitions()) or plain(nodes, pairs))
+    monkeypatch.setattr(op2_simhash, "NEAR", 4)  # most is left to the later checks
+    op2_simhash.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(seen) > 1 and set(seen) == {1}
+
+
 def brute_suffix(texts, length=200):
     raw = [(t or "").encode() for t in texts]
     n = collections.Counter(b[p : p + length] for b in raw for p in range(len(b) - length + 1))
