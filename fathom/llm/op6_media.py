@@ -60,10 +60,14 @@ MIN_INLIERS, TOLERANCE, MAX_TURN = 5, 3.0, 0.5
 EVERY = 100
 #: Images that a worker holds and passes on at once, whatever the batch of vectors they are drawn from.
 DRAWN = 256
+#: Images whose corners are looked for at once, so that what is blurred stays in a core's cache.
+SCORED = 4
 #: A corner's place is packed into one number: 22 bits a side, 14 for the angle.
 MAX_SIDE, TURNS = (1 << 22) - 1, (1 << 14) - 1
 #: Images of the index and queries that one task compares, and about how many looks into the tables it verifies at once.
-IMAGES, QUERIES, MET = 2048, 1024, 1 << 20
+IMAGES, QUERIES, MET = 4096, 1024, 1 << 18
+#: Meetings of two images up to which it's seen first whether any proposal can have agreement, for many images at once.
+LOOKED_AT = 64
 NAMES = ("x", "y", "angle", "scale", "d0", "d1", "d2", "d3")
 
 
@@ -168,14 +172,30 @@ def _kernel(sigma: float) -> np.ndarray:
     return (k / k.sum()).astype(np.float32)
 
 
+def _convolved(flat: np.ndarray, k: np.ndarray, step: int) -> np.ndarray:
+    """Weighted sums of places a step apart, from each place on; over all rows as one, so that loops are long."""
+    n = len(flat) - (len(k) - 1) * step
+    out = flat[:n] * k[0]
+    part = np.empty_like(out)
+    for i, w in enumerate(k[1:], 1):
+        out += np.multiply(flat[i * step : i * step + n], w, out=part)
+    return out
+
+
 def blur(stack: np.ndarray, sigma: float) -> np.ndarray:
+    r = len(_kernel(sigma)) // 2
+    return inner_blur(np.pad(stack, [(0, 0), (r, r), (r, r)], mode="edge"), sigma, r)
+
+
+def inner_blur(stack: np.ndarray, sigma: float, margin: int) -> np.ndarray:
+    """Without a margin, which is at least the kernel's radius. What is summed across rows and images lies in it."""
     k = _kernel(sigma)
-    r = len(k) // 2
-    for axis in (1, 2):
-        wide = np.pad(stack, [(r, r) if a == axis else (0, 0) for a in range(3)], mode="edge")
-        n = stack.shape[axis]
-        stack = sum(w * (wide[:, i : i + n] if axis == 1 else wide[:, :, i : i + n]) for i, w in enumerate(k))
-    return stack
+    (n, h, w), r = stack.shape, len(k) // 2
+    out = np.empty(stack.size, stack.dtype)
+    done = _convolved(_convolved(stack.ravel(), k, w), k, 1)
+    at = r * w + r
+    out[at : at + len(done)] = done
+    return out.reshape(stack.shape)[:, margin : h - margin, margin : w - margin]
 
 
 def _pattern() -> np.ndarray:
@@ -198,22 +218,21 @@ def describe_stack(stack: np.ndarray) -> tuple[np.ndarray, ...]:
     rows: list[tuple[np.ndarray, ...]] = []
     if h <= 2 * MARGIN or w <= 2 * MARGIN or max(h, w) > MAX_SIDE:
         return (*(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, float, float)), np.zeros((0, BITS // 8), np.uint8), np.zeros((0, PARTS * WEAK), np.int64))
-    scored, smooth = [], {}
-    for level, sigma in enumerate(SIGMAS):
-        s = smooth[level] = blur(stack, sigma)
-        gy, gx = np.gradient(s, axis=(1, 2))
-        a, b, c = (blur(v, 1.5 * sigma) for v in (gx * gx, gy * gy, gx * gy))
-        r = (a * b - c * c) / (a + b + 1e-3) * sigma * sigma
-        peak = np.ones(r[:, 1:-1, 1:-1].shape, bool)
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
-                if dy or dx:
-                    peak &= r[:, 1:-1, 1:-1] >= r[:, 1 + dy : h - 1 + dy, 1 + dx : w - 1 + dx]
-        image, y, x = np.nonzero(peak)
-        y, x = y + 1, x + 1
-        ok = (y >= MARGIN) & (y < h - MARGIN) & (x >= MARGIN) & (x < w - MARGIN) & (r[image, y, x] > 0.5)
-        image, y, x = image[ok], y[ok], x[ok]
-        scored.append((image, y, x, np.full(len(image), level), r[image, y, x]))
+    scored, smooth = [], [np.empty_like(stack, np.float32) for _ in SIGMAS]
+    for first in range(0, n, SCORED):
+        own = slice(first, first + SCORED)
+        for level, sigma in enumerate(SIGMAS):
+            s = smooth[level][own] = blur(stack[own], sigma)
+            reach = len(_kernel(1.5 * sigma)) // 2
+            rim = MARGIN - 1 - reach
+            gy, gx = (g[:, rim : h - rim, rim : w - rim] for g in np.gradient(s, axis=(1, 2)))
+            a, b, c = (inner_blur(v, 1.5 * sigma, reach) for v in (gx * gx, gy * gy, gx * gy))
+            r = (a * b - c * c) / (a + b + 1e-3) * sigma * sigma
+            most = np.maximum(np.maximum(r[:, :-2], r[:, 1:-1]), r[:, 2:])
+            most = np.maximum(np.maximum(most[:, :, :-2], most[:, :, 1:-1]), most[:, :, 2:])
+            here = r[:, 1:-1, 1:-1]
+            image, y, x = np.nonzero((here >= most) & (here > 0.5))
+            scored.append((image + first, y + MARGIN, x + MARGIN, np.full(len(image), level), here[image, y, x]))
     image, y, x, level, score = (np.concatenate(v) for v in zip(*scored))
     order = np.lexsort((x, y, level, -score, image))
     image, y, x, level = image[order], y[order], x[order], level[order]
@@ -225,8 +244,8 @@ def describe_stack(stack: np.ndarray) -> tuple[np.ndarray, ...]:
         at = np.flatnonzero(level == k)
         if len(at) == 0:
             continue
-        flat, base, disc = smooth[k].reshape(n, -1), y[at] * w + x[at], _DISCS[k]
-        patch = flat[image[at][:, None], base[:, None] + (disc[:, 0] * w + disc[:, 1])[None]]
+        flat, base, disc = smooth[k].ravel(), (image[at] * h + y[at]) * w + x[at], _DISCS[k]
+        patch = flat.take(base[:, None] + (disc[:, 0] * w + disc[:, 1])[None])
         patch = patch - patch.mean(1, keepdims=True)
         angle[at] = np.arctan2(patch @ disc[:, 0].astype(np.float32), patch @ disc[:, 1].astype(np.float32))
         grown = SIGMAS[k] / BASE
@@ -235,11 +254,12 @@ def describe_stack(stack: np.ndarray) -> tuple[np.ndarray, ...]:
         for p in (0, 2):
             px, py = _PATTERN[:, p][None], _PATTERN[:, p + 1][None]
             dx, dy = np.rint(cos * px - sin * py).astype(np.int64), np.rint(sin * px + cos * py).astype(np.int64)
-            value.append(flat[image[at][:, None], base[:, None] + dy * w + dx])
+            value.append(flat.take(base[:, None] + dy * w + dx))
         bits[at] = np.packbits(value[0] < value[1], axis=1)
         margin = np.abs(value[0] - value[1]).reshape(len(at), PARTS, BITS // PARTS)
-        weak[at] = 1 << (BITS // PARTS - 1 - np.argsort(margin, axis=2, kind="stable")[:, :, :WEAK])
-    return image, x, y, angle, np.array(SIGMAS)[level], bits, weak.reshape(len(image), -1)
+        least = np.sort(margin.view(np.uint32).astype(np.uint64) << np.uint64(5) | np.arange(BITS // PARTS, dtype=np.uint64), axis=2)  # floats of no sign are in the order of their bits
+        weak[at] = 1 << (BITS // PARTS - 1 - (least[:, :, :WEAK] & np.uint64(31)).astype(np.int64))
+    return image, x, y, angle, np.array(SIGMAS)[level], bits, weak.reshape(len(image), PARTS * WEAK)
 
 
 DESCRIBED = "id long, corner int, x int, y int, angle double, scale double, d0 long, d1 long, d2 long, d3 long, weak array<long>"
@@ -311,37 +331,74 @@ def _part(words: np.ndarray, k: int) -> np.ndarray:
     return (words[:, k // 2] >> np.uint64(0 if k % 2 else 32)).astype(np.uint32)
 
 
-def _tables(words: np.ndarray, weak: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each part, what the queries' corners look up, sorted, and whose it is: the part with every choice of its weak bits turned over."""
+def _tables(words: np.ndarray, weak: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each part, what the queries' corners look up, sorted, from where on its owners stand, and those: the part with every choice of its weak bits turned over."""
     out = []
     for k in range(PARTS):
         own = _part(words, k)[:, None]
         for i in range(WEAK):
             own = np.concatenate((own, own ^ (np.uint32(1) << weak[:, WEAK * k + i, None])), axis=1)
-        order = np.argsort(own, axis=None, kind="stable")
-        out.append((own.ravel()[order], (order >> WEAK).astype(np.int32)))
+        both = own.astype(np.uint64) << np.uint64(32) | np.arange(len(own), dtype=np.uint64)[:, None]  # sorting these is faster than by an index
+        both = np.sort(both, axis=None)
+        keys = (both >> np.uint64(32)).astype(np.uint32)
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        out.append((keys[first], np.append(first, len(keys)), (both & np.uint64(0xFFFFFFFF)).astype(np.int32)))
     return out
 
 
-def _meetings(q: np.ndarray, m: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]], image: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Corners (of the queries, of the index) within MAX_DISTANCE that meet in some table, once each; some whole images of the index (sorted) at a time."""
-    at = [(np.searchsorted(keys, p := _part(m, k), "left"), np.searchsorted(keys, p, "right")) for k, (keys, _) in enumerate(tables)]
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of four words are within MAX_DISTANCE; counts of bits are added two bytes at a time."""
+    bits = np.bitwise_count(a ^ b).view(np.uint32).ravel()
+    two = (bits & np.uint32(0x00FF00FF)) + (bits >> np.uint32(8) & np.uint32(0x00FF00FF))
+    return (two & np.uint32(0xFFFF)) + (two >> np.uint32(16)) <= MAX_DISTANCE
+
+
+def _meetings(q: np.ndarray, m: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]], image: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Corners (of the queries, of the index) within MAX_DISTANCE that meet in some table, once for each; some whole images of the index (sorted) at a time."""
+    at = []
+    for k, (keys, first, _) in enumerate(tables):
+        own = _part(m, k)
+        i = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        lo = first[i]
+        at.append((lo, np.where(keys[i] == own, first[i + 1] - lo, 0)))
     ends = np.append(np.flatnonzero(np.diff(image)) + 1, len(image))
-    looked = np.cumsum(sum(hi - lo for lo, hi in at))[ends - 1]
+    looked = np.cumsum(sum(n for _, n in at))[ends - 1]
     start = done = 0
     while start < len(image):
         i = max(int(np.searchsorted(looked, done + MET, "right")) - 1, int(np.searchsorted(ends, start, "right")))
-        stop, found = int(ends[i]), []
-        for (lo, hi), (_, whose) in zip(at, tables):
-            n = hi[start:stop] - lo[start:stop]
-            mine = np.repeat(np.arange(start, stop), n)
-            theirs = whose[np.arange(len(mine)) + np.repeat(lo[start:stop] - np.cumsum(n) + n, n)]
-            near = np.bitwise_count(q[theirs] ^ m[mine]).sum(1, dtype=np.int64) <= MAX_DISTANCE
-            found.append(theirs[near].astype(np.int64) * len(m) + mine[near])
-        yield np.divmod(np.unique(np.concatenate(found)), len(m))
+        stop, mine, theirs = int(ends[i]), [], []
+        for (lo, size), (_, _, whose) in zip(at, tables):
+            n = size[start:stop]
+            b = np.repeat(np.arange(start, stop), n)
+            a = whose[np.arange(len(b)) + np.repeat(lo[start:stop] - np.cumsum(n) + n, n)]
+            near = np.flatnonzero(_near(q[a], m[b]))
+            theirs.append(a[near])
+            mine.append(b[near])
+        yield np.concatenate(theirs), np.concatenate(mine)
         start, done = stop, int(looked[i])
 
 
+def _may_agree(v: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of groups of meetings (rows as _placed, from ``first`` on), those in which consensus() may find MIN_INLIERS: all groups at once, by its own sums, with room for rounding; groups over LOOKED_AT count without a look."""
+    q, m = v[:, :4], v[:, 4:]
+    size = np.diff(np.append(first, len(v)))
+    turn, grow = m[:, 2] - q[:, 2], m[:, 3] / q[:, 3]
+    c, s = np.cos(turn) * grow, np.sin(turn) * grow
+    dx, dy = m[:, 0] - (c * q[:, 0] - s * q[:, 1]), m[:, 1] - (s * q[:, 0] + c * q[:, 1])
+    out = size > LOOKED_AT
+    for n in np.unique(size[~out]).tolist():
+        of = np.flatnonzero(size == n)
+        for part in np.split(of, range(step := max(1, MET // (n * n)), len(of), step)):
+            j = first[part][:, None] + np.arange(n)
+            i = j[:, :, None]
+            j = j[:, None, :]
+            px, py = c[i] * q[j, 0] - s[i] * q[j, 1] + dx[i], s[i] * q[j, 0] + c[i] * q[j, 1] + dy[i]
+            off = np.abs((turn[j] - turn[i] + np.pi) % (2 * np.pi) - np.pi)
+            ok = (np.hypot(px - m[j, 0], py - m[j, 1]) <= TOLERANCE + 1e-6) & (off <= MAX_TURN + 1e-6)
+            out[part] = ok.sum(2).max(1) >= MIN_INLIERS
+    return out
+
+
 def _matched(index: pa.Table, queries: pa.Table) -> pa.Table:
     """A block of the index against a block of queries: only pairs of images with a consensus leave it."""
     schema = pa.schema([*((c, pa.int64()) for c in ("query_id", "match_id")), *((c, pa.int32()) for c in ("n_matches", "n_inliers")), *((c, pa.float64()) for c in ("turn", "scale", "dx", "dy"))])
@@ -356,18 +413,32 @@ def _matched(index: pa.Table, queries: pa.Table) -> pa.Table:
         corners = corners.flatten()
         q, qplace = _words(corners), corners.field("place").to_numpy()
         weak = corners.field("weak").flatten().to_numpy().astype(np.uint32).reshape(len(q), -1)
-        for a, b in _meetings(q, m, _tables(q, weak), image):
-            pair = owner[a].astype(np.int64) * len(ids.dictionary) + image[b]
-            by = np.argsort(pair, kind="stable")
-            for own in np.split(by, np.flatnonzero(np.diff(pair[by])) + 1):
-                if len(own) < MIN_INLIERS:
-                    continue
-                v = np.unique(np.stack((qplace[a[own]], mplace[b[own]]), axis=1), axis=0)
-                if len(v) < MIN_INLIERS:
-                    continue
-                n, moved = consensus(_placed(v[:, 0]), _placed(v[:, 1]))
+        query_ids = queries.column("id").combine_chunks()
+        for a, b in _meetings(q, m, _tables(q, weak), image) if len(q) else ():
+            if not len(a):
+                continue
+            # images that meet too seldom, a corner in some tables counted again, are most: none of them is sorted
+            pair = (image[b].astype(np.int64) - image[b[0]]) * len(queries) + owner[a]
+            pair -= pair.min()
+            often = np.bincount(pair)[pair] >= MIN_INLIERS
+            pair, qp, mp, a, b = pair[often], qplace[a[often]], mplace[b[often]], a[often], b[often]
+            by = np.lexsort((mp, qp, pair))
+            pair, qp, mp, a, b = (x[by] for x in (pair, qp, mp, a, b))
+            new = np.concatenate(([True], (np.diff(pair) != 0) | (np.diff(qp) != 0) | (np.diff(mp) != 0)))[: len(pair)]
+            pair, qp, mp, a, b = (x[new] for x in (pair, qp, mp, a, b))
+            first = np.flatnonzero(np.concatenate(([True], np.diff(pair) != 0))[: len(pair)])
+            size = np.diff(np.append(first, len(pair)))
+            enough = np.repeat(size >= MIN_INLIERS, size)
+            if not enough.any():
+                continue
+            size = size[size >= MIN_INLIERS]
+            v, a, b = np.concatenate((_placed(qp[enough]), _placed(mp[enough])), axis=1), a[enough], b[enough]
+            first = np.cumsum(size) - size
+            for g in np.flatnonzero(_may_agree(v, first)).tolist():
+                own = v[first[g] : first[g] + size[g]]
+                n, moved = consensus(own[:, :4], own[:, 4:])
                 if n >= MIN_INLIERS:
-                    out.append((queries.column("id")[int(owner[a[own[0]]])].as_py(), ids.dictionary[int(image[b[own[0]]])].as_py(), len(v), n, *moved))
+                    out.append((query_ids[int(owner[a[first[g]]])].as_py(), ids.dictionary[int(image[b[first[g]]])].as_py(), len(own), n, *moved))
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(schema), schema)], schema=schema)
 
 

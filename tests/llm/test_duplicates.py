@@ -436,6 +436,52 @@ def test_corners_are_looked_up_some_images_at_a_time(monkeypatch):
     assert pairs(some) == pairs(whole) == {(i, j) for i in range(50) for j in (i, 100 + i)}
 
 
+def test_images_that_meet_too_seldom_cost_no_pass_of_their_own(monkeypatch):
+    """Every pair of images was split off, and of those with five meetings each went through the consensus; most have none."""
+    import pyarrow as pa
+
+    def described(images):
+        image, x, y, angle, scale, bits, weak = op6_media.describe_stack(np.stack(images).astype(np.float32))
+        turn = np.rint((angle + np.pi) * (op6_media.TURNS / (2 * np.pi))).astype(np.int64)
+        place = x << 42 | y << 20 | turn << 6 | np.rint(scale * 10).astype(np.int64)
+        return image, place, bits.view(">i8").astype(np.int64).reshape(-1, 4), weak
+
+    fields, r = op6_media._fields(), np.random.RandomState(0)
+    drawn = [op6_media.read_image(op6_media._drawn(v, fields)) for v in r.normal(size=(120, 64)).tolist()]
+    edited = [op6_media._edited(im, i) for i, im in enumerate(drawn[:30])]
+    (image, mplace, m, _), (owner, qplace, q, weak) = described(drawn), described(edited)
+    index = pa.table({"id": pa.array(image), "place": pa.array(mplace), **{f"d{k}": pa.array(m[:, k].copy()) for k in range(4)}})
+    corners = [[{"place": int(qplace[i]), **{f"d{k}": int(q[i, k]) for k in range(4)}, "weak": np.log2(weak[i]).astype(int).tolist()} for i in np.flatnonzero(owner == o)] for o in range(30)]
+    kind = pa.list_(pa.struct([("place", pa.int64()), *((f"d{k}", pa.int64()) for k in range(4)), ("weak", pa.list_(pa.int8()))]))
+    # meetings by comparing each corner with each, and the consensus of every pair of images
+    x = q.view(np.uint64)[:, None] ^ m.view(np.uint64)[None]
+    meets = np.zeros(x.shape[:2], bool)
+    for k in range(op6_media.PARTS):
+        certain = (0xFFFFFFFF & ~weak[:, op6_media.WEAK * k : op6_media.WEAK * (k + 1)].sum(1)).astype(np.uint64)
+        meets |= (x[..., k // 2] >> np.uint64(0 if k % 2 else 32)) & certain[:, None] == 0
+    a, b = np.nonzero(meets & (np.bitwise_count(x).sum(2, dtype=int) <= op6_media.MAX_DISTANCE))
+    want, several = [], 0
+    for pair in np.unique(owner[a] * 120 + image[b]).tolist():
+        own = owner[a] * 120 + image[b] == pair
+        if own.sum() >= op6_media.MIN_INLIERS:
+            several += 1
+            v = np.unique(np.stack((qplace[a[own]], mplace[b[own]]), axis=1), axis=0)
+            n, moved = op6_media.consensus(op6_media._placed(v[:, 0]), op6_media._placed(v[:, 1]))
+            if n >= op6_media.MIN_INLIERS:
+                want.append((*divmod(pair, 120), len(v), n, *moved))
+    asked, plain = [], op6_media.consensus
+    monkeypatch.setattr(op6_media, "consensus", lambda *v: asked.append(v) or plain(*v))
+    got = op6_media._matched(index, pa.table({"id": pa.array(range(30)), "corners": pa.array(corners, kind)})).to_pylist()
+    assert sorted(tuple(r.values()) for r in got) == sorted(want) and len(want) >= 27
+    assert len(want) <= len(asked) < len(want) + (several - len(want)) / 2
+
+
+def test_images_without_corners():
+    """Where no image of a size had a corner, the size of what is weak couldn't be told."""
+    found = op6_media.describe_stack(np.full((3, 60, 60), 7, np.float32))
+    assert [len(c) for c in found] == [0] * 7 and found[6].shape == (0, op6_media.PARTS * op6_media.WEAK)
+
+
 def test_images_odd(spark, given):
     v = [float(x) for x in np.random.RandomState(1).normal(size=64)]
     rows = [(0, v, 1), (1, v, 1), (1, v, 1), (None, v, 1), (2, None, 1), (3, [0.0] * 64, 1), (4, [1.0], 1)]
