@@ -10,8 +10,12 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +29,10 @@ LEAST_IDF = 1e-6
 ROUNDING = 2e-6
 #: Up to so many postings for all queries together, each is scored; beyond it bounds spare those of common terms, in more steps. The result is the same.
 PAIRS = 50_000_000
+#: Up to so many terms of queries (24 bytes each, with the term) are sent to every task, which then scores whole rows and gives the best of them only.
+ASKED = 1 << 18
+#: Scores, and parts of scores, that a task holds at once.
+CELLS, PARTS = 1 << 19, 1 << 21
 
 
 def fold(text: str) -> list[str]:
@@ -254,13 +262,17 @@ def best_many(held: DataFrame, wanted: DataFrame, n: int, mean: float, k: int) -
     The terms of a query are taken from the rarest on. What those give already sets a bound for the k-th
     score; terms whose greatest scores together stay below it can't bring in a row of their own, so their
     postings are looked up for the rows the others found only. The bounds are exact, so the result is.
-    Where all postings together are few (PAIRS), they are all scored.
+    Where all postings together are few (PAIRS), they are all scored. Where the queries' terms are few (ASKED),
+    postings move by row instead, once, and no score of a row and a query leaves its task but the best.
     """
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(mean))
     share = F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max(share).alias("most"))
+    few = wanted.count() <= ASKED
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"), *([] if few else [F.max(share).alias("most")]))
     weight = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = wanted.join(df, "term").select("query_id", "term", "df", (F.col("times") * F.when(weight > 0, weight).otherwise(LEAST_IDF)).alias("w"), "most")
+    weighed = wanted.join(df, "term").select("query_id", "term", "df", (F.col("times") * F.when(weight > 0, weight).otherwise(LEAST_IDF)).alias("w"), *([] if few else ["most"]))
+    if few:
+        return ranked_many(best_by_row(held, weighed, mean, k), k)
     part = (F.col("w") * share).alias("part")
     scores = lambda own: held.join(own.select("query_id", "term", "w"), "term").select("query_id", "id", part).groupBy("query_id", "id").agg(F.sum("part").alias("part"))
     weighed = checkpointed(weighed)
@@ -291,6 +303,102 @@ def best_many(held: DataFrame, wanted: DataFrame, n: int, mean: float, k: int) -
     return ranked_many(found.union(more).groupBy("query_id", "id").agg(F.sum("part").alias("part")), k)
 
 
+def best_by_row(held: DataFrame, weighed: DataFrame, mean: float, k: int) -> DataFrame:
+    """(query_id, id, part): of each partition of ids, the rows that can be among a query's k best. Collects the queries' terms."""
+    asked = weighed.select("query_id", "term", "w").toArrow()
+    terms = asked.column("term").combine_chunks().dictionary_encode()
+    queries = asked.column("query_id").combine_chunks().dictionary_encode(null_encoding="encode")
+    term, query = terms.indices.to_numpy(), queries.indices.to_numpy()
+    order = np.argsort(term, kind="stable")
+    first = np.searchsorted(term[order], np.arange(len(terms.dictionary) + 1))
+    best = Best(first, query[order].astype(np.int64), asked.column("w").to_numpy()[order], queries.dictionary, mean, k)
+    numbers = held.sparkSession.createDataFrame(list(enumerate(terms.dictionary.to_pylist())), "t int, term string")
+    rows = held.join(F.broadcast(numbers), "term").select("id", "t", "tf", "dl").repartition("id").sortWithinPartitions("id", "t")
+    return rows.mapInArrow(best.run, f"query_id {weighed.schema['query_id'].dataType.simpleString()}, id {held.schema['id'].dataType.simpleString()}, part double")
+
+
+class Best:
+    """Scores rows (id, t, tf, dl), sorted by id, for all queries; ``first`` says where the queries of a term begin in ``query`` and ``weight``."""
+
+    def __init__(self, first: np.ndarray, query: np.ndarray, weight: np.ndarray, names: pa.Array, mean: float, k: int):
+        self.first, self.query, self.weight, self.names, self.mean, self.k = first, query, weight, names, mean, k
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(self.names)
+        least = np.full(n, -np.inf)  # the k-th best score so far
+        ids, held, at, limit = None, (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)), 0, 4 * n * self.k
+        for row, doc_ids in _whole_rows(batches):
+            for scores, start in self.scored(row):
+                d, q = np.nonzero((scores > 0) & (scores >= least - ROUNDING))
+                new = doc_ids.take(pa.array(d + start))
+                ids = new if ids is None else pa.concat_arrays([ids, new])
+                held = tuple(np.concatenate(x) for x in zip(held, (q, scores[d, q], d + (start + at))))
+                if len(ids) > limit:
+                    ids, held = self.kept(ids, held, least)
+                    limit = max(4 * n * self.k, 2 * len(ids))
+            at += len(doc_ids)
+        if ids is not None and len(ids):
+            ids, held = self.kept(ids, held, least)
+            yield pa.RecordBatch.from_arrays([self.names.take(pa.array(held[0])), ids, pa.array(held[1])], ["query_id", "id", "part"])
+
+    def scored(self, row: dict) -> Iterator[tuple[np.ndarray, int]]:
+        """Of some rows at a time, each one's score for each query, and which row is the first."""
+        t, n = row["t"], len(self.names)
+        share = row["tf"] * (K1 + 1) / (row["tf"] + K1 * ((1 - B) + B * row["dl"] / self.mean))
+        size = self.first[t + 1] - self.first[t]
+        begins = np.flatnonzero(np.diff(row["doc"], prepend=-1))
+        ends, parts = np.append(begins[1:], len(t)), np.cumsum(size)
+        i = 0
+        while i < len(begins):
+            s, done = int(begins[i]), int(parts[begins[i] - 1]) if begins[i] else 0
+            j = min(i + max(1, CELLS // n), max(i + 1, int(np.searchsorted(parts[ends - 1], done + PARTS, "right"))))
+            e, own = int(ends[j - 1]), size[s : int(ends[j - 1])]
+            of = np.arange(own.sum()) + np.repeat(self.first[t[s:e]] - np.cumsum(own) + own, own)
+            cell = np.repeat((row["doc"][s:e] - i) * n, own) + self.query[of]
+            yield np.bincount(cell, self.weight[of] * np.repeat(share[s:e], own), (j - i) * n).reshape(-1, n), i
+            i = j
+
+    def kept(self, ids: pa.Array, held: tuple, least: np.ndarray) -> tuple[pa.Array, tuple]:
+        """What can be among the k best after rounding; of one score, k rows at most, as the id decides among them. Raises ``least``."""
+        q, score, at = held
+        order = np.lexsort((at, -score, q))
+        q, score, at = q[order], score[order], at[order]
+        i = np.arange(len(q))
+        rank = i - np.searchsorted(q, q)
+        new = np.concatenate(([True], (q[1:] != q[:-1]) | (score[1:] != score[:-1])))
+        full = rank == self.k - 1
+        least[q[full]] = score[full]
+        keep = (rank < self.k) | ((score >= least[q] - ROUNDING) & (i - np.maximum.accumulate(np.where(new, i, 0)) < self.k))
+        return ids.take(pa.array(order[keep])), (q[keep], score[keep], at[keep])
+
+
+def _whole_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, pa.Array]]:
+    """Postings sorted by id, in pieces that hold all of a row's: columns with the row's number (doc), and the rows' ids."""
+    held: list[pa.RecordBatch] = []
+
+    def whole(table: pa.Table) -> tuple[dict, pa.Array]:
+        ids = table.column("id").combine_chunks()
+        new = np.concatenate(([True], pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)))
+        row = {c: table.column(c).to_numpy() for c in ("t", "tf", "dl")} | {"doc": np.cumsum(new) - 1}
+        return row, ids.take(pa.array(np.flatnonzero(new)))
+
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        held.append(batch)
+        last = batch.column("id")[batch.num_rows - 1]
+        if sum(b.num_rows for b in held) >= PARTS // 8 and held[0].column("id")[0] != last:
+            table = pa.Table.from_batches(held)
+            ids = table.column("id")
+            cut = table.num_rows - 1
+            while ids[cut - 1] == last:
+                cut -= 1
+            yield whole(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+    if held:
+        yield whole(pa.Table.from_batches(held))
+
+
 def ranked_many(scores: DataFrame, k: int) -> DataFrame:
     whole = scores.withColumnRenamed("part", "bm25")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("bm25", 6).desc(), "id"))

@@ -7,8 +7,9 @@ keeps (no text is read for it), their documents, a rerank by the share of the qu
 document holds, and the context block of each of the best ``k``. Written below ``target/set=NAME`` in folders
 by language; a rerun writes the set anew, with the same rows. Questions without a hit have no rows; the log counts them.
 
-Moves: the postings of the questions' terms (all by their upper bounds, see Index.search_many), then ``depth``
-rows per question, joined to the documents by id. The set of questions may grow; nothing is collected.
+Moves: the postings of the questions' terms, once, by document (for very many questions by their upper bounds, see
+lexical.best_many), then ``depth`` rows per question, joined to the documents by id; where these are 2^20 rows at most, their
+ids are sent to every task and only their texts move. The set of questions may grow; what is collected has a bound.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.text import tokens
-from fathom.operators.store import prepared
+from fathom.operators.postings import BROADCAST_ROWS
+from fathom.operators.store import checkpointed, prepared
 from fathom.plans.search import context_block
 from jobs.common import main
 from jobs.index_refresh import open_index
@@ -52,9 +54,13 @@ def answer_sets(spark: SparkSession, questions: str, documents: str, index: str,
     if found is None:
         raise ValueError(f"no index at {index}: run jobs.index_refresh first")
     path = f"{target}/set={name}"
-    best_answers(asked, docs, found.search_many(asked, depth), k).write.mode("overwrite").partitionBy("lang").format(format).save(path)
+    hits, n = found.search_many(asked, depth), asked.count()
+    if n * depth <= BROADCAST_ROWS:  # the texts of other documents stay where they are read
+        hits = checkpointed(hits)
+        docs = docs.join(F.broadcast(hits.select("id").distinct()), "id", "left_semi")
+    best_answers(asked, docs, hits, k).write.mode("overwrite").partitionBy("lang").format(format).save(path)
     written = read_set(spark, target, name, format).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("question_id").alias("answered")).first()
-    done = {"questions": asked.count(), "answered": written["answered"], "rows": written["rows"]}
+    done = {"questions": n, "answered": written["answered"], "rows": written["rows"]}
     log.info("read %s with index %s; wrote %s to %s", questions, index, done, path)
     return done
 

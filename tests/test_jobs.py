@@ -115,6 +115,20 @@ def test_answer_sets_rerun_and_grow(spark, tmp_path):
     assert context == "--- Snippet 1 [the at :1] ---\nCode:\nthe brown fox\n"
 
 
+def test_answer_sets_moves_the_texts_of_hits_only(spark, tmp_path, monkeypatch):
+    """All documents' texts went through a shuffle to meet a few hits."""
+    source, target = str(tmp_path / "docs"), str(tmp_path / "out")
+    land(spark, [(1, "the fox runs", "en", "a", 12), (2, "the brown fox", None, None, 13), *((i, f"unrelated words {i}", "en", "b", 15) for i in range(3, 90))], source)
+    spark.createDataFrame([(1, "brown fox")], "item_id long, text string").write.parquet(str(tmp_path / "q"))
+    index_refresh.refresh(spark, source, str(tmp_path / "index"), str(tmp_path / "c"))
+    given, plain = [], answer_sets.best_answers
+    monkeypatch.setattr(answer_sets, "best_answers", lambda asked, docs, hits, k: given.append(docs.count()) or plain(asked, docs, hits, k))
+    run = lambda: answer_sets.answer_sets(spark, str(tmp_path / "q"), source, str(tmp_path / "index"), target)
+    few = run()
+    monkeypatch.setattr(answer_sets, "BROADCAST_ROWS", 0)
+    assert run() == few == {"questions": 1, "answered": 1, "rows": 2} and given == [2, 89]
+
+
 def test_command_line(spark, tmp_path, monkeypatch, capsys):
     """Arguments come from the config file, and from the command line before it; the session is the command's."""
     seen = {}

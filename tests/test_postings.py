@@ -84,6 +84,45 @@ def test_search_many_is_exact(spark, built, k, pairs, monkeypatch):
     assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and got[x][1] == pytest.approx(want[x][1], abs=2e-6) for x in want)
 
 
+@pytest.mark.parametrize(("k", "pairs"), [(1, 0), (3, 0), (40, 0), (3, lexical.PAIRS)])
+def test_search_many_of_very_many_terms_is_exact(spark, built, k, pairs, monkeypatch):
+    monkeypatch.setattr(lexical, "ASKED", 0)
+    test_search_many_is_exact(spark, built, k, pairs, monkeypatch)
+
+
+def scored_twice(spark, monkeypatch, ids, copies, k):
+    """What is ranked, and the k best of each query, by rows and by the join of all postings."""
+    rng = random.Random(7)
+    texts = [rng.choices(range(12), k=rng.randrange(1, 9)) for _ in range(240 // copies)]
+    held = [(f"t{t}", ids(i), words.count(t), len(words)) for i, words in enumerate(w for w in texts for _ in range(copies)) for t in set(words)]
+    held = spark.createDataFrame(held, f"term string, id {'string' if isinstance(ids(0), str) else 'long'}, tf int, dl int").repartition(3)
+    wanted = [(q, f"t{t}", 1 + t % 2) for q in [*range(20), None] for t in rng.sample(range(14), 5)]
+    wanted = spark.createDataFrame(wanted, "query_id long, term string, times long")
+    out, ranked, plain = [], [], lexical.ranked_many
+    monkeypatch.setattr(lexical, "ranked_many", lambda scores, k: ranked.append(scores.count()) or plain(scores, k))
+    for asked in (lexical.ASKED, 0):
+        monkeypatch.setattr(lexical, "ASKED", asked)
+        out.append(sorted((-1 if r.query_id is None else r.query_id, r["rank"], r.id, round(r.bm25, 6)) for r in lexical.best_many(held, wanted, 240, 5.0, k).collect()))
+    return out, ranked
+
+
+@pytest.mark.parametrize(("cells", "parts", "copies"), [(1 << 19, 1 << 21, 1), (1, 16, 1), (50, 1 << 21, 60), (1 << 19, 40, 4)])
+def test_search_many_by_rows_is_that_by_the_join(spark, monkeypatch, cells, parts, copies):
+    """Pieces that end anywhere, ids of either type, and copies, of which the id decides."""
+    monkeypatch.setattr(lexical, "CELLS", cells)
+    monkeypatch.setattr(lexical, "PARTS", parts)
+    for ids in (lambda i: i * 7919 % 1000 - 300, lambda i: f"d{i * 7919 % 1000}"):
+        with monkeypatch.context() as m:
+            (by_rows, by_join), _ = scored_twice(spark, m, ids, copies, 5)
+            assert by_rows == by_join and len(by_rows) == 21 * 5
+
+
+def test_scores_that_cannot_be_among_the_best_stay_in_their_task(spark, monkeypatch):
+    """A row for every query and row that share a term went through a shuffle."""
+    _, (by_rows, by_join) = scored_twice(spark, monkeypatch, lambda i: i, 1, 3)
+    assert by_rows <= 4 * 21 * 3 < by_join
+
+
 def test_index_follows_changes_and_merges(spark, tmp_path):
     """Insert, change and delete in many small steps; after each the index is what a rebuild makes of the rows."""
     st = store.Store(spark, str(tmp_path / "s"))
