@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import cut, map_arrow
+from fathom.llm.common import cut, map_arrow, release
 
 
 #: Links (16 bytes each) that one task labels.
@@ -92,6 +92,8 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root = new
     rest = root != np.arange(len(nodes))
     yield pa.RecordBatch.from_arrays([pa.array(nodes[rest]), pa.array(nodes[root[rest]])], ["u", "v"])
+    del held, nodes, at, a, b, root, new, low, rest
+    release()
 
 
 def _state(edges: DataFrame) -> tuple:
